@@ -87,6 +87,22 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str]) ->
     )
 
 
+def running_sums_within(
+    df: DataFrame, within: Sequence[str], order: Sequence[Column], sums: Sequence[str]
+) -> DataFrame:
+    """`running_sums` restarted for each `within` group.
+
+    The sort is global, by group and order, so a group of any size is spread over many partitions. The
+    value at the group's first row is subtracted afterwards.
+    """
+    within = list(within)
+    placed = running_sums(df, [*[F.col(c) for c in within], *order], sums)
+    starts = placed.groupBy(*within).agg(*[F.min(f"before_{c}").alias(f"_s_{c}") for c in sums])
+    return placed.join(starts, within).select(
+        *df.columns, *[(F.col(f"before_{c}") - F.col(f"_s_{c}")).alias(f"before_{c}") for c in sums]
+    )
+
+
 def ordered_rows(df: DataFrame, order: Sequence[Column], index_column: str) -> DataFrame:
     """Number all rows from 0 in the given order; rows alike in every column are interchangeable.
 
