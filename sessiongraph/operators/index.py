@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessiongraph.session import cut_lineage, shuffle_partitions
+from sessiongraph.session import materialize, shuffle_partitions
 
 # Levels above the rows; 3 levels of 20 bits leave at most 16 values on top of a 64-bit id.
 LEVELS = 3
@@ -71,7 +71,7 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str]) ->
     each partition its offset, and a window inside the partition does the rest.
     """
     n = shuffle_partitions(df.sparkSession)
-    ordered = cut_lineage(
+    ordered = materialize(
         df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
     )
     totals = ordered.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])

@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessiongraph.session import cut_lineage
+from sessiongraph.session import materialize
 
 
 def _with_loops(edges: DataFrame, nodes: DataFrame, weighted: bool) -> DataFrame:
@@ -57,5 +57,5 @@ def propagate(edges: DataFrame, vectors: DataFrame, hops: int, weighted: bool =
     for hop in range(hops):
         current = normalized_sum(edges, current, weighted)
         if hop + 1 < hops:
-            current = cut_lineage(current)
+            current = materialize(current)
     return current

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sessiongraph.functions.blocks import SCORE_DECIMALS, block_scorer
 from sessiongraph.functions.vectors import dot, hadamard, unit
 from sessiongraph.operators.rankings import item_ids, mark_seen, split_by_seen
-from sessiongraph.session import cut_lineage
+from sessiongraph.session import materialize
 
 # Fixed values of the approximate search.
 MIN_POINTS_PER_LIST = 39
@@ -186,7 +186,7 @@ def train_lists(pool: DataFrame, iterations: int = 10, seed: int = 42) -> DataFr
     drawn = F.pmod(F.xxhash64("item_id", F.lit(seed)), F.lit(scale))
     quota = (F.col("lists") * 2 + 8) / F.col("size") * F.lit(scale)
     by_hash = Window.partitionBy("category").orderBy("draw", "item_id")
-    centers = cut_lineage(
+    centers = materialize(
         pool.join(sizes, "category")
         .withColumn("draw", drawn)
         .where(F.col("draw") <= quota)
@@ -199,7 +199,7 @@ def train_lists(pool: DataFrame, iterations: int = 10, seed: int = 42) -> DataFr
         means = members.groupBy("category", "list_id").agg(
             Summarizer.mean(array_to_vector("vector")).alias("mean")
         )
-        centers = cut_lineage(
+        centers = materialize(
             means.select(
                 "category", F.col("list_id").alias("item_id"), unit(vector_to_array("mean")).alias("vector")
             )
@@ -233,7 +233,7 @@ def approximate_top_k(
     queries, candidates = _queries_and_pool(triggers, pool, vectors)
     large = candidates.groupBy("category").agg(F.count("*").alias("n")).where(F.col("n") >= min_pool)
     large = large.select("category")
-    big_pool = cut_lineage(candidates.join(large, "category", "left_semi"))
+    big_pool = materialize(candidates.join(large, "category", "left_semi"))
     centers = train_lists(big_pool, iterations, seed)
     list_key = F.concat_ws("#", "category", F.col("list_id").cast("string")).alias("list_key")
     lists = assign_lists(big_pool, centers).select(list_key, "item_id", "vector")

@@ -2,138 +2,184 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from sessiongraph.operators import coview, evaluation, index, labels, rankings, retrieval, sessions
-from sessiongraph.sources import behavior, entities, fixtures
+from sessiongraph.session import materialize
+from sessiongraph.sources import behavior, entities
 
-VECTOR_DIM = 64
-MODEL_ID = "cur"
 
+@dataclass(frozen=True)
+class Inputs:
+    """The tables a run starts from.
 
-class Chain:
-    """Behavior, graph, labels, rankings, retrieval and evaluation over one data folder.
-
-    Nothing runs until a result is read. Attributes are built once per object.
+    view_events: account_id, emitted, item_id, user_id, cookie
+    identity: source_id, master_id
+    logs: execution_id, log_instant, account_id, publisher_id, cookie, item_id, page_type,
+        placements array<struct<candidates: array<struct<item_id, score>>>>
+    catalog: item_id, db_name, is_active, is_in_stream, parent_id, name, image_url
+    vectors: item_id, vector, category, model_id, db_name, updated_at
+    accounts: account_id, db_name, publisher_id, or None to take every account
     """
 
-    def __init__(self, spark: SparkSession, location: str) -> None:
-        self.spark = spark
-        self.location = location
+    view_events: DataFrame
+    identity: DataFrame
+    logs: DataFrame
+    catalog: DataFrame
+    vectors: DataFrame
+    accounts: DataFrame | None = None
 
-    @cached_property
-    def view_events(self) -> DataFrame:
-        return fixtures.view_events(self.spark, self.location)
 
-    @cached_property
-    def identity(self) -> DataFrame:
-        return fixtures.identity_map(self.spark, self.location)
+@dataclass(frozen=True)
+class Settings:
+    """Parameters of a run; dates are ISO strings."""
 
-    @cached_property
-    def logs(self) -> DataFrame:
-        return fixtures.recommendation_logs(self.spark, self.location)
+    cutoff_train: str
+    cutoff_val: str
+    model_id: str
+    vector_dim: int
+    start: str | None = None
+    end: str | None = None
+    session_timeout: int = sessions.DEFAULT_TIMEOUT
+    top_k: int = labels.DEFAULT_DEPTH
+    catalog_items_only: bool = True
+    normalize_weights: bool = False
+    pure_negative_fraction: float = 0.0
+    seed: int = 42
 
-    @cached_property
-    def catalog(self) -> DataFrame:
-        return fixtures.catalog(self.spark, self.location)
 
-    @cached_property
-    def accounts(self) -> DataFrame:
-        return entities.resolve_account(
-            fixtures.accounts(self.spark, self.location),
-            fixtures.insights_accounts(self.spark, self.location),
-            fixtures.publishers(self.spark, self.location),
-        )
+def staged(build):
+    """A lazily built attribute whose table is written once and read back."""
+
+    def attribute(self: Chain) -> DataFrame:
+        return materialize(build(self), build.__name__)
+
+    prop = cached_property(attribute)
+    prop.__doc__ = build.__doc__
+    return prop
+
+
+class Chain:
+    """Behavior, graph, labels, rankings, retrieval and evaluation of one run.
+
+    Tables that several later steps read are written to the shared folder once per object (`staged`);
+    the others stay lazy.
+    """
+
+    def __init__(self, inputs: Inputs, settings: Settings) -> None:
+        self.inputs = inputs
+        self.settings = settings
+        self.spark = inputs.view_events.sparkSession
 
     @cached_property
     def views(self) -> DataFrame:
-        return behavior.resolve_views(self.view_events, self.identity)
+        given, chosen = self.inputs, self.settings
+        views = behavior.resolve_views(
+            given.view_events, given.identity, given.accounts, chosen.start, chosen.end
+        )
+        if not chosen.catalog_items_only:
+            return views
+        return behavior.keep_catalog_items(views, entities.active_master_items(given.catalog, given.accounts))
 
-    @cached_property
+    @staged
     def session_views(self) -> DataFrame:
-        cut = sessions.sessionize(self.views, fixtures.SESSION_TIMEOUT)
-        return sessions.split_by_time(cut, fixtures.CUTOFF_TRAIN, fixtures.CUTOFF_VAL)
+        cut = sessions.sessionize(self.views, self.settings.session_timeout)
+        return sessions.split_by_time(cut, self.settings.cutoff_train, self.settings.cutoff_val)
 
     @cached_property
     def items(self) -> DataFrame:
         return coview.session_items(self.session_views)
 
-    @cached_property
+    @staged
     def edges(self) -> DataFrame:
-        return coview.co_view_edges(self.session_views)
+        return coview.co_view_edges(self.session_views, self.settings.normalize_weights)
 
     @cached_property
     def train_edges(self) -> DataFrame:
         return coview.edges_of(self.edges, "train")
 
-    @cached_property
+    @staged
     def node_index(self) -> DataFrame:
         return index.dense_index(coview.graph_nodes(self.edges), "item_id", "node_idx")
 
-    @cached_property
+    @staged
     def matched(self) -> DataFrame:
-        pairs = behavior.match_logs_to_views(self.logs, self.view_events, self.identity)
+        given, chosen = self.inputs, self.settings
+        pairs = behavior.match_logs_to_views(
+            given.logs,
+            given.view_events,
+            given.identity,
+            given.accounts,
+            given.accounts,
+            chosen.start,
+            chosen.end,
+        )
         return behavior.attach_sessions(pairs, self.session_views)
 
-    @cached_property
+    @staged
     def triggers(self) -> DataFrame:
         return labels.distinct_triggers(self.matched)
 
-    @cached_property
+    @staged
     def codes(self) -> DataFrame:
         return labels.execution_codes(self.triggers)
 
-    @cached_property
+    @staged
     def labels(self) -> DataFrame:
-        return labels.label_candidates(self.triggers, self.logs, self.items)
+        return labels.label_candidates(
+            self.triggers, self.inputs.logs, self.items, self.settings.top_k
+        )
 
     @cached_property
     def positives(self) -> DataFrame:
         return labels.positive_pairs(self.labels)
 
-    @cached_property
+    @staged
     def negatives(self) -> DataFrame:
-        return labels.training_negatives(self.labels, self.train_edges)
+        return labels.training_negatives(
+            self.labels, self.train_edges, self.settings.pure_negative_fraction, self.settings.seed
+        )
 
-    @cached_property
+    @staged
     def pairs(self) -> DataFrame:
         both = labels.labelled_pairs(self.positives, self.negatives)
         return labels.encode_pairs(both, self.codes, self.node_index)
 
-    @cached_property
+    @staged
     def owners(self) -> DataFrame:
         return rankings.one_trigger_per_execution(self.triggers, self.codes)
 
-    @cached_property
+    @staged
     def prod(self) -> DataFrame:
         return rankings.prod_results(
-            rankings.prod_rankings(self.owners, self.logs, self.items, fixtures.TOP_K)
+            rankings.prod_rankings(self.owners, self.inputs.logs, self.items, self.settings.top_k)
         )
 
-    @cached_property
+    @staged
     def vectors(self) -> DataFrame:
-        return entities.current_vectors(fixtures.item_vectors(self.spark, self.location), MODEL_ID)
+        return entities.current_vectors(self.inputs.vectors, self.settings.model_id, self.inputs.accounts)
 
-    @cached_property
+    @staged
     def features(self) -> DataFrame:
-        return coview.node_features(self.node_index, self.vectors, VECTOR_DIM)
+        return coview.node_features(self.node_index, self.vectors, self.settings.vector_dim)
 
-    @cached_property
+    @staged
     def graph_triggers(self) -> DataFrame:
         inside = retrieval.graph_triggers(self.owners, self.node_index)
         return retrieval.with_category(inside, self.vectors)
 
-    @cached_property
+    @staged
     def pool(self) -> DataFrame:
         return retrieval.candidate_pool(self.graph_triggers, self.vectors, self.node_index)
 
-    @cached_property
+    @staged
     def model_rows(self) -> DataFrame:
-        return retrieval.exact_top_k(self.graph_triggers, self.pool, self.vectors, fixtures.TOP_K)
+        return retrieval.exact_top_k(self.graph_triggers, self.pool, self.vectors, self.settings.top_k)
 
-    @cached_property
+    @staged
     def model(self) -> DataFrame:
         return retrieval.model_results(self.graph_triggers, self.model_rows, self.items)
 
@@ -141,10 +187,10 @@ class Chain:
     def sizes(self) -> DataFrame:
         return evaluation.session_sizes(self.owners, evaluation.session_item_views(self.session_views))
 
-    @cached_property
+    @staged
     def metrics(self) -> DataFrame:
         return evaluation.add_metrics(evaluation.assemble_arms(self.prod, self.model, self.sizes))
 
-    @cached_property
+    @staged
     def metadata(self) -> DataFrame:
-        return evaluation.product_metadata(self.owners, self.items, self.prod, self.model, self.catalog)
+        return evaluation.product_metadata(self.owners, self.items, self.prod, self.model, self.inputs.catalog)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,28 +29,37 @@ def build_session(app: str = "sessiongraph", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure `checkpoint()` has a reliable folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: `spark.checkpoint.dir`, which all machines can reach.
 
-    The folder comes from `spark.checkpoint.dir`. A temporary folder is used only on a local master:
-    on a cluster the other machines could not read it, so a missing setting is an error there.
+    A temporary folder is used only on a local master with no such setting: on a cluster the other
+    machines could not read it, so a missing setting is an error there.
     """
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sessiongraph-checkpoint-"))
-    else:
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="sessiongraph-"))
+    return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize `df` in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write `df` to the shared folder and read it back.
+
+    Later plans start at a columnar scan with known size instead of the whole lineage, and a lost
+    executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

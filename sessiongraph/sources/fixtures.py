@@ -17,6 +17,8 @@ SESSION_TIMEOUT = 14_400
 CUTOFF_TRAIN = "2024-01-21"
 CUTOFF_VAL = "2024-01-26"
 TOP_K = 12
+VECTOR_DIM = 64
+MODEL_ID = "cur"
 
 
 def item_events(spark: SparkSession, location: str) -> DataFrame:
