@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessiongraph.functions.vectors import zeros
+from sessiongraph.session import materialize
 
 SESSION = ["user_id", "session_id"]
 PAIR = ["item_a", "item_b"]
@@ -23,34 +24,53 @@ def session_sizes(items: DataFrame) -> DataFrame:
     return items.groupBy("split", *SESSION).agg(F.count("*").alias("session_size"))
 
 
-def session_pairs(items: DataFrame, normalize: bool = False, block_items: int = 4096) -> DataFrame:
+def long_sessions(session_views: DataFrame, block_items: int) -> DataFrame:
+    """Sizes of the sessions with more than `block_items` distinct items, written to the shared folder.
+
+    View counts, which combine on the map side, narrow the search first; distinct items are counted for
+    the few sessions left.
+    """
+    keys = ["split", *SESSION]
+    busy = materialize(
+        session_views.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > block_items).drop("n"),
+        "busy_sessions",
+    )
+    if busy.isEmpty():
+        return busy.withColumn("session_size", F.lit(0).cast("long"))
+    sizes = session_sizes(session_items(session_views.join(busy, keys, "left_semi")))
+    return materialize(sizes.where(F.col("session_size") > block_items), "long_sessions")
+
+
+def session_pairs(session_views: DataFrame, normalize: bool = False, block_items: int = 4096) -> DataFrame:
     """(split, item_a, item_b, pair_weight) for each item pair of each session, item_a < item_b.
 
     Sessions with more than `block_items` items take another way to the same pairs: their items are
     hashed into blocks and each pair of blocks is joined on its own key, so the work of one session is
-    spread over many tasks and no task pairs more than two blocks.
+    spread over many tasks and no task pairs more than two blocks. The list of such sessions is stored
+    beforehand: Spark sees its size and takes them out before the shuffle if the list is small.
     """
-    sizes = session_sizes(items)
-    large = sizes.where(F.col("session_size") > block_items)
+    items = session_items(session_views)
+    large = long_sessions(session_views, block_items)
     keys = ["split", *SESSION]
     if normalize:
-        items = items.join(sizes, keys)
+        items = items.join(session_sizes(items), keys)
         weight = F.lit(1.0) / (F.col("session_size") - 1)
         carried = ["session_size"]
     else:
         weight = F.lit(1.0)
         carried = []
-    small_items = items.join(large.select(*keys), keys, "left_anti")
+    some_large = not large.isEmpty()
+    small_items = items.join(large.select(*keys), keys, "left_anti") if some_large else items
     left = small_items.withColumnRenamed("item_id", "item_a")
     right = small_items.select(*keys, F.col("item_id").alias("item_b"))
-    small_pairs = (
+    pairs = (
         left.join(right, keys)
         .where(F.col("item_a") < F.col("item_b"))
         .select("split", *PAIR, weight.alias("pair_weight"))
     )
-    return small_pairs.unionByName(
-        _blocked_pairs(items, large, keys, carried, weight, block_items)
-    )
+    if not some_large:
+        return pairs
+    return pairs.unionByName(_blocked_pairs(items, large, keys, carried, weight, block_items))
 
 
 def _blocked_pairs(
@@ -97,7 +117,7 @@ def co_view_edges(
 
     Pairs are summed on the map side before the one shuffle of this step.
     """
-    pairs = session_pairs(session_items(session_views), normalize, block_items)
+    pairs = session_pairs(session_views, normalize, block_items)
     edges = pairs.groupBy("split", *PAIR).agg(
         F.sum("pair_weight").alias("weight"), F.count("*").alias("raw_count")
     )

@@ -63,43 +63,100 @@ def dense_index(
     )
 
 
-def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
-    """Add `before_<c>` for each column c of `sums`: its sum over all rows that sort earlier.
-
-    Rows must be unique under `order`, which may mix types and directions. The table is range-sorted
-    and materialized once in the checkpoint folder; the partition totals (one row per partition) give
-    each partition its offset, and a window inside the partition does the rest.
-    """
+def _range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """`df` range-partitioned by `order` with its partition number `_part`, stored in the shared folder."""
     n = shuffle_partitions(df.sparkSession)
-    ordered = materialize(
-        df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    return materialize(
+        df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "range_sorted"
     )
+
+
+def _placed(ordered: DataFrame, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
+    """Add `before_<c>` to a range-sorted table.
+
+    Partition totals (one row per partition of the range sort, so small enough for one task and for a
+    broadcast) give each partition its offset; a window inside the partition does the rest.
+    """
     totals = ordered.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    # One row per partition of the range sort, so this window and the broadcast stay small.
     offsets = totals.select("_part", *[_before(f"_t_{c}", [], "_part").alias(f"_o_{c}") for c in sums])
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return ordered.join(F.broadcast(offsets), "_part").select(
-        *df.columns,
-        *[
-            (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_o_{c}")).alias(f"before_{c}")
-            for c in sums
-        ],
+    running = ordered.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_r_{c}") for c in sums])
+    return running.join(F.broadcast(offsets), "_part").select(
+        *ordered.columns, *[(F.col(f"_r_{c}") + F.col(f"_o_{c}")).alias(f"before_{c}") for c in sums]
     )
 
 
+def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
+    """Add `before_<c>` for each column c of `sums`: its sum over all rows that sort earlier.
+
+    Rows must be unique under `order`, which may mix types and directions.
+    """
+    return _placed(_range_sorted(df, order), order, sums).drop("_part")
+
+
 def running_sums_within(
-    df: DataFrame, within: Sequence[str], order: Sequence[Column], sums: Sequence[str]
+    df: DataFrame,
+    within: Sequence[str],
+    order: Sequence[Column],
+    sums: Sequence[str],
+    hot_group_rows: int = 1_000_000,
 ) -> DataFrame:
     """`running_sums` restarted for each `within` group.
 
-    The sort is global, by group and order, so a group of any size is spread over many partitions. The
-    value at the group's first row is subtracted afterwards.
+    Groups of up to `hot_group_rows` rows are summed in one window each. Larger ones, found by a
+    counting pass beforehand, are summed over a global range sort instead.
     """
     within = list(within)
-    placed = running_sums(df, [*[F.col(c) for c in within], *order], sums)
-    starts = placed.groupBy(*within).agg(*[F.min(f"before_{c}").alias(f"_s_{c}") for c in sums])
-    return placed.join(starts, within).select(
-        *df.columns, *[(F.col(f"before_{c}") - F.col(f"_s_{c}")).alias(f"before_{c}") for c in sums]
+    hot = materialize(
+        df.groupBy(*within).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_group_rows).drop("_n"),
+        "hot_groups",
+    )
+    one_window = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def by_window(rows: DataFrame) -> DataFrame:
+        return rows.select("*", *[F.coalesce(F.sum(c).over(one_window), F.lit(0)).alias(f"before_{c}") for c in sums])
+
+    if hot.isEmpty():
+        return by_window(df)
+    usual = by_window(df.join(hot, within, "left_anti"))
+    return usual.unionByName(_sums_over_range_sort(df.join(hot, within, "left_semi"), within, order, sums))
+
+
+def _sums_over_range_sort(
+    df: DataFrame, within: list[str], order: Sequence[Column], sums: Sequence[str]
+) -> DataFrame:
+    """Running sums within groups of any size.
+
+    The sort is global, by group and order, so a group is spread over many partitions and is never
+    brought together. The value at the start of a group is subtracted. A group inside one partition
+    finds it there; a group that crosses partitions is the first or last of each of them, so at most
+    two groups per partition are looked up in a small broadcast table.
+    """
+    full_order = [*[F.col(c) for c in within], *order]
+    ordered = _range_sorted(df, full_order)
+    placed = _placed(ordered, full_order, sums)
+
+    key = F.struct(*within)
+    edges = ordered.groupBy("_part").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    crossing = edges.select(F.explode(F.array("low", "high")).alias("k")).select("k.*").distinct()
+    starts = (
+        placed.join(F.broadcast(crossing), within, "left_semi")
+        .groupBy(*within)
+        .agg(*[F.min(f"before_{c}").alias(f"_s_{c}") for c in sums])
+    )
+    # The value grows along the order, so a running minimum gives the first one without buffering the group.
+    local = (
+        Window.partitionBy("_part", *within)
+        .orderBy(*full_order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    with_local = placed.select("*", *[F.min(f"before_{c}").over(local).alias(f"_l_{c}") for c in sums])
+    return with_local.join(F.broadcast(starts), within, "left").select(
+        *df.columns,
+        *[
+            (F.col(f"before_{c}") - F.coalesce(F.col(f"_s_{c}"), F.col(f"_l_{c}"))).alias(f"before_{c}")
+            for c in sums
+        ],
     )
 
 

@@ -68,14 +68,17 @@ def top_k_by_group(
     Both sides of a group are hashed into blocks of bounded size. Each pair of blocks is one task-sized
     matrix product that gives out k rows per query, so pairs are never emitted and a group of any size
     is spread over many tasks. Equal scores go to the lower item id.
+
+    Block counts are stored first, so the vectors meet a table of known size: it is broadcast if small.
     """
-    shape = (
+    shape = materialize(
         queries.groupBy(group)
         .agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("query_blocks"))
         .join(
             pool.groupBy(group).agg(F.ceil(F.count("*") / F.lit(pool_block)).cast("int").alias("pool_blocks")),
             group,
-        )
+        ),
+        "block_counts",
     )
     query_side = queries.join(shape, group).select(
         group,

@@ -66,7 +66,7 @@ def random_non_edges(
     makes up to `rounds` seeded draws and takes its first accepted one; a positive whose draws are all
     rejected gets none. Drawn pairs may repeat.
     """
-    n_nodes = nodes.agg(F.count("*")).scalar()
+    n_nodes = F.greatest(nodes.agg(F.count("*")).scalar(), F.lit(1))
     renamed, own = _owned(positives)
     drawn = positives.select(*renamed, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("attempt"))
     keys = [F.col(c) for c in [*own, "attempt"]]
@@ -93,7 +93,7 @@ def draw_stored_negatives(
     renamed, own = _owned(positives)
     draws = positives.select(*renamed, F.explode(F.sequence(F.lit(1), F.lit(ratio))).alias("draw"))
     keys = [F.col(c) for c in [*own, "draw"]]
-    return draws.withColumn("number", F.pmod(_draw(keys, seed), n_negatives)).join(numbered, "number").select(
+    return draws.withColumn("number", F.pmod(_draw(keys, seed), F.greatest(n_negatives, F.lit(1)))).join(numbered, "number").select(
         *own, "draw", "src", "dst"
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessiongraph.functions.times import epoch_seconds, seconds_between
+from sessiongraph.session import materialize
 
 # Fixed value: seconds without a view after which a session ends.
 DEFAULT_TIMEOUT = 1800
@@ -25,25 +26,34 @@ def sessionize(
 
     A user with more than `hot_user_rows` views is cut into time slices, so no task sorts more than one
     slice. Each slice is reduced to four values, the slices of a user are chained in a second, small
-    window, and its results are joined back on (user, slice). Other users form a single slice, for which
-    the chain has nothing to add. The list of hot users is broadcast: it has at most
-    rows / hot_user_rows entries.
+    window, and its results are joined back on (user, slice). Without such users there is nothing to
+    chain and the plan is one window per user.
+
+    The users are found first, with a counting pass that combines on the map side, and written to the
+    shared folder. Spark then knows the size of the list and broadcasts it only if it is small.
     """
-    hot = (
+    hot = materialize(
         views.groupBy("user_id")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > hot_user_rows)
-        .select("user_id", F.lit(True).alias("is_hot"))
+        .select("user_id", F.lit(True).alias("is_hot")),
+        "hot_users",
     )
-    at = F.floor(epoch_seconds(views, "emitted") / F.lit(slice_seconds))
+    rows = views.select("user_id", "item_id", "emitted")
+    if hot.isEmpty():
+        return _number_sessions(rows.withColumn("slice", F.lit(0).cast("long")), timeout)
+    at = F.floor(epoch_seconds(rows, "emitted") / F.lit(slice_seconds))
     sliced = (
-        views.select("user_id", "item_id", "emitted", at.alias("at"))
-        .join(F.broadcast(hot), "user_id", "left")
-        .select(
-            "user_id", "item_id", "emitted", F.when(F.col("is_hot"), F.col("at")).alias("slice")
-        )
+        rows.withColumn("at", at)
+        .join(hot, "user_id", "left")
+        .withColumn("slice", F.when(F.col("is_hot"), F.col("at")))
+        .drop("at", "is_hot")
     )
+    return _number_sessions(sliced, timeout, chained=True)
+
 
+def _number_sessions(sliced: DataFrame, timeout: int, chained: bool = False) -> DataFrame:
+    """Sessions inside each (user, slice), chained over the slices of a user where asked."""
     in_slice = Window.partitionBy("user_id", "slice").orderBy("emitted")
     so_far = in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap = seconds_between(F.col("emitted"), F.lag("emitted").over(in_slice))
@@ -53,13 +63,17 @@ def sessionize(
         .withColumn("opened_at", F.max(F.when(F.col("opens") == 1, F.col("emitted"))).over(so_far))
         .withColumn("slice_first", F.min("emitted").over(so_far))
     )
-    chained = _chain_slices(marked.where(F.col("slice").isNotNull()), timeout)
-    return marked.join(chained, ["user_id", "slice"], "left").select(
+    base, carried = F.lit(1), []
+    if chained:
+        slices = _chain_slices(marked.where(F.col("slice").isNotNull()), timeout)
+        marked = marked.join(slices, ["user_id", "slice"], "left")
+        base, carried = F.coalesce("base", F.lit(1)), ["carried_start"]
+    return marked.select(
         "user_id",
-        (F.col("opened") + F.coalesce("base", F.lit(1))).cast("long").alias("session_id"),
+        (F.col("opened") + base).cast("long").alias("session_id"),
         "item_id",
         "emitted",
-        F.coalesce("opened_at", "carried_start", "slice_first").alias("session_start"),
+        F.coalesce("opened_at", *carried, "slice_first").alias("session_start"),
     )
 
 

@@ -74,6 +74,10 @@ class Chain:
         self.settings = settings
         self.spark = inputs.view_events.sparkSession
 
+    @cached_property
+    def logs(self) -> DataFrame:
+        return self.inputs.logs
+
     @cached_property
     def views(self) -> DataFrame:
         given, chosen = self.inputs, self.settings
@@ -109,7 +113,7 @@ class Chain:
     def matched(self) -> DataFrame:
         given, chosen = self.inputs, self.settings
         pairs = behavior.match_logs_to_views(
-            given.logs,
+            self.logs,
             given.view_events,
             given.identity,
             given.accounts,
@@ -130,7 +134,7 @@ class Chain:
     @staged
     def labels(self) -> DataFrame:
         return labels.label_candidates(
-            self.triggers, self.inputs.logs, self.items, self.settings.top_k
+            self.triggers, self.logs, self.items, self.settings.top_k
         )
 
     @cached_property
@@ -155,7 +159,7 @@ class Chain:
     @staged
     def prod(self) -> DataFrame:
         return rankings.prod_results(
-            rankings.prod_rankings(self.owners, self.inputs.logs, self.items, self.settings.top_k)
+            rankings.prod_rankings(self.owners, self.logs, self.items, self.settings.top_k)
         )
 
     @staged

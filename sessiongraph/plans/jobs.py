@@ -28,7 +28,11 @@ def build_manifest(chain: Chain) -> DataFrame:
         F.col("missing").alias("nodes_without_embedding"),
         F.lit(chain.settings.vector_dim).alias("embedding_dim"),
     )
-    edges = coview.held_out_edges(chain.edges).groupBy("split").agg(F.count("*").alias("edges"))
+    # A split whose edges are all known from train still gets its row, with a zero.
+    counted = coview.held_out_edges(chain.edges).select("split", F.lit(1).alias("one")).unionByName(
+        chain.edges.select("split", F.lit(0).alias("one"))
+    )
+    edges = counted.groupBy("split").agg(F.sum("one").alias("edges"))
     pairs = chain.pairs.groupBy("split").agg(
         F.count_if("is_positive").alias("positive"), F.count_if(~F.col("is_positive")).alias("negative")
     )

@@ -51,7 +51,7 @@ _BASKET_PAIRS = """from g_basket_items a join g_basket_items b on a.user_id = b.
     f"select a.split, a.item_id as item_a, b.item_id as item_b, 1.0::double as pair_weight {_BASKET_PAIRS}",
 )
 def _(c: Run) -> DataFrame:
-    return coview.session_pairs(coview.session_items(c.baskets))
+    return coview.session_pairs(c.baskets)
 
 
 @query(
@@ -60,7 +60,7 @@ def _(c: Run) -> DataFrame:
 )
 def _(c: Run) -> DataFrame:
     """The block way of long sessions, here for every session above three items."""
-    return coview.session_pairs(coview.session_items(c.baskets), block_items=3)
+    return coview.session_pairs(c.baskets, block_items=3)
 
 
 @query(

@@ -261,9 +261,9 @@ def _(c: Run) -> DataFrame:
 
 @query("k3_random_non_edges")
 def _(c: Run) -> DataFrame:
-    known = c.train_edges.join(c.node_index.withColumnsRenamed({"item_id": "item_a", "node_idx": "src"}), "item_a")
-    known = known.join(c.node_index.withColumnsRenamed({"item_id": "item_b", "node_idx": "dst"}), "item_b")
-    return sampling.random_non_edges(_train_pairs(c, True).distinct(), c.node_index, known)
+    edges = c.basket_edges.select("src", "dst")
+    nodes = index.dense_index(c.baskets, "item_id", "node_idx")
+    return sampling.random_non_edges(edges, nodes, edges)
 
 
 @query("k4_draw_stored_negatives")

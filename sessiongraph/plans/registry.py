@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessiongraph.operators import review
+from sessiongraph.operators import coview, index, review
 from sessiongraph.plans.chain import Chain, Inputs, Settings
 from sessiongraph.plans.oracle_views import with_views
-from sessiongraph.session import materialize
+from sessiongraph.session import materialize, shuffle_partitions
 from sessiongraph.sources import entities, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,9 +51,14 @@ class Run(Chain):
         )
         self.view_events = self.inputs.view_events
         self.identity = self.inputs.identity
-        self.logs = self.inputs.logs
         self.catalog = self.inputs.catalog
 
+    @cached_property
+    def logs(self) -> DataFrame:
+        """The nested log as a stored table, as it would arrive; the click events come in one file."""
+        rows = self.inputs.logs.repartition(shuffle_partitions(self.spark), "execution_id")
+        return materialize(rows, "logs")
+
     @cached_property
     def accounts(self) -> DataFrame:
         return entities.resolve_account(
@@ -74,6 +79,13 @@ class Run(Chain):
     def baskets(self) -> DataFrame:
         return fixtures.baskets(self.spark, self.location)
 
+    @cached_property
+    def basket_edges(self) -> DataFrame:
+        """Train edges of the baskets by node index: the large graph of the folder."""
+        nodes = index.dense_index(self.baskets, "item_id", "node_idx")
+        train = coview.edges_of(coview.co_view_edges(self.baskets), "train")
+        return materialize(coview.remap_edges(train, nodes).select("src", "dst", "weight"), "basket_edges")
+
     @cached_property
     def sample(self) -> DataFrame:
         return materialize(review.display_sample(self.owners, self.prod), "sample")
