@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import math
 
+from pyspark import cloudpickle
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessiongraph.functions import blocks
 from sessiongraph.functions.blocks import SCORE_DECIMALS, block_scorer
 from sessiongraph.functions.vectors import dot, hadamard, unit
 from sessiongraph.operators.rankings import item_ids, mark_seen, split_by_seen
 from sessiongraph.session import materialize
 
+# The block functions travel with the plan, so the executors need no copy of this package.
+cloudpickle.register_pickle_by_value(blocks)
+
 # Fixed values of the approximate search.
 MIN_POINTS_PER_LIST = 39
 MIN_POOL_FOR_LISTS = 2048
