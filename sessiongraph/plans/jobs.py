@@ -120,7 +120,7 @@ def retrieve(chain: Chain, folder: str, approximate: bool = False, min_recall: f
     sections.append(_section("triggers", counters, ["split"]))
     sections.append(_section("model_mrr", rankings.list_mrr(results, "positives"), ["split"]))
     manifest = write_manifest(stack_metrics(*sections), f"{folder}/retrieval_manifest")
-    return {"model_rows": rows_path, "model_results": results_path, "manifest": manifest}
+    return {"model_rows": rows_path, "model_results": results_path, "retrieval_manifest": manifest}
 
 
 REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {

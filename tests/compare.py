@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL on one data folder: `python tests/check_queries.py [sf] [prefix ...]`."""
+"""Compare registered queries with their SQL on one data folder: `python tests/compare.py [sf] [prefix ...]`."""
 
 from __future__ import annotations
 
