@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark import cloudpickle
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -122,8 +123,13 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("vector", unit(F.col("vector")))
 
 
-def _queries_and_pool(triggers: DataFrame, pool: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    units = unit_vectors(vectors.select("item_id", "vector"))
+def _queries_and_pool(
+    triggers: DataFrame, pool: DataFrame, vectors: DataFrame, normalize: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Distinct query vectors of the trigger items and the pool's vectors, unit length unless told not to."""
+    units = vectors.select("item_id", "vector")
+    if normalize:
+        units = unit_vectors(units)
     asked = triggers.where(F.col("category").isNotNull()).select("category", "trigger_id").distinct()
     queries = asked.join(units.withColumnRenamed("item_id", "trigger_id"), "trigger_id").select(
         "category", F.col("trigger_id").alias("query_id"), "vector"
@@ -148,6 +154,25 @@ def exact_top_k(triggers: DataFrame, pool: DataFrame, vectors: DataFrame, k: int
     return _per_trigger(triggers, top_k_by_group(queries, candidates, "category", k))
 
 
+def linear_top_k(
+    triggers: DataFrame,
+    pool: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    weights: Sequence[float],
+    bias: float = 0.0,
+) -> DataFrame:
+    """`exact_top_k` under the linear pair score `bias + sum(weights * left * right)`.
+
+    The weights are folded into the query vector, which turns the score into a dot product.
+    """
+    queries, candidates = _queries_and_pool(triggers, pool, vectors, normalize=False)
+    weight = F.array(*[F.lit(float(w)) for w in weights])
+    weighted = queries.withColumn("vector", hadamard(F.col("vector"), weight))
+    ranked = top_k_by_group(weighted, candidates, "category", k)
+    return _per_trigger(triggers, ranked.withColumn("score", F.col("score") + F.lit(float(bias))))
+
+
 def pairwise_top_k(triggers: DataFrame, pool: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The same answer by a plain join and a column dot product, for checks on a few triggers.
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sessiongraph.operators import coview, evaluation, index, labels, rankings, retrieval, sessions
 from sessiongraph.session import materialize
@@ -49,6 +50,17 @@ class Settings:
     normalize_weights: bool = False
     pure_negative_fraction: float = 0.0
     seed: int = 42
+    ranking_splits: tuple[str, ...] = ("train", "val", "test")
+    approximate: bool = False
+    min_pool_for_lists: int = retrieval.MIN_POOL_FOR_LISTS
+    probes: int = retrieval.DEFAULT_PROBES
+    min_recall: float | None = None
+    parity_sample: int = 500
+    parity_tolerance: float = 1e-5
+
+    def __post_init__(self) -> None:
+        if self.min_recall is not None and not self.approximate:
+            raise ValueError("min_recall needs approximate=True: an exact ranking has nothing to be measured against")
 
 
 def staged(build):
@@ -154,7 +166,8 @@ class Chain:
 
     @staged
     def owners(self) -> DataFrame:
-        return rankings.one_trigger_per_execution(self.triggers, self.codes)
+        wanted = self.triggers.where(F.col("split").isin(*self.settings.ranking_splits))
+        return rankings.one_trigger_per_execution(wanted, self.codes)
 
     @staged
     def prod(self) -> DataFrame:
@@ -180,9 +193,26 @@ class Chain:
         return retrieval.candidate_pool(self.graph_triggers, self.vectors, self.node_index)
 
     @staged
-    def model_rows(self) -> DataFrame:
+    def exact_rows(self) -> DataFrame:
         return retrieval.exact_top_k(self.graph_triggers, self.pool, self.vectors, self.settings.top_k)
 
+    @staged
+    def approximate_rows(self) -> DataFrame:
+        chosen = self.settings
+        return retrieval.approximate_top_k(
+            self.graph_triggers,
+            self.pool,
+            self.vectors,
+            chosen.top_k,
+            chosen.min_pool_for_lists,
+            chosen.probes,
+            seed=chosen.seed,
+        )
+
+    @property
+    def model_rows(self) -> DataFrame:
+        return self.approximate_rows if self.settings.approximate else self.exact_rows
+
     @staged
     def model(self) -> DataFrame:
         return retrieval.model_results(self.graph_triggers, self.model_rows, self.items)
@@ -197,4 +227,6 @@ class Chain:
 
     @staged
     def metadata(self) -> DataFrame:
-        return evaluation.product_metadata(self.owners, self.items, self.prod, self.model, self.inputs.catalog)
+        return evaluation.product_metadata(
+            self.owners, self.items, self.prod, self.model, self.inputs.catalog, self.inputs.accounts
+        )

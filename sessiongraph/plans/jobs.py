@@ -89,38 +89,38 @@ def build_dataset(chain: Chain, folder: str, **checks: float | int | None) -> di
     return written
 
 
-def retrieve(chain: Chain, folder: str, approximate: bool = False, min_recall: float | None = None) -> dict[str, str]:
+def retrieve(chain: Chain, folder: str) -> dict[str, str]:
     """Write the model's ranking of every graph trigger, its checks and counters under `folder`.
 
-    The exact ranking is checked against an independent dot product. The approximate one is measured
-    against the exact one and refused under `min_recall`.
+    The exact ranking is checked against an independent dot product. With `approximate` set it also
+    measures the approximate ranking, which is refused under `min_recall`.
     """
-    triggers, pool, vectors = chain.graph_triggers, chain.pool, chain.vectors
-    top_k = chain.settings.top_k
-    parity = retrieval.check_against_pairwise(chain.model_rows, triggers, pool, vectors, top_k)
+    chosen, triggers = chain.settings, chain.graph_triggers
+    parity = retrieval.check_against_pairwise(
+        chain.exact_rows,
+        triggers,
+        chain.pool,
+        chain.vectors,
+        chosen.top_k,
+        chosen.parity_sample,
+        chosen.parity_tolerance,
+    )
     quality.require(parity, F.col("mismatches") == 0, "retrieval differs from the dot product")
     sections = [_section("parity", parity)]
-    rows_path = f"{folder}/model_rows"
-    if approximate:
-        found = chain.spark.read.parquet(
-            write_artifact(retrieval.approximate_top_k(triggers, pool, vectors, top_k), rows_path)
-        )
-        recall = retrieval.recall_against_exact(triggers, found, chain.model_rows)
-        if min_recall is not None:
-            quality.require(recall, F.col("mean_recall") >= min_recall, "approximate recall too low")
+    if chosen.approximate:
+        recall = retrieval.recall_against_exact(triggers, chain.approximate_rows, chain.exact_rows)
+        if chosen.min_recall is not None:
+            quality.require(recall, F.col("mean_recall") >= chosen.min_recall, "approximate recall too low")
         sections.append(_section("recall", recall))
-    else:
-        found = chain.model_rows
-        write_artifact(found, rows_path)
-    results_path = write_artifact(
-        retrieval.model_results(triggers, found, chain.items), f"{folder}/model_results", "split"
-    )
-    results = chain.spark.read.parquet(results_path)
-    counters = retrieval.retrieval_counters(chain.owners, triggers, found)
+    written = {
+        "model_rows": write_artifact(chain.model_rows, f"{folder}/model_rows", "split"),
+        "model_results": write_artifact(chain.model, f"{folder}/model_results", "split"),
+    }
+    counters = retrieval.retrieval_counters(chain.owners, triggers, chain.model_rows)
     sections.append(_section("triggers", counters, ["split"]))
-    sections.append(_section("model_mrr", rankings.list_mrr(results, "positives"), ["split"]))
-    manifest = write_manifest(stack_metrics(*sections), f"{folder}/retrieval_manifest")
-    return {"model_rows": rows_path, "model_results": results_path, "retrieval_manifest": manifest}
+    sections.append(_section("model_mrr", rankings.list_mrr(chain.model, "positives"), ["split"]))
+    written["retrieval_manifest"] = write_manifest(stack_metrics(*sections), f"{folder}/retrieval_manifest")
+    return written
 
 
 REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {

@@ -92,6 +92,20 @@ def _(c: Run) -> DataFrame:
     return _edge_vectors(c).select("split", "item_a", "item_b", score.alias("score"))
 
 
+@query(
+    "h7_linear_top_k",
+    """select 'all' as split, exec_code, item_id, round(score + 0.25, 6) as score, cast(rank as int) as rank from
+       (select *, row_number() over (partition by exec_code order by score desc, item_id) as rank from
+        (select a.item_id as exec_code, b.item_id, round(list_sum(list_transform(range(64),
+                lambda i: a.vector[i + 1] * b.vector[i + 1] / (i + 1))), 9) as score
+         from g_vectors a join g_vectors b on a.category = b.category and a.item_id <> b.item_id)) where rank <= 12""",
+)
+def _(c: Run) -> DataFrame:
+    triggers, pool = _all_items(c)
+    weights = [1.0 / (i + 1) for i in range(c.settings.vector_dim)]
+    return retrieval.linear_top_k(triggers, pool, c.vectors, c.settings.top_k, weights, bias=0.25)
+
+
 @query("h8_fit_pair_classifier")
 def _(c: Run) -> DataFrame:
     examples = retrieval.pair_features(c.pairs, c.features)

@@ -35,13 +35,19 @@ def resolve_account(
     )
 
 
+def of_databases(rows: DataFrame, databases: DataFrame | None) -> DataFrame:
+    """Rows whose db_name occurs in `databases`; all rows when that is None."""
+    if databases is None:
+        return rows
+    return rows.join(databases.select("db_name").distinct(), "db_name", "left_semi")
+
+
 def active_master_items(catalog: DataFrame, databases: DataFrame | None = None) -> DataFrame:
     """Active, in-stream master items; `databases` (db_name) restricts the account databases."""
     rows = catalog.where(
         F.col("is_active") & F.col("is_in_stream") & (F.col("parent_id") == MASTER_PARENT_ID)
     )
-    if databases is not None:
-        rows = rows.join(databases.select("db_name").distinct(), "db_name", "left_semi")
+    rows = of_databases(rows, databases)
     return rows.select(F.expr("try_cast(item_id as bigint)").alias("item_id"), "name", "image_url")
 
 
@@ -51,9 +57,7 @@ def current_vectors(vectors: DataFrame, model_id: str, databases: DataFrame | No
     `max_by` keeps one running row per item on the map side, so an item with very many versions never
     becomes one big group. Equal dates fall back to the vector itself, which makes the pick repeatable.
     """
-    rows = vectors.where(F.col("model_id") == model_id)
-    if databases is not None:
-        rows = rows.join(databases.select("db_name").distinct(), "db_name", "left_semi")
+    rows = of_databases(vectors.where(F.col("model_id") == model_id), databases)
     version = F.struct("updated_at", "vector", "category")
     return (
         rows.groupBy(F.expr("try_cast(item_id as bigint)").alias("item_id"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessiongraph.operators import quality
 from sessiongraph.plans import jobs
+from sessiongraph.plans.chain import Chain
 from sessiongraph.plans.registry import run_of
 from sessiongraph.sources import entities, tables
 
@@ -37,8 +39,17 @@ def test_all_jobs(spark, tmp_path):
 
 @pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test data")
 def test_approximate_job(spark, tmp_path):
-    paths = jobs.retrieve(run_of(spark, SF_DIR), str(tmp_path), approximate=True, min_recall=0.9)
-    assert spark.read.parquet(paths["model_results"]).count() > 0
+    exact = run_of(spark, SF_DIR)
+    chosen = replace(
+        exact.settings, approximate=True, min_recall=0.9, min_pool_for_lists=5, ranking_splits=("val",)
+    )
+    run = Chain(exact.inputs, chosen)
+    paths = jobs.retrieve(run, str(tmp_path))
+    manifest = spark.read.json(paths["retrieval_manifest"])
+    assert rows(manifest.where("metric = 'mean_recall'"), "value")[0][0] >= 0.9
+    assert rows(spark.read.parquet(paths["model_results"]).select("split").distinct()) == [("val",)]
+    with pytest.raises(ValueError, match="approximate"):
+        replace(exact.settings, min_recall=0.5)
 
 
 def test_empty_model_rows_stay_readable(spark, tmp_path):
