@@ -48,6 +48,10 @@ VIEWS: dict[str, str] = {
                case when s_suppkey % 3 = 0 then 'other' else 'main' end as namespace from supplier""",
     "g_publishers": """
         select concat('p', s_suppkey) as id, s_suppkey as insights_id from supplier where s_suppkey % 4 <> 1""",
+    "g_resolved": """
+        select a.short_name, a.public_id as account_id, a.db_name, p.id as publisher_id
+        from g_accounts a join g_insights i on i.public_id = a.public_id and i.namespace = 'main'
+        join g_publishers p on p.insights_id = i.id""",
     "g_gaps": """
         select *, date_diff('microsecond',
                             lag(emitted) over (partition by user_id order by emitted, item_id),

@@ -224,8 +224,10 @@ def _(c: Run) -> DataFrame:
 
 
 def _hits_sql(k: int) -> str:
-    return f"""(select round(avg((score > (select min(score) from
-                (select score from g_neg order by score desc limit {k})))::int), 6) from g_pos) as hits_{k}"""
+    """With fewer than k negatives every positive counts as a hit."""
+    return f"""case when (select count(*) from g_neg) < {k} then 1.0::double else
+               (select round(avg((score > (select min(score) from
+                (select score from g_neg order by score desc limit {k})))::int), 6) from g_pos) end as hits_{k}"""
 
 
 @query("j1_hits_at_k", f"select {_hits_sql(1)}, {_hits_sql(10)}, {_hits_sql(10000)}")

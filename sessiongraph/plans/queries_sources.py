@@ -190,9 +190,7 @@ def _(c: Run) -> DataFrame:
 
 @query(
     "c1_resolve_account",
-    """select a.short_name, a.public_id as account_id, a.db_name, p.id as publisher_id
-       from g_accounts a join g_insights i on i.public_id = a.public_id and i.namespace = 'main'
-       join g_publishers p on p.insights_id = i.id""",
+    "select short_name, account_id, db_name, publisher_id from g_resolved",
 )
 def _(c: Run) -> DataFrame:
     return c.accounts
@@ -216,7 +214,7 @@ def _(c: Run) -> DataFrame:
 @query(
     "c2_active_master_items",
     """select item_id, name, image_url from g_catalog where is_active and is_in_stream and parent_id = -1
-       and db_name in (select db_name from g_accounts)""",
+       and db_name in (select db_name from g_resolved)""",
 )
 def _(c: Run) -> DataFrame:
     return entities.active_master_items(c.catalog, c.accounts)
@@ -251,11 +249,9 @@ def _(c: Run) -> DataFrame:
 @query(
     "c5_match_logs_of_accounts",
     """select execution_id, log_instant, account_id, item_id, user_id, emitted, count(*) as copies
-       from g_pairs_ts where account_id in
-         (select i.public_id from g_insights i join g_publishers p on p.insights_id = i.id
-          where i.namespace = 'main')
+       from g_pairs_ts where account_id in (select account_id from g_resolved)
        and execution_id in (select execution_id from g_logs where publisher_id in
-         (select p.id from g_insights i join g_publishers p on p.insights_id = i.id where i.namespace = 'main'))
+                            (select publisher_id from g_resolved))
        and log_instant >= timestamp '2024-01-03' and log_instant < timestamp '2024-01-28'
        and emitted >= timestamp '2024-01-03' and emitted < timestamp '2024-01-28' group by all""",
 )
