@@ -23,6 +23,7 @@ cloudpickle.register_pickle_by_value(blocks)
 
 # Fixed values of the approximate search.
 MIN_POINTS_PER_LIST = 39
+TRAINING_POINTS_PER_LIST = 256
 MIN_POOL_FOR_LISTS = 2048
 DEFAULT_PROBES = 8
 MODEL_PRODUCTS = "array<struct<item_id:bigint,score:double,rank:int>>"
@@ -207,28 +208,38 @@ def list_count_column(size: Column) -> Column:
 def train_lists(pool: DataFrame, iterations: int = 10, seed: int = 42) -> DataFrame:
     """(category, item_id, vector): the list centers of every category, `item_id` being the list id.
 
-    Spherical k-means of all categories at once. Start centers are the items with the smallest hash; a
-    hash threshold cuts each category to about twice its list count before they are ranked. An
-    iteration assigns items with the block search and averages them with a map-side combining
-    aggregate; the small center table is materialized after each one.
+    Spherical k-means of all categories at once, on a hash sample of about 256 items per list (pools of
+    up to that size are taken whole); only the centers depend on it, every item is assigned to a list
+    later. Start centers are the first items in hash order among about twice as many drawn
+    by hash, so no category is ranked as a whole. An iteration assigns items with the block search
+    and averages them with a map-side combining aggregate; the small center table is stored after each.
     """
-    sizes = pool.groupBy("category").agg(F.count("*").alias("size")).withColumn(
-        "lists", list_count_column(F.col("size"))
+    sizes = materialize(
+        pool.groupBy("category")
+        .agg(F.count("*").alias("size"))
+        .withColumn("lists", list_count_column(F.col("size"))),
+        "pool_sizes",
     )
     scale = 1 << 40
-    drawn = F.pmod(F.xxhash64("item_id", F.lit(seed)), F.lit(scale))
-    quota = (F.col("lists") * 2 + 8) / F.col("size") * F.lit(scale)
-    by_hash = Window.partitionBy("category").orderBy("draw", "item_id")
+
+    def drawn(salt: int, per_list: int, extra: int = 0) -> Column:
+        """Whether the item's seeded hash falls into the share of its category that is wanted."""
+        wanted = (F.col("lists") * per_list + extra) / F.col("size") * F.lit(scale)
+        return F.pmod(F.xxhash64("item_id", F.lit(salt)), F.lit(scale)) <= wanted
+
+    sized = pool.join(sizes, "category")
+    training = materialize(
+        sized.where(drawn(seed + 1, TRAINING_POINTS_PER_LIST)).select(*pool.columns), "training_items"
+    )
+    by_hash = Window.partitionBy("category").orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id")
     centers = materialize(
-        pool.join(sizes, "category")
-        .withColumn("draw", drawn)
-        .where(F.col("draw") <= quota)
+        sized.where(drawn(seed, 2, 8))
         .withColumn("place", F.row_number().over(by_hash))
         .where(F.col("place") <= F.col("lists"))
         .select("category", (F.col("place") - 1).cast("long").alias("item_id"), "vector")
     )
     for _ in range(iterations):
-        members = assign_lists(pool, centers)
+        members = assign_lists(training, centers)
         means = members.groupBy("category", "list_id").agg(
             Summarizer.mean(array_to_vector("vector")).alias("mean")
         )
