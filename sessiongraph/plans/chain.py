@@ -86,6 +86,15 @@ class Chain:
         self.settings = settings
         self.spark = inputs.view_events.sparkSession
 
+    def stage_all(self) -> dict[str, DataFrame]:
+        """Build and store every table of the run; returns them by name."""
+        names = [
+            "session_views", "edges", "node_index", "matched", "triggers", "codes", "labels", "negatives",
+            "pairs", "owners", "prod", "vectors", "features", "graph_triggers", "pool", "model_rows", "model",
+            "metrics", "metadata",
+        ]
+        return {name: getattr(self, name) for name in names}
+
     @cached_property
     def logs(self) -> DataFrame:
         return self.inputs.logs
