@@ -15,8 +15,8 @@ def spark(tmp_path_factory):
 
     session = build_session(
         "tests",
-        "local[4]",
-        spark__sql__shuffle__partitions="8",
+        "local[8]",
+        spark__sql__shuffle__partitions="3",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__driver__memory="4g",
         spark__ui__enabled="false",
