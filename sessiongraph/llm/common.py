@@ -111,7 +111,7 @@ def text_pass(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            for part in parts(batch):
                 columns = function(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[name], type=arrow.field(name).type) for name in names], schema=arrow
@@ -126,9 +126,9 @@ def _arrow_schema(schema) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _parts(batch: pa.RecordBatch, limit: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: int = 1, limit: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `limit` text bytes each."""
-    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy())
+    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy())
     start = 0
     while start < batch.num_rows:
         before = sizes[start - 1] if start else 0

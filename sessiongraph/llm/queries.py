@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessiongraph.llm import decontamination, near_duplicates, sentence_pieces, sharding
+from sessiongraph.llm import decontamination, html_text, language_id, near_duplicates, sentence_pieces, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,14 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query("op1_language_id")
+def identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language_id.train(documents.where(~language_id.held_out()))
+    found = language_id.identify(documents, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rate")
+
+
 @query("op3_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
@@ -46,6 +54,11 @@ def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+@query("op6_html_extraction")
+def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op8_sentence_pieces")
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model())
