@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessiongraph.llm import decontamination, html_text, language_id, near_duplicates, sentence_pieces, sharding
+from sessiongraph.llm import (
+    decontamination,
+    exact_search,
+    html_text,
+    language_id,
+    licenses,
+    near_duplicates,
+    sentence_pieces,
+    sharding,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +23,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 SHARDS = 16
+VECTOR = "embedding"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -44,6 +54,11 @@ def identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rate")
 
 
+@query("op2_license_scan")
+def scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op3_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
@@ -64,6 +79,12 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
+@query("op9_exact_top_k")
+def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_search.top_k(vectors.where("vec_id % 50 = 0"), vectors, 5, "vec_id", VECTOR)
+
+
 @query("op10_benchmark_decontamination")
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
