@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sessiongraph.llm import (
+    context_mixing,
     decontamination,
     exact_search,
     html_text,
@@ -69,6 +70,16 @@ def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+@query("op5_lm_scoring")
+def score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = context_mixing.held_out()
+    model, tokens = context_mixing.train(documents.where(~held_out))
+    scored = context_mixing.score(documents, model, tokens)
+    first = ["doc_id", held_out.alias("held_out")]
+    return scored.select(*first, *[c for c in scored.columns if c != "doc_id"])
+
+
 @query("op6_html_extraction")
 def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
