@@ -14,6 +14,7 @@ from sessiongraph.llm import (
     language_id,
     licenses,
     near_duplicates,
+    secrets,
     sentence_pieces,
     sharding,
 )
@@ -61,7 +62,7 @@ def scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op3_ngram_jaccard_join")
-def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def join_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -85,6 +86,14 @@ def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+@query("op7_secret_scan")
+def scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = secrets.find_candidates(documents, path_column="source")
+    forest = secrets.train(secrets.label_by_rules(found))
+    return secrets.scan(documents, forest, path_column="source")
+
+
 @query("op8_sentence_pieces")
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model())
