@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessiongraph.llm.common import mix, parts, separator_table, word_spans
+from sessiongraph.llm.common import SLICE_BYTES, mix, parts, separator_table, word_spans
 from sessiongraph.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,13 +34,13 @@ APM_BUCKETS = 33
 APM_SHARE = 0.5
 LEARNING_RATE = 0.2
 LONGEST_STEP = 0.02
-FLUSHED_SLOTS = 6_000_000
+FLUSHED_SLOTS = 2_000_000
 # The most frequent tokens, by arithmetic at most this many: their counts travel to the tasks, and only they
 # teach the predictor of whole prefixes. Counts of all others are joined.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 PREVIOUS = 4_096
 BATCH_TOKENS = 2_000
-CACHED_TOKENS = 800_000
+CACHED_TOKENS = 250_000
 COUNTED_TOKENS = 300_000
 END, TERMINATOR = 0x0A, 0x20
 TOKEN, FIRST = 0, 1
@@ -255,7 +255,7 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.clear()
 
     for batch in batches:
-        for part in parts(batch, column=0):
+        for part in parts(batch, column=0, limit=SLICE_BYTES):
             texts, groups = part.column(0).to_pylist(), part.column(1).to_numpy()
             for group in np.unique(groups).tolist():
                 words, sizes, previous, first = part_arrays([texts[i] for i in np.flatnonzero(groups == group)])
@@ -304,22 +304,25 @@ def counter(code: tuple[np.ndarray, np.ndarray], long_from: int):
     """Adds all decisions of a task to a counter table; gives its blocks that are not empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(2 << SLOT_BITS, dtype=np.float32)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        table = np.zeros((2, 1 << SLOT_BITS), dtype=np.float32)
+        held: tuple[list, list] = ([], [])
 
         def flush() -> None:
-            if held:
-                slots = np.concatenate([s for s, _ in held])
-                weights = np.concatenate([w for _, w in held])
-                table.__iadd__(np.bincount(slots, weights, len(table)).astype(np.float32))
-                held.clear()
+            for value in (0, 1):
+                if held[value]:
+                    slots = np.concatenate([s for s, _ in held[value]])
+                    weights = np.concatenate([w for _, w in held[value]])
+                    table[value] += np.bincount(slots, weights, len(table[value]))
+                    held[value].clear()
 
         for batch in batches:
             for events, weight in _event_batches(batch, long_from):
                 for alive, slots, bit in bits(events, code):
-                    places = slots + (bit << SLOT_BITS)
-                    held.append((places.ravel(), np.tile(weight[alive], PREDICTORS)))
-                if sum(len(s) for s, _ in held) > FLUSHED_SLOTS:
+                    for value in (0, 1):
+                        hit = np.flatnonzero(bit == value)
+                        pair = slots[:, hit].ravel().astype(np.int32), np.tile(weight[alive[hit]], PREDICTORS)
+                        held[value].append(pair)
+                if sum(len(s) for s, _ in held[0]) > FLUSHED_SLOTS:
                     flush()
         flush()
         cells = table.reshape(2, -1, BLOCK_SLOTS)
@@ -449,9 +452,10 @@ class TokenCosts:
         self.order = Order({token: i for i, token in enumerate(model.frequent)})
         self.base_of = np.array([self.base(n) for n in model.frequent.values()] + [np.nan])
         total = model.group_counts.sum(axis=1, keepdims=True)
-        grouped = np.log10((model.group_counts + 0.1) / (total + 0.1 * len(self.order) + 1))
-        used = (model.group_texts > 0)[:, None]
-        self.group_of = np.where(used, np.hstack([grouped, np.zeros((GROUPS, 1))]), 0).astype(np.float32)
+        self.group_of = np.zeros((GROUPS, len(self.order) + 1), dtype=np.float32)
+        for g in np.flatnonzero(model.group_texts).tolist():
+            share = (model.group_counts[g] + np.float32(0.1)) / (total[g] + 0.1 * len(self.order) + 1)
+            self.group_of[g, :-1] = np.log10(share)
         texts = max(model.group_texts.sum(), 1)
         with np.errstate(divide="ignore"):
             self.prior = np.log10(model.group_texts / texts)
@@ -476,12 +480,16 @@ class TokenCosts:
         return math.log10((count + 1) / (self.model.train_tokens + self.model.distinct + 1))
 
     def load(self, group: int, words: list[bytes]) -> None:
+        """Make sure that all `words` have a place. Frequent tokens stay when the others make room."""
         held = self.words[group]
         missing = list(set(words).difference(held))
-        if sum(map(len, self.words)) + len(missing) > CACHED_TOKENS:
-            self.words = [{} for _ in range(GROUPS)]
-            self.values = [np.empty(0) for _ in range(GROUPS)]
-            held, missing = self.words[group], list(set(words))
+        if sum(map(len, self.words)) + len(missing) > len(self.order) + CACHED_TOKENS:
+            for g, (old, values) in enumerate(zip(self.words, self.values, strict=True)):
+                kept = [w for w in old if w in self.order]
+                self.values[g] = values[[old[w] for w in kept]] if kept else np.empty(0)
+                self.words[g] = {w: i for i, w in enumerate(kept)}
+            held = self.words[group]
+            missing = list(set(words).difference(held))
         added = np.zeros(len(missing))
         for start in range(0, len(missing), BATCH_TOKENS):
             chosen = missing[start : start + BATCH_TOKENS]
@@ -505,7 +513,7 @@ def scorer(shared, key: str):
             _costs[key] = TokenCosts(shared.value)
         costs = _costs[key]
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, limit=SLICE_BYTES):
                 yield score_part(part, costs)
 
     return run
