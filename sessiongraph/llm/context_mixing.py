@@ -547,7 +547,7 @@ def score_part(part: pa.RecordBatch, costs: TokenCosts) -> pa.RecordBatch:
         score += np.bincount(token_owner[mine], costs.first(g, cells[mine]), n)
     base = costs.base_of[place]
     listed = np.isnan(base)
-    base_score = np.bincount(owner, np.where(listed, 0, base), n)
+    base_score = np.bincount(owner, np.where(listed, 0, base), n).astype(np.float64)
     known = np.bincount(owner, ~listed, n).astype(np.int64)
     rare: list[Counter] = [Counter() for _ in texts]
     for i in np.flatnonzero(listed).tolist():

@@ -60,11 +60,12 @@ class SuffixAutomaton:
                         state = link[state]
                     link[target] = link[current] = clone
             last = current
-        table = np.full((len(following), symbols), -1, dtype=np.int64)
+        # The last state is that of no match: a new phrase starts after it, and at the start of a text.
+        table = np.full((len(following) + 1, symbols), -1, dtype=np.int64)
         for state, edges in enumerate(following):
             for symbol, target in edges.items():
                 table[state, symbol] = target
-        restart = np.where(table[0] >= 0, table[0], 0)
+        restart = np.where(table[0] >= 0, table[0], len(following))
         self.step = np.where(table >= 0, table * 2, restart * 2 + 1).astype(np.int32).ravel()
 
 
@@ -135,10 +136,8 @@ class Parser:
             grid[: len(lanes[k]), column] = lanes[k]
         active = len(order) - np.searchsorted(lengths[::-1], np.arange(1, len(grid) + 1))
         for language, step in enumerate(self.automata):
-            state = np.zeros(len(order), dtype=np.int32)
-            # The first symbol of a lane opens its first phrase.
-            count = np.ones(len(order), dtype=np.int32)
-            count[step[grid[0]] & 1 == 1] = 0
+            state = np.full(len(order), len(step) // self.symbols - 1, dtype=np.int32)
+            count = np.zeros(len(order), dtype=np.int32)
             for symbols, n in zip(grid, active.tolist(), strict=True):
                 value = step[state[:n] * np.int32(self.symbols) + symbols[:n]]
                 count[:n] += value & 1

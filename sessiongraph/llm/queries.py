@@ -48,6 +48,82 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+SHARD_SQL = f"""
+with keyed as (
+    select doc_id, text, coalesce(cast(doc_id as varchar), 'null') as k from documents
+), scored as (
+    select doc_id, text, k, s,
+        -1.0 / ln((cast(('0x' || substr(md5(k || ':' || s), 1, 12)) as bigint) + 0.5) / 281474976710656.0) as w
+    from keyed, range({SHARDS + 1}) r(s)
+), placed as (
+    select doc_id, text, k, arg_max(s, w) filter (s < {SHARDS}) as shard, arg_max(s, w) as grown_shard
+    from scored group by all
+), numbered as (
+    select *, greatest(1, (select ceil(count(*) / {sharding.ROWS_PER_BUCKET}.0) from documents)) as n_buckets,
+        (cast(('0x' || substr(md5(k), 1, 12)) as bigint) + 0.5) / 281474976710656.0 as u
+    from placed
+), checksums as (
+    select text as t, list_reduce(
+        list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(hex(encode(text)), '..'),
+            lambda h: ('0x' || h)::ubigint)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::ubigint[]),
+            lambda x, i: xor(x >> 1, 3988292384::ubigint * (x & 1)))) as crc
+    from (select distinct text from documents where text <> '')
+)
+select doc_id, coalesce(octet_length(encode(text)), 0) + 1 as size,
+    coalesce(xor(crc, 4294967295::ubigint), 0)::bigint as text_crc32, 'key' as law, shard::int as shard,
+    row_number() over (partition by shard order by floor(u * n_buckets), doc_id) - 1 as slot,
+    grown_shard::int as grown_shard
+from numbered left join checksums on t = text
+"""
+
+TOP_K_SQL = f"""
+with v as (
+    select vec_id, list_transform({VECTOR}, lambda x: floor(256 * x::double)::bigint) as e from embeddings
+    where {VECTOR} is not null and len(list_filter({VECTOR}, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
+    from v q, v c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from scored qualify rank <= 5
+"""
+
+_WORDS = "regexp_split_to_array(lower({0}), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
+_RUNS = "list_distinct(list_transform(range(1, len({0}) - 1), lambda i: {0}[i] || ' ' || {0}[i + 1] || ' ' || {0}[i + 2]))"
+LICENSE_SQL = f"""
+with notices(notice, license, t) as (values {", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(licenses.NOTICES))}),
+nw as (select notice, license, {_WORDS.format("t")} as w from notices),
+ns as (select notice, license, unnest({_RUNS.format("w")}) as s, len({_RUNS.format("w")}) as n_shingles from nw),
+dw as (select doc_id, {_WORDS.format("text")} as w from documents where text <> ''),
+ds as (select doc_id, unnest({_RUNS.format("w")}) as s from dw where len(w) >= 3)
+select doc_id, license, notice::int as notice, count(*)::int as matched, n_shingles::int as n_shingles
+from ds join ns using (s) group by doc_id, license, notice, n_shingles
+having count(*) >= n_shingles * {licenses.CONTAINMENT} - 1e-9
+"""
+
+JACCARD_SQL = """
+with recursive w as (
+    select doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '') as words
+    from documents where text is not null
+), s as (
+    select distinct doc_id, unnest(case when len(words) = 0 then []
+        when len(words) < 5 then [array_to_string(words, ' ')]
+        else list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' ')) end) as g from w
+), n as (select doc_id, count(*) as n from s group by 1),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+links as (
+    select a, b, k = x.n and k = y.n as same from common join n x on x.doc_id = a join n y on y.doc_id = b
+    where k >= 0.8 * (x.n + y.n - k) - 1e-9
+), reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on l.a = r.b)
+select d.doc_id, coalesce(n.n, 0)::int as n_shingles, (select min(b) from reach r where r.a = d.doc_id) as class_id,
+    least(d.doc_id, coalesce((select min(b) from links l where l.a = d.doc_id and same), d.doc_id)) as rep_id,
+    1 + (select count(*) from links l where l.a = d.doc_id and same) as copies,
+    (select count(*) from links l where l.a = d.doc_id) as n_links
+from documents d left join n on n.doc_id = d.doc_id
+"""
+
+
 @query("op1_language_id")
 def identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
@@ -56,17 +132,17 @@ def identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rate")
 
 
-@query("op2_license_scan")
+@query("op2_license_scan", LICENSE_SQL)
 def scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-@query("op3_ngram_jaccard_join")
+@query("op3_ngram_jaccard_join", JACCARD_SQL)
 def join_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op4_sharding")
+@query("op4_sharding", SHARD_SQL)
 def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
@@ -99,7 +175,7 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
-@query("op9_exact_top_k")
+@query("op9_exact_top_k", TOP_K_SQL)
 def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return exact_search.top_k(vectors.where("vec_id % 50 = 0"), vectors, 5, "vec_id", VECTOR)

@@ -1,0 +1,441 @@
+"""The text operators against brute force, and on awkward input: nulls, empty and long texts, ties, repeats, clashes."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import pytest
+from compare import connect, difference
+
+from sessiongraph.llm import (
+    context_mixing,
+    decontamination,
+    exact_search,
+    html_text,
+    language_id,
+    licenses,
+    near_duplicates,
+    queries,
+    secrets,
+    sentence_pieces,
+    sharding,
+)
+
+SF_DIR = "/root/testdata/sf0.001"
+DOCUMENTS = "doc_id long, text string, lang string, source string, _text string, cluster int"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+
+
+def prose(seed: int, n: int) -> str:
+    draw = random.Random(seed)
+    return " ".join(draw.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    """Rows with nulls, empty and long texts, repeats, and columns named like the operators' own."""
+    long = prose(1, 8_000)
+    texts = [None, "", "  \n", "one", long, long, "wörter über " * 20, "Ünï 😀 \x00 ▁ x", prose(2, 60), prose(2, 60)]
+    rows = [(i, t, None if i == 3 else "en" if i % 2 else "de", "a/b.yml", "x", 1) for i, t in enumerate(texts)]
+    rows += [(8, prose(2, 60), "en", None, None, None), (None, prose(3, 30), "en", "s", "y", 2)]
+    return spark.createDataFrame(rows, DOCUMENTS)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCUMENTS)
+
+
+# 1: language identification
+
+
+def phrases(text: str, sample: str) -> int:
+    """Greedy longest matches, by substring search."""
+    count = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        count, at = count + 1, at + size
+    return count
+
+
+def test_automaton_counts_phrases():
+    draw = random.Random(4)
+    sample = "".join(draw.choice("abc ") for _ in range(300))
+    parser = language_id.Parser({"x": sample, "y": "zzz"})
+    normal = "".join(chr(p) if p else " " for p in parser.letters(sample))
+    for _ in range(60):
+        text = "".join(draw.choice("abcd") for _ in range(draw.randint(1, 40)))
+        _, rates = parser.rates([text])
+        assert round(rates[0, 0] * len(text)) == phrases(text, normal) - 1
+
+
+def test_language_on_odd_rows(spark, documents):
+    model = language_id.train(documents.where("text is not null"))
+    found = language_id.identify(documents, model).collect()
+    assert len(found) == documents.count()
+    for row in found:
+        assert 0 <= row["score"] <= 1
+        assert (row["lang_pred"] == "und") == (row["rate"] is None)
+    assert {r["lang_pred"] for r in found if r["doc_id"] in (0, 1, 2)} == {"und"}
+    assert language_id.identify(empty(spark), language_id.train(empty(spark))).count() == 0
+    kept = {r["doc_id"] for r in language_id.reject(documents, model).collect()}
+    assert not kept & {0, 1, 2} and {4, 8, None} <= kept
+
+
+@pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test data")
+def test_language_held_out_accuracy(spark):
+    found = queries.QUERIES["op1_language_id"](spark, SF_DIR)
+    truth = queries.table(spark, SF_DIR, "documents").select("doc_id", "lang")
+    rows = found.join(truth, "doc_id").where("held_out").collect()
+    assert rows and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+
+
+# 2: license scan
+
+
+def test_license_scan(spark):
+    notice = licenses.NOTICES[2][1]
+    rows = [
+        (1, f"{prose(5, 50)}\n{notice}\n{prose(6, 50)}"),
+        (2, notice.upper().replace(" ", " ** ")),
+        (3, prose(7, 300)),
+        (4, None),
+        (5, ""),
+        (6, "the GNU"),
+        (1, notice),
+    ]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r["doc_id"], r["license"]) for r in found.collect())
+    assert got == [(1, "GPL-3.0"), (1, "GPL-3.0"), (2, "GPL-3.0")]
+    assert licenses.scan(empty(spark)).count() == 0
+    assert licenses.scan(empty(spark), licenses.notice_table(spark, [("x", "a b")])).count() == 0
+
+
+def test_band_count_meets_its_bound():
+    bands = licenses.band_count(3, 6, 1e-5)
+    assert (1 - 3 / 6) ** bands <= 1e-5 < (1 - 3 / 6) ** (bands - 1)
+
+
+# 3: n-gram join
+
+
+def brute_links(texts: dict[int, str | None], width: int = 5, similarity: float = 0.8):
+    sets = {}
+    for i, text in texts.items():
+        words = (text or "").lower().split()
+        sets[i] = {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+    links = {i: set() for i in sets}
+    for a in sets:
+        for b in sets:
+            if a != b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                links[a].add(b)
+    classes = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a, others in links.items():
+            least = min([classes[a], *(classes[b] for b in others)])
+            for b in [a, *others]:
+                if classes[b] != least:
+                    classes[b], changed = least, True
+    return links, classes
+
+
+def near_copies() -> dict[int, str | None]:
+    draw = random.Random(9)
+    texts: dict[int, str | None] = {0: None, 1: "", 2: "one two", 3: "one  TWO", 4: "other"}
+    for group in range(6):
+        base = prose(100 + group, 120).split()
+        for _ in range(9):
+            words = list(base)
+            for _ in range(draw.randint(0, 3)):
+                words[draw.randrange(len(words))] = f"w{draw.randrange(99)}"
+            texts[len(texts)] = " ".join(words)
+    return texts
+
+
+@pytest.mark.parametrize("block", [near_duplicates.BLOCK_SHINGLES, 300])
+def test_near_duplicates_match_brute_force(spark, block):
+    texts = near_copies()
+    df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, cluster int")
+    found = {r["doc_id"]: r for r in near_duplicates.near_duplicates(df, block_shingles=block).collect()}
+    links, classes = brute_links(texts)
+    assert {i: r["n_links"] for i, r in found.items()} == {i: len(o) for i, o in links.items()}
+    assert {i: r["class_id"] for i, r in found.items()} == classes
+
+
+def test_near_duplicates_on_odd_rows(spark, documents):
+    found = near_duplicates.near_duplicates(documents)
+    assert found.count() == documents.count()
+    by_id = {r["doc_id"]: r["class_id"] for r in found.collect()}
+    assert by_id[5] == 4 and by_id[9] == 8 and by_id[None] is None and by_id[1] == 1
+    assert near_duplicates.near_duplicates(empty(spark)).count() == 0
+    assert {r["doc_id"] for r in near_duplicates.keep_one(documents).collect()} == {0, 1, 2, 3, 4, 6, 7, 8, None}
+
+
+def test_forest_connects_what_links_connect():
+    linked = np.random.default_rng(3).random((40, 30)) < 0.05
+    found = np.zeros_like(linked)
+    for a, b in near_duplicates.forest(linked):
+        assert linked[a, b]
+        found[a, b] = True
+
+    def reach(matrix):
+        square = np.eye(70, dtype=int)
+        square[:40, 40:] = matrix
+        square[40:, :40] = matrix.T
+        return np.linalg.matrix_power(np.minimum(square, 1).astype(float), 70) > 0
+
+    assert (reach(found) == reach(linked)).all()
+
+
+# 4: sharding
+
+
+def test_sharding(spark, documents):
+    rows = sharding.shard_rows(documents, [1.0] * 4, rows_per_bucket=3).collect()
+    assert len(rows) == documents.count()
+    for shard in range(4):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    texts = {r["doc_id"]: r["text"] for r in documents.collect() if r["doc_id"] is not None}
+    for r in rows:
+        if r["doc_id"] is not None:
+            raw = (texts[r["doc_id"]] or "").encode()
+            assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw)
+        assert r["grown_shard"] in (r["shard"], 4)
+    assert sharding.shard_rows(empty(spark), [1.0, 2.0]).count() == 0
+
+
+def test_shares_follow_weights(spark):
+    df = spark.range(8_000).selectExpr("id doc_id", "'' text")
+    counts = Counter(r["shard"] for r in sharding.shard_rows(df, [1.0, 2.0, 0.0, 1.0]).collect())
+    assert 2 not in counts and abs(counts[1] / 8_000 - 0.5) < 0.03
+
+
+# 5: language model
+
+
+def test_base_scores(spark, documents):
+    held_out = context_mixing.held_out()
+    model, tokens = context_mixing.train(documents.where(~held_out))
+    rows = context_mixing.score(documents, model, tokens).collect()
+    assert len(rows) == documents.count()
+
+    def words(text):
+        return [w for w in (text or "").encode().lower().split()] + [b"\n"]
+
+    source = documents.collect()
+    counts = Counter(
+        w
+        for r in source
+        if r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2
+        for w in words(r["text"])
+    )
+    size = sum(counts.values()) + len(counts) + 1
+    wanted = sorted(
+        (len(words(r["text"])), round(sum(math.log10((counts[w] + 1) / size) for w in words(r["text"])), 6)) for r in source
+    )
+    assert sorted((r["n_tokens"], round(r["base_score"], 6)) for r in rows) == wanted
+    assert all(r["score"] < 0 and r["train_tokens"] == sum(counts.values()) for r in rows)
+
+
+def test_chances_sum_to_one():
+    """All bytes after a context: their chances add up to one, whatever the counters hold."""
+    draw = np.random.default_rng(5)
+    table = draw.integers(0, 9, (2, 1 << context_mixing.SLOT_BITS)).astype(np.uint16)
+    code = context_mixing.byte_code(np.arange(256) ** 2)
+    symbols = np.arange(256)
+    events = context_mixing.first_events(np.zeros(256, dtype=int), np.full(256, 77), symbols)
+    costs = context_mixing.event_costs(events, code, table, context_mixing.Mixer())
+    assert abs((10**costs).sum() - 1) < 1e-4
+
+
+# 6: page text
+
+
+def test_page_text(spark):
+    def page(main: str, cls: str = "post-1") -> str:
+        return (
+            "<html><head><title>t</title><style>p{}</style></head><body><nav><a href=x>menu</a></nav>"
+            f"<div class='wrap {cls}'>{main}</div><aside>side</aside><div class='ad'>buy</div>"
+            "<form>f</form><div id=comments><p>reader</p></div><script>var a='</p>';</script><footer>foot</footer>"
+        )
+
+    rows = [
+        (1, "http://a.org/1", page("<h1>T &amp; u</h1><p>first  one<p>second<b> bold</b>", "post-1")),
+        (2, "http://www.a.org/2", page("<p>x", "post-22")),
+        (3, "http://a.org/3", None),
+        (4, None, ""),
+        (5, "not a url", "plain <text < 3"),
+        (1, "http://a.org/1", "<p>other layout</p>"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as blocks")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.main_text(df).collect())
+    assert got[0] == (1, "T & u\nfirst one\nsecond bold", 27)
+    assert got[1] == (1, "other layout", 12)
+    assert got[2:5] == [(2, "x", 1), (3, "", 0), (4, "", 0)]
+    assert html_text.main_text(df.limit(0)).count() == 0
+
+
+# 7: secrets
+
+
+def test_secret_scan(spark):
+    draw = random.Random(2)
+    token = lambda: "".join(draw.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'{prose(i, 20)} token = "{token()}" {prose(i, 5)}', "a.py") for i in range(40)]
+    rows += [(100 + i, f"{prose(i, 20)} commit {token()} {4000000000000000 + i} x", "a.py") for i in range(40)]
+    rows += [(200, None, None), (201, "", None), (201, "no", "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "0.5 as chance")
+    found = secrets.find_candidates(df, path_column="source")
+    forest = secrets.train(secrets.label_by_rules(found))
+    got = secrets.scan(df, forest, path_column="source").collect()
+    assert {r["doc_id"] for r in got if r["is_secret"]} == set(range(40))
+    assert len([r for r in got if not r["is_secret"]]) == 80
+    clean = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(df, forest, path_column="source").collect()}
+    assert all(secrets.MASK in clean[i] and clean[100 + i] == rows[40 + i][1] for i in range(40))
+    none = spark.createDataFrame([], df.schema)
+    assert secrets.scan(none, secrets.train(secrets.label_by_rules(secrets.find_candidates(none)))).count() == 0
+
+
+# 8: pieces
+
+
+def test_pieces_match_the_library(spark, documents):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    rows = sentence_pieces.encode_documents(documents, queries.piece_model()).collect()
+    wanted = []
+    for r in documents.collect():
+        ids = library.encode(r["text"] or "")
+        digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        wanted.append((str(r["doc_id"]), len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids))))
+    assert sorted((str(r[0]), *r[1:]) for r in rows) == sorted(wanted)
+    vocabulary = sentence_pieces.Vocabulary(sentence_pieces.read_vocabulary(queries.piece_model()))
+    draw = random.Random(8)
+    for _ in range(400):
+        text = "".join(draw.choice(" \n▁aé😀tthe0 .\x00ein") for _ in range(draw.randint(0, 70)))
+        assert vocabulary.encode(text) == library.encode(text)
+        assert vocabulary.decode(library.encode(text)) == library.decode(library.encode(text))
+    assert sentence_pieces.encode_documents(empty(spark), queries.piece_model()).count() == 0
+
+
+# 9: top-k
+
+
+@pytest.mark.parametrize("part", [exact_search.PART_ROWS, 37])
+def test_top_k_matches_brute_force(spark, part):
+    draw = np.random.default_rng(1)
+    vectors = np.round(draw.normal(size=(200, 6)) * 2) / 2
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    odd = [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [math.nan] * 6), (303, [math.inf] * 6), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").selectExpr("*", "1 as dim", "2 as part")
+    asked = df.where("vec_id % 50 = 0")
+    found = exact_search.top_k(asked, df, 5, "vec_id", "embedding", part_rows=part).collect()
+    whole = np.floor(256 * vectors).astype(int)
+    wanted = []
+    for q in range(0, 200, 50):
+        scores = whole @ whole[q]
+        best = [i for i in np.lexsort((np.arange(200), -scores)) if i != q][:5]
+        wanted += [(q, r + 1, int(i), int(scores[i])) for r, i in enumerate(best)]
+    assert sorted(tuple(r) for r in found) == sorted(wanted)
+    assert exact_search.top_k(asked.limit(0), df.limit(0), 5, "vec_id", "embedding").count() == 0
+
+
+# 10: decontamination
+
+
+def test_tiling_matches_brute_force():
+    draw = random.Random(6)
+    for _ in range(80):
+        document = [draw.choice("abc") for _ in range(40)]
+        item = [draw.choice("abc") for _ in range(15)]
+        runs = []
+        for i in range(40):
+            for j in range(15):
+                if i and j and document[i - 1] == item[j - 1]:
+                    continue
+                size = 0
+                while i + size < 40 and j + size < 15 and document[i + size] == item[j + size]:
+                    size += 1
+                if size >= 3:
+                    runs.append((i, j, size))
+        used_d, used_i, wanted = set(), set(), 0
+        while True:
+            best = (0, 0, 0)
+            for i in range(40):
+                for j in range(15):
+                    size = 0
+                    while (
+                        i + size < 40 and j + size < 15 and document[i + size] == item[j + size]
+                        and i + size not in used_d and j + size not in used_i
+                    ):
+                        size += 1
+                    if (size, -j, -i) > best:
+                        best = (size, -j, -i)
+            if best[0] < 3:
+                break
+            size, j, i = best[0], -best[1], -best[2]
+            used_d |= set(range(i, i + size))
+            used_i |= set(range(j, j + size))
+            wanted += size
+        assert sum(s for _, _, s in decontamination.tiles(runs, 3)) == wanted
+
+
+def test_decontamination(spark):
+    item = prose(50, 40)
+    words = item.split()
+    moved = " ".join(words[20:] + words[:20])
+    rows = [
+        (1, f"{prose(51, 100)} {item.upper().replace(' ', '!! ')} {prose(52, 30)}"),
+        (2, f"{prose(53, 10)}. {moved}"),
+        (3, " ".join(words[:12]) + " " + prose(54, 60)),
+        (4, None),
+        (5, ""),
+        (6, f"Short one. {prose(55, 2_000)}"),
+        (1, item),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as coverage")
+    items = spark.createDataFrame([(7, item), (8, "short one"), (9, ""), (10, None)], "item_id long, text string")
+    found = decontamination.contaminated(df, items)
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(1, 7), (1, 7), (2, 7), (6, 8)]
+    blocks = decontamination.contaminated(df, items, block_bytes=10)
+    assert sorted(tuple(r) for r in blocks.collect()) == sorted(tuple(r) for r in found.collect())
+    assert sorted(r["doc_id"] for r in decontamination.without_contaminated(df, items).collect()) == [3, 4, 5]
+    assert decontamination.contaminated(df, items.limit(0)).count() == 0
+    assert decontamination.contaminated(df.limit(0), items).count() == 0
+
+
+# All queries
+
+
+@pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test data")
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(spark, name):
+    found = queries.QUERIES[name](spark, SF_DIR).toPandas()
+    assert difference(found, connect(SF_DIR).sql(queries.ORACLES[name]).df()) is None
+
+
+@pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test data")
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = queries.table(spark, SF_DIR, "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    _, classes = brute_links(texts)
+    items = [r["text"].lower() for r in queries.table(spark, SF_DIR, "benchmark").collect()]
+    rows = corpus_pipeline.run(spark, SF_DIR).collect()
+    kept = {r["doc_id"] for r in rows}
+    assert kept <= {i for i, c in classes.items() if i == c}
+    assert all(not any(item in texts[i].lower() for item in items) for i in kept)
+    clean = {i for i, c in classes.items() if i == c and not any(item in texts[i].lower() for item in items)}
+    assert len(clean - kept) <= 0.02 * len(clean)
