@@ -7,8 +7,9 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-# Scores are compared and returned at this many decimals, so that equal vectors tie in any block shape.
-SCORE_DECIMALS = 9
+# Scores keep this many bits of their own size, so that equal vectors tie in any block shape and small scores keep
+# their order.
+SCORE_BITS = 40
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -17,6 +18,12 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64, copy=False)
 
 
+def kept_bits(scores: np.ndarray) -> np.ndarray:
+    """Scores rounded to `SCORE_BITS` binary digits, relative to each one's size."""
+    digits, exponent = np.frexp(scores)
+    return np.ldexp(np.rint(np.ldexp(digits, SCORE_BITS)), exponent - SCORE_BITS)
+
+
 def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) positions of the k largest entries per row; equal entries go to the lower column.
 
@@ -45,7 +52,7 @@ def block_scorer(group: str, k: int, exclude_self: bool) -> Callable[[pa.Table,
             pool = pool.sort_by("item_id")
             query_ids = queries["query_id"].to_numpy()
             item_ids = pool["item_id"].to_numpy()
-            scores = np.round(matrix(queries["vector"]) @ matrix(pool["item_vector"]).T, SCORE_DECIMALS)
+            scores = kept_bits(matrix(queries["vector"]) @ matrix(pool["item_vector"]).T)
             if exclude_self:
                 scores[query_ids[:, None] == item_ids[None, :]] = -np.inf
             rows, cols = best_columns(scores, k)

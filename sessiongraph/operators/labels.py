@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,18 +23,20 @@ def distinct_triggers(matched: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def explode_candidates(logs: DataFrame, depth: int = DEFAULT_DEPTH) -> DataFrame:
-    """(execution_id, placement_pos, rank, item_id): the first `depth` candidates of each placement.
+def explode_candidates(
+    logs: DataFrame, depth: int = DEFAULT_DEPTH, keys: Sequence[str] = ("execution_id",)
+) -> DataFrame:
+    """(*keys, placement_pos, rank, item_id): the first `depth` candidates of each placement.
 
     Ranks start at 1. Logs without placements and empty placements give no rows.
     """
-    placements = logs.select("execution_id", F.posexplode("placements").alias("placement_pos", "placement"))
+    placements = logs.select(*keys, F.posexplode("placements").alias("placement_pos", "placement"))
     return placements.select(
-        "execution_id",
+        *keys,
         "placement_pos",
         F.posexplode(F.slice("placement.candidates", 1, depth)).alias("pos", "candidate"),
     ).select(
-        "execution_id",
+        *keys,
         "placement_pos",
         (F.col("pos") + 1).alias("rank"),
         F.expr("try_cast(candidate.item_id as bigint)").alias("item_id"),
@@ -51,9 +55,9 @@ def label_candidates(
     `items` are the distinct session items. The lookup joins on (session, item), so a very long
     session is spread over its items and no session is ever gathered.
     """
-    offered = triggers.join(
-        explode_candidates(logs, depth).drop("placement_pos"), "execution_id"
-    )
+    # Nested logs meet their triggers first, so that logs without a trigger are never exploded.
+    matched = triggers.join(logs.select("execution_id", "placements"), "execution_id")
+    offered = explode_candidates(matched, depth, triggers.columns).drop("placement_pos")
     seen = items.select("split", "user_id", "session_id", "item_id", F.lit(True).alias("seen"))
     flagged = offered.join(seen, ["split", "user_id", "session_id", "item_id"], "left").withColumn(
         "seen_rank", F.when(F.col("seen"), F.col("rank"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessiongraph.functions import blocks
-from sessiongraph.functions.blocks import SCORE_DECIMALS, block_scorer
+from sessiongraph.functions.blocks import block_scorer
 from sessiongraph.functions.vectors import dot, hadamard, unit
 from sessiongraph.operators.rankings import item_ids, mark_seen, split_by_seen
 from sessiongraph.session import materialize
@@ -127,8 +127,12 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 def _queries_and_pool(
     triggers: DataFrame, pool: DataFrame, vectors: DataFrame, normalize: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Distinct query vectors of the trigger items and the pool's vectors, unit length unless told not to."""
-    units = vectors.select("item_id", "vector")
+    """Distinct query vectors of the trigger items and the pool's vectors, unit length unless told not to.
+
+    Vectors that are null or hold null or non-finite components take no part.
+    """
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    units = vectors.select("item_id", "vector").where(F.coalesce(finite, F.lit(False)))
     if normalize:
         units = unit_vectors(units)
     asked = triggers.where(F.col("category").isNotNull()).select("category", "trigger_id").distinct()
@@ -174,6 +178,12 @@ def linear_top_k(
     return _per_trigger(triggers, ranked.withColumn("score", F.col("score") + F.lit(float(bias))))
 
 
+def _kept_bits(score: Column) -> Column:
+    """The column form of `blocks.kept_bits`."""
+    scale = F.pow(F.lit(2.0), F.lit(blocks.SCORE_BITS) - F.floor(F.log2(F.abs(score))) - 1)
+    return F.when(score == 0, 0.0).otherwise(F.rint(score * scale) / scale)
+
+
 def pairwise_top_k(triggers: DataFrame, pool: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The same answer by a plain join and a column dot product, for checks on a few triggers.
 
@@ -189,7 +199,7 @@ def pairwise_top_k(triggers: DataFrame, pool: DataFrame, vectors: DataFrame, k:
             "category",
             "query_id",
             "item_id",
-            F.round(dot(F.col("query_vector"), F.col("vector")), SCORE_DECIMALS).alias("score"),
+            _kept_bits(dot(F.col("query_vector"), F.col("vector"))).alias("score"),
         )
     )
     return _per_trigger(triggers, keep_best(scored, ["category", "query_id"], k))

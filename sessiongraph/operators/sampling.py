@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessiongraph.operators.coview import canonical_pair
 from sessiongraph.operators.index import ordered_rows, running_sums, running_sums_within
+from sessiongraph.session import materialize
 
 # Fixed value: negatives kept per positive.
 DEFAULT_RATIO = 5
@@ -62,23 +65,41 @@ def random_non_edges(
 ) -> DataFrame:
     """One random pair (src, dst) per positive row that is neither a known edge nor a self-pair.
 
-    `positives` are distinct rows of integer columns, `nodes` holds the indices 0..N-1. Each positive
-    makes up to `rounds` seeded draws and takes its first accepted one; a positive whose draws are all
-    rejected gets none. Drawn pairs may repeat.
+    `positives` are distinct rows of integer columns, `nodes` holds the indices 0..N-1. Each positive takes the first
+    accepted one of its seeded draws: `rounds` of them, and for those left twice as many again, until none is left.
+    Only a graph that has all pairs gives no rows. Drawn pairs may repeat.
     """
-    n_nodes = F.greatest(nodes.agg(F.count("*")).scalar(), F.lit(1))
+    n = nodes.count()
+    taken = canonical_pair(known.select("src", "dst")).where("lo <> hi").select("lo", "hi").distinct()
+    taken = materialize(taken, "taken_pairs")
     renamed, own = _owned(positives)
-    drawn = positives.select(*renamed, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("attempt"))
+    left = materialize(positives.select(*renamed), "positives")
+    found: list[DataFrame] = []
+    first = 0
+    is_full = taken.count() >= n * (n - 1) // 2
+    while not is_full and not left.isEmpty():
+        accepted = materialize(_accepted_draws(left, own, n, taken, first, rounds, seed), "accepted")
+        found.append(accepted)
+        left = materialize(left.join(accepted.select(*own), own, "left_anti"), "left_over")
+        first, rounds = first + rounds, rounds * 2
+    empty = left.limit(0).select(*own, F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"))
+    return reduce(DataFrame.unionByName, found, empty)
+
+
+def _accepted_draws(
+    positives: DataFrame, own: list[str], n_nodes: int, taken: DataFrame, first: int, rounds: int, seed: int
+) -> DataFrame:
+    """The first accepted one of draws number `first` to `first + rounds - 1` of each positive."""
+    drawn = positives.select(*own, F.explode(F.sequence(F.lit(first), F.lit(first + rounds - 1))).alias("attempt"))
     keys = [F.col(c) for c in [*own, "attempt"]]
     pairs = drawn.select(
         *keys,
-        F.pmod(_draw(keys, seed), n_nodes).alias("src"),
-        F.pmod(_draw(keys, seed + 1), n_nodes).alias("dst"),
+        F.pmod(_draw(keys, seed), F.lit(n_nodes)).cast("long").alias("src"),
+        F.pmod(_draw(keys, seed + 1), F.lit(n_nodes)).cast("long").alias("dst"),
     ).where(F.col("src") != F.col("dst"))
-    taken = canonical_pair(known.select("src", "dst")).select("lo", "hi").distinct()
     accepted = canonical_pair(pairs).join(taken, ["lo", "hi"], "left_anti")
-    first = F.min(F.struct("attempt", "src", "dst")).alias("first")
-    return accepted.groupBy(*own).agg(first).select(*own, "first.src", "first.dst")
+    earliest = F.min(F.struct("attempt", "src", "dst")).alias("first")
+    return accepted.groupBy(*own).agg(earliest).select(*own, "first.src", "first.dst")
 
 
 def draw_stored_negatives(

@@ -72,7 +72,7 @@ def _all_items(c: Run) -> tuple[DataFrame, DataFrame]:
     "h6_exact_top_k_all_items",
     """select 'all' as split, exec_code, item_id, round(score, 6) as score, cast(rank as int) as rank from
        (select *, row_number() over (partition by exec_code order by score desc, item_id) as rank from
-        (select a.item_id as exec_code, b.item_id, round(list_dot_product(a.u, b.u), 9) as score
+        (select a.item_id as exec_code, b.item_id, list_dot_product(a.u, b.u) as score
          from g_units a join g_units b on a.category = b.category and a.item_id <> b.item_id)) where rank <= 12""",
 )
 def _(c: Run) -> DataFrame:
@@ -96,8 +96,8 @@ def _(c: Run) -> DataFrame:
     "h7_linear_top_k",
     """select 'all' as split, exec_code, item_id, round(score + 0.25, 6) as score, cast(rank as int) as rank from
        (select *, row_number() over (partition by exec_code order by score desc, item_id) as rank from
-        (select a.item_id as exec_code, b.item_id, round(list_sum(list_transform(range(64),
-                lambda i: a.vector[i + 1] * b.vector[i + 1] / (i + 1))), 9) as score
+        (select a.item_id as exec_code, b.item_id, list_sum(list_transform(range(64),
+                lambda i: a.vector[i + 1] * b.vector[i + 1] / (i + 1))) as score
          from g_vectors a join g_vectors b on a.category = b.category and a.item_id <> b.item_id)) where rank <= 12""",
 )
 def _(c: Run) -> DataFrame:

@@ -101,3 +101,16 @@ def test_model_results_keep_unanswered_triggers(spark):
     assert [tuple(p) for p in results[0].products_returned] == [(6, 0.9, 1), (5, 0.5, 2)]
     assert [tuple(p) for p in results[0].positives] == [(5, 0.5, 2)]
     assert results[1].products_returned == [] and results[1].negatives == []
+
+
+def test_small_scores_keep_their_order(spark):
+    rows = [(i, [float(i), 1.0], "c") for i in range(1, 7)] + [(7, None, "c"), (8, [float("nan"), 1.0], "c")]
+    ranks = []
+    for size in (1.0, 1e-6):
+        scaled = [(i, None if v is None else [x * size for x in v], c) for i, v, c in rows]
+        table = spark.createDataFrame(scaled, "item_id long, vector array<double>, category string")
+        triggers = table.selectExpr("'s' as split", "item_id as exec_code", "item_id as trigger_id", "category")
+        found = retrieval.linear_top_k(triggers, table.select("category", "item_id"), table, 2, [1.0, 1.0])
+        ranks.append(sorted((r["exec_code"], r["rank"], r["item_id"]) for r in found.collect()))
+    assert ranks[0] == ranks[1]
+    assert {r[2] for r in ranks[1]} == {4, 5, 6}
