@@ -168,7 +168,7 @@ VIEWS: dict[str, str] = {
         select distinct v.category, v.item_id from g_vectors v join g_nidx n on n.item_id = v.item_id
         where v.category in (select category from g_gtriggers)""",
     "g_scored": """
-        select q.item_id as trigger_id, p.item_id, round(list_dot_product(q.u, r.u), 9) as score
+        select q.item_id as trigger_id, p.item_id, list_dot_product(q.u, r.u) as score
         from g_units q join g_pool p on p.category = q.category and p.item_id <> q.item_id
         join g_units r on r.item_id = p.item_id
         where q.item_id in (select trigger_id from g_gtriggers)""",
