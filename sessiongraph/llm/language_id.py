@@ -24,7 +24,9 @@ SAMPLE_CHARACTERS = 1_000
 STRETCH = 1_024
 LANES = 4_096
 # Phrases a character above which a text is in no learned language (see `reject`).
-MAX_RATE = 0.4
+MAX_RATE = 0.45
+# Standard deviations by which a text must exceed it: short texts vary more.
+MARGIN = 2.0
 
 
 class SuffixAutomaton:
@@ -169,6 +171,7 @@ def predictor(model: Model) -> Callable[[list, list], dict]:
         sizes, rates = parser.rates(texts)
         known = (sizes > 0) & bool(parser.languages)
         out = {"doc_id": ids, "lang_pred": [UNDETERMINED] * len(ids), "score": [0.0] * len(ids), "rate": [None] * len(ids)}
+        out["n_letters"] = sizes
         for i in np.flatnonzero(known).tolist():
             best = int(rates[i].argmin())
             lowest = float(rates[i, best])
@@ -217,7 +220,7 @@ def train(
 
 
 def identify(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, rate) of every whole text.
+    """(doc_id, lang_pred, score, rate, n_letters) of every whole text; `n_letters` counts letters and word gaps.
 
     A suffix automaton per language gives the longest match of its sample at each place; the text is cut greedily
     into such matches (phrases), and the language with the fewest phrases per letter or word gap wins, the first
@@ -226,16 +229,17 @@ def identify(df: DataFrame, model: Model, id_column: str = "doc_id", text_column
     Null, empty and letterless text, or a model without languages, give `und`, score 0 and null rate. Repeated
     rows are kept; other columns are not read.
     """
-    schema = "doc_id long, lang_pred string, score double, rate double"
+    schema = "doc_id long, lang_pred string, score double, rate double, n_letters long"
     return text_pass(df, predictor(model), schema, id_column, text_column)
 
 
 def reject(
     df: DataFrame, model: Model, max_rate: float = MAX_RATE, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """`df` without documents in no learned language: no letters, or a `rate` above `max_rate`
-    (letters without words give about 0.5, texts of the learned languages less than 0.25). Rows with a null id stay."""
+    """`df` without documents in no learned language: no letters, or a `rate` above `max_rate` by more than
+    `MARGIN` / sqrt(n_letters). Letters without words give about 0.5, texts of the learned languages less than 0.25;
+    short ones that hold a key or a number of codes may come in between. Rows with a null id stay."""
     bad = identify(df, model, id_column, text_column).where(
-        (F.col("lang_pred") == UNDETERMINED) | (F.col("rate") > max_rate)
+        (F.col("lang_pred") == UNDETERMINED) | (F.col("rate") > max_rate + MARGIN / F.sqrt("n_letters"))
     )
     return df.join(bad.select(F.col("doc_id").alias(id_column)).distinct(), id_column, "left_anti")

@@ -129,7 +129,7 @@ def identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = language_id.train(documents.where(~language_id.held_out()))
     found = language_id.identify(documents, model)
-    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rate")
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rate", "n_letters")
 
 
 @query("op2_license_scan", LICENSE_SQL)

@@ -20,8 +20,8 @@ from sessiongraph.session import materialize, new_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# A candidate: 16 or more characters of keys and encodings, at least one of them a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
+# A candidate: 16 or more characters of keys and encodings, at least one of them a digit, or an access key id.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b")
 BEFORE, AFTER = 32, 16
 TRAINING_FINDINGS = 20_000
 TREES, DEPTH, SEED = 24, 6, 7
