@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessiongraph.functions.draws import draw
 from sessiongraph.operators.index import dense_index
 
 # Fixed value: number of candidates read from each placement.
@@ -143,7 +144,7 @@ def negatives_without_positive(
     rows = negatives.select(*LABEL_KEY, "rank")
     if fraction < 1.0:
         scale = 1_000_000
-        drawn = F.pmod(F.xxhash64("execution_id", F.lit(seed)), F.lit(scale))
+        drawn = F.pmod(draw([F.col("execution_id")], seed), F.lit(scale))
         rows = rows.where(drawn < F.lit(int(fraction * scale)))
     return rows.join(matched, EXECUTION, "left_anti")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark import cloudpickle
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from sessiongraph.functions import blocks
 from sessiongraph.functions.blocks import block_scorer
 from sessiongraph.functions.vectors import dot, hadamard, unit
+from sessiongraph.operators.index import running_sums_within
 from sessiongraph.operators.rankings import item_ids, mark_seen, split_by_seen
 from sessiongraph.session import materialize
 
@@ -23,8 +23,6 @@ cloudpickle.register_pickle_by_value(blocks)
 
 # Fixed values of the approximate search.
 MIN_POINTS_PER_LIST = 39
-TRAINING_POINTS_PER_LIST = 256
-MIN_POOL_FOR_LISTS = 2048
 DEFAULT_PROBES = 8
 MODEL_PRODUCTS = "array<struct<item_id:bigint,score:double,rank:int>>"
 
@@ -60,21 +58,10 @@ def _block(column: str, count: Column) -> Column:
     return F.pmod(F.xxhash64(column), count).cast("int")
 
 
-def top_k_by_group(
-    queries: DataFrame,
-    pool: DataFrame,
-    group: str,
-    k: int,
-    exclude_self: bool = True,
-    query_block: int = QUERY_BLOCK,
-    pool_block: int = POOL_BLOCK,
-) -> DataFrame:
-    """(group, query_id, item_id, score, rank): the k best pool items of each query's group.
-
-    `queries` is (group, query_id, vector) with distinct rows, `pool` is (group, item_id, vector).
-    Both sides of a group are hashed into blocks of bounded size. Each pair of blocks is one task-sized
-    matrix product that gives out k rows per query, so pairs are never emitted and a group of any size
-    is spread over many tasks. Equal scores go to the lower item id.
+def _block_pairs(
+    queries: DataFrame, pool: DataFrame, group: str, query_block: int, pool_block: int
+) -> tuple[DataFrame, DataFrame]:
+    """Queries by (group, query_block, pool_block), pool items by the same under names with `of_`.
 
     Block counts are stored first, so the vectors meet a table of known size: it is broadcast if small.
     """
@@ -102,6 +89,26 @@ def top_k_by_group(
         _block("item_id", F.col("pool_blocks")).alias("of_pool_block"),
         F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("of_query_block"),
     )
+    return query_side, pool_side
+
+
+def top_k_by_group(
+    queries: DataFrame,
+    pool: DataFrame,
+    group: str,
+    k: int,
+    exclude_self: bool = True,
+    query_block: int = QUERY_BLOCK,
+    pool_block: int = POOL_BLOCK,
+) -> DataFrame:
+    """(group, query_id, item_id, score, rank): the k best pool items of each query's group.
+
+    `queries` is (group, query_id, vector) with distinct rows, `pool` is (group, item_id, vector).
+    Both sides of a group are hashed into blocks of bounded size. Each pair of blocks is one task-sized
+    matrix product that gives out k rows per query, so pairs are never emitted and a group of any size
+    is spread over many tasks. Equal scores go to the lower item id.
+    """
+    query_side, pool_side = _block_pairs(queries, pool, group, query_block, pool_block)
     group_type = queries.schema[group].dataType.simpleString()
     partial = (
         query_side.groupBy(group, "query_block", "pool_block")
@@ -185,32 +192,27 @@ def _kept_bits(score: Column) -> Column:
 
 
 def pairwise_top_k(triggers: DataFrame, pool: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The same answer by a plain join and a column dot product, for checks on a few triggers.
+    """The same answer by a plain join and a column dot product, as an independent check.
 
-    The query side is broadcast: callers pass a sample of fixed size. Each task then keeps its k best
-    rows per query before anything is shuffled.
+    It looks at as many pairs as the exact search. Both sides are dealt in the same blocks, so a
+    category of any size is spread over many tasks, and the k best rows per query of a task are kept
+    before anything is shuffled.
     """
     queries, candidates = _queries_and_pool(triggers, pool, vectors)
-    query = F.broadcast(queries.withColumnRenamed("vector", "query_vector"))
-    scored = (
-        candidates.join(query, "category")
-        .where(F.col("item_id") != F.col("query_id"))
-        .select(
-            "category",
-            "query_id",
-            "item_id",
-            _kept_bits(dot(F.col("query_vector"), F.col("vector"))).alias("score"),
-        )
+    query_side, pool_side = _block_pairs(queries, candidates, "category", QUERY_BLOCK, POOL_BLOCK)
+    same = (
+        (F.col("category") == F.col("of_group"))
+        & (F.col("query_block") == F.col("of_query_block"))
+        & (F.col("pool_block") == F.col("of_pool_block"))
     )
+    score = _kept_bits(dot(F.col("vector"), F.col("item_vector"))).alias("score")
+    scored = query_side.join(pool_side, same & (F.col("item_id") != F.col("query_id")))
+    scored = scored.select("category", "query_id", "item_id", score)
     return _per_trigger(triggers, keep_best(scored, ["category", "query_id"], k))
 
 
-def list_count(pool_size: int) -> int:
-    """Number of inverted lists for a pool: about 4 sqrt(n), with at least 39 items per list."""
-    return max(1, min(pool_size // MIN_POINTS_PER_LIST, int(4 * math.sqrt(pool_size))))
-
-
 def list_count_column(size: Column) -> Column:
+    """Number of inverted lists for a pool: about 4 sqrt(n), with at least 39 items per list."""
     per_points = F.floor(size / F.lit(MIN_POINTS_PER_LIST))
     return F.greatest(F.lit(1), F.least(per_points, F.floor(F.lit(4) * F.sqrt(size)))).cast("long")
 
@@ -218,38 +220,28 @@ def list_count_column(size: Column) -> Column:
 def train_lists(pool: DataFrame, iterations: int = 10, seed: int = 42) -> DataFrame:
     """(category, item_id, vector): the list centers of every category, `item_id` being the list id.
 
-    Spherical k-means of all categories at once, on a hash sample of about 256 items per list (pools of
-    up to that size are taken whole); only the centers depend on it, every item is assigned to a list
-    later. Start centers are the first items in hash order among about twice as many drawn
-    by hash, so no category is ranked as a whole. An iteration assigns items with the block search
-    and averages them with a map-side combining aggregate; the small center table is stored after each.
+    Spherical k-means of all categories at once over all pool items. Start centers are the first items
+    in hash order; they come from a running count that spreads a large category over many tasks. An
+    iteration assigns items with the block search and averages them with a map-side combining
+    aggregate; the small center table is stored after each.
     """
     sizes = materialize(
         pool.groupBy("category")
         .agg(F.count("*").alias("size"))
-        .withColumn("lists", list_count_column(F.col("size"))),
+        .select("category", list_count_column(F.col("size")).alias("lists")),
         "pool_sizes",
     )
-    scale = 1 << 40
-
-    def drawn(salt: int, per_list: int, extra: int = 0) -> Column:
-        """Whether the item's seeded hash falls into the share of its category that is wanted."""
-        wanted = (F.col("lists") * per_list + extra) / F.col("size") * F.lit(scale)
-        return F.pmod(F.xxhash64("item_id", F.lit(salt)), F.lit(scale)) <= wanted
-
-    sized = pool.join(sizes, "category")
-    training = materialize(
-        sized.where(drawn(seed + 1, TRAINING_POINTS_PER_LIST)).select(*pool.columns), "training_items"
-    )
-    by_hash = Window.partitionBy("category").orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id")
+    ids = pool.select("category", "item_id", F.lit(1).alias("one"))
+    placed = running_sums_within(ids, ["category"], [F.xxhash64("item_id", F.lit(seed)), F.col("item_id")], ["one"])
+    first = placed.join(sizes, "category").where(F.col("before_one") < F.col("lists"))
     centers = materialize(
-        sized.where(drawn(seed, 2, 8))
-        .withColumn("place", F.row_number().over(by_hash))
-        .where(F.col("place") <= F.col("lists"))
-        .select("category", (F.col("place") - 1).cast("long").alias("item_id"), "vector")
+        first.select("category", "item_id", F.col("before_one").cast("long").alias("list_id"))
+        .join(pool, ["category", "item_id"])
+        .select("category", F.col("list_id").alias("item_id"), "vector"),
+        "centers",
     )
     for _ in range(iterations):
-        members = assign_lists(training, centers)
+        members = assign_lists(pool, centers)
         means = members.groupBy("category", "list_id").agg(
             Summarizer.mean(array_to_vector("vector")).alias("mean")
         )
@@ -275,42 +267,33 @@ def approximate_top_k(
     pool: DataFrame,
     vectors: DataFrame,
     k: int,
-    min_pool: int = MIN_POOL_FOR_LISTS,
     probes: int = DEFAULT_PROBES,
     iterations: int = 10,
     seed: int = 42,
 ) -> DataFrame:
-    """Top-k from the `probes` nearest inverted lists; pools under `min_pool` items are searched exactly.
+    """Top-k from the `probes` nearest inverted lists; exact where a category has no more lists than that.
 
     All three steps (assigning items, choosing lists, scoring inside the lists) use the block search.
     """
     queries, candidates = _queries_and_pool(triggers, pool, vectors)
-    large = candidates.groupBy("category").agg(F.count("*").alias("n")).where(F.col("n") >= min_pool)
-    large = large.select("category")
-    big_pool = materialize(candidates.join(large, "category", "left_semi"))
-    centers = train_lists(big_pool, iterations, seed)
+    candidates = materialize(candidates, "pool_vectors")
+    centers = train_lists(candidates, iterations, seed)
     list_key = F.concat_ws("#", "category", F.col("list_id").cast("string")).alias("list_key")
-    lists = assign_lists(big_pool, centers).select(list_key, "item_id", "vector")
-    big_queries = queries.join(large, "category", "left_semi")
+    lists = assign_lists(candidates, centers).select(list_key, "item_id", "vector")
     probed = (
-        top_k_by_group(big_queries, centers, "category", probes, exclude_self=False)
+        top_k_by_group(queries, centers, "category", probes, exclude_self=False)
         .select("category", "query_id", F.col("item_id").alias("list_id"))
-        .join(big_queries, ["category", "query_id"])
+        .join(queries, ["category", "query_id"])
     )
     found = top_k_by_group(probed.select(list_key, "query_id", "vector"), lists, "list_key", k)
-    category_of = big_queries.select("category", "query_id")
-    merged = keep_best(
-        found.join(category_of, "query_id").select("category", "query_id", "item_id", "score"),
+    best = keep_best(
+        found.join(queries.select("category", "query_id"), "query_id").select(
+            "category", "query_id", "item_id", "score"
+        ),
         ["category", "query_id"],
         k,
     )
-    exact = top_k_by_group(
-        queries.join(large, "category", "left_anti"),
-        candidates.join(large, "category", "left_anti"),
-        "category",
-        k,
-    )
-    return _per_trigger(triggers, merged.unionByName(exact))
+    return _per_trigger(triggers, best)
 
 
 def parity(found: DataFrame, reference: DataFrame, tolerance: float = 1e-5) -> DataFrame:
@@ -341,13 +324,12 @@ def check_against_pairwise(
     pool: DataFrame,
     vectors: DataFrame,
     k: int,
-    sample_size: int = 500,
     tolerance: float = 1e-5,
 ) -> DataFrame:
-    """`parity` of a retrieval result on the first `sample_size` triggers that have a category."""
-    asked = triggers.where(F.col("category").isNotNull()).orderBy("split", "exec_code").limit(sample_size)
-    sample = found.join(asked.select("split", "exec_code"), ["split", "exec_code"], "left_semi")
-    return parity(sample, pairwise_top_k(asked, pool, vectors, k), tolerance)
+    """`parity` of a retrieval result on all triggers that have a category."""
+    asked = triggers.where(F.col("category").isNotNull())
+    checked = found.join(asked.select("split", "exec_code"), ["split", "exec_code"], "left_semi")
+    return parity(checked, pairwise_top_k(asked, pool, vectors, k), tolerance)
 
 
 def recall_against_exact(triggers: DataFrame, found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessiongraph.functions.draws import draw
 from sessiongraph.operators.coview import canonical_pair
 from sessiongraph.operators.index import ordered_rows, running_sums, running_sums_within
 from sessiongraph.session import materialize
@@ -29,10 +30,6 @@ def cap_negatives(
     return placed.where(F.col("before__one") < F.col("_quota")).select(*negatives.columns)
 
 
-def _draw(keys: list[Column], seed: int) -> Column:
-    return F.xxhash64(*keys, F.lit(seed))
-
-
 def epoch_sample(
     positives: DataFrame, negatives: DataFrame, ratio: int = DEFAULT_RATIO, seed: int = 42
 ) -> DataFrame:
@@ -44,14 +41,14 @@ def epoch_sample(
     columns = negatives.columns
     quota = positives.agg((F.count("*") * ratio).alias("n")).scalar()
     counted = negatives.groupBy(*columns).agg(F.count("*").alias("_copies"))
-    drawn = counted.withColumn("_draw", _draw([F.col(c) for c in columns], seed))
+    drawn = counted.withColumn("_draw", draw([F.col(c) for c in columns], seed))
     placed = running_sums(drawn, [F.col("_draw"), *[F.col(c) for c in columns]], ["_copies"])
     left = F.least(F.col("_copies"), quota - F.col("before__copies"))
     taken = placed.where(left > 0).select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), left)).alias("_c"))
     labelled = positives.select(*columns, F.lit(1.0).alias("label")).unionByName(
         taken.select(*columns, F.lit(0.0).alias("label"))
     )
-    shuffled = [_draw([F.col(c) for c in [*columns, "label"]], seed + 1), *[F.col(c) for c in [*columns, "label"]]]
+    shuffled = [draw([F.col(c) for c in [*columns, "label"]], seed + 1), *[F.col(c) for c in [*columns, "label"]]]
     return ordered_rows(labelled, shuffled, "position")
 
 
@@ -94,8 +91,8 @@ def _accepted_draws(
     keys = [F.col(c) for c in [*own, "attempt"]]
     pairs = drawn.select(
         *keys,
-        F.pmod(_draw(keys, seed), F.lit(n_nodes)).cast("long").alias("src"),
-        F.pmod(_draw(keys, seed + 1), F.lit(n_nodes)).cast("long").alias("dst"),
+        F.pmod(draw(keys, seed), F.lit(n_nodes)).cast("long").alias("src"),
+        F.pmod(draw(keys, seed + 1), F.lit(n_nodes)).cast("long").alias("dst"),
     ).where(F.col("src") != F.col("dst"))
     accepted = canonical_pair(pairs).join(taken, ["lo", "hi"], "left_anti")
     earliest = F.min(F.struct("attempt", "src", "dst")).alias("first")
@@ -114,9 +111,9 @@ def draw_stored_negatives(
     renamed, own = _owned(positives)
     draws = positives.select(*renamed, F.explode(F.sequence(F.lit(1), F.lit(ratio))).alias("draw"))
     keys = [F.col(c) for c in [*own, "draw"]]
-    return draws.withColumn("number", F.pmod(_draw(keys, seed), F.greatest(n_negatives, F.lit(1)))).join(numbered, "number").select(
-        *own, "draw", "src", "dst"
-    )
+    return draws.withColumn("number", F.pmod(draw(keys, seed), F.greatest(n_negatives, F.lit(1)))).join(
+        numbered, "number"
+    ).select(*own, "draw", "src", "dst")
 
 
 def aligned_negatives(positives: DataFrame, negatives: DataFrame) -> DataFrame:

@@ -52,10 +52,9 @@ class Settings:
     seed: int = 42
     ranking_splits: tuple[str, ...] = ("train", "val", "test")
     approximate: bool = False
-    min_pool_for_lists: int = retrieval.MIN_POOL_FOR_LISTS
     probes: int = retrieval.DEFAULT_PROBES
     min_recall: float | None = None
-    parity_sample: int = 500
+    compare_with_exact: bool = False
     parity_tolerance: float = 1e-5
 
     def __post_init__(self) -> None:
@@ -213,7 +212,6 @@ class Chain:
             self.pool,
             self.vectors,
             chosen.top_k,
-            chosen.min_pool_for_lists,
             chosen.probes,
             seed=chosen.seed,
         )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sessiongraph.operators import coview, evaluation, labels, quality, rankings, retrieval
 from sessiongraph.plans.chain import Chain
-from sessiongraph.sources.tables import stack_metrics, to_long, write_artifact, write_manifest
+from sessiongraph.sources.tables import stack_metrics, to_long, write_artifact, write_manifest, write_model_rows
 
 
 def _section(name: str, rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -21,6 +22,14 @@ def _section(name: str, rows: DataFrame, keys: list[str] | None = None) -> DataF
     return long.select(F.lit(name).alias("section"), "split", "metric", "value")
 
 
+def with_parameters(chain: Chain, manifest: DataFrame) -> DataFrame:
+    """`manifest` and one row per parameter of the run, its value in the column `text`."""
+    chosen = [(name, str(value)) for name, value in asdict(chain.settings).items()]
+    rows = chain.spark.createDataFrame(chosen, "metric string, text string")
+    rows = rows.select(F.lit("parameters").alias("section"), F.lit("all").alias("split"), "metric", "text")
+    return manifest.unionByName(rows, allowMissingColumns=True)
+
+
 def build_manifest(chain: Chain) -> DataFrame:
     """Long form (section, split, metric, value): nodes, edges, labelled pairs, production MRR."""
     features = quality.zero_vectors(chain.features).select(
@@ -76,6 +85,9 @@ def build_dataset(chain: Chain, folder: str, **checks: float | int | None) -> di
     edges = coview.remap_edges(chain.train_edges, chain.node_index).select("src", "dst", "weight")
     written = {
         "session_views": write_artifact(chain.session_views, f"{folder}/session_views", "split"),
+        "sessions_raw": write_artifact(
+            evaluation.session_item_views(chain.session_views), f"{folder}/sessions_raw", "split"
+        ),
         "edges": write_artifact(coview.held_out_edges(chain.edges), f"{folder}/edges", "split"),
         "graph_edges": write_artifact(coview.symmetric_edges(edges), f"{folder}/graph_edges"),
         "node_index": write_artifact(chain.node_index, f"{folder}/node_index"),
@@ -85,41 +97,40 @@ def build_dataset(chain: Chain, folder: str, **checks: float | int | None) -> di
         "owners": write_artifact(chain.owners, f"{folder}/owners", "split"),
         "prod_results": write_artifact(chain.prod, f"{folder}/prod_results", "split"),
     }
-    written["manifest"] = write_manifest(build_manifest(chain), f"{folder}/manifest")
+    written["manifest"] = write_manifest(with_parameters(chain, build_manifest(chain)), f"{folder}/manifest")
     return written
 
 
 def retrieve(chain: Chain, folder: str) -> dict[str, str]:
     """Write the model's ranking of every graph trigger, its checks and counters under `folder`.
 
-    The exact ranking is checked against an independent dot product. With `approximate` set it also
-    measures the approximate ranking, which is refused under `min_recall`.
+    An exact ranking is checked against an independent dot product for all triggers. With `approximate`
+    set, the exact one is built and checked only for `compare_with_exact` or `min_recall`; the approximate
+    one is then measured against it and refused under `min_recall`.
     """
     chosen, triggers = chain.settings, chain.graph_triggers
-    parity = retrieval.check_against_pairwise(
-        chain.exact_rows,
-        triggers,
-        chain.pool,
-        chain.vectors,
-        chosen.top_k,
-        chosen.parity_sample,
-        chosen.parity_tolerance,
-    )
-    quality.require(parity, F.col("mismatches") == 0, "retrieval differs from the dot product")
-    sections = [_section("parity", parity)]
-    if chosen.approximate:
-        recall = retrieval.recall_against_exact(triggers, chain.approximate_rows, chain.exact_rows)
-        if chosen.min_recall is not None:
-            quality.require(recall, F.col("mean_recall") >= chosen.min_recall, "approximate recall too low")
-        sections.append(_section("recall", recall))
+    sections = []
+    if not chosen.approximate or chosen.compare_with_exact or chosen.min_recall is not None:
+        parity = retrieval.check_against_pairwise(
+            chain.exact_rows, triggers, chain.pool, chain.vectors, chosen.top_k, chosen.parity_tolerance
+        )
+        quality.require(parity, F.col("mismatches") == 0, "retrieval differs from the dot product")
+        sections.append(_section("parity", parity))
+        if chosen.approximate:
+            recall = retrieval.recall_against_exact(triggers, chain.approximate_rows, chain.exact_rows)
+            if chosen.min_recall is not None:
+                quality.require(recall, F.col("mean_recall") >= chosen.min_recall, "approximate recall too low")
+            sections.append(_section("recall", recall))
     written = {
-        "model_rows": write_artifact(chain.model_rows, f"{folder}/model_rows", "split"),
+        "model_rows": write_model_rows(chain.model_rows, f"{folder}/model_rows"),
         "model_results": write_artifact(chain.model, f"{folder}/model_results", "split"),
     }
     counters = retrieval.retrieval_counters(chain.owners, triggers, chain.model_rows)
     sections.append(_section("triggers", counters, ["split"]))
     sections.append(_section("model_mrr", rankings.list_mrr(chain.model, "positives"), ["split"]))
-    written["retrieval_manifest"] = write_manifest(stack_metrics(*sections), f"{folder}/retrieval_manifest")
+    written["retrieval_manifest"] = write_manifest(
+        with_parameters(chain, stack_metrics(*sections)), f"{folder}/retrieval_manifest"
+    )
     return written
 
 

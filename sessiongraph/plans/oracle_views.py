@@ -258,6 +258,15 @@ VIEWS: dict[str, str] = {
                     when o_orderdate < timestamp '2000-10-01' then 'val' else 'test' end as split
         from lineitem join orders on l_orderkey = o_orderkey""",
     "g_basket_items": "select distinct split, user_id, session_id, item_id from g_baskets",
+    "g_basket_nodes": """
+        select item_id, row_number() over (order by item_id) - 1 as node_idx
+        from (select distinct item_id from g_baskets)""",
+    "g_basket_edges": """
+        select distinct x.node_idx as src, y.node_idx as dst
+        from g_basket_items a join g_basket_items b on a.user_id = b.user_id and a.session_id = b.session_id
+             and a.item_id < b.item_id
+        join g_basket_nodes x on x.item_id = a.item_id join g_basket_nodes y on y.item_id = b.item_id
+        where a.split = 'train'""",
     "g_classes": """
         select vec_id as row_id, cast(embedding[1:10] as double[]) as scores, label as target,
                vec_id % 4 <> 0 as mask from embeddings""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessiongraph.functions.draws import draw_sql
 from sessiongraph.operators import index, labels, rankings, sampling
 from sessiongraph.plans.registry import Run, query
 
@@ -76,7 +77,10 @@ def _(c: Run) -> DataFrame:
     return labels.negatives_without_positive(negatives, c.labels, fraction=1.0)
 
 
-@query("f9_negatives_without_positive_sampled")
+@query(
+    "f9_negatives_without_positive_sampled",
+    f"select * from ({_PURE}) where {draw_sql('execution_id', seed=42)} % 1000000 < 250000",
+)
 def _(c: Run) -> DataFrame:
     negatives = labels.negative_candidates(c.labels, c.train_edges)
     return labels.negatives_without_positive(negatives, c.labels, fraction=0.25)
@@ -254,19 +258,51 @@ def _train_pairs(c: Run, positive: bool) -> DataFrame:
     return c.pairs.where(chosen).select("exec_code", "src", "dst")
 
 
-@query("k2_epoch_sample")
+@query(
+    "k2_epoch_sample",
+    f"""select exec_code, src, dst, label,
+               row_number() over (order by {draw_sql('exec_code', 'src', 'dst', 'label', seed=43)},
+                                  exec_code, src, dst, label) - 1 as position
+        from (select exec_code, src, dst, cast(1.0 as double) as label from g_pairs where split = 'train' and is_positive
+              union all
+              select exec_code, src, dst, cast(0.0 as double) from
+              (select *, row_number() over (order by {draw_sql('exec_code', 'src', 'dst', seed=42)},
+                                            exec_code, src, dst) as place
+               from g_pairs where split = 'train' and not is_positive)
+              where place <= 2 * (select count(*) from g_pairs where split = 'train' and is_positive))""",
+)
 def _(c: Run) -> DataFrame:
     return sampling.epoch_sample(_train_pairs(c, True), _train_pairs(c, False), ratio=2)
 
 
-@query("k3_random_non_edges")
+@query(
+    "k3_random_non_edges",
+    f"""select for_src, for_dst, src, dst from
+        (select *, row_number() over (partition by for_src, for_dst order by attempt) as place
+         from (select e.src as for_src, e.dst as for_dst, attempt,
+                      {draw_sql('e.src', 'e.dst', 'attempt', seed=42)} % n as src,
+                      {draw_sql('e.src', 'e.dst', 'attempt', seed=43)} % n as dst
+               from g_basket_edges e cross join (select unnest(range(48)) as attempt)
+               cross join (select count(*) as n from g_basket_nodes)) d
+         where src <> dst and not exists (select 1 from g_basket_edges k where k.src = least(d.src, d.dst)
+                                          and k.dst = greatest(d.src, d.dst)))
+        where place = 1""",
+)
 def _(c: Run) -> DataFrame:
     edges = c.basket_edges.select("src", "dst")
     nodes = index.dense_index(c.baskets, "item_id", "node_idx")
     return sampling.random_non_edges(edges, nodes, edges)
 
 
-@query("k4_draw_stored_negatives")
+@query(
+    "k4_draw_stored_negatives",
+    f"""select for_exec_code, for_src, for_dst, draw, src, dst from
+        (select distinct exec_code as for_exec_code, src as for_src, dst as for_dst from g_pairs
+         where split = 'train' and is_positive) cross join (select unnest(range(1, 6)) as draw)
+        join (select src, dst, row_number() over (order by src, dst) - 1 as number, count(*) over () as n
+              from g_pairs where split = 'train' and not is_positive)
+             on number = {draw_sql('for_exec_code', 'for_src', 'for_dst', 'draw', seed=42)} % n""",
+)
 def _(c: Run) -> DataFrame:
     return sampling.draw_stored_negatives(_train_pairs(c, True).distinct(), _train_pairs(c, False))
 

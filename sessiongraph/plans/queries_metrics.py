@@ -68,13 +68,13 @@ def _all_items(c: Run) -> tuple[DataFrame, DataFrame]:
     return triggers, pool
 
 
-@query(
-    "h6_exact_top_k_all_items",
-    """select 'all' as split, exec_code, item_id, round(score, 6) as score, cast(rank as int) as rank from
+_EXACT_ALL_ITEMS = """select 'all' as split, exec_code, item_id, round(score, 6) as score, cast(rank as int) as rank from
        (select *, row_number() over (partition by exec_code order by score desc, item_id) as rank from
         (select a.item_id as exec_code, b.item_id, list_dot_product(a.u, b.u) as score
-         from g_units a join g_units b on a.category = b.category and a.item_id <> b.item_id)) where rank <= 12""",
-)
+         from g_units a join g_units b on a.category = b.category and a.item_id <> b.item_id)) where rank <= 12"""
+
+
+@query("h6_exact_top_k_all_items", _EXACT_ALL_ITEMS)
 def _(c: Run) -> DataFrame:
     triggers, pool = _all_items(c)
     return retrieval.exact_top_k(triggers, pool, c.vectors, c.settings.top_k)
@@ -116,22 +116,46 @@ def _(c: Run) -> DataFrame:
 @query("h9_approximate_top_k")
 def _(c: Run) -> DataFrame:
     triggers, pool = _all_items(c)
-    return retrieval.approximate_top_k(
-        triggers, pool, c.vectors, c.settings.top_k, min_pool=45, probes=2, iterations=3
-    )
+    return retrieval.approximate_top_k(triggers, pool, c.vectors, c.settings.top_k, probes=2, iterations=3)
+
+
+@query("h9_approximate_top_k_all_lists", _EXACT_ALL_ITEMS)
+def _(c: Run) -> DataFrame:
+    """Every list is probed, so the answer must be the exact one."""
+    triggers, pool = _all_items(c)
+    return retrieval.approximate_top_k(triggers, pool, c.vectors, c.settings.top_k, probes=1 << 20, iterations=3)
 
 
 @query(
     "h10_parity",
     """select count(distinct (split, exec_code)) as checked, count(distinct (split, exec_code)) as same_ids,
               0::bigint as mismatches, 0.0::double as max_gap
-       from g_model_rows join (select split, exec_code from g_gtriggers where category is not null
-                               order by split, exec_code limit 500) using (split, exec_code)""",
+       from g_model_rows""",
 )
 def _(c: Run) -> DataFrame:
     return retrieval.check_against_pairwise(c.model_rows, c.graph_triggers, c.pool, c.vectors, c.settings.top_k)
 
 
+@query(
+    "h10_parity_of_faulty_rows",
+    """select count(*) as checked, count(*) filter (where exec_code % 5 <> 3) as same_ids,
+              count(*) filter (where exec_code % 7 = 2) as mismatches,
+              max(case when exec_code % 7 = 2 then 0.25 else 0.0 end) as max_gap
+       from (select distinct split, exec_code from g_model_rows)""",
+)
+def _(c: Run) -> DataFrame:
+    """Some triggers get a wrong best item, some a wrong score."""
+    wrong_item = (F.col("exec_code") % 5 == 3) & (F.col("rank") == 1)
+    faulty = c.model_rows.select(
+        "split",
+        "exec_code",
+        "rank",
+        F.when(wrong_item, F.lit(-1)).otherwise(F.col("item_id")).alias("item_id"),
+        F.when(F.col("exec_code") % 7 == 2, F.col("score") - 0.25).otherwise(F.col("score")).alias("score"),
+    )
+    return retrieval.check_against_pairwise(faulty, c.graph_triggers, c.pool, c.vectors, c.settings.top_k)
+
+
 @query(
     "h11_recall_against_exact",
     """select round(avg(share), 6) as mean_recall, count(*) filter (where share < 1) as below_one,
@@ -153,7 +177,7 @@ def _(c: Run) -> DataFrame:
     triggers, pool = _all_items(c)
     k = c.settings.top_k
     exact = retrieval.exact_top_k(triggers, pool, c.vectors, k)
-    found = retrieval.approximate_top_k(triggers, pool, c.vectors, k, min_pool=45, probes=2, iterations=3)
+    found = retrieval.approximate_top_k(triggers, pool, c.vectors, k, probes=2, iterations=3)
     return retrieval.recall_against_exact(triggers, found, exact)
 
 

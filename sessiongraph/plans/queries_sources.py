@@ -37,10 +37,12 @@ def _(c: Run) -> DataFrame:
     return tables.read_artifact(c.spark, path).select("split", "item_a", "item_b", "weight", "raw_count")
 
 
-@query("a4_model_rows_sink", "select exec_code, item_id, round(score, 6) as score, cast(rank as int) as rank from g_model_rows where split = 'val'")
+@query(
+    "a4_model_rows_sink",
+    "select split, exec_code, item_id, round(score, 6) as score, cast(rank as int) as rank from g_model_rows",
+)
 def _(c: Run) -> DataFrame:
-    rows = c.model_rows.where(F.col("split") == "val")
-    path = tables.write_model_rows(rows, new_path(c.spark, "model_rows"))
+    path = tables.write_model_rows(c.model_rows, new_path(c.spark, "model_rows"))
     return tables.read_artifact(c.spark, path, tables.MODEL_ROWS)
 
 

@@ -47,8 +47,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
+    """A path among the application's intermediate tables that nothing has used yet."""
+    return f"{_tables_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _tables_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written.
+
+    DataFrames that still read them fail afterwards; other applications' tables stay.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_tables_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -14,6 +14,7 @@ MODEL_ROWS = T.StructType(
         T.StructField("item_id", T.LongType()),
         T.StructField("score", T.DoubleType()),
         T.StructField("rank", T.IntegerType()),
+        T.StructField("split", T.StringType()),
     ]
 )
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import subprocess
+import sys
 from dataclasses import replace
 from pathlib import Path
 
@@ -21,9 +23,9 @@ def test_all_jobs(spark, tmp_path):
     run = run_of(spark, SF_DIR)
     paths = jobs.run_all(run, str(tmp_path))
     sections = {r[0] for r in rows(spark.read.json(paths["manifest"]), "section")}
-    assert sections == {"graph", "co_view_edges", "labelled_pairs", "production_mrr"}
+    assert sections == {"graph", "co_view_edges", "labelled_pairs", "production_mrr", "parameters"}
     sections = {r[0] for r in rows(spark.read.json(paths["retrieval_manifest"]), "section")}
-    assert sections == {"parity", "triggers", "model_mrr"}
+    assert sections == {"parity", "triggers", "model_mrr", "parameters"}
     metrics = spark.read.parquet(paths["trigger_metrics"])
     prod = spark.read.parquet(paths["prod_results"])
     assert metrics.count() == prod.count() == run.codes.count()
@@ -41,13 +43,18 @@ def test_all_jobs(spark, tmp_path):
 def test_approximate_job(spark, tmp_path):
     exact = run_of(spark, SF_DIR)
     chosen = replace(
-        exact.settings, approximate=True, min_recall=0.9, min_pool_for_lists=5, ranking_splits=("val",)
+        exact.settings, approximate=True, min_recall=0.9, ranking_splits=("val",)
     )
     run = Chain(exact.inputs, chosen)
     paths = jobs.retrieve(run, str(tmp_path))
     manifest = spark.read.json(paths["retrieval_manifest"])
     assert rows(manifest.where("metric = 'mean_recall'"), "value")[0][0] >= 0.9
     assert rows(spark.read.parquet(paths["model_results"]).select("split").distinct()) == [("val",)]
+    plain = Chain(exact.inputs, replace(chosen, min_recall=None))
+    paths = jobs.retrieve(plain, str(tmp_path / "plain"))
+    assert "exact_rows" not in vars(plain) and "approximate_rows" in vars(plain)
+    sections = {r[0] for r in rows(spark.read.json(paths["retrieval_manifest"]), "section")}
+    assert sections == {"triggers", "model_mrr", "parameters"}
     with pytest.raises(ValueError, match="approximate"):
         replace(exact.settings, min_recall=0.5)
 
@@ -78,3 +85,18 @@ def test_reports(spark):
     assert quality.schema_drift(found, expected) == [("y", "bigint", "string")]
     zero = spark.createDataFrame([([0.0, 0.0],), ([0.0, 1.0],)], "vector array<double>")
     assert rows(quality.zero_vectors(zero)) == [(2, 1, 0.5)]
+
+
+def test_intermediate_tables_can_be_dropped(tmp_path):
+    code = f"""
+from pathlib import Path
+from sessiongraph.session import build_session, drop_tables, materialize
+spark = build_session("drop", "local[1]", spark__checkpoint__dir={str(tmp_path)!r}, spark__ui__enabled="false")
+assert materialize(spark.range(3)).count() == 3
+assert list(Path({str(tmp_path)!r}).rglob("*.parquet"))
+drop_tables(spark)
+drop_tables(spark)
+assert not list(Path({str(tmp_path)!r}).rglob("*.parquet"))
+"""
+    root = str(Path(__file__).resolve().parents[1])
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
