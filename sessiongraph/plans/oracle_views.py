@@ -268,7 +268,7 @@ VIEWS: dict[str, str] = {
         join g_basket_nodes x on x.item_id = a.item_id join g_basket_nodes y on y.item_id = b.item_id
         where a.split = 'train'""",
     "g_classes": """
-        select vec_id as row_id, cast(embedding[1:10] as double[]) as scores, label as target,
+        select vec_id as row_id, cast(embedding as double[]) as scores, label as target,
                vec_id % 4 <> 0 as mask from embeddings""",
     "g_features": """
         select n.node_idx, n.item_id, coalesce(v.vector, list_transform(range(64), lambda i: 0.0::double)) as vector

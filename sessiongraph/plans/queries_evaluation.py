@@ -286,7 +286,14 @@ def _(c: Run) -> DataFrame:
        union all select 'trigger', count(*), count(*) filter (where n > 1) from
          (select split, execution_id, count(distinct trigger_id) as n from g_triggers group by all)
        union all select 'log_instant', count(*), count(*) filter (where n > 1) from
-         (select cookie, item_id, count(distinct log_instant) as n from g_logs group by all)""",
+         (select cookie, item_id, count(distinct log_instant) as n from g_logs group by all)
+       union all select 'given_vector', count(*), count(*) filter (where n > 1) from
+         (select vec_id, count(distinct vector) as n from
+            (select vec_id, embedding as vector from embeddings
+             union all select vec_id, list_transform(embedding, lambda x: -x) from embeddings where vec_id % 3 = 0)
+          group by all)
+       union all select 'current_vector', count(*), count(*) filter (where n > 1) from
+         (select item_id, count(distinct vector) as n from g_vectors group by all)""",
 )
 def _(c: Run) -> DataFrame:
     def named(name: str, report: DataFrame) -> DataFrame:
@@ -298,6 +305,8 @@ def _(c: Run) -> DataFrame:
         .unionByName(
             named("log_instant", quality.conflicting_values(c.logs, ["cookie", "item_id"], "log_instant"))
         )
+        .unionByName(named("given_vector", quality.conflicting_values(c.inputs.vectors, ["item_id"], "vector")))
+        .unionByName(named("current_vector", quality.conflicting_values(c.vectors, ["item_id"], "vector")))
     )
 
 
@@ -399,12 +408,17 @@ def _(c: Run) -> DataFrame:
 
 @query(
     "n7_label_class",
-    """select split, exec_code, cast(rank as int) as rank, item_id,
-              case when seen then 'positive' else 'negative' end as label_class from g_prod
-       where variant = 'display'""",
+    """select split, exec_code, arm, cast(rank as int) as rank, item_id,
+              case when seen then 'positive' else 'negative' end as label_class from g_arm_lists""",
 )
 def _(c: Run) -> DataFrame:
-    return review.labelled_list(c.prod, "products_returned_display", "positives_display", "negatives_display")
+    """The classes of all three lists."""
+    model = review.labelled_list(c.model, "products_returned", "positives", "negatives")
+    rows = model.withColumn("arm", F.lit("model"))
+    for arm in ("display", "relevance"):
+        names = (f"products_returned_{arm}", f"positives_{arm}", f"negatives_{arm}")
+        rows = rows.unionByName(review.labelled_list(c.prod, *names).withColumn("arm", F.lit(arm)))
+    return rows
 
 
 @query(
