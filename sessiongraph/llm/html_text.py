@@ -41,7 +41,7 @@ SCOPES = frozenset("ul ol dl menu table div article section body td th main sele
 CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
 # Never part of the main text.
 DROPPED = frozenset(
-    "aside audio button canvas datalist dialog footer form frameset head header iframe input label map math menu nav "
+    "aside audio button canvas datalist dialog footer frameset head header iframe input label map math menu nav "
     "noembed noframes noscript object script select style svg template textarea title video xmp".split()
 )
 DROPPED_WORDS = frozenset(
@@ -51,9 +51,18 @@ DROPPED_WORDS = frozenset(
     "sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 COMMENT_WORDS = frozenset("advert comment comments promo related replies reply sponsored".split())
+# Names of what is no main text however long it is, unless it holds the marks of the main text.
+STRICT_WORDS = COMMENT_WORDS | frozenset(
+    "ad ads adv advertisement adverts consent cookie cookies newsletter popup promoted promotion respond sponsor".split()
+)
+FORM = "<form>"
 DROPPED_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 
+HEADINGS = frozenset("h1 h2".split())
+# A container's own text is running text if one of its blocks has so many characters, or half of the page's longest.
+RUNNING = 80
+
 KEPT_PATHS = 3
 # Rows of (host, up to three paths): some ten MB at most.
 BROADCAST_HOSTS = 100_000
@@ -71,12 +80,12 @@ _WORD = re.compile(r"[a-z]+")
 
 @dataclass(slots=True)
 class Node:
-    """An open element."""
+    """An open element; `names` are its own and its parents' names with words of what is dropped."""
 
     tag: str
     path: str
     dropped: bool
-    good: bool = False
+    names: frozenset[str] = frozenset()
 
 
 @dataclass
@@ -86,6 +95,13 @@ class Block:
     text: str
     paths: tuple[str, ...]
     linked: int = 0
+    names: frozenset[str] = frozenset()
+    heading: bool = False
+    marked: bool = False
+
+    @property
+    def gain(self) -> int:
+        return len(self.text) - 2 * min(self.linked, len(self.text))
 
 
 @dataclass
@@ -109,21 +125,83 @@ def _is_dropped(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    if attributes.get("role", "").lower() in DROPPED_ROLES or "hidden" in attributes:
-        return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    return attributes.get("role", "").lower() in DROPPED_ROLES or "hidden" in attributes
+
+
+def _names(attributes: dict[str, str]) -> list[str]:
+    return f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+
+
+def _dropped_names(tag: str, attributes: dict[str, str]) -> list[str]:
+    """Classes and ids with a word of what is dropped; `decide` tells whether they name the layout instead."""
+    if tag == "form":
+        return [FORM]
+    if not attributes or tag in ("html", "body"):
+        return []
+    words = COMMENT_WORDS if tag in ("article", "main") else DROPPED_WORDS
     # "has-sidebar" and the like tell what is next to the content.
-    words = [w for name in names if not name.startswith(("has-", "with-", "no-", "is-")) for w in _WORD.findall(name)]
-    return not (COMMENT_WORDS if tag in ("article", "main") else DROPPED_WORDS).isdisjoint(words)
+    names = [n for n in _names(attributes) if not n.startswith(("has-", "with-", "no-", "is-"))]
+    return [n for n in names if not words.isdisjoint(_WORD.findall(n))]
+
+
+def decide(blocks: list[Block], marks: list[frozenset[str]]) -> list[Block]:
+    """The blocks that stay. A name drops its elements, unless these together hold most of the page's text.
+
+    Names of comments, adverts and forms must also hold most of the `marks` (names around the first article, main
+    elements and main headings), and their text does not count for the others. A page that would lose all its text
+    keeps that of names which are not strict, or else all but forms.
+    """
+    held = {name for block in blocks for name in block.names}
+    if not held:
+        return blocks
+    strict = {n for n in held if n == FORM or not STRICT_WORDS.isdisjoint(_WORD.findall(n))}
+    never = {n for n in strict if 2 * sum(n in names for names in marks) <= len(marks)}
+    total = 0
+    sizes = dict.fromkeys(held, 0)
+    for block in blocks:
+        if never.isdisjoint(block.names):
+            size = max(0, len(block.text) - block.linked)
+            total += size
+            for name in block.names:
+                sizes[name] += size
+    dropping = {n for n in held if n in never or 2 * sizes[n] <= total}
+    for names in (dropping, never, {FORM}):
+        kept = [block for block in blocks if names.isdisjoint(block.names)]
+        if kept:
+            return kept
+    return []
+
+
+def score(blocks: list[Block]) -> dict[str, float]:
+    """A score for each container path: all text below it against the boilerplate below it.
+
+    Linked text is boilerplate, and so is text of containers without running text or a main heading. If `article` and
+    `main` elements hold most of the running text, all outside them is boilerplate too.
+    """
+    longest = max((len(b.text) - b.linked for b in blocks), default=0)
+    running = {b.paths[-1:] for b in blocks if len(b.text) - b.linked >= min(RUNNING, max(1, longest / 2))}
+    gains = [
+        b.gain if b.gain < 0 or b.heading or b.paths[-1:] in running else -float(len(b.text)) for b in blocks
+    ]
+    positive = sum(g for g in gains if g > 0)
+    marked = 2 * sum(g for g, b in zip(gains, blocks, strict=True) if g > 0 and b.marked) > positive
+    scores: dict[str, float] = {}
+    for gain, block in zip(gains, blocks, strict=True):
+        if marked and not block.marked:
+            gain = -abs(gain)
+        for path in set(block.paths):
+            scores[path] = scores.get(path, 0.0) + gain
+    return scores
 
 
 def parse(source: str) -> Page:
     """Blocks of text that are not dropped, in page order, and a score for each container path.
 
     Tolerant: unclosed elements end with their parents, stray end tags are ignored, a page may stop anywhere.
-    A block's text counts for its container, half for the next one around it; linked text counts against it.
     """
-    page = Page()
+    blocks: list[Block] = []
+    marks: list[frozenset[str]] = []
+    articles = 0
     stack = [Node("", "", False)]
     chunks: list[str] = []
     linked = 0
@@ -134,13 +212,10 @@ def parse(source: str) -> Page:
             text = " ".join("".join(chunks).split())
             chunks.clear()
             if text:
-                around = [n for n in stack if n.tag in CONTAINERS]
-                page.blocks.append(Block(text, tuple(n.path for n in around), linked))
-                gain = float(len(text) - 2 * min(linked, len(text)))
-                for node in reversed(around[-2:]):
-                    weight = 1.25 if node.good else 1.0
-                    page.scores[node.path] = page.scores.get(node.path, 0.0) + gain * weight
-                    gain /= 2
+                block = Block(text, tuple(n.path for n in stack if n.tag in CONTAINERS), linked, stack[-1].names)
+                block.heading = any(n.tag in HEADINGS for n in stack)
+                block.marked = any(n.tag in ("article", "main") for n in stack)
+                blocks.append(block)
         linked = 0
 
     def close(depth: int) -> None:
@@ -210,18 +285,27 @@ def parse(source: str) -> Page:
         path = stack[-1].path
         if tag in CONTAINERS:
             path = f"{path}>{_step(tag, attributes)}" if path else _step(tag, attributes)
-        node = Node(tag, path, dropped, tag in ("article", "main"))
-        if attributes:
-            names = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower()
-            node.good |= not GOOD_WORDS.isdisjoint(_WORD.findall(names))
-        stack.append(node)
+        names = stack[-1].names
+        if not dropped and (found_names := _dropped_names(tag, attributes)):
+            end_block()
+            names = names.union(found_names)
+        if tag in ("h1", "main") and not dropped:
+            marks.append(names)
+        elif tag == "article" and not dropped and not articles:
+            # A comment's own article is no mark; "post comments-open" is one.
+            others = [w for n in _names(attributes) if n not in names for w in _WORD.findall(n)]
+            if not found_names or not GOOD_WORDS.isdisjoint(others):
+                articles += 1
+                marks.append(names)
+        stack.append(Node(tag, path, dropped, names))
     end_block()
-    return page
+    kept = decide(blocks, marks)
+    return Page(kept, score(kept))
 
 
 def best_path(page: Page) -> str | None:
-    """The container path with the highest score, the first by name if equal."""
-    return min(page.scores, key=lambda path: (-page.scores[path], path), default=None)
+    """The container path with the highest score; if equal the innermost, then the first by name."""
+    return min(page.scores, key=lambda path: (-page.scores[path], -path.count(">"), path), default=None)
 
 
 def host_of(url):
@@ -272,13 +356,15 @@ def main_text(
     """(page_id, url, text, n_chars) of every page.
 
     1. Every page is parsed once, in Python: blocks of text with the container paths (tags and classes, digits
-       generalised) around them, stored in the shared folder. It votes for the path whose text scores highest.
+       generalised) around them, stored in the shared folder. It votes for the path that
+       scores highest, all text below it against the boilerplate below it: the smallest container of the whole article.
     2. Votes are counted per host in Spark, combined per task first: a hot host is a few rows per task.
     3. A page's text is that of its blocks inside the most voted path that it has, taken from the stored blocks.
        A page with none of the voted paths falls back on its own best container.
 
-    Menus, headers, footers, asides, forms, adverts, notices, comments, scripts and the like are dropped by
-    element, role, class or id wherever they are. Text is unescaped, white space inside a block is one space,
+    Menus, headers, footers, asides, scripts and the like are dropped by element or role wherever they are, forms,
+    adverts, sidebars, notices, comments and the like also by class or id, unless what bears the name holds most of
+    the page's text (see `decide`). Text is unescaped, white space inside a block is one space,
     blocks are joined by a newline. Null, empty and textless pages give an empty text; rows with a null or
     unreadable url vote as one host; repeated rows are kept; other columns are not read. The paths are
     broadcast if they are at most `BROADCAST_HOSTS` rows, else joined by a shuffle.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -285,6 +286,30 @@ def test_page_text(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("source", "wanted"),
+    [
+        ("<div class=menu>m</div><div class=content-sidebar-wrap><article><h1>T</h1>{3}</article><div class=sidebar>s</div></div>", "T {3}"),
+        ("<div class=right-sidebar><div>{3}</div></div><p>(c)</p>", "{3}"),
+        ("<div><div class=elementor-widget-container><h1>T</h1></div><div class=elementor-widget-container>{2}</div>"
+         "<div class=elementor-widget-container>{2}</div></div>", "T {2} {2}"),
+        ("<article class='post comments-open'><h1>T</h1>{1}</article><div id=comments><article class=comment-body>{7}</article></div>", "T {1}"),
+        ("<div>Top</div><div class=page><div class=a>{4}</div><div class=b>{2}</div></div><p>(c)</p>", "{4} {2}"),
+        ("<form><h1>T</h1>{2}</form>", "T {2}"),
+        ("<div class=ad>buy</div><article>{1}</article><div class=comments>{9}</div>", "{1}"),
+        ("<div class=comments>{2}</div>", "{2}"),
+    ],
+)
+def test_page_text_of_common_layouts(source, wanted):
+    def fill(pattern: str, paragraph: str) -> str:
+        return re.sub(r"\{(\d)\}", lambda m: " ".join([paragraph] * int(m[1])), pattern)
+
+    sentence = "A sentence of the article that goes on for more than eighty characters, as most of them do."
+    page = html_text.parse(f"<body>{fill(source, f'<p>{sentence}</p>')}</body>")
+    best = html_text.best_path(page)
+    assert " ".join(b.text for b in page.blocks if best in b.paths) == fill(wanted, sentence)
+
+
 # 7: secrets
 
 
