@@ -12,11 +12,14 @@ from sessiongraph.llm import (
     exact_search,
     html_text,
     language_id,
+    lexical_search,
     licenses,
     near_duplicates,
     secrets,
     sentence_pieces,
     sharding,
+    token_alignment,
+    vector_duplicates,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,10 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def piece_model() -> str:
+def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
+
+
+def piece_model() -> str:
+    return tokenizer_file("piece_bpe_32k.model")
 
 
 SHARD_SQL = f"""
@@ -124,6 +131,47 @@ from documents d left join n on n.doc_id = d.doc_id
 """
 
 
+_TERMS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+RANK_SQL = f"""
+with d as (
+    select row_number() over () as r, doc_id, {_TERMS} as t from documents where text is not null
+), totals as (select count(*) as docs, sum(len(t))::bigint as terms from d where len(t) > 0),
+asked as (select distinct item_id, unnest({_TERMS}) as term from benchmark where item_id is not null),
+tf as (select r, doc_id, len(t) as n, unnest(t) as term from d where len(t) > 0),
+counted as (
+    select r, doc_id, n, term, count(*) as tf from tf where term in (select term from asked) group by all
+), weights as (
+    select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w
+    from (select term, count(*) as df from counted group by 1), totals
+), scored as (
+    select item_id, r, doc_id,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::bigint as score
+    from asked join counted using (term) join weights using (term), totals
+    where doc_id is not null group by 1, 2, 3
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 10
+"""
+
+NEAR_VECTORS_SQL = f"""
+with recursive v as (
+    select vec_id, list_transform({VECTOR}, lambda x: x::double) as e from embeddings
+    where {VECTOR} is not null and len(list_filter({VECTOR}, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter({VECTOR}, lambda x: x <> 0)) > 0
+), links as (
+    select a.vec_id as a, b.vec_id as b from v a, v b
+    where a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= {vector_duplicates.SIMILARITY}
+), reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on l.a = r.b),
+least as (select a as vec_id, min(b) as component_id from reach group by 1),
+linked as (select a as vec_id, count(*) as n_links from links group by 1)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings join least using (vec_id) left join linked using (vec_id)
+"""
+
+
 @query("op1_language_id")
 def identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
@@ -184,3 +232,22 @@ def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_benchmark_decontamination")
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_lexical_search", RANK_SQL)
+def rank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+@query("op12_token_alignment")
+def align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(
+        table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), piece_model()
+    )
+
+
+@query("op13_vector_duplicates", NEAR_VECTORS_SQL)
+def find_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates.near_duplicate_vectors(
+        table(spark, sf_dir, "embeddings"), id_column="vec_id", vector_column=VECTOR
+    )
