@@ -86,7 +86,7 @@ class Part:
         place, sign = draw.integers(SKETCH, size=len(weights)), draw.choice((-1.0, 1.0), size=len(weights))
         sketch = np.bincount(
             rows * SKETCH + place[terms],
-            weights=sign[terms] * values * weights[terms],
+            weights=sign[terms] * values * weights[terms].astype(np.float64),
             minlength=len(ids) * SKETCH,
         ).reshape(len(ids), SKETCH)
         length = np.sqrt((sketch**2).sum(axis=1, keepdims=True))
@@ -156,7 +156,8 @@ def searcher(
         tf = batch["tfs"].combine_chunks().flatten().to_numpy().astype(np.int64)
         norm = 100 - 90 + 90 * batch["n"].to_numpy().astype(np.int64) * n_documents // n_terms
         values = 1_000_000_000 * tf // (1000 * tf + 8 * norm[rows])
-        return Part(batch["doc_id"].to_numpy(), rows, lists.flatten().to_numpy().astype(np.int64), values, weights)
+        terms = lists.flatten().to_numpy().astype(np.int64)
+        return Part(batch["doc_id"].to_numpy(), rows, terms, values.astype(np.int32), weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_ids = [np.empty(0, dtype=np.int64) for _ in queries]
