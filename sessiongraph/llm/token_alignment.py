@@ -7,6 +7,7 @@ import json
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SPACE = "▁"
 # Piece types of the model file.
 NORMAL, BYTE = 1, 6
-# Text bytes worked on at once, and bytes of the units that a worker keeps.
+# Text bytes worked on at once, bytes of the units that a worker keeps, and of units encoded together.
 SLICE = 4_000_000
-CACHE_BYTES, CACHED_UNIT = 200_000_000, 200
+CACHE_BYTES = 100_000_000
+RUN_BYTES = 50_000
 # Links that are counted before they are shuffled, and the most pairs looked up without a join.
 COUNTED_LINKS = 4_000_000
 COMMON_PAIRS = 1 << 20
@@ -49,13 +51,18 @@ def solid_before(buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def cuts(buffer: np.ndarray) -> np.ndarray:
+def cuts(buffer: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
     """Places where neither tokenizer's tokens can reach across: before a space between two solid characters, and
-    around a line feed between two."""
+    around a line feed between two. The places in `starts` are taken as well."""
     spots = np.flatnonzero((buffer == 0x20) | (buffer == 0x0A))
     spots = spots[(spots > 0) & (spots < len(buffer) - 1)]
     spots = spots[_SOLID[buffer[spots + 1]] & solid_before(buffer, spots)]
-    return np.union1d(spots, spots[buffer[spots] == 0x0A] + 1)
+    marked = np.zeros(len(buffer), dtype=bool)
+    marked[spots] = True
+    marked[spots[buffer[spots] == 0x0A] + 1] = True
+    if starts is not None:
+        marked[starts] = True
+    return np.flatnonzero(marked)
 
 
 @dataclass(frozen=True)
@@ -128,12 +135,15 @@ def groups_of(
     to = np.concatenate((n_a + stop - 1, to_a))
     while not np.array_equal(further := to[to], to):
         to = further
-    _, label = np.unique(to, return_inverse=True)
+    is_last = np.zeros(n_b, dtype=np.int64)
+    is_last[to - n_a] = 1
+    label = (np.cumsum(is_last) - 1)[to - n_a]
     return label[:n_a], label[n_a:], first, stop - first
 
 
 class Aligner:
-    """Aligned units: (A tokens, B tokens, groups, links, whether the bytes agree, group text, link keys)."""
+    """Aligned units by slot: `numbers` (A tokens, B tokens, groups, links, whether the bytes agree), group texts, link
+    keys. Units met before keep their slot until all slots together take too many bytes."""
 
     def __init__(self, models: Models) -> None:
         import os
@@ -151,84 +161,142 @@ class Aligner:
         self.a_bytes = pa.array(models.byte_tokens, type=pa.large_binary())
         self.b_bytes = pa.array(models.piece_tokens, type=pa.large_binary())
         self.n_pieces = len(models.piece_tokens)
-        names = [f"{i}{mark}" for n, marks in ((len(self.a_sizes), ",|"), (self.n_pieces, ",;")) for mark in marks for i in range(n)]
-        self.names = pa.array([n.encode() for n in names], type=pa.large_binary())
-        self.cache: dict[bytes, tuple] = {}
-        self.cached_bytes = 0
-
-    def encode(self, units: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both tokenizers for every unit."""
-        texts = [u.decode() for u in units]
-        a = [e.ids for e in self.byte_level.encode_batch(texts, add_special_tokens=False)]
+        sides = ((len(self.a_sizes), ",|"), (self.n_pieces, ",;"))
+        names = [f"{i}{mark}".encode() for n, marks in sides for mark in marks for i in range(n)]
+        self.names = pa.array(names, type=pa.large_binary())
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.numbers = np.empty((0, 5), dtype=np.int64)
+        self.texts: list[bytes] = []
+        self.keys: list[bytes] = []
+        self.held_bytes = 0
+
+    def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A ids, A tokens of each unit, B ids, B tokens of each unit).
+
+        Units of solid characters behind one space keep their ends among others of the kind, so they are encoded in
+        runs; a run in which a unit's end is no token's end in either vocabulary is encoded unit by unit.
+        """
+        ids: tuple[list, list] = ([], [])
+        counts: tuple[list, list] = ([], [])
+        places: list[np.ndarray] = []
+        buffer = np.frombuffer(b"".join(units), dtype=np.uint8)
+        sizes = np.array([len(u) for u in units])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        second = np.minimum(starts + 1, len(buffer) - 1)
+        plain = (buffer[starts] == 0x20) & (sizes > 1) & _SOLID[buffer[second]] & solid_before(buffer, ends)
+        plain &= sizes <= RUN_BYTES
+        chosen = np.flatnonzero(plain)
+        single = [np.flatnonzero(~plain)]
+        run_of = (np.cumsum(sizes[chosen]) - 1) // RUN_BYTES
+        for rows in np.split(chosen, np.flatnonzero(np.diff(run_of)) + 1) if len(chosen) else []:
+            text = b"".join([units[row] for row in rows.tolist()]).decode()
+            stops = np.cumsum(sizes[rows])
+            run_ids = (
+                np.array(self.byte_level.encode(text, add_special_tokens=False).ids),
+                np.array(self.pieces.encode(text[1:])),
+            )
+            at = []
+            for side, table in zip(run_ids, (self.a_sizes, self.b_sizes), strict=True):
+                reached = np.cumsum(table[side])
+                found = np.searchsorted(reached, stops)
+                if found[-1] < len(reached) and (reached[found] == stops).all() and found[-1] == len(reached) - 1:
+                    at.append(np.diff(found + 1, prepend=0))
+            if len(at) < 2:
+                single.append(rows)
+                continue
+            places.append(rows)
+            for side in (0, 1):
+                ids[side].append(run_ids[side])
+                counts[side].append(at[side])
+        rows = np.concatenate(single)
+        texts = [units[row].decode() for row in rows.tolist()]
         # A unit's own space stands for the space that the model puts first; others follow a line feed, whose two
         # tokens are taken off again.
         spaced = [t[0] == " " for t in texts]
+        a = [e.ids for e in self.byte_level.encode_batch(texts, add_special_tokens=False)]
         b = self.pieces.encode([t[1:] if s else "\n" + t for t, s in zip(texts, spaced, strict=True)], num_threads=1)
-        return a, [ids if s else ids[2:] for ids, s in zip(b, spaced, strict=True)]
-
-    def align(self, units: list[bytes]) -> list[tuple]:
-        a_lists, b_lists = self.encode(units)
+        b = [found if s else found[2:] for found, s in zip(b, spaced, strict=True)]
+        places.append(rows)
+        for side, lists in enumerate((a, b)):
+            counts[side].append(np.array([len(x) for x in lists], dtype=np.int64))
+            ids[side].append(np.array([i for x in lists for i in x], dtype=np.int64))
+        order = np.argsort(np.concatenate(places), kind="stable")
+        out = []
+        for side in (0, 1):
+            n, flat = np.concatenate(counts[side]), np.concatenate(ids[side])
+            first = (np.cumsum(n) - n)[order]
+            n = n[order]
+            out += [flat[spread(first, n)], n]
+        return tuple(out)
+
+    def align(self, units: list[bytes]) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+        """The numbers, group texts and link keys of units; all zero or empty where the bytes do not agree."""
+        a_ids, a_counts, b_ids, b_counts = self.encode(units)
         n_units = len(units)
-        a_counts, b_counts = np.array([len(x) for x in a_lists]), np.array([len(x) for x in b_lists])
-        a_ids = np.fromiter((i for x in a_lists for i in x), dtype=np.int64, count=int(a_counts.sum()))
-        b_ids = np.fromiter((i for x in b_lists for i in x), dtype=np.int64, count=int(b_counts.sum()))
         sizes = np.array([len(u) for u in units])
         a_unit, b_unit = np.repeat(np.arange(n_units), a_counts), np.repeat(np.arange(n_units), b_counts)
         fits = np.bincount(a_unit, self.a_sizes[a_ids], n_units) == sizes
         fits &= np.bincount(b_unit, self.b_sizes[b_ids], n_units) == sizes
         # Of units that fit by size, the bytes must agree as well.
-        a_kept, b_kept = fits[a_unit], fits[b_unit]
         places = np.cumsum(np.where(fits, sizes, 0))
-        whole = np.frombuffer(b"".join(u for u, f in zip(units, fits, strict=True) if f), dtype=np.uint8)
-        for ids, table in ((a_ids[a_kept], self.a_bytes), (b_ids[b_kept], self.b_bytes)):
-            wrong = np.flatnonzero(whole != joined(table, ids))
-            fits[np.unique(np.searchsorted(places, wrong, "right"))] = False
-        a_ids, b_ids, a_unit, b_unit = a_ids[fits[a_unit]], b_ids[fits[b_unit]], a_unit[fits[a_unit]], b_unit[fits[b_unit]]
-        if not len(a_ids):
-            return [(0, 0, 0, 0, False, b"", b"")] * n_units
+        whole = np.frombuffer(b"".join(u for u, f in zip(units, fits.tolist(), strict=True) if f), dtype=np.uint8)
+        compared = ((a_ids[fits[a_unit]], self.a_bytes), (b_ids[fits[b_unit]], self.b_bytes))
+        for ids, table in compared:
+            fits[np.searchsorted(places, np.flatnonzero(whole != joined(table, ids)), "right")] = False
+        numbers = np.zeros((n_units, 5), dtype=np.int64)
+        numbers[:, 4] = fits
+        if not fits.any():
+            return numbers, [b""] * n_units, [b""] * n_units
+        a_kept, b_kept = fits[a_unit], fits[b_unit]
+        a_ids, b_ids, a_unit, b_unit = a_ids[a_kept], b_ids[b_kept], a_unit[a_kept], b_unit[b_kept]
 
         a_group, b_group, first, n_links = groups_of(np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids]))
         ends_a, ends_b = np.append(a_group[1:] != a_group[:-1], True), np.append(b_group[1:] != b_group[:-1], True)
-        rank = np.concatenate((a_group * 2, b_group * 2 + 1))
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(np.concatenate((a_group * 2, b_group * 2 + 1)), kind="stable")
         n_a_names = len(self.a_sizes)
         marked = np.concatenate((a_ids + n_a_names * ends_a, 2 * n_a_names + b_ids + self.n_pieces * ends_b))
         taken = self.names.take(pa.array(marked[order]))
         offsets = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(order) + 1]
-        text = memoryview(taken.buffers()[2])
-        tokens = np.bincount(a_unit, minlength=n_units) + np.bincount(b_unit, minlength=n_units)
-        stops = offsets[np.cumsum(tokens)].tolist()
-
-        which = np.repeat(np.arange(len(a_ids)), n_links)
-        before = np.cumsum(n_links) - n_links
-        keys = a_ids[which] * self.n_pieces + b_ids[first[which] + np.arange(len(which)) - before[which]]
-        links = np.bincount(a_unit, n_links, n_units).astype(np.int64)
-        key_stops = np.cumsum(links).tolist()
-        groups = np.bincount(a_unit[ends_a], minlength=n_units)
-        columns = (
-            np.where(fits, a_counts, 0).tolist(),
-            np.where(fits, b_counts, 0).tolist(),
-            groups.tolist(),
-            links.tolist(),
-            fits.tolist(),
-            [bytes(text[a:b]) for a, b in zip([0, *stops], stops)],  # noqa: B905
-            [keys[a:b].tobytes() for a, b in zip([0, *key_stops], key_stops)],  # noqa: B905
+        text = taken.buffers()[2].to_pybytes()
+        numbers[:, 0] = np.bincount(a_unit, minlength=n_units)
+        numbers[:, 1] = np.bincount(b_unit, minlength=n_units)
+        numbers[:, 2] = np.bincount(a_unit[ends_a], minlength=n_units)
+        numbers[:, 3] = np.bincount(a_unit, n_links, n_units)
+        stops = offsets[np.cumsum(numbers[:, 0] + numbers[:, 1])].tolist()
+        links = b_ids[spread(first, n_links)]
+        keys = (np.repeat(a_ids, n_links) * self.n_pieces + links).tobytes()
+        key_stops = (8 * np.cumsum(numbers[:, 3])).tolist()
+        return (
+            numbers,
+            [text[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)],
+            [keys[a:b] for a, b in zip([0, *key_stops[:-1]], key_stops, strict=True)],
         )
-        return list(zip(*columns, strict=True))
-
-    def load(self, units: list[bytes]) -> list[tuple]:
-        """The entry of every unit; short ones are kept for the next slice, up to a number of bytes."""
-        missing = [u for u in units if u not in self.cache]
-        fresh = dict(zip(missing, self.align(missing), strict=True)) if missing else {}
-        found = [fresh[u] if u in fresh else self.cache[u] for u in units]
-        if self.cached_bytes > CACHE_BYTES:
-            self.cache.clear()
-            self.cached_bytes = 0
-        for unit, entry in fresh.items():
-            if len(unit) <= CACHED_UNIT:
-                self.cache[unit] = entry
-                self.cached_bytes += 500 + len(unit) + len(entry[5]) + len(entry[6])
-        return found
+
+    def load(self, units: list[bytes]) -> np.ndarray:
+        """The slot of every unit."""
+        if self.held_bytes > CACHE_BYTES:
+            self.clear()
+        slots = np.fromiter(map(self.slots.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            fresh = [units[place] for place in missing.tolist()]
+            numbers, texts, keys = self.align(fresh)
+            slots[missing] = np.arange(len(self.texts), len(self.texts) + len(fresh))
+            self.slots.update(zip(fresh, slots[missing].tolist(), strict=True))
+            self.numbers = np.concatenate((self.numbers, numbers))
+            self.texts += texts
+            self.keys += keys
+            self.held_bytes += sum(map(len, fresh)) + sum(map(len, texts)) + sum(map(len, keys)) + 300 * len(fresh)
+        return slots
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers `first[i]` to `first[i] + n[i] - 1` for each i, one run after another."""
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
 
 
 def joined(table: pa.Array, ids: np.ndarray) -> np.ndarray:
@@ -274,20 +342,21 @@ def add_slice(tally: Tally, aligner: Aligner, held: list[tuple[int, bytes]]) ->
     sizes = np.array([len(piece) for _, piece in held])
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    found = cuts(buffer) if aligner.models.by_unit else np.empty(0, dtype=np.int64)
-    places = np.append(np.union1d(starts, found), len(buffer)).astype(np.int64)
+    places = cuts(buffer, starts) if aligner.models.by_unit else starts
+    places = np.append(places, len(buffer)).astype(np.int64)
     units = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(buffer)]
     ).dictionary_encode()
     code = units.indices.to_numpy()
-    entries = aligner.load(units.dictionary.to_pylist())
-    *numbers, texts, keys = zip(*entries, strict=True)
+    slots = aligner.load(units.dictionary.to_pylist())
+    numbers = aligner.numbers[slots]
+    texts = [aligner.texts[slot] for slot in slots.tolist()]
+    keys = [aligner.keys[slot] for slot in slots.tolist()]
     owner = np.searchsorted(ends, places[:-1], "right")
-    for column, values in enumerate(numbers[:4]):
-        counted = np.bincount(owner, np.array(values)[code], len(held)).astype(np.int64)
-        for (text, _), n in zip(held, counted.tolist(), strict=True):
-            tally.sums[text, column] += n
-    bad = np.bincount(owner, ~np.array(numbers[4])[code], len(held)) > 0
+    text_of = np.array([text for text, _ in held], dtype=np.int64)
+    for column in range(4):
+        tally.sums[text_of, column] += np.bincount(owner, numbers[code, column], len(held)).astype(np.int64)
+    bad = np.bincount(owner, 1 - numbers[code, 4], len(held)) > 0
     written = pa.array(texts, type=pa.large_binary()).take(units.indices)
     offsets = np.frombuffer(written.buffers()[1], dtype=np.int64)[: len(code) + 1]
     data = memoryview(written.buffers()[2] or b"")
@@ -302,14 +371,12 @@ def add_slice(tally: Tally, aligner: Aligner, held: list[tuple[int, bytes]]) ->
             tally.hashes[text].update(data[edges[place] : edges[place + 1] - 1])
             tally.begun[text] = True
     # A text's links: first how often each unit occurs in it, then the links of these units.
-    pairs, times = np.unique(owner.astype(np.int64) * len(entries) + code, return_counts=True)
-    doc, unit = pairs // len(entries), pairs % len(entries)
+    pairs, times = np.unique(owner.astype(np.int64) * len(slots) + code, return_counts=True)
+    doc, unit = pairs // len(slots), pairs % len(slots)
     flat = np.frombuffer(b"".join(keys), dtype=np.int64)
-    lengths = np.array([len(k) // 8 for k in keys])
-    first = np.cumsum(lengths) - lengths
+    lengths = numbers[:, 3]
     n = lengths[unit]
-    at = np.arange(int(n.sum())) + np.repeat(first[unit] - (np.cumsum(n) - n), n)
-    text_of = np.array([text for text, _ in held], dtype=np.int64)
+    at = spread((np.cumsum(lengths) - lengths)[unit], n)
     tally.links.append(summed(np.repeat(text_of[doc], n), flat[at], np.repeat(times, n)))
 
 
