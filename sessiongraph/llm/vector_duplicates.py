@@ -19,13 +19,19 @@ from sessiongraph.session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SIMILARITY = 0.95
-# Reference points a vector is described by, and how many of them two vectors must share to be compared.
-NEAREST, SHARED = 8, 2
-# The reference points are a sample: PIVOTS_PER_ROOT times the root of the number of vectors, within PIVOT_BYTES.
-PIVOTS_PER_ROOT, LEAST_PIVOTS, PIVOT_BYTES = 2.0, 64, 16_000_000
+# How many reference points two vectors must share to be compared. How many a vector is described by is the least
+# number within NEAREST for which a pair at the threshold shares so many in RECALL of the cases, by drawn partners of
+# CALIBRATED sampled vectors.
+SHARED = 3
+NEAREST, RECALL, CALIBRATED = range(6, 13), 0.99, 512
+# The reference points are a sample: PIVOTS_PER_ROOT times the root of the number of vectors (the root whose order is
+# the number of points that name a list), within PIVOT_BYTES. Lists then have a tenth of a member on average.
+PIVOTS_PER_ROOT, LEAST_PIVOTS, PIVOT_BYTES = 15.0, 64, 16_000_000
 # Postings of one list block, and postings of one task.
 LIST_ROWS, TASK_ROWS = 2_048, 16_384
 PAIRS = 200_000
+# Bits of a reference point's number in the name of a list, by the number of points that name it.
+POINT_BITS = {2: 31, 3: 21}
 
 
 def usable(vector: Column) -> Column:
@@ -102,7 +108,7 @@ def roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
 def verifier(similarity: float, shared: int) -> Callable[[pa.Table], pa.Table]:
     """The group function: links among the postings of some lists, as counts and a spanning forest per node.
 
-    A pair is compared in the list of its two smallest common reference points only, though it meets in others.
+    A pair is compared in the list of its smallest common reference points only, though it meets in others.
     """
 
     def verify(table: pa.Table) -> pa.Table:
@@ -118,7 +124,6 @@ def verifier(similarity: float, shared: int) -> Callable[[pa.Table], pa.Table]:
         names, place = np.unique(node, return_inverse=True)
         links = np.zeros(len(names), dtype=np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        pair_base = np.int64(1) << np.int64(32)
         for i, j in pair_numbers(first, size):
             if low != high:
                 across = block[i] != block[j]
@@ -128,11 +133,13 @@ def verifier(similarity: float, shared: int) -> Callable[[pa.Table], pa.Table]:
             enough = common.sum(axis=1) >= shared
             enough &= (node[i] != node[j]) & (lengths[i] == lengths[j])
             i, j, common = i[enough], j[enough], common[enough]
-            # The two smallest common points of a pair name the list that decides on it.
-            one = common.argmax(axis=1)
-            common[np.arange(len(i)), one] = False
-            two = common.argmax(axis=1)
-            own = pivots[i, one] * pair_base + pivots[i, two] == keys[i]
+            # The smallest common points of a pair name the list that decides on it.
+            own = np.zeros(len(i), dtype=np.int64)
+            for _ in range(shared):
+                least = common.argmax(axis=1)
+                common[np.arange(len(i)), least] = False
+                own = (own << POINT_BITS[shared]) + pivots[i, least]
+            own = own == keys[i]
             i, j = i[own], j[own]
             linked = np.einsum("ij,ij->i", matrix[i], matrix[j]) >= similarity
             i, j = i[linked], j[linked]
@@ -155,40 +162,92 @@ def verifier(similarity: float, shared: int) -> Callable[[pa.Table], pa.Table]:
     return verify
 
 
-def pivot_count(n: int, width: int) -> int:
+def pivot_count(n: int, width: int, shared: int) -> int:
     """Reference points for `n` vectors of `width` components."""
-    wanted = max(LEAST_PIVOTS, math.ceil(PIVOTS_PER_ROOT * math.sqrt(n)))
-    return max(1, min(wanted, PIVOT_BYTES // (8 * max(width, 1))))
-
-
-def describe(sets: DataFrame, nearest: int = NEAREST) -> DataFrame:
+    wanted = max(LEAST_PIVOTS, math.ceil(PIVOTS_PER_ROOT * n ** (1 / shared)))
+    return max(1, min(wanted, PIVOT_BYTES // (8 * max(width, 1)), 1 << POINT_BITS[shared]))
+
+
+def nearest_needed(points: np.ndarray, sample: np.ndarray, similarity: float, shared: int, recall: float) -> int:
+    """The least number within `NEAREST` of nearest reference points with which a pair at the threshold is found in
+    `recall` of the cases; the largest if none suffices."""
+    draw = np.random.default_rng(1)
+    aside = draw.normal(size=sample.shape)
+    aside -= np.einsum("ij,ij->i", aside, sample)[:, None] * sample
+    aside /= np.maximum(np.sqrt(np.einsum("ij,ij->i", aside, aside)), 1e-12)[:, None]
+    partner = similarity * sample + math.sqrt(max(0.0, 1 - similarity**2)) * aside
+    left, right = (np.argsort(-(side @ points.T), axis=1)[:, : NEAREST[-1]] for side in (sample, partner))
+    common = left[:, :, None] == right[:, None, :]
+    for n in NEAREST:
+        if (common[:, :n, :n].sum(axis=(1, 2)) >= shared).mean() >= recall:
+            return n
+    return NEAREST[-1]
+
+
+def set_apart(rows: np.ndarray, similarity: float, block: int = 256) -> np.ndarray:
+    """The rows that are no closer to an earlier one kept than twice the angle of `similarity`.
+
+    Without this, a large group of near copies would give many of the points, and which of these are nearest says
+    nothing about its members.
+    """
+    limit = max(0.0, 2 * similarity**2 - 1) if similarity > 0 else 1.0
+    kept = rows[:0]
+    for start in range(0, len(rows), block):
+        part = rows[start : start + block]
+        if len(kept):
+            part = part[(part @ kept.T).max(axis=1) < limit]
+        close = np.triu(part @ part.T >= limit, 1)
+        free = np.ones(len(part), dtype=bool)
+        for place in range(len(part)):
+            if free[place]:
+                free &= ~close[place]
+        kept = np.concatenate((kept, part[free]))
+    return kept
+
+
+def describe(sets: DataFrame, similarity: float = SIMILARITY, shared: int = SHARED, recall: float = RECALL) -> DataFrame:
     """(node, vector, pivots) of (node, vector) rows: the ordered numbers of the nearest reference points.
 
-    The reference points are the vectors first in hash order; `pivot_count` bounds them. Vectors of other lengths than
-    theirs are padded or cut for the description alone.
+    The reference points are of the vectors first in hash order, set apart from each other; `pivot_count` bounds them.
+    Where there are fewer than `LEAST_PIVOTS`, drawn directions make up for them. Vectors of other lengths than theirs are padded or cut for the
+    description alone.
     """
     schema = sets.select("node", "vector", F.array(F.lit(0)).alias("pivots")).schema
     n, width = sets.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    chosen = sets.orderBy(F.xxhash64("vector"), "node").limit(pivot_count(n, width)).select("vector").toArrow()
-    if not chosen.num_rows:
-        return sets.select("node", "vector", F.array().cast("array<int>").alias("pivots"))
-    points, _ = units(chosen["vector"].combine_chunks())
+    n_points = pivot_count(n, width, shared)
+    first = sets.orderBy(F.xxhash64("vector"), "node").limit(2 * n_points + CALIBRATED).select("vector").toArrow()
+    if not first.num_rows:
+        return sets.select("node", "vector", F.array(F.lit(0)).alias("pivots"))
+    rows, _ = units(first["vector"].combine_chunks())
+    points, sample = set_apart(rows[: 2 * n_points], similarity)[:n_points], rows[-CALIBRATED:]
+    drawn = np.random.default_rng(0).normal(size=(max(0, LEAST_PIVOTS - len(points)), points.shape[1]))
+    points = np.concatenate((points, drawn / np.sqrt((drawn**2).sum(axis=1, keepdims=True))))
+    nearest = nearest_needed(points, sample, similarity, shared, recall)
     return sets.select("node", "vector").mapInArrow(describer(points, nearest), schema)
 
 
-def list_keys(nearest: int) -> Column:
-    """The lists of a vector: all pairs of its reference points, the smaller number first."""
-    ordered = F.sort_array("pivots")
-    at = [F.get(ordered, F.lit(k)).cast("long") for k in range(nearest)]
-    keys = F.array(*[F.shiftleft(a, 32) + b for a, b in combinations(at, 2)])
-    return F.filter(keys, lambda key: key.isNotNull())
+def lister(shared: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pass from (node, pivots) to one row (node, key) for each set of `shared` reference points of a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = batch.column(1).flatten().to_numpy().astype(np.int64).reshape(batch.num_rows, -1)
+            points = np.sort(points, axis=1)
+            chosen = np.array(list(combinations(range(points.shape[1]), shared))).reshape(-1, shared)
+            keys = np.zeros((len(points), len(chosen)), dtype=np.int64)
+            for place in range(shared):
+                keys = (keys << POINT_BITS[shared]) + points[:, chosen[:, place]]
+            nodes = np.repeat(batch.column(0).to_numpy(), len(chosen))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(keys.ravel())], names=["node", "key"])
+
+    return run
 
 
 def near_duplicate_vectors(
     df: DataFrame,
     similarity: float = SIMILARITY,
-    nearest: int = NEAREST,
     shared: int = SHARED,
+    recall: float = RECALL,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
     list_rows: int = LIST_ROWS,
@@ -201,22 +260,23 @@ def near_duplicate_vectors(
     itself included, and `kept` says whether that is the vector's own.
 
     1. Equal vectors are one node from here on, however many there are.
-    2. A node is described by its `nearest` reference points, nearest first.
-    3. Inverted lists, one per pair of reference points, retrieve all nodes that share at least two of them; `shared`
-       (2 or more) is the count that a pair needs. With some two points per root of the number of vectors, lists stay
-       short at any size. Lists with one node are dropped before vectors are sent.
+    2. A node is described by its nearest reference points, nearest first; their number is set for `recall` of the
+       pairs at the threshold (see `nearest_needed`).
+    3. Inverted lists, one per set of `shared` reference points (2 or 3), retrieve all nodes that share at least so
+       many. The number of points grows with the root of the number of vectors, so lists of vectors that are not
+       similar stay short at any size. Lists with one node are dropped before vectors are sent.
     4. Lists are dealt to tasks of about `task_rows` postings; longer ones are hashed into blocks of about `list_rows`
        and each pair of blocks is a group of its own. A task compares pairs in chunks, each pair in one list only, and
        returns link counts and a forest, never the pairs.
     5. The forests are connected.
 
-    The index is approximate: a pair just above 0.95 shares two of its eight points in 0.99 of the cases or more (see
-    the README); nothing below the threshold is linked. Vectors that are null, empty, zero or hold null or non-finite
+    The index is approximate: pairs above the threshold are found more often than those at it (see the README and the
+    test); nothing below the threshold is linked. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows without an id, link with nothing; vectors of different lengths are never linked. Rows that
     share an id are vectors of their own; equal ones link. Extra columns are not read.
     """
-    if shared < 2 or nearest < shared:
-        raise ValueError("lists are made of pairs of reference points: 2 <= shared <= nearest")
+    if shared not in POINT_BITS:
+        raise ValueError("lists are made of two or three of the nearest reference points")
     rows = df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("vector"))
     good = usable(F.col("vector")) & F.col("vec_id").isNotNull()
     # Two independent hashes stand for a vector: equal vectors meet on them.
@@ -226,9 +286,9 @@ def near_duplicate_vectors(
         F.first("vector").alias("vector"), F.min("vec_id").alias("first_id"), F.count("*").alias("copies")
     )
     sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "vector_sets")
-    described = materialize(describe(sets, nearest), "described")
+    described = materialize(describe(sets, similarity, shared, recall), "described")
 
-    postings = described.select("node", F.explode(list_keys(nearest)).alias("key"))
+    postings = described.select("node", "pivots").mapInArrow(lister(shared), "node long, key long")
     sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialize(sizes.select("key", F.ceil(F.col("n") / list_rows).cast("int").alias("blocks"), "n"), "lists")
     n_tasks = max(1, math.ceil((sizes.agg(F.sum("n")).first()[0] or 0) / task_rows))
