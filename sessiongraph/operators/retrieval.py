@@ -1,4 +1,4 @@
-"""Top-k items of the trigger's category by vector score, exact and approximate."""
+"""Top-k items of the trigger's category by vector score."""
 
 from __future__ import annotations
 
@@ -7,23 +7,18 @@ from collections.abc import Sequence
 from pyspark import cloudpickle
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessiongraph.functions import blocks
 from sessiongraph.functions.blocks import block_scorer
 from sessiongraph.functions.vectors import dot, hadamard, unit
-from sessiongraph.operators.index import running_sums_within
 from sessiongraph.operators.rankings import item_ids, mark_seen, split_by_seen
 from sessiongraph.session import materialize
 
 # The block functions travel with the plan, so the executors need no copy of this package.
 cloudpickle.register_pickle_by_value(blocks)
 
-# Fixed values of the approximate search.
-MIN_POINTS_PER_LIST = 39
-DEFAULT_PROBES = 8
 MODEL_PRODUCTS = "array<struct<item_id:bigint,score:double,rank:int>>"
 
 # Rows per block: two blocks and their score matrix stay well under 100 MB in a task.
@@ -131,7 +126,7 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("vector", unit(F.col("vector")))
 
 
-def _queries_and_pool(
+def queries_and_pool(
     triggers: DataFrame, pool: DataFrame, vectors: DataFrame, normalize: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """Distinct query vectors of the trigger items and the pool's vectors, unit length unless told not to.
@@ -149,7 +144,7 @@ def _queries_and_pool(
     return queries, pool.join(units, "item_id").select("category", "item_id", "vector")
 
 
-def _per_trigger(triggers: DataFrame, ranked: DataFrame) -> DataFrame:
+def per_trigger(triggers: DataFrame, ranked: DataFrame) -> DataFrame:
     """Give each trigger the ranking of its item: (split, exec_code, item_id, score, rank)."""
     by_item = ranked.select("category", F.col("query_id").alias("trigger_id"), "item_id", "score", "rank")
     return triggers.join(by_item, ["category", "trigger_id"]).select(
@@ -162,8 +157,8 @@ def exact_top_k(triggers: DataFrame, pool: DataFrame, vectors: DataFrame, k: int
 
     Triggers of one item share one search. A trigger without category or with an empty pool gets no rows.
     """
-    queries, candidates = _queries_and_pool(triggers, pool, vectors)
-    return _per_trigger(triggers, top_k_by_group(queries, candidates, "category", k))
+    queries, candidates = queries_and_pool(triggers, pool, vectors)
+    return per_trigger(triggers, top_k_by_group(queries, candidates, "category", k))
 
 
 def linear_top_k(
@@ -178,11 +173,11 @@ def linear_top_k(
 
     The weights are folded into the query vector, which turns the score into a dot product.
     """
-    queries, candidates = _queries_and_pool(triggers, pool, vectors, normalize=False)
+    queries, candidates = queries_and_pool(triggers, pool, vectors, normalize=False)
     weight = F.array(*[F.lit(float(w)) for w in weights])
     weighted = queries.withColumn("vector", hadamard(F.col("vector"), weight))
     ranked = top_k_by_group(weighted, candidates, "category", k)
-    return _per_trigger(triggers, ranked.withColumn("score", F.col("score") + F.lit(float(bias))))
+    return per_trigger(triggers, ranked.withColumn("score", F.col("score") + F.lit(float(bias))))
 
 
 def _kept_bits(score: Column) -> Column:
@@ -198,7 +193,7 @@ def pairwise_top_k(triggers: DataFrame, pool: DataFrame, vectors: DataFrame, k:
     category of any size is spread over many tasks, and the k best rows per query of a task are kept
     before anything is shuffled.
     """
-    queries, candidates = _queries_and_pool(triggers, pool, vectors)
+    queries, candidates = queries_and_pool(triggers, pool, vectors)
     query_side, pool_side = _block_pairs(queries, candidates, "category", QUERY_BLOCK, POOL_BLOCK)
     same = (
         (F.col("category") == F.col("of_group"))
@@ -208,92 +203,7 @@ def pairwise_top_k(triggers: DataFrame, pool: DataFrame, vectors: DataFrame, k:
     score = _kept_bits(dot(F.col("vector"), F.col("item_vector"))).alias("score")
     scored = query_side.join(pool_side, same & (F.col("item_id") != F.col("query_id")))
     scored = scored.select("category", "query_id", "item_id", score)
-    return _per_trigger(triggers, keep_best(scored, ["category", "query_id"], k))
-
-
-def list_count_column(size: Column) -> Column:
-    """Number of inverted lists for a pool: about 4 sqrt(n), with at least 39 items per list."""
-    per_points = F.floor(size / F.lit(MIN_POINTS_PER_LIST))
-    return F.greatest(F.lit(1), F.least(per_points, F.floor(F.lit(4) * F.sqrt(size)))).cast("long")
-
-
-def train_lists(pool: DataFrame, iterations: int = 10, seed: int = 42) -> DataFrame:
-    """(category, item_id, vector): the list centers of every category, `item_id` being the list id.
-
-    Spherical k-means of all categories at once over all pool items. Start centers are the first items
-    in hash order; they come from a running count that spreads a large category over many tasks. An
-    iteration assigns items with the block search and averages them with a map-side combining
-    aggregate; the small center table is stored after each.
-    """
-    sizes = materialize(
-        pool.groupBy("category")
-        .agg(F.count("*").alias("size"))
-        .select("category", list_count_column(F.col("size")).alias("lists")),
-        "pool_sizes",
-    )
-    ids = pool.select("category", "item_id", F.lit(1).alias("one"))
-    placed = running_sums_within(ids, ["category"], [F.xxhash64("item_id", F.lit(seed)), F.col("item_id")], ["one"])
-    first = placed.join(sizes, "category").where(F.col("before_one") < F.col("lists"))
-    centers = materialize(
-        first.select("category", "item_id", F.col("before_one").cast("long").alias("list_id"))
-        .join(pool, ["category", "item_id"])
-        .select("category", F.col("list_id").alias("item_id"), "vector"),
-        "centers",
-    )
-    for _ in range(iterations):
-        members = assign_lists(pool, centers)
-        means = members.groupBy("category", "list_id").agg(
-            Summarizer.mean(array_to_vector("vector")).alias("mean")
-        )
-        centers = materialize(
-            means.select(
-                "category", F.col("list_id").alias("item_id"), unit(vector_to_array("mean")).alias("vector")
-            )
-        )
-    return centers
-
-
-def assign_lists(pool: DataFrame, centers: DataFrame) -> DataFrame:
-    """(category, item_id, list_id, vector): each pool item with its nearest list."""
-    queries = pool.select("category", F.col("item_id").alias("query_id"), "vector")
-    nearest = top_k_by_group(queries, centers, "category", 1, exclude_self=False).select(
-        "category", F.col("query_id").alias("item_id"), F.col("item_id").alias("list_id")
-    )
-    return pool.join(nearest, ["category", "item_id"])
-
-
-def approximate_top_k(
-    triggers: DataFrame,
-    pool: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    probes: int = DEFAULT_PROBES,
-    iterations: int = 10,
-    seed: int = 42,
-) -> DataFrame:
-    """Top-k from the `probes` nearest inverted lists; exact where a category has no more lists than that.
-
-    All three steps (assigning items, choosing lists, scoring inside the lists) use the block search.
-    """
-    queries, candidates = _queries_and_pool(triggers, pool, vectors)
-    candidates = materialize(candidates, "pool_vectors")
-    centers = train_lists(candidates, iterations, seed)
-    list_key = F.concat_ws("#", "category", F.col("list_id").cast("string")).alias("list_key")
-    lists = assign_lists(candidates, centers).select(list_key, "item_id", "vector")
-    probed = (
-        top_k_by_group(queries, centers, "category", probes, exclude_self=False)
-        .select("category", "query_id", F.col("item_id").alias("list_id"))
-        .join(queries, ["category", "query_id"])
-    )
-    found = top_k_by_group(probed.select(list_key, "query_id", "vector"), lists, "list_key", k)
-    best = keep_best(
-        found.join(queries.select("category", "query_id"), "query_id").select(
-            "category", "query_id", "item_id", "score"
-        ),
-        ["category", "query_id"],
-        k,
-    )
-    return _per_trigger(triggers, best)
+    return per_trigger(triggers, keep_best(scored, ["category", "query_id"], k))
 
 
 def parity(found: DataFrame, reference: DataFrame, tolerance: float = 1e-5) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessiongraph.operators import coview, evaluation, index, labels, rankings, retrieval, sessions
+from sessiongraph.operators import coview, evaluation, index, inverted_lists, labels, rankings, retrieval, sessions
 from sessiongraph.session import materialize
 from sessiongraph.sources import behavior, entities
 
@@ -52,7 +52,9 @@ class Settings:
     seed: int = 42
     ranking_splits: tuple[str, ...] = ("train", "val", "test")
     approximate: bool = False
-    probes: int = retrieval.DEFAULT_PROBES
+    probes: int | None = None
+    list_recall: float = inverted_lists.DEFAULT_RECALL
+    bounded: bool = False
     min_recall: float | None = None
     compare_with_exact: bool = False
     parity_tolerance: float = 1e-5
@@ -207,12 +209,14 @@ class Chain:
     @staged
     def approximate_rows(self) -> DataFrame:
         chosen = self.settings
-        return retrieval.approximate_top_k(
+        return inverted_lists.approximate_top_k(
             self.graph_triggers,
             self.pool,
             self.vectors,
             chosen.top_k,
             chosen.probes,
+            chosen.list_recall,
+            chosen.bounded,
             seed=chosen.seed,
         )
 

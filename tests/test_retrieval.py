@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from sessiongraph.operators import retrieval
+from sessiongraph.operators import inverted_lists, retrieval
 
 
 def vectors(spark, n=90, dim=8, seed=0):
@@ -40,7 +40,7 @@ def brute(x, category, k):
 @pytest.mark.parametrize("query_block,pool_block", [(3, 4), (1000, 1000)])
 def test_block_search_matches_brute_force(spark, query_block, pool_block):
     x, category, table, triggers, pool = setting(spark)
-    queries, candidates = retrieval._queries_and_pool(triggers, pool, table)
+    queries, candidates = retrieval.queries_and_pool(triggers, pool, table)
     found = retrieval.top_k_by_group(
         queries, candidates, "category", 5, query_block=query_block, pool_block=pool_block
     )
@@ -62,18 +62,22 @@ def test_exact_top_k_and_parity(spark):
 def test_list_count_column(spark):
     sizes = {1: 1, 39: 1, 100: 2, 2048: 52, 1_000_000: 4000}
     df = spark.createDataFrame([(n,) for n in sizes], "n long")
-    found = dict(rows(df.select("n", retrieval.list_count_column(F.col("n")))))
+    found = dict(rows(df.select("n", inverted_lists.list_count_column(F.col("n")))))
     assert found == sizes
 
 
 def test_approximate_search(spark):
     x, category, table, triggers, pool = setting(spark, 300)
     exact = retrieval.exact_top_k(triggers, pool, table, 5).cache()
-    every = retrieval.approximate_top_k(triggers, pool, table, 5, probes=100, iterations=2)
+    every = inverted_lists.approximate_top_k(triggers, pool, table, 5, probes=100, iterations=2)
     assert rows(every, "exec_code", "rank", "item_id") == rows(exact, "exec_code", "rank", "item_id")
-    one = retrieval.approximate_top_k(triggers, pool, table, 5, probes=1)
+    one = inverted_lists.approximate_top_k(triggers, pool, table, 5, probes=1)
     measured = retrieval.recall_against_exact(triggers, one, exact).first()
     assert 0.2 < measured.mean_recall < 1.0
+    bounded = inverted_lists.approximate_top_k(triggers, pool, table, 5, probes=1, bounded=True, iterations=2)
+    assert rows(bounded, "exec_code", "rank", "item_id") == rows(exact, "exec_code", "rank", "item_id")
+    calibrated = inverted_lists.approximate_top_k(triggers, pool, table, 5, recall=0.9)
+    assert retrieval.recall_against_exact(triggers, calibrated, exact).first().mean_recall > 0.85
     assert retrieval.recall_against_exact(triggers, exact, exact).first().mean_recall == 1.0
     half = exact.where("rank <= 2")
     recall = retrieval.recall_against_exact(triggers, half, exact).first()
@@ -112,3 +116,24 @@ def test_small_scores_keep_their_order(spark):
         ranks.append(sorted((r["exec_code"], r["rank"], r["item_id"]) for r in found.collect()))
     assert ranks[0] == ranks[1]
     assert {r[2] for r in ranks[1]} == {4, 5, 6}
+
+
+def test_bounds_close_lists_of_clustered_vectors(spark):
+    """Tight clusters: few lists stay open, and what they hold is the exact answer."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(12, 16)) * 5
+    x = np.concatenate([c + 0.1 * rng.normal(size=(60, 16)) for c in centers])
+    data = [(i, [float(v) for v in row], "c") for i, row in enumerate(x)]
+    table = spark.createDataFrame(data, "item_id long, vector array<double>, category string")
+    triggers = table.selectExpr("'s' as split", "item_id as exec_code", "item_id as trigger_id", "category")
+    pool = table.select("category", "item_id")
+    queries, candidates = retrieval.queries_and_pool(triggers, pool, table)
+    members, lists = inverted_lists.build_lists(candidates, iterations=8)
+    assert members.count() == len(x) and rows(members, "item_id") == [(i,) for i in range(len(x))]
+    n_lists = lists.count()
+    asked = queries.withColumn("probes", F.lit(2)).withColumn("least", F.lit(0.99))
+    opened = inverted_lists._choose(asked, lists).count()
+    assert opened < 0.3 * n_lists * len(x)
+    found = inverted_lists.approximate_top_k(triggers, pool, table, 7, probes=1, bounded=True)
+    exact = retrieval.exact_top_k(triggers, pool, table, 7)
+    assert rows(found, "exec_code", "rank", "item_id") == rows(exact, "exec_code", "rank", "item_id")
