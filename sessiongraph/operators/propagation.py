@@ -1,61 +1,151 @@
-"""Neighborhood aggregation of node vectors over the graph."""
+"""Neighborhood aggregation of node vectors over the graph, as a product of blocks."""
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessiongraph.functions.blocks import matrix
+from sessiongraph.functions.vectors import as_double
 from sessiongraph.session import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def _with_loops(edges: DataFrame, nodes: DataFrame, weighted: bool) -> DataFrame:
-    weight = F.col("weight").cast("double") if weighted else F.lit(1.0)
-    loops = nodes.select(
-        F.col("node_idx").alias("src"), F.col("node_idx").alias("dst"), F.lit(1.0).alias("w")
+# Nodes of a block, and edges of a task: one block of vectors meets so many edges out of it.
+NODE_BLOCK = 4_096
+EDGE_CHUNK = 65_536
+# Numbers held for a slice of the edges while they are added up.
+SLICE_NUMBERS = 4_000_000
+_PARTIAL = pa.schema([("node_idx", pa.int64()), ("total", pa.list_(pa.float64())), ("n", pa.int64())])
+
+
+def block_product(edges: pa.Table, features: pa.Table) -> pa.Table:
+    """Cogroup of edges (src, dst, w) with the vectors of their sources: per target the weighted sum and the number.
+
+    Edges are added up in slices in the order of their targets. Edges whose source has no vector are left out.
+    """
+    if not (edges.num_rows and features.num_rows):
+        return pa.table([[], [], []], schema=_PARTIAL)
+    nodes = features["node_idx"].to_numpy()
+    by_node = np.argsort(nodes)
+    src = edges["src"].to_numpy()
+    at = by_node[np.minimum(np.searchsorted(nodes, src, sorter=by_node), len(nodes) - 1)]
+    order = np.argsort(edges["dst"].to_numpy(), kind="stable")
+    order = order[nodes[at[order]] == src[order]]
+    dst, weight, at = edges["dst"].to_numpy()[order], edges["w"].to_numpy()[order], at[order]
+    vectors = matrix(features["vector"])
+    targets, place, counts = np.unique(dst, return_inverse=True, return_counts=True)
+    totals = np.zeros((len(targets), vectors.shape[1]))
+    step = max(1, SLICE_NUMBERS // max(vectors.shape[1], 1))
+    for start in range(0, len(dst), step):
+        part = slice(start, start + step)
+        into, first = np.unique(place[part], return_index=True)
+        totals[into] += np.add.reduceat(vectors[at[part]] * weight[part, None], first, axis=0)
+    return pa.table([targets, list(totals), counts], schema=_PARTIAL)
+
+
+def blocked_edges(edges: DataFrame, node_block: int = NODE_BLOCK, edge_chunk: int = EDGE_CHUNK) -> DataFrame:
+    """(src, dst, w, block, chunk, chunks), stored: edges by block of their source, large blocks in hashed chunks.
+
+    A source with very many edges fills several chunks, each a task of its own.
+    """
+    placed = edges.withColumn("block", F.floor(F.col("src") / F.lit(node_block)))
+    sizes = placed.groupBy("block").agg(F.ceil(F.count("*") / F.lit(edge_chunk)).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("src", "dst"), F.col("chunks")).cast("int").alias("chunk")
+    return materialize(
+        placed.join(materialize(sizes, "edge_blocks"), "block").select("src", "dst", "w", "block", chunk, "chunks"),
+        "blocked_edges",
     )
-    return edges.select("src", "dst", weight.alias("w")).unionByName(loops)
 
 
-def _gather(messages: DataFrame, vectors: DataFrame, summary: Column) -> DataFrame:
-    """Join each message with its source vector and summarize per target.
+def _sums(blocked: DataFrame, vectors: DataFrame, node_block: int = NODE_BLOCK) -> DataFrame:
+    """(node_idx, total, n): partial sums per target over all blocks of sources.
 
-    The vector aggregate combines on the map side, so a node with very many neighbors sends a few
-    partial vectors instead of all of them.
+    A block of vectors goes to each chunk of its edges; edges travel as three numbers and never meet a vector in a
+    join. Targets with very many edges come out of each chunk as one partial row.
     """
-    sources = vectors.select(
-        F.col("node_idx").alias("src"), array_to_vector(F.col("vector").cast("array<double>")).alias("vec")
+    chunks = blocked.groupBy("block").agg(F.max("chunks").alias("chunks"))
+    sources = vectors.select("node_idx", as_double(F.col("vector")).alias("vector")).withColumn(
+        "of_block", F.floor(F.col("node_idx") / F.lit(node_block))
+    )
+    sent = sources.join(chunks, F.col("of_block") == F.col("block")).select(
+        "of_block",
+        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("of_chunk"),
+        "node_idx",
+        "vector",
+    )
+    return (
+        blocked.groupBy("block", "chunk")
+        .cogroup(sent.groupBy("of_block", "of_chunk"))
+        .applyInArrow(block_product, "node_idx long, total array<double>, n long")
+    )
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    """(node_idx, total, n) added up per node; vectors combine on the map side."""
+    return rows.groupBy("node_idx").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"), F.sum("n").alias("n")
     )
-    return messages.join(sources, "src").groupBy(F.col("dst").alias("node_idx")).agg(
-        vector_to_array(summary).alias("vector")
+
+
+def _scaled(vector: Column, factor: Column) -> Column:
+    return F.transform(as_double(vector), lambda x: x * factor)
+
+
+def _degrees(blocked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_idx, scale): one over the root of each node's weight with its self-loop."""
+    weights = blocked.select(F.col("dst").alias("node_idx"), "w").unionByName(
+        nodes.select("node_idx", F.lit(1.0).alias("w"))
     )
+    return weights.groupBy("node_idx").agg((1 / F.sqrt(F.sum("w"))).alias("scale"))
+
+
+def _hop(blocked: DataFrame, scales: DataFrame, vectors: DataFrame) -> DataFrame:
+    own = vectors.join(scales, "node_idx").select("node_idx", _scaled(F.col("vector"), F.col("scale")).alias("vector"))
+    loops = own.select("node_idx", F.col("vector").alias("total"), F.lit(1).cast("long").alias("n"))
+    return (
+        _added(_sums(blocked, own).unionByName(loops))
+        .join(scales, "node_idx")
+        .select("node_idx", _scaled(F.col("total"), F.col("scale")).alias("vector"))
+    )
+
+
+def _weighted(edges: DataFrame, weighted: bool) -> DataFrame:
+    weight = F.col("weight").cast("double") if weighted else F.lit(1.0)
+    return blocked_edges(edges.select("src", "dst", weight.alias("w")))
 
 
 def normalized_sum(edges: DataFrame, vectors: DataFrame, weighted: bool = False) -> DataFrame:
     """Symmetric-normalized neighborhood sum with self-loops: D^-1/2 (A + I) D^-1/2 X.
 
-    `edges` is (src, dst[, weight]) with both directions present, `vectors` is (node_idx, vector).
+    `edges` is (src, dst[, weight]) with both directions present, `vectors` is (node_idx, vector). The scaling is done
+    on the vectors before and after the product, so edges are never joined with degrees.
     """
-    full = _with_loops(edges, vectors, weighted)
-    degrees = full.groupBy("dst").agg(F.sum("w").alias("degree"))
-    at_source = degrees.select(F.col("dst").alias("src"), F.col("degree").alias("src_degree"))
-    messages = full.join(degrees, "dst").join(at_source, "src").select(
-        "src", "dst", (F.col("w") / F.sqrt(F.col("degree") * F.col("src_degree"))).alias("coef")
-    )
-    return _gather(messages, vectors, Summarizer.sum(F.col("vec"), F.col("coef")))
+    return propagate(edges, vectors, 1, weighted)
 
 
 def neighbor_mean(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     """Mean of the neighbors' vectors; nodes without neighbors are absent."""
-    return _gather(edges.select("src", "dst"), vectors, Summarizer.mean(F.col("vec")))
+    sums = _added(_sums(_weighted(edges, False), vectors))
+    return sums.select("node_idx", _scaled(F.col("total"), 1 / F.col("n")).alias("vector"))
 
 
 def propagate(edges: DataFrame, vectors: DataFrame, hops: int, weighted: bool = False) -> DataFrame:
-    """`normalized_sum` repeated; each hop but the last is materialized, so plans do not pile up."""
+    """`normalized_sum` repeated over the same blocked edges; each hop but the last is stored, so plans do not pile up."""
     current = vectors.select("node_idx", "vector")
+    if not hops:
+        return current
+    blocked = _weighted(edges, weighted)
+    scales = materialize(_degrees(blocked, vectors), "scales")
     for hop in range(hops):
-        current = normalized_sum(edges, current, weighted)
+        current = _hop(blocked, scales, current)
         if hop + 1 < hops:
-            current = materialize(current)
+            current = materialize(current, "hop")
     return current

@@ -267,6 +267,23 @@ VIEWS: dict[str, str] = {
              and a.item_id < b.item_id
         join g_basket_nodes x on x.item_id = a.item_id join g_basket_nodes y on y.item_id = b.item_id
         where a.split = 'train'""",
+    "g_basket_cells": """
+        select n.node_idx, month(l_shipdate)::int - 1 as dim, count(*)::double as x
+        from lineitem join g_basket_nodes n on n.item_id = l_partkey group by all""",
+    "g_basket_sym": "select src, dst from g_basket_edges union all select dst, src from g_basket_edges",
+    "g_basket_coef": """
+        select l.src, l.dst, 1.0 / sqrt(a.degree * b.degree) as w
+        from (select src, dst from g_basket_sym union all select node_idx, node_idx from g_basket_nodes) l
+        join (select node_idx, 1 + count(s.dst) as degree from g_basket_nodes left join g_basket_sym s on s.dst = node_idx
+              group by 1) a on a.node_idx = l.src
+        join (select node_idx, 1 + count(s.dst) as degree from g_basket_nodes left join g_basket_sym s on s.dst = node_idx
+              group by 1) b on b.node_idx = l.dst""",
+    "g_basket_hop1": """
+        select c.dst as node_idx, x.dim, sum(c.w * x.x) as x from g_basket_coef c
+        join g_basket_cells x on x.node_idx = c.src group by all""",
+    "g_basket_hop2": """
+        select c.dst as node_idx, x.dim, sum(c.w * x.x) as x from g_basket_coef c
+        join g_basket_hop1 x on x.node_idx = c.src group by all""",
     "g_classes": """
         select vec_id as row_id, cast(embedding as double[]) as scores, label as target,
                vec_id % 4 <> 0 as mask from embeddings""",

@@ -226,3 +226,33 @@ def _(c: Run) -> DataFrame:
 @query("i3_two_hops", "select node_idx, dim, round(x, 6) as x from g_hop2")
 def _(c: Run) -> DataFrame:
     return _cells(propagation.propagate(_symmetric(c), c.features, hops=2))
+
+
+def _nonzero_cells(vectors: DataFrame) -> DataFrame:
+    cells = vectors.select("node_idx", F.posexplode("vector").alias("dim", "x"))
+    return cells.where(F.col("x") != 0)
+
+
+def _basket_graph(c: Run) -> DataFrame:
+    return coview.symmetric_edges(c.basket_edges.select("src", "dst"))
+
+
+@query("i1_normalized_sum_of_baskets", "select node_idx, dim, round(x, 6) as x from g_basket_hop1")
+def _(c: Run) -> DataFrame:
+    """Over the items of all orders, whose number grows with the folder."""
+    return _nonzero_cells(propagation.normalized_sum(_basket_graph(c), c.basket_features))
+
+
+@query(
+    "i2_neighbor_mean_of_baskets",
+    """select dst as node_idx, dim, round(sum(x) / degree, 6) as x
+       from (select s.dst, s.src, count(*) over (partition by s.dst) as degree from g_basket_sym s) e
+       join g_basket_cells c on c.node_idx = e.src group by dst, dim, degree""",
+)
+def _(c: Run) -> DataFrame:
+    return _nonzero_cells(propagation.neighbor_mean(_basket_graph(c), c.basket_features))
+
+
+@query("i3_two_hops_of_baskets", "select node_idx, dim, round(x, 6) as x from g_basket_hop2")
+def _(c: Run) -> DataFrame:
+    return _nonzero_cells(propagation.propagate(_basket_graph(c), c.basket_features, hops=2))

@@ -79,12 +79,23 @@ class Run(Chain):
     def baskets(self) -> DataFrame:
         return fixtures.baskets(self.spark, self.location)
 
+    @cached_property
+    def basket_nodes(self) -> DataFrame:
+        return materialize(index.dense_index(self.baskets, "item_id", "node_idx"), "basket_nodes")
+
+    @cached_property
+    def basket_features(self) -> DataFrame:
+        """(node_idx, vector): how many lines of each item were shipped in each month of the year."""
+        months = fixtures.shipped_months(self.spark, self.location)
+        per_month = [F.count_if(F.col("month") == m).cast("double") for m in range(1, 13)]
+        counts = months.groupBy("item_id").agg(F.array(*per_month).alias("vector"))
+        return counts.join(self.basket_nodes, "item_id").select("node_idx", "vector")
+
     @cached_property
     def basket_edges(self) -> DataFrame:
         """Train edges of the baskets by node index: the large graph of the folder."""
-        nodes = index.dense_index(self.baskets, "item_id", "node_idx")
         train = coview.edges_of(coview.co_view_edges(self.baskets), "train")
-        return materialize(coview.remap_edges(train, nodes).select("src", "dst", "weight"), "basket_edges")
+        return materialize(coview.remap_edges(train, self.basket_nodes).select("src", "dst", "weight"), "basket_edges")
 
     @cached_property
     def sample(self) -> DataFrame:

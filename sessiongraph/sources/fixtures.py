@@ -171,6 +171,13 @@ def baskets(spark: SparkSession, location: str) -> DataFrame:
     )
 
 
+def shipped_months(spark: SparkSession, location: str) -> DataFrame:
+    """(item_id, month) of every order line."""
+    return load(spark, location, "lineitem").select(
+        F.col("l_partkey").alias("item_id"), F.month("l_shipdate").alias("month")
+    )
+
+
 def class_scores(spark: SparkSession, location: str) -> DataFrame:
     """(row_id, scores, target, mask): the vector entries taken as class scores."""
     return load(spark, location, "embeddings").select(

@@ -126,6 +126,33 @@ def test_propagation_matches_the_matrix_form(spark):
     assert np.allclose(means[0], (x[1] + x[2]) / 2)
 
 
+def test_propagation_in_small_blocks(spark, monkeypatch):
+    """A hub with edges from and to all nodes, cut into blocks of nodes, chunks of edges and slices."""
+    n, dim = 60, 4
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, dim))
+    pairs = [(0, i) for i in range(1, n)] + [(int(a), int(b)) for a, b in rng.integers(1, n, (80, 2)) if a != b]
+    both = [(a, b, float(1 + (a + b) % 3)) for a, b in pairs] + [(b, a, float(1 + (a + b) % 3)) for a, b in pairs]
+    edges = spark.createDataFrame(both, "src long, dst long, weight double")
+    vectors = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(n)], "node_idx long, vector array<double>")
+    monkeypatch.setattr(propagation, "SLICE_NUMBERS", 12)
+    blocked = propagation.blocked_edges(edges.withColumnRenamed("weight", "w"), node_block=16, edge_chunk=20)
+    assert blocked.where("block = 0").select("chunk").distinct().count() > 2
+    sums = propagation._added(propagation._sums(blocked, vectors, node_block=16))
+    a = np.zeros((n, n))
+    for s, d, w in both:
+        a[d, s] += w
+    found = {r.node_idx: (r.total, r.n) for r in sums.collect()}
+    degree = np.bincount([d for _, d, _ in both], minlength=n)
+    for node, (total, count) in found.items():
+        assert np.allclose(total, (a @ x)[node]) and count == degree[node]
+    assert sorted(found) == np.flatnonzero(degree).tolist()
+    full = a + np.eye(n)
+    scale = np.diag(1 / np.sqrt(full.sum(axis=1)))
+    hops = propagation.propagate(edges, vectors, 3, weighted=True).orderBy("node_idx").collect()
+    assert np.allclose([r.vector for r in hops], np.linalg.matrix_power(scale @ full @ scale, 3) @ x)
+
+
 def test_node_features_fill_with_zeros(spark):
     nodes = spark.createDataFrame([(7, 0), (8, 1)], "item_id long, node_idx long")
     vectors = spark.createDataFrame([(8, [1.0, 2.0])], "item_id long, vector array<float>")
