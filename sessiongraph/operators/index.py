@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessiongraph.functions import scans
 from sessiongraph.session import materialize, shuffle_partitions
 
+# The scan travels with the plan, so the executors need no copy of this package.
+cloudpickle.register_pickle_by_value(scans)
+
 # Levels above the rows; 3 levels of 20 bits leave at most 16 values on top of a 64-bit id.
 LEVELS = 3
 
@@ -63,100 +68,47 @@ def dense_index(
     )
 
 
-def _range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """`df` range-partitioned by `order` with its partition number `_part`, stored in the shared folder."""
-    n = shuffle_partitions(df.sparkSession)
-    return materialize(
-        df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "range_sorted"
-    )
-
-
-def _placed(ordered: DataFrame, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
-    """Add `before_<c>` to a range-sorted table.
-
-    Partition totals (one row per partition of the range sort, so small enough for one task and for a
-    broadcast) give each partition its offset; a window inside the partition does the rest.
-    """
-    totals = ordered.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    offsets = totals.select("_part", *[_before(f"_t_{c}", [], "_part").alias(f"_o_{c}") for c in sums])
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    running = ordered.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_r_{c}") for c in sums])
-    return running.join(F.broadcast(offsets), "_part").select(
-        *ordered.columns, *[(F.col(f"_r_{c}") + F.col(f"_o_{c}")).alias(f"before_{c}") for c in sums]
-    )
-
-
-def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
-    """Add `before_<c>` for each column c of `sums`: its sum over all rows that sort earlier.
-
-    Rows must be unique under `order`, which may mix types and directions.
-    """
-    return _placed(_range_sorted(df, order), order, sums).drop("_part")
-
-
-def running_sums_within(
-    df: DataFrame,
-    within: Sequence[str],
-    order: Sequence[Column],
-    sums: Sequence[str],
-    hot_group_rows: int = 1_000_000,
+def running_sums(
+    df: DataFrame, order: Sequence[Column], sums: Sequence[str], within: Sequence[str] = ()
 ) -> DataFrame:
-    """`running_sums` restarted for each `within` group.
+    """Add `before_<c>` for each whole-number column c of `sums`: its sum over all rows that sort earlier, in the same
+    `within` group if there are any.
 
-    Groups of up to `hot_group_rows` rows are summed in one window each. Larger ones, found by a
-    counting pass beforehand, are summed over a global range sort instead.
+    Rows must be unique under `order` in their group; `order` may mix types and directions. Rows are sorted by group
+    and order over ranges, so groups of any size are spread over partitions, and are summed up in the stage that sorts
+    them. What a partition's first group has in partitions before it is added when the stored rows are read: one row
+    per partition.
     """
     within = list(within)
-    hot = materialize(
-        df.groupBy(*within).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_group_rows).drop("_n"),
-        "hot_groups",
-    )
-    one_window = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-
-    def by_window(rows: DataFrame) -> DataFrame:
-        return rows.select("*", *[F.coalesce(F.sum(c).over(one_window), F.lit(0)).alias(f"before_{c}") for c in sums])
-
-    if hot.isEmpty():
-        return by_window(df)
-    usual = by_window(df.join(hot, within, "left_anti"))
-    return usual.unionByName(_sums_over_range_sort(df.join(hot, within, "left_semi"), within, order, sums))
-
-
-def _sums_over_range_sort(
-    df: DataFrame, within: list[str], order: Sequence[Column], sums: Sequence[str]
-) -> DataFrame:
-    """Running sums within groups of any size.
-
-    The sort is global, by group and order, so a group is spread over many partitions and is never
-    brought together. The value at the start of a group is subtracted. A group inside one partition
-    finds it there; a group that crosses partitions is the first or last of each of them, so at most
-    two groups per partition are looked up in a small broadcast table.
-    """
+    n = shuffle_partitions(df.sparkSession)
     full_order = [*[F.col(c) for c in within], *order]
-    ordered = _range_sorted(df, full_order)
-    placed = _placed(ordered, full_order, sums)
-
-    key = F.struct(*within)
-    edges = ordered.groupBy("_part").agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    crossing = edges.select(F.explode(F.array("low", "high")).alias("k")).select("k.*").distinct()
-    starts = (
-        placed.join(F.broadcast(crossing), within, "left_semi")
-        .groupBy(*within)
-        .agg(*[F.min(f"before_{c}").alias(f"_s_{c}") for c in sums])
+    added = ["_part int", "_pos long", *[f"_r_{c} long" for c in sums]]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], *added])
+    scan = scans.running_sums(within, list(sums), df.columns)
+    stored = materialize(
+        df.repartitionByRange(n, *full_order).sortWithinPartitions(*full_order).mapInArrow(scan, schema), "summed"
+    )
+    key = F.struct(F.lit(0).alias("_all"), *within)
+    tails = stored.groupBy("_part").agg(
+        F.min_by(key, "_pos").alias("low"),
+        F.max_by(key, "_pos").alias("high"),
+        *[F.max_by(F.col(f"_r_{c}") + F.col(c), "_pos").alias(f"_t_{c}") for c in sums],
     )
-    # The value grows along the order, so a running minimum gives the first one without buffering the group.
-    local = (
-        Window.partitionBy("_part", *within)
-        .orderBy(*full_order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A group that goes on covers whole partitions in a row, so its sums up to a partition are those of its tails.
+    of_group = Window.partitionBy("high").orderBy("_part")
+    upto = of_group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tails = tails.select("*", *[F.sum(f"_t_{c}").over(upto).alias(f"_u_{c}") for c in sums])
+    in_order = Window.orderBy("_part")
+    goes_on = F.lag("high").over(in_order) == F.col("low")
+    carried = tails.select(
+        F.col("_part").alias("_of"),
+        F.col("low").alias("_low"),
+        *[F.when(goes_on, F.lag(f"_u_{c}").over(in_order)).alias(f"_c_{c}") for c in sums],
     )
-    with_local = placed.select("*", *[F.min(f"before_{c}").over(local).alias(f"_l_{c}") for c in sums])
-    return with_local.join(F.broadcast(starts), within, "left").select(
-        *df.columns,
-        *[
-            (F.col(f"before_{c}") - F.coalesce(F.col(f"_s_{c}"), F.col(f"_l_{c}"))).alias(f"before_{c}")
-            for c in sums
-        ],
+    carried = F.broadcast(carried.where(" or ".join(f"`_c_{c}` is not null" for c in sums)))
+    same = (F.col("_part") == F.col("_of")) & key.eqNullSafe(F.col("_low"))
+    return stored.join(carried, same, "left").select(
+        *df.columns, *[(F.col(f"_r_{c}") + F.coalesce(f"_c_{c}", F.lit(0))).alias(f"before_{c}") for c in sums]
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessiongraph.operators.index import running_sums, running_sums_within
+from sessiongraph.operators.index import running_sums
 
 # Fixed value: scores are logits, so this is where the sigmoid crosses one half.
 DEFAULT_THRESHOLD = 0.0
@@ -35,7 +35,7 @@ def score_ladder(pairs: DataFrame) -> DataFrame:
 def group_ladder(pairs: DataFrame) -> DataFrame:
     """`score_ladder` inside each group."""
     counts = score_counts(pairs, ["group_id"])
-    return running_sums_within(counts, ["group_id"], [F.col("score").desc()], ["n_neg"])
+    return running_sums(counts, [F.col("score").desc()], ["n_neg"], ["group_id"])
 
 
 def _reached(k: int) -> Column:

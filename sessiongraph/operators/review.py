@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessiongraph.operators.index import running_sums_within
+from sessiongraph.operators.index import running_sums
 from sessiongraph.operators.rankings import item_ids
 
 # Sample size and seed of the review page, and the multiplier and modulus of its order.
@@ -136,7 +136,7 @@ def first_occurrence(owners: DataFrame, session_views: DataFrame) -> DataFrame:
     """
     concerned = session_views.join(owners.select(*SESSION).distinct(), SESSION, "left_semi")
     counted = concerned.groupBy(*SESSION, "emitted", "item_id").agg(F.count("*").alias("n"))
-    placed = running_sums_within(counted, SESSION, [F.col("emitted"), F.col("item_id")], ["n"])
+    placed = running_sums(counted, [F.col("emitted"), F.col("item_id")], ["n"], SESSION)
     first = placed.groupBy(*SESSION, F.col("item_id").alias("trigger_id")).agg(
         F.min("before_n").alias("first_index")
     )

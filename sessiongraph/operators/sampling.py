@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessiongraph.functions.draws import draw
 from sessiongraph.operators.coview import canonical_pair
-from sessiongraph.operators.index import ordered_rows, running_sums, running_sums_within
-from sessiongraph.session import materialize
+from sessiongraph.operators.index import ordered_rows, running_sums
 
 # Fixed value: negatives kept per positive.
 DEFAULT_RATIO = 5
@@ -26,7 +23,7 @@ def cap_negatives(
     """
     quota = positives.groupBy(*group).agg((F.count("*") * ratio).alias("_quota"))
     wanted = negatives.join(quota, group).withColumn("_one", F.lit(1))
-    placed = running_sums_within(wanted, group, [F.col(c) for c in order], ["_one"])
+    placed = running_sums(wanted, [F.col(c) for c in order], ["_one"], group)
     return placed.where(F.col("before__one") < F.col("_quota")).select(*negatives.columns)
 
 
@@ -57,46 +54,67 @@ def _owned(rows: DataFrame) -> tuple[list[Column], list[str]]:
     return [F.col(c).alias(f"for_{c}") for c in rows.columns], [f"for_{c}" for c in rows.columns]
 
 
-def random_non_edges(
-    positives: DataFrame, nodes: DataFrame, known: DataFrame, rounds: int = 3, seed: int = 42
-) -> DataFrame:
+def _pair_number(lo: Column, hi: Column, n_nodes: int) -> Column:
+    """The place of a pair lo < hi among all pairs of `n_nodes` nodes in ascending order."""
+    return lo * F.lit(n_nodes - 1) - F.shiftright(lo * (lo - 1), 1) + hi - lo - 1
+
+
+def _first_of(lo: Column, n_nodes: int) -> Column:
+    return _pair_number(lo, lo + 1, n_nodes)
+
+
+def _low_node(place: Column, n_nodes: int) -> Column:
+    """The lower node of the pair at a place: the largest one whose first pair is not behind it.
+
+    The root of the triangle from the end is off by one at most, which the comparison puts right.
+    """
+    from_end = (F.lit(n_nodes * (n_nodes - 1) // 2) - place).cast("double")
+    about = F.floor((F.lit(2 * n_nodes - 1) - F.sqrt(from_end * 8 + 1)) / 2).cast("long")
+    about = F.greatest(F.lit(0).cast("long"), F.least(F.lit(max(n_nodes - 2, 0)).cast("long"), about))
+    return F.when(_first_of(about + 1, n_nodes) <= place, about + 1).when(
+        _first_of(about, n_nodes) > place, about - 1
+    ).otherwise(about)
+
+
+def random_non_edges(positives: DataFrame, nodes: DataFrame, known: DataFrame, seed: int = 42) -> DataFrame:
     """One random pair (src, dst) per positive row that is neither a known edge nor a self-pair.
 
-    `positives` are distinct rows of integer columns, `nodes` holds the indices 0..N-1. Each positive takes the first
-    accepted one of its seeded draws: `rounds` of them, and for those left twice as many again, until none is left.
-    Only a graph that has all pairs gives no rows. Drawn pairs may repeat.
+    `positives` are rows of integer columns, `nodes` holds the indices 0..N-1. All pairs have a place in ascending
+    order. A positive draws a number t below the number of free pairs by a seeded hash; its pair is the t-th free one,
+    which is found by rank, whatever share of the pairs is free: with a_i the place of the i-th known pair, a_i - i free
+    pairs lie before it, so the t-th free pair has the place t plus the number of known pairs with a_i - i <= t. Both
+    counts are running sums over range sorts. A second draw decides on the direction. Drawn pairs may repeat; a graph
+    that has all pairs gives no rows. Known pairs outside the nodes do not count.
     """
     n = nodes.count()
-    taken = canonical_pair(known.select("src", "dst")).where("lo <> hi").select("lo", "hi").distinct()
-    taken = materialize(taken, "taken_pairs")
+    inside = (F.col("lo") >= 0) & (F.col("lo") < F.col("hi")) & (F.col("hi") < n)
+    taken = canonical_pair(known.select("src", "dst")).where(inside).select("lo", "hi").distinct()
+    places = taken.select(_pair_number(F.col("lo"), F.col("hi"), n).alias("place"), F.lit(1).alias("one"))
+    numbered = running_sums(places, [F.col("place")], ["one"])
+    free_before = numbered.select((F.col("place") - F.col("before_one")).alias("at"))
+    all_pairs = n * (n - 1) // 2
+    free = all_pairs - free_before.count()
     renamed, own = _owned(positives)
-    left = materialize(positives.select(*renamed), "positives")
-    found: list[DataFrame] = []
-    first = 0
-    is_full = taken.count() >= n * (n - 1) // 2
-    while not is_full and not left.isEmpty():
-        accepted = materialize(_accepted_draws(left, own, n, taken, first, rounds, seed), "accepted")
-        found.append(accepted)
-        left = materialize(left.join(accepted.select(*own), own, "left_anti"), "left_over")
-        first, rounds = first + rounds, rounds * 2
-    empty = left.limit(0).select(*own, F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"))
-    return reduce(DataFrame.unionByName, found, empty)
-
-
-def _accepted_draws(
-    positives: DataFrame, own: list[str], n_nodes: int, taken: DataFrame, first: int, rounds: int, seed: int
-) -> DataFrame:
-    """The first accepted one of draws number `first` to `first + rounds - 1` of each positive."""
-    drawn = positives.select(*own, F.explode(F.sequence(F.lit(first), F.lit(first + rounds - 1))).alias("attempt"))
-    keys = [F.col(c) for c in [*own, "attempt"]]
-    pairs = drawn.select(
-        *keys,
-        F.pmod(draw(keys, seed), F.lit(n_nodes)).cast("long").alias("src"),
-        F.pmod(draw(keys, seed + 1), F.lit(n_nodes)).cast("long").alias("dst"),
-    ).where(F.col("src") != F.col("dst"))
-    accepted = canonical_pair(pairs).join(taken, ["lo", "hi"], "left_anti")
-    earliest = F.min(F.struct("attempt", "src", "dst")).alias("first")
-    return accepted.groupBy(*own).agg(earliest).select(*own, "first.src", "first.dst")
+    drawn = positives.select(*renamed)
+    if free <= 0:
+        return drawn.limit(0).withColumns({"src": F.lit(0).cast("long"), "dst": F.lit(0).cast("long")})
+    keys = [F.col(c) for c in own]
+    asked = drawn.withColumn("at", F.pmod(draw(keys, seed), F.lit(free)).cast("long"))
+    asked = asked.withColumn("known", F.lit(0))
+    # Equal known rows are counted, so that all rows of the sort differ; positives are numbered by their columns.
+    edges = free_before.groupBy("at").agg(F.count("*").cast("int").alias("known"))
+    edges = edges.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in drawn.schema], "at", "known")
+    order = [F.col("at"), (F.col("known") == 0).alias("is_asked"), *keys]
+    ranked = running_sums(edges.unionByName(asked), order, ["known"]).where(F.col("known") == 0)
+    ranked = ranked.withColumn("place", F.col("at") + F.col("before_known"))
+    found = ranked.withColumn("lo", _low_node(F.col("place"), n))
+    found = found.withColumn("hi", F.col("place") - _first_of(F.col("lo"), n) + F.col("lo") + 1)
+    ahead = F.pmod(draw(keys, seed + 1), F.lit(2)) == 0
+    return found.select(
+        *own,
+        F.when(ahead, F.col("lo")).otherwise(F.col("hi")).alias("src"),
+        F.when(ahead, F.col("hi")).otherwise(F.col("lo")).alias("dst"),
+    )
 
 
 def draw_stored_negatives(

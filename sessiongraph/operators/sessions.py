@@ -4,105 +4,90 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessiongraph.functions.times import epoch_seconds, seconds_between
-from sessiongraph.session import materialize
+from sessiongraph.functions import scans
+from sessiongraph.functions.times import seconds_between
+from sessiongraph.session import materialize, shuffle_partitions
+
+# The scan travels with the plan, so the executors need no copy of this package.
+cloudpickle.register_pickle_by_value(scans)
 
 # Fixed value: seconds without a view after which a session ends.
 DEFAULT_TIMEOUT = 1800
 
 
-def sessionize(
-    views: DataFrame,
-    timeout: int = DEFAULT_TIMEOUT,
-    hot_user_rows: int = 1_000_000,
-    slice_seconds: int = 60,
-) -> DataFrame:
+def sessionize(views: DataFrame, timeout: int = DEFAULT_TIMEOUT, partitions: int | None = None) -> DataFrame:
     """Number each user's sessions from 1; a gap of more than `timeout` whole seconds starts a new one.
 
     Returns (user_id, session_id, item_id, emitted, session_start), one row per view.
 
-    A user with more than `hot_user_rows` views is cut into time slices, so no task sorts more than one
-    slice. Each slice is reduced to four values, the slices of a user are chained in a second, small
-    window, and its results are joined back on (user, slice). Without such users there is nothing to
-    chain and the plan is one window per user.
-
-    The users are found first, with a counting pass that combines on the map side, and written to the
-    shared folder. Spark then knows the size of the list and broadcasts it only if it is small.
+    One segmented scan for all users alike. Views are sorted by user and time over ranges, so a user with very many
+    views lies in several partitions; the stage that sorts them cuts the sessions of each stretch of a user within a
+    partition, and stores the rows. Only the first and the last user of a partition can go on in another one: their
+    stretches, at most two per partition, are summarized to four values and chained, and rows of such a stretch get
+    the number and the start that they continue. A view without a time opens no session.
     """
-    hot = materialize(
-        views.groupBy("user_id")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > hot_user_rows)
-        .select("user_id", F.lit(True).alias("is_hot")),
-        "hot_users",
-    )
+    n = partitions or shuffle_partitions(views.sparkSession)
     rows = views.select("user_id", "item_id", "emitted")
-    if hot.isEmpty():
-        return _number_sessions(rows.withColumn("slice", F.lit(0).cast("long")), timeout)
-    at = F.floor(epoch_seconds(rows, "emitted") / F.lit(slice_seconds))
-    sliced = (
-        rows.withColumn("at", at)
-        .join(hot, "user_id", "left")
-        .withColumn("slice", F.when(F.col("is_hot"), F.col("at")))
-        .drop("at", "is_hot")
-    )
-    return _number_sessions(sliced, timeout, chained=True)
-
-
-def _number_sessions(sliced: DataFrame, timeout: int, chained: bool = False) -> DataFrame:
-    """Sessions inside each (user, slice), chained over the slices of a user where asked."""
-    in_slice = Window.partitionBy("user_id", "slice").orderBy("emitted")
-    so_far = in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gap = seconds_between(F.col("emitted"), F.lag("emitted").over(in_slice))
-    marked = (
-        sliced.withColumn("opens", F.coalesce((gap > timeout).cast("long"), F.lit(0).cast("long")))
-        .withColumn("opened", F.sum("opens").over(so_far))
-        .withColumn("opened_at", F.max(F.when(F.col("opens") == 1, F.col("emitted"))).over(so_far))
-        .withColumn("slice_first", F.min("emitted").over(so_far))
+    order = ["user_id", "emitted", "item_id"]
+    stamp = rows.schema["emitted"].dataType.simpleString()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    cut = materialize(
+        rows.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
+        .mapInArrow(scans.sessions(timeout), f"{schema}, part int, opened long, opened_at {stamp}, first_at {stamp}"),
+        "cut_sessions",
     )
-    base, carried = F.lit(1), []
-    if chained:
-        slices = _chain_slices(marked.where(F.col("slice").isNotNull()), timeout)
-        marked = marked.join(slices, ["user_id", "slice"], "left")
-        base, carried = F.coalesce("base", F.lit(1)), ["carried_start"]
-    return marked.select(
+    carried = materialize(_carried(cut, timeout), "carried_sessions")
+    same = F.col("user_id").eqNullSafe(F.col("of_user")) & (F.col("part") == F.col("of_part"))
+    return cut.join(F.broadcast(carried), same, "left").select(
         "user_id",
-        (F.col("opened") + base).cast("long").alias("session_id"),
+        (F.col("opened") + F.coalesce("base", F.lit(1))).cast("long").alias("session_id"),
         "item_id",
         "emitted",
-        F.coalesce("opened_at", *carried, "slice_first").alias("session_start"),
+        F.coalesce("opened_at", "carried_start", "first_at").alias("session_start"),
     )
 
 
-def _chain_slices(marked: DataFrame, timeout: int) -> DataFrame:
-    """Per hot (user, slice): session number and start that its first view belongs to."""
-    slices = marked.groupBy("user_id", "slice").agg(
-        F.min("emitted").alias("first_at"),
-        F.max("emitted").alias("last_at"),
-        F.max("opened").alias("opened_inside"),
-        F.max("opened_at").alias("last_opened_at"),
+def _carried(cut: DataFrame, timeout: int) -> DataFrame:
+    """(of_user, of_part, base, carried_start) of the users that go on in another partition, two per partition at most:
+    the number and the start of the session that their first view there belongs to."""
+    ends = cut.groupBy("part").agg(
+        F.min(F.struct("user_id")).alias("low"), F.max(F.struct("user_id")).alias("high")
     )
-    by_user = Window.partitionBy("user_id").orderBy("slice")
+    ends = ends.select("part", F.explode(F.array("low", "high")).alias("end")).select("part", "end.user_id").distinct()
+    ends = ends.select(F.col("part").alias("of_part"), F.col("user_id").alias("of_user"))
+    same = F.col("user_id").eqNullSafe(F.col("of_user")) & (F.col("part") == F.col("of_part"))
+    stretches = (
+        cut.join(F.broadcast(ends), same)
+        .groupBy("of_user", "of_part")
+        .agg(
+            F.min("emitted").alias("first_at"),
+            F.max("emitted").alias("last_at"),
+            F.max("opened").alias("opened_inside"),
+            F.max("opened_at").alias("last_opened_at"),
+        )
+    )
+    by_user = Window.partitionBy("of_user").orderBy("of_part")
     so_far = by_user.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gap = seconds_between(F.col("first_at"), F.lag("last_at").over(by_user))
     earlier = by_user.rowsBetween(Window.unboundedPreceding, -1)
+    gap = seconds_between(F.col("first_at"), F.last("last_at", ignorenulls=True).over(earlier))
+    begins = F.row_number().over(by_user) == 1
+    opens_first = F.when(begins, True).otherwise(F.coalesce(gap > timeout, F.lit(False)))
+    last_start = F.coalesce("last_opened_at", F.when(F.col("opens_first"), F.col("first_at")))
     return (
-        slices.withColumn("opens_first", gap.isNull() | (gap > timeout))
+        stretches.withColumn("opens_first", opens_first)
         .withColumn("total", F.sum(F.col("opened_inside") + F.col("opens_first").cast("long")).over(so_far))
-        .withColumn(
-            "last_start", F.coalesce("last_opened_at", F.when(F.col("opens_first"), F.col("first_at")))
-        )
+        .withColumn("last_start", last_start)
         .withColumn("previous_start", F.last("last_start", ignorenulls=True).over(earlier))
         .select(
-            "user_id",
-            "slice",
+            "of_user",
+            "of_part",
             (F.col("total") - F.col("opened_inside")).alias("base"),
-            F.when(F.col("opens_first"), F.col("first_at"))
-            .otherwise(F.col("previous_start"))
-            .alias("carried_start"),
+            F.when(F.col("opens_first"), F.col("first_at")).otherwise(F.col("previous_start")).alias("carried_start"),
         )
     )
 

@@ -110,8 +110,9 @@ class Chain:
             return views
         return behavior.keep_catalog_items(views, entities.active_master_items(given.catalog, given.accounts))
 
-    @staged
+    @cached_property
     def session_views(self) -> DataFrame:
+        """Stored by `sessionize`; what is left to do is cheap for each reader."""
         cut = sessions.sessionize(self.views, self.settings.session_timeout)
         return sessions.split_by_time(cut, self.settings.cutoff_train, self.settings.cutoff_val)
 

@@ -267,6 +267,14 @@ VIEWS: dict[str, str] = {
              and a.item_id < b.item_id
         join g_basket_nodes x on x.item_id = a.item_id join g_basket_nodes y on y.item_id = b.item_id
         where a.split = 'train'""",
+    "g_basket_starts": """
+        select node_idx as lo, node_idx * (n - 1) - node_idx * (node_idx - 1) // 2 as start
+        from g_basket_nodes, (select count(*) as n from g_basket_nodes)""",
+    "g_basket_taken": "select start + dst - src - 1 as place from g_basket_edges join g_basket_starts on lo = src",
+    "g_basket_ranks": """
+        select below, max(c) as c from
+        (select place - row_number() over (order by place) + 1 as below, row_number() over (order by place) as c
+         from g_basket_taken) group by below""",
     "g_basket_cells": """
         select n.node_idx, month(l_shipdate)::int - 1 as dim, count(*)::double as x
         from lineitem join g_basket_nodes n on n.item_id = l_partkey group by all""",

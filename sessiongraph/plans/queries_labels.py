@@ -277,21 +277,19 @@ def _(c: Run) -> DataFrame:
 
 @query(
     "k3_random_non_edges",
-    f"""select for_src, for_dst, src, dst from
-        (select *, row_number() over (partition by for_src, for_dst order by attempt) as place
-         from (select e.src as for_src, e.dst as for_dst, attempt,
-                      {draw_sql('e.src', 'e.dst', 'attempt', seed=42)} % n as src,
-                      {draw_sql('e.src', 'e.dst', 'attempt', seed=43)} % n as dst
-               from g_basket_edges e cross join (select unnest(range(48)) as attempt)
-               cross join (select count(*) as n from g_basket_nodes)) d
-         where src <> dst and not exists (select 1 from g_basket_edges k where k.src = least(d.src, d.dst)
-                                          and k.dst = greatest(d.src, d.dst)))
-        where place = 1""",
+    f"""select for_src, for_dst, case when ahead then lo else place - start + lo + 1 end as src,
+               case when ahead then place - start + lo + 1 else lo end as dst
+        from (select a.*, t + coalesce(c, 0) as place
+              from (select src as for_src, dst as for_dst, {draw_sql('src', 'dst', seed=43)} % 2 = 0 as ahead,
+                           {draw_sql('src', 'dst', seed=42)}
+                           % (n * (n - 1) // 2 - (select count(*) from g_basket_taken)) as t
+                    from g_basket_edges, (select count(*) as n from g_basket_nodes)) a
+              asof left join g_basket_ranks r on a.t >= r.below) p
+        asof join g_basket_starts s on p.place >= s.start""",
 )
 def _(c: Run) -> DataFrame:
     edges = c.basket_edges.select("src", "dst")
-    nodes = index.dense_index(c.baskets, "item_id", "node_idx")
-    return sampling.random_non_edges(edges, nodes, edges)
+    return sampling.random_non_edges(edges, c.basket_nodes, edges)
 
 
 @query(

@@ -305,8 +305,8 @@ def _(c: Run) -> DataFrame:
     "select user_id, session_id, item_id, emitted, session_start from g_started",
 )
 def _(c: Run) -> DataFrame:
-    """The way taken by very active users, here for everyone above 50 views."""
-    return sessions.sessionize(c.views, fixtures.SESSION_TIMEOUT, hot_user_rows=50, slice_seconds=7200)
+    """So many partitions that most users go on from one into the next."""
+    return sessions.sessionize(c.views, fixtures.SESSION_TIMEOUT, partitions=200)
 
 
 @query("d3_time_split", "select user_id, session_id, item_id, emitted, session_start, split from g_sv")

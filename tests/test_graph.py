@@ -66,15 +66,21 @@ def test_dense_index_does_not_depend_on_partitions(spark):
     assert one == rows(index.dense_index(ids.repartition(7), "id", "idx"))
 
 
-@pytest.mark.parametrize("hot_group_rows", [3, 1_000_000])
-def test_running_sums_within(spark, hot_group_rows):
+@pytest.mark.parametrize("partitions", [1, 4, 40])
+def test_running_sums_within_groups(spark, monkeypatch, partitions):
+    monkeypatch.setattr(index, "shuffle_partitions", lambda _: partitions)
     rng = random.Random(9)
-    sizes = {0: 400, 1: 1, 2: 3, 3: 90, 4: 2}
-    data = [(g, i, rng.randrange(4)) for g, n in sizes.items() for i in range(n)]
-    df = spark.createDataFrame(data, "g long, i long, n long").repartition(5)
-    found = index.running_sums_within(df, ["g"], [F.col("i").desc()], ["n"], hot_group_rows)
+    sizes = {0: 400, 1: 1, 2: 3, None: 90, 4: 2}
+    data = [(g, str(g), i, rng.randrange(4)) for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(data, "g long, h string, i long, n long").repartition(5)
+    found = index.running_sums(df, [F.col("i").desc()], ["n"], ["g", "h"])
+    assert found.count() == len(data)
     for g, i, n, before in rows(found, "g", "i", "n", "before_n"):
-        assert before == sum(x[2] for x in data if x[0] == g and x[1] > i)
+        assert before == sum(x[3] for x in data if x[0] == g and x[2] > i)
+    whole = index.running_sums(df, [F.col("i"), F.col("h")], ["n"])
+    for h, i, before in rows(whole, "h", "i", "before_n"):
+        assert before == sum(x[3] for x in data if (x[2], x[1]) < (i, h))
+    assert index.running_sums(df.limit(0), [F.col("i")], ["n"], ["g"]).count() == 0
 
 
 def test_batches(spark):

@@ -3,8 +3,10 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from sessiongraph.operators import ranking_metrics as rm
 from sessiongraph.operators import sampling
@@ -101,13 +103,43 @@ def test_epoch_sample(spark):
 def test_random_non_edges(spark):
     pos = spark.createDataFrame([(a, (a * 7 + 3) % 50) for a in range(50)], "src long, dst long").where("src <> dst")
     nodes = spark.range(50)
-    found = sampling.random_non_edges(pos, nodes, pos, rounds=4)
+    found = sampling.random_non_edges(pos, nodes, pos)
     known = {frozenset(r) for r in rows(pos)}
     drawn = rows(found, "src", "dst")
     assert len(drawn) == pos.count()
     assert all(a != b and frozenset((a, b)) not in known and 0 <= min(a, b) and max(a, b) < 50 for a, b in drawn)
     full = spark.createDataFrame([(a, b) for a in range(3) for b in range(3) if a < b], "src long, dst long")
     assert sampling.random_non_edges(full, spark.range(3), full).count() == 0
+    outside = full.unionByName(spark.createDataFrame([(1, 7), (-1, 0), (2, 2), (1, 0)], "src long, dst long"))
+    one_free = sampling.random_non_edges(full, spark.range(3), outside.where("not (src = 1 and dst = 2)"))
+    assert {frozenset(r) for r in rows(one_free, "src", "dst")} == {frozenset((1, 2))} and one_free.count() == 3
+    assert sampling.random_non_edges(full, spark.range(1), full).count() == 0
+
+
+def test_every_free_pair_is_drawn(spark):
+    """Many draws over a graph with a tenth of the pairs free reach all of them about equally often."""
+    rng = np.random.default_rng(5)
+    pairs = [(a, b) for a in range(30) for b in range(a + 1, 30)]
+    free = {pairs[i] for i in rng.choice(len(pairs), 40, replace=False)}
+    known = spark.createDataFrame([p for p in pairs if p not in free], "src long, dst long")
+    positives = spark.range(8_000).select("id", (F.col("id") % 9).alias("other"))
+    found = sampling.random_non_edges(positives, spark.range(30), known)
+    counts = {}
+    for r in found.collect():
+        counts[min(r.src, r.dst), max(r.src, r.dst)] = counts.get((min(r.src, r.dst), max(r.src, r.dst)), 0) + 1
+    assert set(counts) == free and min(counts.values()) > 120 and max(counts.values()) < 290
+
+
+def test_places_of_pairs_of_many_nodes(spark):
+    """The node of a place is exact for graphs of a billion nodes."""
+    n = 1_000_000_000
+    nodes = [(lo, hi) for lo in (0, 1, 12_345, n // 2, n - 3, n - 2) for hi in (lo + 1, (lo + n) // 2 + 1, n - 1) if lo < hi < n]
+    df = spark.createDataFrame(nodes, "lo long, hi long")
+    place = sampling._pair_number(F.col("lo"), F.col("hi"), n)
+    found = df.select("lo", "hi", place.alias("place"))
+    for lo, hi, at in rows(found):
+        assert at == lo * (n - 1) - lo * (lo - 1) // 2 + hi - lo - 1
+    assert rows(found.select(sampling._low_node(F.col("place"), n).alias("lo"))) == sorted((lo,) for lo, _ in nodes)
 
 
 def test_stored_negatives(spark):

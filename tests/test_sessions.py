@@ -48,8 +48,28 @@ def test_hot_users_get_the_same_sessions(spark, seed):
     df = spark.createDataFrame(views, VIEW)
     wanted = brute(views, 300)
     assert rows(sessionize(df, 300)) == wanted
-    for slice_seconds in (1, 60, 4000):
-        assert rows(sessionize(df, 300, hot_user_rows=20, slice_seconds=slice_seconds)) == wanted
+    for partitions in (1, 16, 90):
+        assert rows(sessionize(df, 300, partitions=partitions)) == wanted
+
+
+def test_one_read_and_no_counting_pass(spark):
+    df = spark.createDataFrame([(1, 10, at(0)), (1, 11, at(5))], VIEW)
+    plan = sessionize(df, 300)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1
+
+
+def test_views_without_user_or_time(spark):
+    views = [(None, 1, at(0)), (None, 2, at(4000)), (2, 3, None), (2, 4, at(10)), (2, 5, at(9000)), (3, 6, None)]
+    for partitions in (1, 8):
+        found = sessionize(spark.createDataFrame(views, VIEW), 1800, partitions=partitions)
+        assert rows(found, "user_id", "session_id", "item_id", "session_start") == sorted(
+            [
+                (None, 1, 1, at(0)), (None, 2, 2, at(4000)), (2, 1, 3, None),
+                (2, 1, 4, at(10)), (2, 2, 5, at(9000)), (3, 1, 6, None),
+            ],
+            key=lambda r: tuple((v is not None, v) for v in r),
+        )
+    assert sessionize(spark.createDataFrame([], VIEW), 1800).count() == 0
 
 
 def test_split_follows_session_start(spark):
