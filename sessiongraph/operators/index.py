@@ -115,13 +115,28 @@ def running_sums(
 def ordered_rows(df: DataFrame, order: Sequence[Column], index_column: str) -> DataFrame:
     """Number all rows from 0 in the given order; rows alike in every column are interchangeable.
 
-    Equal rows are counted before the sort and unfolded after it, so copies never pile up in one range.
+    One shuffle, into sorted ranges; rows are numbered in the stage that sorts them, and the number of rows in earlier
+    ranges, one per partition, is added when they are read. Equal rows differ in a last sort key of their own, so
+    copies never pile up in one range.
     """
-    columns = df.columns
-    counted = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
-    placed = running_sums(counted, order, ["_copies"])
-    span = F.sequence(F.col("before__copies"), F.col("before__copies") + F.col("_copies") - 1)
-    return placed.select(*columns, F.explode(span).alias(index_column))
+    n = shuffle_partitions(df.sparkSession)
+    full_order = [*order, F.col("_tie")]
+    ordered = (
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(n, *full_order)
+        .sortWithinPartitions(*full_order)
+        .drop("_tie")
+        # The partition's number above 33 bits of the row's place in it.
+        .withColumn("_place", F.monotonically_increasing_id())
+    )
+    stored = materialize(ordered, "numbered")
+    part = F.shiftright("_place", 33)
+    sizes = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_part", _before("_n", [], "_part").alias("_before"))
+    place = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return stored.join(F.broadcast(offsets), part == F.col("_part")).select(
+        *df.columns, (place + F.col("_before")).cast("long").alias(index_column)
+    )
 
 
 def batch_ids(df: DataFrame, order: Sequence[Column], batch_size: int) -> DataFrame:
