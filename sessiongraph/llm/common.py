@@ -120,6 +120,18 @@ def text_pass(
     return chosen.mapInArrow(run, target)
 
 
+def kept_rows(df: DataFrame, keeps: Callable[[list], np.ndarray], text_column: str = "text") -> DataFrame:
+    """The rows of `df` for whose texts `keeps` is true, whatever their ids; one pass, nothing is shuffled."""
+    place = df.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, column=place):
+                yield part.filter(pa.array(keeps(part.column(place).to_pylist()), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_schema(schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

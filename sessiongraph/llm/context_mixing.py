@@ -510,7 +510,10 @@ def scorer(shared, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _costs:
             _costs.clear()
-            _costs[key] = TokenCosts(shared.value)
+            values = shared.value
+            mixer = Mixer.__new__(Mixer)
+            vars(mixer).update(values["mixer"])
+            _costs[key] = TokenCosts(Model(**(values | {"mixer": mixer})))
         costs = _costs[key]
         for batch in batches:
             for part in parts(batch, limit=SLICE_BYTES):
@@ -595,7 +598,8 @@ def score(
     one row per document and token, so no hot token is shuffled.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    # Plain values travel, not the object: workers need no copy of this package.
+    shared = spark.sparkContext.broadcast(vars(model) | {"mixer": vars(model.mixer)})
     schema = (
         "doc_id long, n_tokens long, known long, base double, score double, n_bytes long, "
         "rare array<struct<token:binary,n:long>>"

@@ -12,7 +12,16 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessiongraph.llm.common import PUNCTUATION, grams, lowered, separator_table, slices, text_pass, word_hashes
+from sessiongraph.llm.common import (
+    PUNCTUATION,
+    grams,
+    kept_rows,
+    lowered,
+    separator_table,
+    slices,
+    text_pass,
+    word_hashes,
+)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -183,7 +192,29 @@ def contaminated(
     return reduce(DataFrame.unionAll, passes)
 
 
-def without_contaminated(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """`df` without the documents that hold a benchmark item; rows with a null id stay."""
-    pairs = contaminated(df, benchmark, id_column=id_column, **options)
-    return df.join(pairs.select(F.col("doc_id").alias(id_column)).distinct(), id_column, "left_anti")
+def without_contaminated(
+    df: DataFrame,
+    benchmark: DataFrame,
+    min_match: int = MIN_MATCH,
+    coverage: float = COVERAGE,
+    text_column: str = "text",
+    item_id_column: str = "item_id",
+    item_text_column: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """`df` without the documents that hold a benchmark item. Each row is judged by its own text in the pass that reads
+    it, so rows that share an id, or have none, do not go with each other."""
+
+    def free_of(block: list[tuple[int, str]]) -> Callable[[list], np.ndarray]:
+        tile = tiler(block, min_match, coverage)
+
+        def keeps(texts: list) -> np.ndarray:
+            free = np.ones(len(texts), dtype=bool)
+            free[tile(list(range(len(texts))), texts)["doc_id"]] = False
+            return free
+
+        return keeps
+
+    for block in _blocks(benchmark, item_id_column, item_text_column, block_bytes):
+        df = kept_rows(df, free_of(block), text_column)
+    return df

@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessiongraph.llm.common import text_pass
+from sessiongraph.llm.common import kept_rows, text_pass
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -233,13 +233,18 @@ def identify(df: DataFrame, model: Model, id_column: str = "doc_id", text_column
     return text_pass(df, predictor(model), schema, id_column, text_column)
 
 
-def reject(
-    df: DataFrame, model: Model, max_rate: float = MAX_RATE, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
+def reject(df: DataFrame, model: Model, max_rate: float = MAX_RATE, text_column: str = "text") -> DataFrame:
     """`df` without documents in no learned language: no letters, or a `rate` above `max_rate` by more than
     `MARGIN` / sqrt(n_letters). Letters without words give about 0.5, texts of the learned languages less than 0.25;
-    short ones that hold a key or a number of codes may come in between. Rows with a null id stay."""
-    bad = identify(df, model, id_column, text_column).where(
-        (F.col("lang_pred") == UNDETERMINED) | (F.col("rate") > max_rate + MARGIN / F.sqrt("n_letters"))
-    )
-    return df.join(bad.select(F.col("doc_id").alias(id_column)).distinct(), id_column, "left_anti")
+    short ones that hold a key or a number of codes may come in between. Each row is judged by its own text in the pass
+    that reads it, so rows that share an id, or have none, do not go with each other."""
+    predict = predictor(model)
+
+    def keeps(texts: list) -> np.ndarray:
+        found = predict(list(range(len(texts))), texts)
+        rate = np.array([np.nan if r is None else r for r in found["rate"]], dtype=np.float64)
+        letters = np.maximum(np.array(found["n_letters"], dtype=np.float64), 1)
+        known = np.array([lang != UNDETERMINED for lang in found["lang_pred"]], dtype=bool)
+        return known & ~(rate > max_rate + MARGIN / np.sqrt(letters))
+
+    return kept_rows(df, keeps, text_column)

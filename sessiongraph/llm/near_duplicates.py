@@ -304,7 +304,15 @@ def near_duplicates(
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """`df` without the documents whose class has a smaller id; rows with a null id stay."""
-    classes = near_duplicates(df, id_column=id_column, **options)
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(id_column))
-    return df.join(gone, id_column, "left_anti")
+    """One row of each class of near duplicates: the one with the smallest id, a null id last.
+
+    Rows are numbered and stored first, and classes are those of rows: rows that share an id are told apart, and of
+    equal rows one stays. Rows without words are in classes of their own and stay.
+    """
+    number = "_".join(["_row", *df.columns])
+    rows = materialize(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    classes = near_duplicates(rows, id_column=number, **options).select(F.col("doc_id").alias(number), "class_id")
+    ids = rows.select(number, F.col(id_column).alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", number))
+    kept = classes.join(ids, number).groupBy("class_id").agg(first.alias("first")).select(F.col(f"first.{number}"))
+    return rows.join(kept, number, "left_semi").select(*df.columns)
