@@ -40,28 +40,136 @@ def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(keep & np.isfinite(scores))
 
 
-def block_scorer(group: str, k: int, exclude_self: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """A cogroup function: the k best pool items of one pool block for each query of one query block."""
+def unit_rows(vectors: np.ndarray, smallest: float) -> np.ndarray:
+    """Rows scaled to length one; zero rows stay zero."""
+    lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+    return vectors / np.maximum(lengths, smallest)[:, None]
+
+
+class Tiles:
+    """Rows of a block in tiles of rows that lie near each other, with the center and reach of each tile.
+
+    Rows are sorted by the nearest of some evenly spaced rows of the block and cut into tiles of at most `size`. A tile
+    that is half full ends with its last whole group, so that few tiles hold rows of groups far apart.
+    """
+
+    def __init__(self, vectors: np.ndarray, size: int) -> None:
+        pivots = vectors[:: max(1, int(np.sqrt(len(vectors))))]
+        sizes = (pivots * pivots).sum(axis=1) / 2
+        nearest = np.concatenate(
+            [np.argmax(vectors[i : i + size] @ pivots.T - sizes, axis=1) for i in range(0, len(vectors), size)]
+        )
+        order = np.argsort(nearest, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(nearest[order])) + 1, len(order))
+        self.rows = []
+        start = 0
+        while start < len(order):
+            stop = start + size
+            last = int(ends[np.searchsorted(ends, min(stop, len(order)), "right") - 1])
+            stop = last if last >= start + size // 2 else min(stop, len(order))
+            self.rows.append(np.sort(order[start:stop]))
+            start = stop
+        self.centers = np.array([vectors[r].mean(axis=0) for r in self.rows])
+        self.reach = np.array(
+            [np.sqrt(((vectors[r] - c) ** 2).sum(axis=1).max()) for r, c in zip(self.rows, self.centers, strict=True)]
+        )
+
+
+def merged_best(
+    scores: np.ndarray, ids: np.ndarray, new_scores: np.ndarray, new_ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of two sets of candidates per row, best score first, then lower id."""
+    scores, ids = np.concatenate([scores, new_scores], axis=1), np.concatenate([ids, new_ids], axis=1)
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
+def tile_best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best columns per row in no order, filled up with minus infinity; `ids` ascend, lower ones win ties."""
+    rows, columns = best_columns(scores, k)
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    best = np.full((len(scores), k), -np.inf)
+    named = np.full((len(scores), k), np.iinfo(np.int64).max)
+    best[rows, place], named[rows, place] = scores[rows, columns], ids[columns]
+    return best, named
+
+
+def square_best(
+    queries: np.ndarray,
+    query_ids: np.ndarray,
+    pool: np.ndarray,
+    item_ids: np.ndarray,
+    k: int,
+    exclude_self: bool,
+    query_tile: int,
+    pool_tile: int,
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """(scores, ids, tiles looked into): the k best pool rows of each query, `item_ids` ascending.
+
+    A tile's scores cannot exceed the score of its center plus the query's length times the tile's reach. Tiles are
+    taken in order of that bound; those where no query of the tile of queries can gain are skipped. The bound has some
+    room for rounding, so skipping never changes the answer.
+    """
+    tiles = Tiles(pool, pool_tile)
+    looked = 0
+    all_scores, all_ids = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
+    longest = np.sqrt((pool * pool).sum(axis=1).max())
+    for rows in Tiles(queries, query_tile).rows:
+        asked = queries[rows]
+        lengths = np.sqrt((asked * asked).sum(axis=1))
+        room = 1e-9 * lengths * longest
+        bounds = asked @ tiles.centers.T + lengths[:, None] * tiles.reach + room[:, None]
+        scores, ids = all_scores[rows], all_ids[rows]
+        for t in np.argsort(-bounds.max(axis=0), kind="stable"):
+            if (bounds[:, t] < scores[:, -1]).all():
+                continue
+            looked += 1
+            members = tiles.rows[t]
+            found = kept_bits(asked @ pool[members].T)
+            if exclude_self:
+                found[query_ids[rows][:, None] == item_ids[members][None, :]] = -np.inf
+            scores, ids = merged_best(scores, ids, *tile_best(found, item_ids[members], k), k)
+        all_scores[rows], all_ids[rows] = scores, ids
+    return all_scores, all_ids, looked
+
+
+def block_scorer(
+    group: str, k: int, exclude_self: bool, smallest: float | None, query_tile: int, pool_tile: int
+) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A cogroup function: the k best pool items of one pool block for each query of one query block.
+
+    With `smallest` given, vectors are scaled to length one here, so they travel as they are stored.
+    """
+
+    def vectors_of(column: pa.ChunkedArray) -> np.ndarray:
+        return matrix(column) if smallest is None else unit_rows(matrix(column), smallest)
 
     def score(queries: pa.Table, pool: pa.Table) -> pa.Table:
-        rows = cols = query_ids = item_ids = np.empty(0, dtype=np.int64)
-        scores = np.empty((0, 0))
+        query_ids = item_ids = np.empty(0, dtype=np.int64)
+        scores = np.empty(0)
         label = None
         if queries.num_rows and pool.num_rows:
             label = queries[group][0].as_py()
             pool = pool.sort_by("item_id")
-            query_ids = queries["query_id"].to_numpy()
-            item_ids = pool["item_id"].to_numpy()
-            scores = kept_bits(matrix(queries["vector"]) @ matrix(pool["item_vector"]).T)
-            if exclude_self:
-                scores[query_ids[:, None] == item_ids[None, :]] = -np.inf
-            rows, cols = best_columns(scores, k)
+            asked = queries["query_id"].to_numpy()
+            best, ids, _ = square_best(
+                vectors_of(queries["vector"]),
+                asked,
+                vectors_of(pool["item_vector"]),
+                pool["item_id"].to_numpy(),
+                k,
+                exclude_self,
+                query_tile,
+                pool_tile,
+            )
+            rows, columns = np.nonzero(np.isfinite(best))
+            query_ids, item_ids, scores = asked[rows], ids[rows, columns], best[rows, columns]
         return pa.table(
             {
-                group: pa.array([label] * len(rows), type=queries.schema.field(group).type),
-                "query_id": pa.array(query_ids[rows], type=pa.int64()),
-                "item_id": pa.array(item_ids[cols], type=pa.int64()),
-                "score": pa.array(scores[rows, cols], type=pa.float64()),
+                group: pa.array([label] * len(scores), type=queries.schema.field(group).type),
+                "query_id": pa.array(query_ids, type=pa.int64()),
+                "item_id": pa.array(item_ids, type=pa.int64()),
+                "score": pa.array(scores, type=pa.float64()),
             }
         )
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sessiongraph.functions import blocks
 from sessiongraph.functions.blocks import block_scorer
-from sessiongraph.functions.vectors import dot, hadamard, unit
+from sessiongraph.functions.vectors import MIN_NORM, dot, hadamard, unit
 from sessiongraph.operators.rankings import item_ids, mark_seen, split_by_seen
 from sessiongraph.session import materialize
 
@@ -21,9 +23,15 @@ cloudpickle.register_pickle_by_value(blocks)
 
 MODEL_PRODUCTS = "array<struct<item_id:bigint,score:double,rank:int>>"
 
-# Rows per block: two blocks and their score matrix stay well under 100 MB in a task.
+# Rows per block of the searches that hold all scores of two blocks: these stay well under 100 MB in a task.
 QUERY_BLOCK = 1024
 POOL_BLOCK = 4096
+# Rows per side of a square of the exact search, and of the tiles in which a task walks it. At 384 components a square
+# is some 250 MB as doubles, and a tile of scores 32 MB.
+QUERY_SQUARE = 16_384
+POOL_SQUARE = 65_536
+QUERY_TILE = 1024
+POOL_TILE = 4096
 
 
 def graph_triggers(owners: DataFrame, node_index: DataFrame) -> DataFrame:
@@ -93,25 +101,28 @@ def top_k_by_group(
     group: str,
     k: int,
     exclude_self: bool = True,
-    query_block: int = QUERY_BLOCK,
-    pool_block: int = POOL_BLOCK,
+    query_block: int = QUERY_SQUARE,
+    pool_block: int = POOL_SQUARE,
+    normalize: bool = False,
+    query_tile: int = QUERY_TILE,
+    pool_tile: int = POOL_TILE,
 ) -> DataFrame:
     """(group, query_id, item_id, score, rank): the k best pool items of each query's group.
 
     `queries` is (group, query_id, vector) with distinct rows, `pool` is (group, item_id, vector).
-    Both sides of a group are hashed into blocks of bounded size. Each pair of blocks is one task-sized
-    matrix product that gives out k rows per query, so pairs are never emitted and a group of any size
-    is spread over many tasks. Equal scores go to the lower item id.
+    Both sides of a group are hashed into blocks of bounded size, and each pair of blocks, a square, is one task's
+    work: a vector is shuffled once per square of its row or column, as it is stored (`normalize` scales it to
+    length one inside the task). The task walks the square in tiles and skips those whose bound cannot beat the
+    k-th score. It gives out k rows per query, so pairs are never emitted and a group of any size is spread over
+    many tasks. Equal scores go to the lower item id.
     """
     query_side, pool_side = _block_pairs(queries, pool, group, query_block, pool_block)
     group_type = queries.schema[group].dataType.simpleString()
+    scorer = block_scorer(group, k, exclude_self, MIN_NORM if normalize else None, query_tile, pool_tile)
     partial = (
         query_side.groupBy(group, "query_block", "pool_block")
         .cogroup(pool_side.groupBy("of_group", "of_query_block", "of_pool_block"))
-        .applyInArrow(
-            block_scorer(group, k, exclude_self),
-            f"{group} {group_type}, query_id bigint, item_id bigint, score double",
-        )
+        .applyInArrow(scorer, f"{group} {group_type}, query_id bigint, item_id bigint, score double")
     )
     return keep_best(partial, [group, "query_id"], k)
 
@@ -157,8 +168,8 @@ def exact_top_k(triggers: DataFrame, pool: DataFrame, vectors: DataFrame, k: int
 
     Triggers of one item share one search. A trigger without category or with an empty pool gets no rows.
     """
-    queries, candidates = queries_and_pool(triggers, pool, vectors)
-    return per_trigger(triggers, top_k_by_group(queries, candidates, "category", k))
+    queries, candidates = queries_and_pool(triggers, pool, vectors, normalize=False)
+    return per_trigger(triggers, top_k_by_group(queries, candidates, "category", k, normalize=True))
 
 
 def linear_top_k(
@@ -355,3 +366,57 @@ def linear_scores(model: LogisticRegressionModel, examples: DataFrame) -> DataFr
     return model.transform(examples).select(
         "split", "exec_code", "src", "dst", "label", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("score")
     )
+
+
+def pair_similarity(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """(split, exec_code, src, dst, label, similarity): the dot product of both ends' vectors."""
+    first = features.select(F.col("node_idx").alias("src"), F.col("vector").alias("src_vector"))
+    second = features.select(F.col("node_idx").alias("dst"), F.col("vector").alias("dst_vector"))
+    return pairs.join(first, "src").join(second, "dst").select(
+        *pairs.columns,
+        F.col("is_positive").cast("double").alias("label"),
+        dot(F.col("src_vector"), F.col("dst_vector")).alias("similarity"),
+    )
+
+
+def log_odds(weights: Sequence[float], features: Sequence[str]) -> Column:
+    """The bias `weights[0]` plus the weighted features."""
+    terms = [F.lit(float(w)) * F.col(name) for w, name in zip(weights[1:], features, strict=True)]
+    return reduce(Column.__add__, terms, F.lit(float(weights[0])))
+
+
+def fit_by_newton(
+    examples: DataFrame, features: Sequence[str], label: str = "label", l2: float = 0.0, steps: int = 8
+) -> list[float]:
+    """[bias, weights of `features`] of a logistic regression: the mean log loss plus l2 / 2 times the squared weights.
+
+    Every step is one aggregate over the examples: mean gradient and mean second derivatives, which combine on the
+    map side; the driver solves one system with a row per feature. All steps are taken, so the result can be followed
+    with plain SQL. Rows with a null label or feature take no part; without any rows all weights are zero. The bias
+    is not penalised. A system without a single solution (constant features without `l2`) is solved by least squares.
+    """
+    usable = reduce(Column.__and__, [F.col(c).isNotNull() for c in [label, *features]])
+    rows = materialize(examples.where(usable).select(label, *features), "fit_examples")
+    inputs = [F.lit(1.0), *[F.col(name).cast("double") for name in features]]
+    cells = [(i, j) for i in range(len(inputs)) for j in range(i + 1)]
+    penalty = np.diag([0.0, *[l2] * len(features)])
+    weights = np.zeros(len(inputs))
+    for _ in range(steps):
+        odds = log_odds(weights.tolist(), features)
+        chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+        judged = rows.select("*", chance.alias("_chance"))
+        spread = F.col("_chance") * (F.lit(1.0) - F.col("_chance"))
+        sums = judged.agg(
+            *[F.avg((F.col("_chance") - F.col(label)) * x).alias(f"g{i}") for i, x in enumerate(inputs)],
+            *[F.avg(spread * inputs[i] * inputs[j]).alias(f"h{i}_{j}") for i, j in cells],
+        ).first()
+        if sums["g0"] is None:
+            break
+        slope = np.array([sums[f"g{i}"] for i in range(len(inputs))]) + penalty @ weights
+        curve = penalty.copy()
+        for i, j in cells:
+            curve[i, j] += sums[f"h{i}_{j}"]
+            if i != j:
+                curve[j, i] += sums[f"h{i}_{j}"]
+        weights = weights - np.linalg.lstsq(curve, slope, rcond=None)[0]
+    return weights.tolist()

@@ -113,6 +113,42 @@ def _(c: Run) -> DataFrame:
     return retrieval.linear_scores(model, examples.where(F.col("split") != "train"))
 
 
+_NEWTON_STEPS = 8
+_NEWTON_L2 = 0.01
+
+
+def _newton_sql() -> str:
+    """The same steps with two weights, each written out; the system of two rows is solved by determinants."""
+    steps = [
+        """fit_rows as (select p.split, p.exec_code, p.src, p.dst, p.is_positive::int::double as y,
+             list_dot_product(a.vector, b.vector) as x
+           from g_pairs p join g_features a on a.node_idx = p.src join g_features b on b.node_idx = p.dst),
+         w0 as (select 0.0::double as b, 0.0::double as w)"""
+    ]
+    for i in range(_NEWTON_STEPS):
+        steps.append(
+            f"""s{i} as (select b, w, avg(p - y) as g0, avg((p - y) * x) + {_NEWTON_L2} * w as g1,
+                  avg(p * (1 - p)) as h00, avg(p * (1 - p) * x) as h01, avg(p * (1 - p) * x * x) + {_NEWTON_L2} as h11
+                from (select y, x, b, w, 1 / (1 + exp(-(b + w * x))) as p from fit_rows, w{i} where split = 'train')
+                group by b, w),
+                w{i + 1} as (select b - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) as b,
+                  w - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) as w from s{i})"""
+        )
+    return f"""select * from (with {", ".join(steps)}
+               select split, exec_code, src, dst, y as label, b + w * x as score
+               from fit_rows, w{_NEWTON_STEPS} where split <> 'train')"""
+
+
+@query("h8_newton_pair_classifier", _newton_sql())
+def _(c: Run) -> DataFrame:
+    """A linear head on the similarity of a pair, fitted on train pairs, and its scores of the others."""
+    examples = retrieval.pair_similarity(c.pairs, c.features)
+    train = examples.where(F.col("split") == "train")
+    weights = retrieval.fit_by_newton(train, ["similarity"], l2=_NEWTON_L2, steps=_NEWTON_STEPS)
+    score = retrieval.log_odds(weights, ["similarity"]).alias("score")
+    return examples.where(F.col("split") != "train").select("split", "exec_code", "src", "dst", "label", score)
+
+
 @query("h9_approximate_top_k")
 def _(c: Run) -> DataFrame:
     triggers, pool = _all_items(c)

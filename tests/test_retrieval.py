@@ -137,3 +137,41 @@ def test_bounds_close_lists_of_clustered_vectors(spark):
     found = inverted_lists.approximate_top_k(triggers, pool, table, 7, probes=1, bounded=True)
     exact = retrieval.exact_top_k(triggers, pool, table, 7)
     assert rows(found, "exec_code", "rank", "item_id") == rows(exact, "exec_code", "rank", "item_id")
+
+
+def test_square_in_tiles_matches_brute_force_and_skips():
+    from sessiongraph.functions.blocks import square_best
+
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(12, 16)) * 5
+    pool = np.repeat(centers, 50, axis=0) + rng.normal(size=(600, 16)) * 0.05
+    pool[7] = pool[3]
+    pool[20] = 0.0
+    queries = pool[::5].copy()
+    query_ids, item_ids = np.arange(0, 600, 5), np.arange(600)
+    for shape in ((queries, pool), (queries[:1], pool), (queries, pool[:3]), (queries * 1e-6, pool)):
+        asked, kept = shape
+        n = len(kept)
+        scores, ids, looked = square_best(asked, query_ids[: len(asked)], kept, item_ids[:n], 4, True, 16, 32)
+        exact = asked @ kept.T
+        exact[query_ids[: len(asked), None] == item_ids[None, :n]] = -np.inf
+        largest = np.abs(exact[np.isfinite(exact)]).max()
+        for row in range(len(asked)):
+            order = sorted(range(n), key=lambda i: (-round(exact[row, i] / largest, 9), i))
+            wanted = [i for i in order if np.isfinite(exact[row, i])][:4]
+            assert [i for i, s in zip(ids[row], scores[row]) if np.isfinite(s)] == wanted
+    _, _, looked = square_best(queries, query_ids, pool, item_ids, 4, True, 16, 32)
+    assert looked < len(queries) / 16 * 600 / 32 / 2
+
+
+def test_newton_fit_matches_a_dense_solver(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.4 + x @ [1.5, -0.7])))).astype(float)
+    data = [(float(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(400)] + [(None, 1.0, 1.0), (1.0, None, 9.0)]
+    examples = spark.createDataFrame(data, "label double, a double, b double")
+    weights = np.array(retrieval.fit_by_newton(examples, ["a", "b"], l2=0.05))
+    full = np.column_stack([np.ones(400), x])
+    chance = 1 / (1 + np.exp(-full @ weights))
+    assert np.abs(full.T @ (chance - y) / 400 + 0.05 * np.array([0, *weights[1:]])).max() < 1e-9
+    assert retrieval.fit_by_newton(examples.limit(0), ["a", "b"]) == [0.0, 0.0, 0.0]
