@@ -19,6 +19,11 @@ def session_items(session_views: DataFrame) -> DataFrame:
     return session_views.select("split", *SESSION, "item_id").distinct()
 
 
+def last_views(session_views: DataFrame) -> DataFrame:
+    """`session_items` with `last_seen`, the time of the item's last view in the session."""
+    return session_views.groupBy("split", *SESSION, "item_id").agg(F.max("emitted").alias("last_seen"))
+
+
 def session_sizes(items: DataFrame) -> DataFrame:
     """Number of distinct items per session, from `session_items` rows."""
     return items.groupBy("split", *SESSION).agg(F.count("*").alias("session_size"))
@@ -133,6 +138,18 @@ def remove_known_pairs(edges: DataFrame, known: DataFrame) -> DataFrame:
     return edges.join(known.select(*PAIR), PAIR, "left_anti")
 
 
+def shared_held_out_pairs(held_out: DataFrame) -> DataFrame:
+    """One row: val pairs, test pairs, and pairs that are in both."""
+    sides = held_out.groupBy(*PAIR).agg(
+        *[F.max(F.col("split") == name).alias(name) for name in ("val", "test")]
+    )
+    return sides.agg(
+        F.count_if("val").alias("val_pairs"),
+        F.count_if("test").alias("test_pairs"),
+        F.count_if(F.col("val") & F.col("test")).alias("shared_pairs"),
+    )
+
+
 def held_out_edges(edges: DataFrame) -> DataFrame:
     """All train edges, plus the val and test edges whose pair is not a train edge."""
     train = edges.where(F.col("split") == "train")

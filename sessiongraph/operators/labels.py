@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessiongraph.functions.draws import draw
@@ -44,8 +44,23 @@ def explode_candidates(
     )
 
 
+def without_trigger(logs: DataFrame) -> DataFrame:
+    """Logs whose candidate lists no longer hold the item of the page itself; the others move up."""
+    kept = F.transform(
+        "placements",
+        lambda p: p.withField(
+            "candidates", F.filter(p["candidates"], lambda c: ~c["item_id"].eqNullSafe(F.col("item_id")))
+        ),
+    )
+    return logs.withColumn("placements", kept)
+
+
 def label_candidates(
-    triggers: DataFrame, logs: DataFrame, items: DataFrame, depth: int = DEFAULT_DEPTH
+    triggers: DataFrame,
+    logs: DataFrame,
+    items: DataFrame,
+    depth: int = DEFAULT_DEPTH,
+    after_log_only: bool = False,
 ) -> DataFrame:
     """One row per (split, execution_id, trigger_id, item_id) offered to a trigger.
 
@@ -54,14 +69,20 @@ def label_candidates(
     `deepest_positive_rank` the ranks at which a seen item was offered.
 
     `items` are the distinct session items. The lookup joins on (session, item), so a very long
-    session is spread over its items and no session is ever gathered.
+    session is spread over its items and no session is ever gathered. With `after_log_only` an item counts as
+    seen only if it was viewed after the log was written; `items` then come from `coview.last_views`.
     """
     # Nested logs meet their triggers first, so that logs without a trigger are never exploded.
-    matched = triggers.join(logs.select("execution_id", "placements"), "execution_id")
-    offered = explode_candidates(matched, depth, triggers.columns).drop("placement_pos")
-    seen = items.select("split", "user_id", "session_id", "item_id", F.lit(True).alias("seen"))
-    flagged = offered.join(seen, ["split", "user_id", "session_id", "item_id"], "left").withColumn(
-        "seen_rank", F.when(F.col("seen"), F.col("rank"))
+    timed = ["log_instant"] if after_log_only else []
+    matched = triggers.join(logs.select("execution_id", "placements", *timed), "execution_id")
+    offered = explode_candidates(matched, depth, [*triggers.columns, *timed]).drop("placement_pos")
+    last = ["last_seen"] if after_log_only else []
+    seen = items.select("split", "user_id", "session_id", "item_id", *last, F.lit(True).alias("viewed"))
+    is_seen = F.col("viewed") & (F.col("last_seen") > F.col("log_instant")) if after_log_only else F.col("viewed")
+    flagged = (
+        offered.join(seen, ["split", "user_id", "session_id", "item_id"], "left")
+        .withColumn("seen", is_seen)
+        .withColumn("seen_rank", F.when(F.col("seen"), F.col("rank")))
     )
     return flagged.groupBy(*LABEL_KEY).agg(
         F.min("rank").alias("rank"),
@@ -75,6 +96,30 @@ def positive_pairs(labels: DataFrame) -> DataFrame:
     return labels.where("is_positive").select(*LABEL_KEY)
 
 
+def known_positives(labels: DataFrame, train_edges: DataFrame) -> DataFrame:
+    """Per split: positives, those whose pair is a train edge as well, and their share."""
+    pairs = train_edges.select("item_a", "item_b", F.lit(True).alias("known"))
+    ends = labels.where("is_positive").select(
+        "split", F.least("trigger_id", "item_id").alias("item_a"), F.greatest("trigger_id", "item_id").alias("item_b")
+    )
+    counted = ends.groupBy("split", "item_a", "item_b").agg(F.count("*").alias("n"))
+    return (
+        counted.join(pairs, ["item_a", "item_b"], "left")
+        .groupBy("split")
+        .agg(
+            F.sum("n").alias("positives"),
+            F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("known"),
+        )
+        .withColumn("known_share", F.col("known") / F.col("positives"))
+    )
+
+
+def drawn_execution(fraction: float, seed: int) -> Column:
+    """Whether the execution is in the seeded sample of `fraction` of all."""
+    scale = 1_000_000
+    return F.pmod(draw([F.col("execution_id")], seed), F.lit(scale)) < F.lit(int(fraction * scale))
+
+
 def production_mrr(labels: DataFrame) -> DataFrame:
     """Per split: MRR of the best positive per execution, over matched and over all executions.
 
@@ -143,9 +188,7 @@ def negatives_without_positive(
     matched = labels.where("is_positive").select(*EXECUTION).distinct()
     rows = negatives.select(*LABEL_KEY, "rank")
     if fraction < 1.0:
-        scale = 1_000_000
-        drawn = F.pmod(draw([F.col("execution_id")], seed), F.lit(scale))
-        rows = rows.where(drawn < F.lit(int(fraction * scale)))
+        rows = rows.where(drawn_execution(fraction, seed))
     return rows.join(matched, EXECUTION, "left_anti")
 
 

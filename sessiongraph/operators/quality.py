@@ -109,6 +109,22 @@ def loss_ledger(steps: Sequence[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     )
 
 
+def passing(df: DataFrame, steps: Sequence[tuple[str, Column, Column]]) -> DataFrame:
+    """(step, rows_in, rows_out) of several exclusions on one table, counted in one pass over it.
+
+    Each step is (name, reaches it, passes it). Counts are plain aggregates, so repeated tasks do not count twice.
+    """
+
+    def number(holds: Column) -> Column:
+        return F.count_if(F.coalesce(holds, F.lit(False)))
+
+    cells = [
+        F.struct(F.lit(name).alias("step"), number(before).alias("rows_in"), number(before & after).alias("rows_out"))
+        for name, before, after in steps
+    ]
+    return df.agg(F.array(*cells).alias("steps")).select(F.inline("steps"))
+
+
 def conflicting_values(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
     """One row: keys, and keys that come with more than one value.
 

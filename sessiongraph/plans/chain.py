@@ -48,6 +48,8 @@ class Settings:
     top_k: int = labels.DEFAULT_DEPTH
     catalog_items_only: bool = True
     normalize_weights: bool = False
+    exclude_trigger: bool = False
+    after_log_only: bool = False
     pure_negative_fraction: float = 0.0
     seed: int = 42
     ranking_splits: tuple[str, ...] = ("train", "val", "test")
@@ -98,7 +100,7 @@ class Chain:
 
     @cached_property
     def logs(self) -> DataFrame:
-        return self.inputs.logs
+        return labels.without_trigger(self.inputs.logs) if self.settings.exclude_trigger else self.inputs.logs
 
     @cached_property
     def views(self) -> DataFrame:
@@ -156,9 +158,9 @@ class Chain:
 
     @staged
     def labels(self) -> DataFrame:
-        return labels.label_candidates(
-            self.triggers, self.logs, self.items, self.settings.top_k
-        )
+        late = self.settings.after_log_only
+        seen = coview.last_views(self.session_views) if late else self.items
+        return labels.label_candidates(self.triggers, self.logs, seen, self.settings.top_k, late)
 
     @cached_property
     def positives(self) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sessiongraph.operators import coview, evaluation, labels, quality, rankings, retrieval
 from sessiongraph.plans.chain import Chain
+from sessiongraph.plans.ledger import loss_ledger
 from sessiongraph.sources.tables import stack_metrics, to_long, write_artifact, write_manifest, write_model_rows
 
 
@@ -97,6 +98,7 @@ def build_dataset(chain: Chain, folder: str, **checks: float | int | None) -> di
         "owners": write_artifact(chain.owners, f"{folder}/owners", "split"),
         "prod_results": write_artifact(chain.prod, f"{folder}/prod_results", "split"),
     }
+    written["loss_ledger"] = write_manifest(loss_ledger(chain), f"{folder}/loss_ledger")
     written["manifest"] = write_manifest(with_parameters(chain, build_manifest(chain)), f"{folder}/manifest")
     return written
 

@@ -258,6 +258,10 @@ VIEWS: dict[str, str] = {
                     when o_orderdate < timestamp '2000-10-01' then 'val' else 'test' end as split
         from lineitem join orders on l_orderkey = o_orderkey""",
     "g_basket_items": "select distinct split, user_id, session_id, item_id from g_baskets",
+    "g_baskets_pairs": """
+        select distinct a.split, a.item_id as item_a, b.item_id as item_b
+        from g_basket_items a join g_basket_items b on a.user_id = b.user_id and a.session_id = b.session_id
+             and a.split = b.split and a.item_id < b.item_id""",
     "g_basket_nodes": """
         select item_id, row_number() over (order by item_id) - 1 as node_idx
         from (select distinct item_id from g_baskets)""",

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessiongraph.operators import coview, evaluation, labels, quality, review
+from sessiongraph.plans import ledger
+from sessiongraph.plans.publish import publish
 from sessiongraph.plans.registry import Run, query
 from sessiongraph.session import new_path
-from sessiongraph.sources import behavior, entities, tables
+from sessiongraph.sources import behavior, entities, fixtures, tables
 
 
 @query("l1_product_metadata", "select item_id, name, image_url from g_metadata")
@@ -279,6 +283,52 @@ def _(c: Run) -> DataFrame:
     )
 
 
+_WINDOW = ("2024-01-03", "2024-01-29")
+
+
+@query(
+    "m8_all_exclusions",
+    f"""select 'e01_publisher' as step, count(*) as rows_in, count(*) filter (where public_id in
+              (select account_id from g_resolved)) as rows_out from g_accounts
+       union all select 'e02_active', count(*), count(*) filter (where is_active and is_in_stream) from g_catalog
+       union all select 'e03_master', count(*), count(*) filter (where parent_id = -1)
+         from g_catalog where is_active and is_in_stream
+       union all select 'e04_model_version', sum(n)::bigint, (sum(n) filter (where current))::bigint from
+         (select vec_id % 20 <> 3 as current, case when vec_id % 3 = 0 then 2 else 1 end as n from embeddings)
+       union all select 'e05_known_user', count(*), count(user_id) from g_view_events
+       union all select 'e06_known_item', count(user_id), count(*) filter (where user_id is not null
+         and item_id is not null) from g_view_events
+       union all select 'e07_date', count(*), count(*) filter (where emitted >= timestamp '{_WINDOW[0]}'
+         and emitted < timestamp '{_WINDOW[1]}') from g_view_events where user_id is not null and item_id is not null
+       union all select 'e08_catalog', count(*), count(*) filter (where item_id in
+              (select item_id from g_catalog where is_active and is_in_stream and parent_id = -1)) from g_views
+       union all select 'e09_two_items', count(*), count(*) filter (where session_size > 1) from g_sizes
+       union all select 'e10_not_in_train', count(*), count(*) filter (where not exists
+              (select 1 from g_train t where t.item_a = e.item_a and t.item_b = e.item_b))
+         from g_edges e where split <> 'train'
+       union all select 'e11_matched_log', count(*), (select count(distinct execution_id) from g_pairs_ts) from g_logs
+       union all select 'e12_session_found', count(distinct execution_id),
+              (select count(distinct execution_id) from g_matched) from g_pairs_ts
+       union all select 'e13_has_candidates', count(*), count(*) filter (where execution_id in
+              (select execution_id from g_candidates)) from g_triggers
+       union all select 'e14_depth', count(*), count(*) filter (where candidate_pos < 12)
+         from g_triggers t join g_candidates c on c.execution_id = t.execution_id
+       union all select 'e15_no_train_edge', (select count(*) from g_labels where not is_positive), count(*)
+         from g_negatives
+       union all select 'e16_above_deepest', count(*), (select count(*) from g_kept)
+         from g_negatives n join g_deepest d on n.split = d.split and n.execution_id = d.execution_id
+       union all select 'e17_drawn_execution', count(*), 0 from g_negatives n where not exists
+              (select 1 from g_deepest d where n.split = d.split and n.execution_id = d.execution_id)
+       union all select 'e18_in_graph', (select count(*) from g_positives) + (select count(*) from g_kept), count(*)
+         from g_pairs
+       union all select 'e19_one_trigger', count(*), (select count(*) from g_owners) from g_triggers""",
+)
+def _(c: Run) -> DataFrame:
+    """All exclusions of a run, with a window of dates that leaves some views out."""
+    everything = fixtures.accounts(c.spark, c.location)
+    return ledger.loss_ledger(c, (everything, c.accounts), *_WINDOW)
+
+
 @query(
     "m9_conflicting_values",
     """select 'master' as dependency, count(*) as keys, count(*) filter (where n > 1) as conflicts from
@@ -390,6 +440,47 @@ def _(c: Run) -> DataFrame:
     return reports[0].unionByName(reports[1])
 
 
+@query(
+    "n5_published_sample",
+    """select 'owners' as source, 0 as drifted_columns, count(*) as rows_before, count(*) as rows_after,
+              true as published from g_sample
+       union all select 'sessions', 0, count(*), count(*), true from g_sv v where exists (select 1 from g_sample s
+              where s.split = v.split and s.user_id = v.user_id and s.session_id = v.session_id)
+       union all select 'prod', 0, count(distinct (split, exec_code)), count(distinct (split, exec_code)), true
+         from g_prod join g_sample using (split, exec_code)
+       union all select 'model', 0, count(*), count(*), true from g_gtriggers join g_sample using (split, exec_code)
+       union all select 'drifted', 2, count(*), null, false from g_sample""",
+)
+def _(c: Run) -> DataFrame:
+    """All four tables of the sample, and one whose code became text and whose trigger is missing."""
+    drifted = c.sample.withColumn("exec_code", F.col("exec_code").cast("string")).drop("trigger_id")
+    viewed = c.session_views.join(c.sample.select(*review.SESSION).distinct(), review.SESSION, "left_semi")
+    sources = {
+        "owners": (c.sample, c.owners.schema),
+        "sessions": (viewed, c.session_views.schema),
+        "prod": (review.keep_sample(c.prod, c.sample), c.prod.schema),
+        "model": (review.keep_sample(c.model, c.sample), c.model.schema),
+        "drifted": (drifted, c.owners.schema),
+    }
+    reports = [publish(table, new_path(c.spark, name), schema, name) for name, (table, schema) in sources.items()]
+    return reduce(DataFrame.unionByName, reports)
+
+
+@query(
+    "t5_distinct_recall",
+    """select * from (with ours as (select o.split, o.exec_code, o.trigger_id,
+             (select count(*) from g_items i where i.split = o.split and i.user_id = o.user_id
+                and i.session_id = o.session_id and i.item_id <> o.trigger_id) as others from g_owners o)
+       select o.split, o.exec_code, a.arm, count(distinct l.item_id) / nullif(o.others, 0) as recall_distinct
+       from ours o cross join (values ('model'), ('display'), ('relevance')) a(arm)
+       left join g_arm_lists l on l.split = o.split and l.exec_code = o.exec_code and l.arm = a.arm and l.seen
+            and l.item_id <> o.trigger_id
+       group by o.split, o.exec_code, a.arm, o.others)""",
+)
+def _(c: Run) -> DataFrame:
+    return evaluation.distinct_recall(c.metrics, evaluation.session_item_views(c.session_views))
+
+
 @query(
     "n6_replay_checks",
     f"""select 'sessions' as "check", count(*) as value from g_sample

@@ -100,6 +100,21 @@ def _(c: Run) -> DataFrame:
     return coview.held_out_edges(c.edges)
 
 
+@query(
+    "t21_shared_held_out_pairs",
+    """select count(*) filter (where split = 'val') as val_pairs, count(*) filter (where split = 'test') as test_pairs,
+              count(*) - count(distinct (item_a, item_b)) as shared_pairs
+       from (select e.split, e.item_a, e.item_b from
+               (select distinct split, item_a, item_b from g_baskets_pairs where split <> 'train') e
+             where not exists (select 1 from g_baskets_pairs t where t.split = 'train' and t.item_a = e.item_a
+                               and t.item_b = e.item_b))""",
+)
+def _(c: Run) -> DataFrame:
+    """On the baskets, whose graph grows with the folder."""
+    held = coview.held_out_edges(coview.co_view_edges(c.baskets)).where(F.col("split") != "train")
+    return coview.shared_held_out_pairs(held)
+
+
 @query(
     "e7_count_nodes",
     "select count(*) as n_nodes from (select item_a from g_train union select item_b from g_train)",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessiongraph.functions.draws import draw_sql
-from sessiongraph.operators import index, labels, rankings, sampling
+from sessiongraph.operators import coview, index, labels, rankings, sampling
 from sessiongraph.plans.registry import Run, query
 
 _LABEL = "split, execution_id, trigger_id, item_id"
@@ -45,6 +45,50 @@ def _(c: Run) -> DataFrame:
     return made.select("split", "execution_id", "trigger_id", "item_id", "rank")
 
 
+@query(
+    "t4_mrr_without_trigger",
+    """select split, count(*) as executions, count(best) as matched,
+              coalesce(sum(1.0 / best) / nullif(count(best), 0), 0.0) as mrr_matched_only,
+              coalesce(sum(1.0 / best), 0.0) / count(*) as mrr_coverage_adjusted,
+              count(best) / count(*) as coverage
+       from (select t.split, t.execution_id, min(c.place) filter (where s.item_id is not null) as best
+             from g_triggers t
+             join (select c.execution_id, c.item_id, row_number() over
+                     (partition by c.execution_id, c.placement_pos order by c.candidate_pos) as place
+                   from g_candidates c join g_logs l on l.execution_id = c.execution_id
+                   where c.item_id <> l.item_id) c on c.execution_id = t.execution_id and c.place <= 12
+             left join g_items s on s.split = t.split and s.user_id = t.user_id and s.session_id = t.session_id
+                  and s.item_id = c.item_id
+             group by all) group by split""",
+)
+def _(c: Run) -> DataFrame:
+    offered = labels.without_trigger(c.logs)
+    return labels.production_mrr(labels.label_candidates(c.triggers, offered, c.items, c.settings.top_k))
+
+
+@query(
+    "t11_known_positives",
+    """select split, count(*) as positives, count(k.item_a) as known, count(k.item_a) / count(*) as known_share
+       from g_positives p left join g_known k on k.item_a = p.trigger_id and k.item_b = p.item_id group by split""",
+)
+def _(c: Run) -> DataFrame:
+    return labels.known_positives(c.labels, c.train_edges)
+
+
+@query(
+    "t12_positives_after_log",
+    """select o.split, o.execution_id, o.trigger_id, o.item_id, min(o.rank) as best_positive_rank
+       from g_offered o join g_logs l on l.execution_id = o.execution_id
+       where o.seen and exists (select 1 from g_sv v where v.split = o.split and v.user_id = o.user_id
+             and v.session_id = o.session_id and v.item_id = o.item_id and v.emitted > l.log_instant)
+       group by all""",
+)
+def _(c: Run) -> DataFrame:
+    seen = coview.last_views(c.session_views)
+    found = labels.label_candidates(c.triggers, c.logs, seen, c.settings.top_k, after_log_only=True)
+    return found.where("is_positive").select(*labels.LABEL_KEY, "best_positive_rank")
+
+
 @query("f5_known_pairs", "select item_a, item_b from g_known")
 def _(c: Run) -> DataFrame:
     return labels.known_pairs(c.train_edges)
