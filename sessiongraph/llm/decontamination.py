@@ -29,21 +29,24 @@ MIN_MATCH = 5
 COVERAGE = 0.5
 # Benchmark text shipped to the executors at once; a larger benchmark takes several passes.
 BLOCK_BYTES = 8_000_000
+# Pairs of equal runs held at once: a repeated token makes as many as the product of its places.
+SEED_PAIRS = 1_000_000
 
 
-def tiles(matches: list[tuple[int, int, int]], min_match: int) -> list[tuple[int, int, int]]:
+def tiles(matches: list[tuple[int, int, int]], min_match: int, size: int | None = None) -> list[tuple[int, int, int]]:
     """Greedy string tiling: again and again the longest match of unmarked tokens is marked.
 
     `matches` are all maximal runs (document start, item start, length). Among equally long ones the one first
     in the item, then first in the document, goes first. What marked tokens cut off a run competes anew, if
-    it has `min_match` tokens or more.
+    it has `min_match` tokens or more. Nothing is left to find once fewer of the item's
+    `size` tokens, if given, are unmarked.
     """
     agenda = [(-length, item, document) for document, item, length in matches]
     heapq.heapify(agenda)
     used_document: set[int] = set()
     used_item: set[int] = set()
     out = []
-    while agenda:
+    while agenda and (size is None or size - len(used_item) >= min_match):
         length, item, document = heapq.heappop(agenda)
         length = -length
         free = [document + k not in used_document and item + k not in used_item for k in range(length)]
@@ -79,25 +82,56 @@ class Seeds:
         self.present = np.zeros(1 << self.bits, dtype=bool)
         self.present[values & np.uint64((1 << self.bits) - 1)] = True
 
-    def places(self, rolled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document place, item, item place) of all equal runs."""
+    def places(
+        self, rolled: np.ndarray, limit: int = SEED_PAIRS
+    ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(document place, item, item place) of all equal runs, in document order and about `limit` at once."""
         at = np.flatnonzero(self.present[rolled & np.uint64((1 << self.bits) - 1)])
         low = np.searchsorted(self.values, rolled[at], "left")
         count = np.searchsorted(self.values, rolled[at], "right") - low
         at, low, count = at[count > 0], low[count > 0], count[count > 0]
-        entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        return np.repeat(at, count), self.owner[entry], self.place[entry]
-
-
-def maximal_runs(at: np.ndarray, place: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Runs of seeds on one diagonal as matches (document start, item start, length)."""
-    order = np.lexsort((at, at - place))
-    at, place = at[order], place[order]
+        ends = np.cumsum(count)
+        start = 0
+        while start < len(at):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit)))
+            n = count[start:stop]
+            entry = np.repeat(low[start:stop] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yield np.repeat(at[start:stop], n), self.owner[entry], self.place[entry]
+            start = stop
+
+
+def joined(
+    document: np.ndarray, owner: np.ndarray, at: np.ndarray, place: np.ndarray, length: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """Runs that follow each other on one diagonal of a document and an item as one; sorted by document and item."""
+    order = np.lexsort((at, at - place, owner, document))
+    document, owner, at, place, length = (x[order] for x in (document, owner, at, place, length))
     fresh = np.ones(len(at), dtype=bool)
-    fresh[1:] = (np.diff(at) != 1) | (np.diff(place) != 1)
+    same = (np.diff(document) == 0) & (np.diff(owner) == 0) & (np.diff(at - place) == 0)
+    fresh[1:] = ~(same & (at[:-1] + length[:-1] == at[1:]))
     starts = np.flatnonzero(fresh)
-    lengths = np.diff(np.append(starts, len(at))) + width - 1
-    return list(zip(at[starts].tolist(), place[starts].tolist(), lengths.tolist(), strict=True))
+    if len(starts):
+        length = np.add.reduceat(length, starts)
+    return document[starts], owner[starts], at[starts], place[starts], length
+
+
+def maximal_runs(seeds: Seeds, rolled: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, item, document start, item start, length in tokens) of all maximal runs of equal tokens.
+
+    Seeds are chained into runs piece by piece and runs that meet at the border of two pieces are joined, so memory
+    grows with the runs and not with the seeds of a repeated token.
+    """
+    pieces = []
+    for at, owner, place in seeds.places(rolled):
+        document = np.searchsorted(offsets, at, "right") - 1
+        inside = at + seeds.width <= offsets[document + 1]
+        kept = (document[inside], owner[inside], at[inside], place[inside])
+        pieces.append(joined(*kept, np.ones(len(kept[0]), dtype=np.int64)))
+    if not pieces:
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
+    document, owner, at, place, length = joined(*(np.concatenate(column) for column in zip(*pieces, strict=True)))
+    return document, owner, at, place, length + seeds.width - 1
 
 
 def tiler(items: list[tuple[int, str]], min_match: int, coverage: float) -> Callable[[list, list], dict]:
@@ -117,25 +151,21 @@ def tiler(items: list[tuple[int, str]], min_match: int, coverage: float) -> Call
             hashes, offsets = word_hashes(part, separators)
             for seed, group in seeds:
                 rolled = grams(hashes, seed.width)
-                at, owner, place = seed.places(rolled)
-                document = np.searchsorted(offsets, at, "right") - 1
-                inside = at + seed.width <= offsets[document + 1]
-                at, owner, place, document = at[inside], owner[inside], place[inside], document[inside]
-                order = np.lexsort((at, owner, document))
-                at, owner, place, document = at[order], owner[order], place[order], document[order]
+                document, owner, at, place, length = maximal_runs(seed, rolled, offsets)
                 edges = np.flatnonzero((np.diff(document) != 0) | (np.diff(owner) != 0)) + 1
                 for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(at)], strict=True):
                     if start == stop:
                         continue
                     item = group[owner[start]]
                     size = len(tokens[item])
-                    # Tokens in no seed cannot be covered: a bound that spares most pairs the tiling.
-                    touched = np.zeros(size, dtype=bool)
-                    for k in range(seed.width):
-                        touched[place[start:stop] + k] = True
-                    if touched.sum() < coverage * size:
+                    # Tokens in no run cannot be covered: a bound that spares most pairs the tiling.
+                    borders = np.zeros(size + 1, dtype=np.int64)
+                    np.add.at(borders, place[start:stop], 1)
+                    np.add.at(borders, place[start:stop] + length[start:stop], -1)
+                    if np.count_nonzero(np.cumsum(borders[:-1])) < coverage * size:
                         continue
-                    found = tiles(maximal_runs(at[start:stop], place[start:stop], seed.width), seed.width)
+                    runs = [x[start:stop].tolist() for x in (at, place, length)]
+                    found = tiles(list(zip(*runs, strict=True)), seed.width, size)
                     matched = sum(length for _, _, length in found)
                     if matched >= coverage * size:
                         row = ids[first + int(document[start])], names[item], matched / size, matched, len(found), size

@@ -41,7 +41,7 @@ SCOPES = frozenset("ul ol dl menu table div article section body td th main sele
 CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
 # Never part of the main text.
 DROPPED = frozenset(
-    "aside audio button canvas datalist dialog footer frameset head header iframe input label map math menu nav "
+    "aside audio button canvas datalist dialog footer frameset head header iframe input menu nav "
     "noembed noframes noscript object script select style svg template textarea title video xmp".split()
 )
 DROPPED_WORDS = frozenset(
@@ -64,6 +64,8 @@ HEADINGS = frozenset("h1 h2".split())
 RUNNING = 80
 
 KEPT_PATHS = 3
+# A voted path is taken where it scores at least this share of the page's best container.
+NEAR = 0.25
 # Rows of (host, up to three paths): some ten MB at most.
 BROADCAST_HOSTS = 100_000
 
@@ -279,9 +281,10 @@ def parse(source: str) -> Page:
         if stack[-1].dropped:
             stack.append(Node(tag, stack[-1].path, True))
             continue
-        dropped = _is_dropped(tag, attributes)
-        if dropped:
-            end_block()
+        # An article's own header holds its title, a button inside a paragraph is a word of it.
+        kept_here = tag == "header" and any(n.tag == "article" for n in stack)
+        kept_here = kept_here or tag == "button" and any(n.tag == "p" for n in stack)
+        dropped = _is_dropped("" if kept_here else tag, attributes)
         path = stack[-1].path
         if tag in CONTAINERS:
             path = f"{path}>{_step(tag, attributes)}" if path else _step(tag, attributes)
@@ -318,12 +321,13 @@ def page_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks, best container path and its score of every page."""
     for batch in batches:
         for part in parts(batch, column=2):
-            best, weights, blocks = [], [], []
+            best, weights, scores, blocks = [], [], [], []
             for source in part.column(2).to_pylist():
                 page = parse(source) if source else Page()
                 path = best_path(page)
                 best.append(path)
                 weights.append(int(page.scores[path]) if path is not None else None)
+                scores.append(list(page.scores.items()))
                 blocks.append([{"text": block.text, "paths": block.paths} for block in page.blocks])
             kind = pa.list_(pa.struct([("text", pa.string()), ("paths", pa.list_(pa.string()))]))
             yield pa.RecordBatch.from_arrays(
@@ -332,9 +336,10 @@ def page_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part.column(1),
                     pa.array(best, type=pa.string()),
                     pa.array(weights, type=pa.int64()),
+                    pa.array(scores, type=pa.map_(pa.string(), pa.float64())),
                     pa.array(blocks, type=kind),
                 ],
-                names=["page_id", "url", "best", "weight", "blocks"],
+                names=["page_id", "url", "best", "weight", "scores", "blocks"],
             )
 
 
@@ -359,12 +364,14 @@ def main_text(
        generalised) around them, stored in the shared folder. It votes for the path that
        scores highest, all text below it against the boilerplate below it: the smallest container of the whole article.
     2. Votes are counted per host in Spark, combined per task first: a hot host is a few rows per task.
-    3. A page's text is that of its blocks inside the most voted path that it has, taken from the stored blocks.
-       A page with none of the voted paths falls back on its own best container.
+    3. A page's text is that of its blocks inside the most voted path that scores at least `NEAR` of what the page's
+       own best container does, taken from the stored blocks. A page without such a path, as one of a rarer layout of
+       its host, falls back on its own best container.
 
     Menus, headers, footers, asides, scripts and the like are dropped by element or role wherever they are, forms,
     adverts, sidebars, notices, comments and the like also by class or id, unless what bears the name holds most of
-    the page's text (see `decide`). Text is unescaped, white space inside a block is one space,
+    the page's text (see `decide`). The header of an article stays, and inline elements that are dropped do not cut
+    their block. Text is unescaped, white space inside a block is one space,
     blocks are joined by a newline. Null, empty and textless pages give an empty text; rows with a null or
     unreadable url vote as one host; repeated rows are kept; other columns are not read. The paths are
     broadcast if they are at most `BROADCAST_HOSTS` rows, else joined by a shuffle.
@@ -374,19 +381,22 @@ def main_text(
         F.col(url_column).cast("string").alias("url"),
         F.col(html_column).alias("html"),
     )
-    schema = "page_id long, url string, best string, weight long, blocks array<struct<text:string,paths:array<string>>>"
+    schema = (
+        "page_id long, url string, best string, weight long, scores map<string, double>, "
+        "blocks array<struct<text:string,paths:array<string>>>"
+    )
     read = materialize(rows.mapInArrow(page_reader, schema).withColumn("host", host_of(F.col("url"))), "page_blocks")
     voted = materialize(host_paths(read.select("host", "best", "weight")), "host_paths")
     if voted.count() <= BROADCAST_HOSTS:
         voted = F.broadcast(voted)
-    present = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["paths"])))
-    chosen = F.coalesce(F.get(F.filter("voted", lambda p: F.array_contains(F.col("_present"), p)), F.lit(0)), "best")
+    enough = F.col("weight") - (1 - NEAR) * F.abs("weight")
+    fitting = F.filter("voted", lambda p: F.coalesce(F.try_element_at("scores", p) >= enough, F.lit(False)))
+    chosen = F.coalesce(F.get(fitting, F.lit(0)), "best")
     inside = F.filter(
         "blocks", lambda b: F.col("_chosen").isNull() | F.coalesce(F.array_contains(b["paths"], F.col("_chosen")), F.lit(False))
     )
     return (
         read.join(voted, "host", "left")
-        .withColumn("_present", present)
         .withColumn("_chosen", chosen)
         .withColumn("text", F.array_join(F.transform(inside, lambda b: b["text"]), "\n"))
         .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -17,9 +17,10 @@ from sessiongraph.llm.common import kept_rows, text_pass
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNDETERMINED = "und"
-# The bounded training sample: texts per language, and characters taken from each of them.
+# The bounded training sample: texts per language, characters of each of them, and the stretches these come from.
 SAMPLE_TEXTS = 60
 SAMPLE_CHARACTERS = 1_000
+SAMPLE_STRETCHES = 5
 # A text is parsed in stretches of this many letters and word gaps, so that all stretches of a batch advance together.
 STRETCH = 1_024
 LANES = 4_096
@@ -190,10 +191,27 @@ def held_out(id_column: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % folds == 0
 
 
+def stretches(text: Column, characters: int, pieces: int = SAMPLE_STRETCHES) -> Column:
+    """The whole text up to `characters`, else as many from `pieces` stretches evenly spread from its start to its end."""
+    size = max(1, characters // pieces)
+    step = (F.length(text) - size) / max(1, pieces - 1)
+    cut = F.transform(
+        F.sequence(F.lit(0), F.lit(pieces - 1)),
+        lambda i: F.substring(text, (F.floor(i * step) + 1).cast("int"), F.lit(size)),
+    )
+    return F.when(text.isNull() | (F.length(text) <= characters), text).otherwise(F.array_join(cut, "\n"))
+
+
 def train(
-    labelled: DataFrame, lang_column: str = "lang", text_column: str = "text", texts: int = SAMPLE_TEXTS
+    labelled: DataFrame,
+    lang_column: str = "lang",
+    text_column: str = "text",
+    texts: int = SAMPLE_TEXTS,
+    characters: int = SAMPLE_CHARACTERS,
 ) -> Model:
-    """A sample of at most `texts` distinct texts per language, `SAMPLE_CHARACTERS` characters of each.
+    """A sample of at most `texts` distinct texts per language, `characters` of each, taken from all over the text.
+
+    Rows with a null language, and null and empty texts, teach nothing; without rows the model knows no language.
 
     Texts are chosen by their hash, so copies count once and the choice depends on the texts alone. Hashes are
     cut down to a multiple of `texts` per language on the map side before any window.
@@ -210,7 +228,7 @@ def train(
     found = (
         usable.join(F.broadcast(chosen.select("lang", "hash")), ["lang", "hash"])
         .groupBy("lang", "hash")
-        .agg(F.min(F.substring("text", 1, SAMPLE_CHARACTERS)).alias("text"))
+        .agg(F.min(stretches(F.col("text"), characters)).alias("text"))
         .orderBy("lang", "hash")
     )
     samples: dict[str, list[str]] = {}

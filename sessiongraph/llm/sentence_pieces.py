@@ -20,6 +20,9 @@ SPACE = "▁"
 # Piece types of the model file.
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 CACHED_UNITS = 400_000
+# Longer units are not kept, and a generation of the cache ends at about so many bytes of entries.
+CACHED_LENGTH = 64
+CACHED_BYTES = 150_000_000
 # Longer units have an agenda of their own.
 SHORT_UNIT = 40
 AGENDA_ROWS = 20_000
@@ -194,18 +197,26 @@ class Vocabulary:
 
 
 class UnitCache(dict):
-    """Ids as text and decoded text per unit, in two generations so that frequent units stay."""
+    """Ids as text and decoded text per unit, in two generations so that frequent units stay.
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = CACHED_UNITS) -> None:
+    A generation is bounded in entries and in bytes; units of more than `CACHED_LENGTH` characters stay for one call.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, limit: int = CACHED_UNITS, limit_bytes: int = CACHED_BYTES) -> None:
         super().__init__()
         self.vocabulary, self.limit, self.older = vocabulary, limit, {}
+        self.limit_bytes, self.bytes, self.passing = limit_bytes, 0, []
 
     def load(self, units: list[str]) -> None:
         """Make sure that all `units` have an entry."""
+        for unit in self.passing:
+            self.pop(unit, None)
+        self.passing = [unit for unit in set(units) if len(unit) > CACHED_LENGTH]
         missing = set(units).difference(self)
         if not missing:
             return
-        if len(self) + len(missing) > self.limit:
+        if len(self) + len(missing) > self.limit or self.bytes > self.limit_bytes:
+            self.bytes = 0
             self.older = {unit: self[unit] for unit in set(units).intersection(self)} | (
                 dict(self) if len(self) <= self.limit else {}
             )
@@ -221,6 +232,8 @@ class UnitCache(dict):
         decode = self.vocabulary.decode_part
         for unit, ids in zip(fresh, self.vocabulary.encode_units(fresh), strict=True):
             self[unit] = ",".join(map(str, ids)), decode(ids)
+        # Two strings, a tuple and a slot take some 300 bytes beside their characters.
+        self.bytes += sum(300 + len(u) + sum(map(len, self[u])) for u in missing if len(u) <= CACHED_LENGTH)
 
 
 def read_vocabulary(path: str) -> list[tuple[str, float, int]]:
