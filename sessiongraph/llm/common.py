@@ -65,21 +65,26 @@ def word_spans(buffer: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray,
     return edge[0::2], edge[1::2] - edge[0::2]
 
 
-def word_hashes(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, and offsets: text i has `hashes[offsets[i]:offsets[i + 1]]`."""
+def span_hashes(buffer: np.ndarray, separators: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of a buffer; the spans are those of `word_spans`."""
     if not _powers:
         _powers.append(np.cumprod(np.full(_POWERS, _MULTIPLIER, dtype=np.uint64)))
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    buffer = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    starts, lengths = word_spans(buffer, separators)
-    offsets = np.concatenate(([0], np.searchsorted(starts, ends))).astype(np.int64)
     if not len(starts):
-        return np.empty(0, dtype=np.uint64), offsets
+        return np.empty(0, dtype=np.uint64)
     first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
     values = buffer[~separators[buffer]].astype(np.uint64) + np.uint64(1)
     values *= _powers[0][place & (_POWERS - 1)]
-    return mix(np.add.reduceat(values, first)), offsets
+    return mix(np.add.reduceat(values, first))
+
+
+def word_hashes(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and offsets: text i has `hashes[offsets[i]:offsets[i + 1]]`."""
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    buffer = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    starts, lengths = word_spans(buffer, separators)
+    offsets = np.concatenate(([0], np.searchsorted(starts, ends))).astype(np.int64)
+    return span_hashes(buffer, separators, starts, lengths), offsets
 
 
 def grams(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -1,4 +1,5 @@
-"""A byte-level language model that mixes hashed-context bit predictors, and scores of whole texts."""
+"""A byte-level language model that mixes hashed-context bit predictors, with phrases of the corpus above the bytes, and
+scores of whole texts."""
 
 from __future__ import annotations
 
@@ -16,7 +17,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessiongraph.llm.common import SLICE_BYTES, mix, parts, separator_table, word_spans
+from sessiongraph.llm import phrases
+from sessiongraph.llm.common import SLICE_BYTES, mix, parts, separator_table, span_hashes, word_spans
+from sessiongraph.llm.phrases import cut as cut_phrases
 from sessiongraph.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -60,11 +63,27 @@ def _previous(last_two: np.ndarray) -> np.ndarray:
     return (mix(last_two + np.uint64(1)) & np.uint64(PREVIOUS - 1)).astype(np.int64)
 
 
-def part_arrays(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(words of all texts, words per text, previous context and first byte of all tokens, ends included)."""
+@dataclass
+class Spoken:
+    """The words of several texts: the joined bytes, starts and lengths in them, words per text; and previous context
+    and first byte of all tokens, ends included."""
+
+    joined: bytes
+    starts: np.ndarray
+    lengths: np.ndarray
+    sizes: np.ndarray
+    previous: np.ndarray
+    first: np.ndarray
+    is_word: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        raw = np.frombuffer(self.joined, dtype=np.uint8)
+        return span_hashes(raw, separator_table(), self.starts, self.lengths)
+
+
+def spoken_of(texts: list[str | None]) -> Spoken:
     buffers = [t.encode("utf-8", "replace").lower() if t else b"" for t in texts]
     joined = b" ".join(buffers) + b" "
-    words = joined.split()
     raw = np.frombuffer(joined, dtype=np.uint8)
     starts, lengths = word_spans(raw, separator_table())
     ends = np.cumsum([len(b) + 1 for b in buffers])
@@ -85,7 +104,7 @@ def part_arrays(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.nd
     before = np.zeros(total, dtype=np.uint64)
     before[1:] = last_two[:-1]
     before[np.concatenate(([0], end_at[:-1] + 1))] = 0
-    return words, counts, _previous(before), first
+    return Spoken(joined, starts, lengths, counts, _previous(before), first, is_word)
 
 
 @dataclass
@@ -201,10 +220,11 @@ class Mixer:
         x, gate, mixed = self.inputs(zeros, ones)
         p = squash(mixed)
         error = (bit - p) * weight
-        spread = p * (1 - p) * weight
+        size = np.abs(x)
+        spread = p * (1 - p) * weight * size.sum(axis=0)
         for k in range(PREDICTORS):
             slope = np.bincount(gate, error * x[k], GATES)
-            bend = np.bincount(gate, spread * x[k] * np.abs(x).sum(axis=0) * np.sign(x[k]), GATES)
+            bend = np.bincount(gate, spread * size[k], GATES)
             self.weights[:, k] += np.clip(LEARNING_RATE * slope / (bend + 1.0), -LONGEST_STEP, LONGEST_STEP)
         np.clip(self.weights, -0.5, 1.5, out=self.weights)
         cells = apm_cells(mixed, gate)
@@ -212,12 +232,29 @@ class Mixer:
         self.refined[0] += np.bincount(cells, weight * (1 - bit), GATES * APM_BUCKETS)
 
 
+def prepare(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What scoring reads of each counter: its log odds, and the grade of what it has seen."""
+    zeros, ones = table[0].astype(np.float32), table[1].astype(np.float32)
+    odds = np.log((ones + np.float32(0.3)) / (zeros + np.float32(0.3))).astype(np.float16)
+    return odds, np.searchsorted(np.array([0.5, 8.0, 128.0]), zeros + ones).astype(np.uint8)
+
+
 def event_costs(events: Events, code: tuple[np.ndarray, np.ndarray], table: np.ndarray, mixer: Mixer) -> np.ndarray:
     """log10 of the probability of every byte."""
+    return prepared_costs(events, code, prepare(table), mixer)
+
+
+def prepared_costs(
+    events: Events, code: tuple[np.ndarray, np.ndarray], prepared: tuple[np.ndarray, np.ndarray], mixer: Mixer
+) -> np.ndarray:
+    odds, grades = prepared
     out = np.zeros(len(events.symbols))
     for alive, slots, bit in bits(events, code):
-        zeros, ones = table[0][slots].astype(np.float32), table[1][slots].astype(np.float32)
-        _, gate, mixed = mixer.inputs(zeros, ones)
+        gate = grades[slots[3]].astype(np.int64) * 4 + grades[slots[1]]
+        weights = mixer.weights[gate]
+        mixed = np.zeros(len(alive))
+        for k in range(PREDICTORS):
+            mixed += weights[:, k] * odds[slots[k]]
         p = mixer.probability(mixed, gate)
         out[alive] += np.log(np.where(bit == 1, p, 1 - p)) * _LOG10_E
     return out
@@ -225,7 +262,8 @@ def event_costs(events: Events, code: tuple[np.ndarray, np.ndarray], table: np.n
 
 @dataclass
 class Model:
-    """What scoring needs: a fixed-size counter table, the mixer, and counts of the frequent tokens by group."""
+    """What scoring needs: a fixed-size counter table, the mixer, and counts of the frequent tokens by group. Phrases
+    stay in their table, which grows with the corpus."""
 
     table: np.ndarray
     mixer: Mixer
@@ -236,6 +274,12 @@ class Model:
     long_from: int
     train_tokens: int
     distinct: int
+    phrases: phrases.Phrases | None = None
+
+    def values(self) -> dict:
+        """Plain values for the tasks, which need no copy of this package."""
+        kept = {k: v for k, v in vars(self).items() if k not in ("phrases", "table")}
+        return kept | {"mixer": vars(self.mixer), "table": prepare(self.table)}
 
 
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,12 +302,12 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batch, column=0, limit=SLICE_BYTES):
             texts, groups = part.column(0).to_pylist(), part.column(1).to_numpy()
             for group in np.unique(groups).tolist():
-                words, sizes, previous, first = part_arrays([texts[i] for i in np.flatnonzero(groups == group)])
+                spoken = spoken_of([texts[i] for i in np.flatnonzero(groups == group)])
                 held = tokens.setdefault(group, Counter())
-                held.update(words)
+                held.update(spoken.joined.split())
                 # The end is a token of its own; no word holds a line feed.
-                held[bytes([END])] += len(sizes)
-                cells = np.bincount(previous * 256 + first, minlength=PREVIOUS * 256)
+                held[bytes([END])] += len(spoken.sizes)
+                cells = np.bincount(spoken.previous * 256 + spoken.first, minlength=PREVIOUS * 256)
                 pairs[group] = pairs[group] + cells if group in pairs else cells
             if sum(map(len, tokens.values())) > COUNTED_TOKENS:
                 yield from flush()
@@ -433,7 +477,10 @@ def train(texts: DataFrame, text_column: str = "text", group_column: str | None
         mixer.weights = values[:n_weights].reshape(GATES, PREDICTORS) / values[-1]
         mixer.refined = values[n_weights:-1].reshape(2, -1)
     shared.destroy()
-    model = Model(table, mixer, code, frequent, group_counts, group_texts, long_from, totals["n"], totals["v"])
+    learned_phrases = phrases.learn(texts.select(F.col(text_column).alias("text")))
+    model = Model(
+        table, mixer, code, frequent, group_counts, group_texts, long_from, totals["n"], totals["v"], learned_phrases
+    )
     return model, tokens
 
 
@@ -448,6 +495,7 @@ class TokenCosts:
     """Per group and token: log10 probability of what follows its first byte, and its base score if it is frequent."""
 
     def __init__(self, model: Model) -> None:
+        """The table of `model` is the prepared one."""
         self.model = model
         self.order = Order({token: i for i, token in enumerate(model.frequent)})
         self.base_of = np.array([self.base(n) for n in model.frequent.values()] + [np.nan])
@@ -473,7 +521,7 @@ class TokenCosts:
         fresh = np.unique(cells[np.isnan(known[cells])])
         if len(fresh):
             events = first_events(np.full(len(fresh), group), fresh // 256, fresh % 256)
-            known[fresh] = event_costs(events, self.model.code, self.model.table, self.model.mixer)
+            known[fresh] = prepared_costs(events, self.model.code, self.model.table, self.model.mixer)
         return known[cells]
 
     def base(self, count: int) -> float:
@@ -495,7 +543,7 @@ class TokenCosts:
             chosen = missing[start : start + BATCH_TOKENS]
             is_long = np.array([w in self.order for w in chosen], dtype=bool)
             events = token_events(chosen, np.full(len(chosen), group), is_long)
-            costs = event_costs(events, self.model.code, self.model.table, self.model.mixer)
+            costs = prepared_costs(events, self.model.code, self.model.table, self.model.mixer)
             added[start : start + len(chosen)] = np.bincount(events.owner, costs, len(chosen))
         held.update(zip(missing, range(len(held), len(held) + len(missing)), strict=True))
         self.values[group] = np.concatenate((self.values[group], added))
@@ -525,37 +573,54 @@ def scorer(shared, key: str):
 RARE_TYPE = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
 
 
+PHRASE_TYPE = pa.list_(pa.struct([("context", pa.int64()), ("phrase", pa.int64()), ("cost", pa.float32())]))
+
+
 def score_part(part: pa.RecordBatch, costs: TokenCosts) -> pa.RecordBatch:
     texts = part.column(1).to_pylist()
     n = len(texts)
-    words, sizes, previous, first = part_arrays(texts)
+    spoken = spoken_of(texts)
+    sizes = spoken.sizes
+    hashes = spoken.hashes()
+    _, index, word_of = np.unique(hashes, return_index=True, return_inverse=True)
+    spans = zip(spoken.starts[index].tolist(), spoken.lengths[index].tolist(), strict=True)
+    words = [spoken.joined[start : start + length] for start, length in spans]
     owner = np.repeat(np.arange(n), sizes)
-    place = np.fromiter(map(costs.order.__getitem__, words), dtype=np.int64, count=len(words))
+    place_of = np.fromiter(map(costs.order.__getitem__, words), dtype=np.int64, count=len(words))
+    place = place_of[word_of]
     # The group under which the frequent tokens of the text are likeliest; naming it costs its prior.
     fit = np.stack([np.bincount(owner, row[place], n) if p > -np.inf else np.zeros(n) for p, row in zip(costs.prior, costs.group_of, strict=True)])
     fit += costs.prior[:, None]
     group = fit.argmax(axis=0)
-    score = costs.prior[group]
     n_tokens = sizes + 1
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    cells = previous * 256 + first
+    cells = spoken.previous * 256 + spoken.first
     token_owner = np.repeat(np.arange(n), n_tokens)
+    token_cost = np.zeros(len(token_owner))
+    word_cost = np.zeros(len(owner))
+    word_group, token_group = group[owner], group[token_owner]
     for g in np.unique(group).tolist():
-        chosen = np.flatnonzero(group == g)
-        spoken = [w for i in chosen.tolist() for w in words[bounds[i] : bounds[i + 1]]]
-        costs.load(g, spoken)
-        at = np.fromiter(map(costs.words[g].__getitem__, spoken), dtype=np.int64, count=len(spoken))
-        score[chosen] += np.bincount(np.repeat(np.arange(len(chosen)), sizes[chosen]), costs.values[g][at], len(chosen))
-        mine = group[token_owner] == g
-        score += np.bincount(token_owner[mine], costs.first(g, cells[mine]), n)
+        mine = np.flatnonzero(word_group == g)
+        used = np.zeros(len(words), dtype=bool)
+        used[word_of[mine]] = True
+        chosen = np.flatnonzero(used)
+        named = [words[i] for i in chosen.tolist()]
+        costs.load(g, named)
+        at = np.fromiter(map(costs.words[g].__getitem__, named), dtype=np.int64, count=len(named))
+        value = np.zeros(len(words))
+        value[chosen] = costs.values[g][at]
+        word_cost[mine] = value[word_of[mine]]
+        mine = np.flatnonzero(token_group == g)
+        token_cost[mine] = costs.first(g, cells[mine])
+    token_cost[spoken.is_word] += word_cost
+    score = costs.prior[group] + np.bincount(token_owner, token_cost, n)
     base = costs.base_of[place]
     listed = np.isnan(base)
     base_score = np.bincount(owner, np.where(listed, 0, base), n).astype(np.float64)
     known = np.bincount(owner, ~listed, n).astype(np.int64)
     rare: list[Counter] = [Counter() for _ in texts]
-    for i in np.flatnonzero(listed).tolist():
-        rare[owner[i]][words[i]] += 1
-    n_bytes = np.bincount(owner, np.fromiter(map(len, words), dtype=np.int64, count=len(words)), n) + n_tokens
+    for text, word in zip(owner[listed].tolist(), word_of[listed].tolist(), strict=True):
+        rare[text][words[word]] += 1
+    n_bytes = np.bincount(owner, spoken.lengths, n) + n_tokens
     end = costs.model.frequent.get(bytes([END]))
     if end is None:
         for entry in rare:
@@ -563,17 +628,33 @@ def score_part(part: pa.RecordBatch, costs: TokenCosts) -> pa.RecordBatch:
     else:
         base_score += costs.base(end)
         known += 1
+    found = cut_phrases(hashes, sizes)
+    # A phrase costs its tokens, and the end if it is the last one.
+    from_token = found.start + found.owner
+    phrase_cost = np.add.reduceat(token_cost, from_token) if len(from_token) else np.empty(0)
+    keyed = found.has_context
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(found.owner[keyed], minlength=n))))
+    entries = pa.StructArray.from_arrays(
+        [
+            pa.array(found.context[keyed].view(np.int64)),
+            pa.array(found.phrase[keyed].view(np.int64)),
+            pa.array(phrase_cost[keyed].astype(np.float32)),
+        ],
+        fields=list(PHRASE_TYPE.value_type),
+    )
     return pa.RecordBatch.from_arrays(
         [
             part.column(0),
+            part.column(2),
             pa.array(n_tokens, pa.int64()),
             pa.array(known, pa.int64()),
             pa.array(base_score),
             pa.array(score),
             pa.array(n_bytes.astype(np.int64), pa.int64()),
             pa.array([[{"token": t, "n": k} for t, k in entry.items()] for entry in rare], RARE_TYPE),
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries),
         ],
-        names=["doc_id", "n_tokens", "known", "base", "score", "n_bytes", "rare"],
+        names=["doc_id", "own", "n_tokens", "known", "base", "score", "n_bytes", "rare", "phrases"],
     )
 
 
@@ -582,7 +663,12 @@ def held_out(id_column: str = "doc_id", folds: int = 7, fold: int = 2) -> Column
 
 
 def score(
-    df: DataFrame, model: Model, tokens: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+    df: DataFrame,
+    model: Model,
+    tokens: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    trained: Column | None = None,
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every whole text.
 
@@ -591,6 +677,12 @@ def score(
     code), each predicted by four counters under hashed contexts, combined by weights chosen by a gate and refined by an
     adaptive map. Contexts are those of one group, the one under which the text's frequent tokens are likeliest; naming
     it is part of the cost, so `score` is a probability of the text.
+
+    Above the bytes are phrases (see `phrases`): whether the next phrase is the one that followed the last four words
+    most often in the corpus is one more binary decision, and only phrases that are not are spelled. `trained` says which
+    rows the model has learned from: what such a row itself added to a phrase's counts is taken off again, so a text is
+    no evidence of itself; without it no row counts as learned from.
+
     `bits_per_byte` is -score in bits for each byte of the tokens with one separator each.
 
     Null text counts as empty: one token, the end. Repeated rows are kept, null ids too; other columns are not read.
@@ -598,28 +690,36 @@ def score(
     one row per document and token, so no hot token is shuffled.
     """
     spark = df.sparkSession
-    # Plain values travel, not the object: workers need no copy of this package.
-    shared = spark.sparkContext.broadcast(vars(model) | {"mixer": vars(model.mixer)})
+    shared = spark.sparkContext.broadcast(model.values())
     schema = (
-        "doc_id long, n_tokens long, known long, base double, score double, n_bytes long, "
-        "rare array<struct<token:binary,n:long>>"
+        "doc_id long, own int, n_tokens long, known long, base double, score double, n_bytes long, "
+        "rare array<struct<token:binary,n:long>>, phrases array<struct<context:long,phrase:long,cost:float>>"
     )
-    rows = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    own = F.lit(0) if trained is None else F.coalesce(trained.cast("int"), F.lit(0))
+    rows = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), own.alias("own"))
     scored = rows.mapInArrow(scorer(shared, uuid.uuid4().hex), schema).withColumn("_row", F.monotonically_increasing_id())
     scored = materialize(scored, "scored")
     rare = scored.select("_row", F.explode("rare").alias("_t")).select("_row", "_t.token", F.col("_t.n").alias("_times"))
-    counted = rare.join(tokens, "token", "left")
     size = float(model.train_tokens + model.distinct + 1)
-    sums = counted.groupBy("_row").agg(
-        F.sum(F.col("_times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(size))).alias("_base"),
-        F.sum(F.when(F.col("n") > 0, F.col("_times")).otherwise(0)).alias("_known"),
+    counted = rare.join(tokens, "token", "left").select(
+        "_row",
+        (F.col("_times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(size))).alias("_base"),
+        F.when(F.col("n") > 0, F.col("_times")).otherwise(0).cast("long").alias("_known"),
+        F.lit(0.0).alias("_gain"),
+    )
+    gained = phrases.gains(scored.select("_row", "own", F.explode("phrases").alias("_p")), model.phrases).select(
+        "_row", F.lit(0.0).alias("_base"), F.lit(0).cast("long").alias("_known"), F.col("gain").alias("_gain")
+    )
+    sums = counted.unionByName(gained).groupBy("_row").agg(
+        F.sum("_base").alias("_base"), F.sum("_known").alias("_known"), F.sum("_gain").alias("_gain")
     )
-    return scored.join(sums, "_row", "left").select(
+    total = F.col("score") + F.coalesce("_gain", F.lit(0.0))
+    return scored.drop("phrases", "rare").join(sums, "_row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-        "score",
-        (-F.col("score") * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        total.alias("score"),
+        (-total * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )

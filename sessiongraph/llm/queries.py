@@ -200,7 +200,7 @@ def score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = context_mixing.held_out()
     model, tokens = context_mixing.train(documents.where(~held_out))
-    scored = context_mixing.score(documents, model, tokens)
+    scored = context_mixing.score(documents, model, tokens, trained=~held_out)
     first = ["doc_id", held_out.alias("held_out")]
     return scored.select(*first, *[c for c in scored.columns if c != "doc_id"])
 
