@@ -43,14 +43,16 @@ FLUSHED_SLOTS = 2_000_000
 FREQUENT = 1 << 17
 PREVIOUS = 4_096
 BATCH_TOKENS = 2_000
-CACHED_TOKENS = 250_000
-COUNTED_TOKENS = 300_000
+# Spelled words that a task keeps, at 12 bytes each.
+CACHED_WORDS = 3_000_000
+RECENT_WORDS = 100_000
+COUNTED_TOKENS = 400_000
 END, TERMINATOR = 0x0A, 0x20
 TOKEN, FIRST = 0, 1
 
 _SALTS = mix(np.arange(11, 11 + 64, dtype=np.uint64))
 _GROUP_SALTS = mix(np.arange(101, 101 + GROUPS, dtype=np.uint64))
-_MASK = np.uint64((1 << SLOT_BITS) - 1)
+_SHIFT = np.uint64(64 - SLOT_BITS)
 _LOG10_E = 1 / math.log(10)
 
 
@@ -173,7 +175,12 @@ def bits(events: Events, code: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[
         alive = np.flatnonzero(lengths > bit)
         rest = lengths[alive] - bit
         node = ((1 << bit) | (codes[alive] >> rest)).astype(np.uint64)
-        slots = (mix(events.contexts[:, alive] + node * np.uint64(0xD6E8FEB86659FD93)) & _MASK).astype(np.int64)
+        # Contexts are well mixed, so one product spreads them with the node.
+        slots = events.contexts[:, alive]
+        slots ^= node * np.uint64(0xD6E8FEB86659FD93)
+        slots *= np.uint64(0x9E3779B97F4A7C15)
+        slots >>= _SHIFT
+        slots = slots.view(np.int64)
         yield alive, slots, (codes[alive] >> (rest - 1)) & 1
 
 
@@ -491,6 +498,31 @@ class Order(dict):
         return len(self)
 
 
+class SortedValues:
+    """Values by 64-bit keys in ascending order."""
+
+    def __init__(self, keys: np.ndarray | None = None, values: np.ndarray | None = None) -> None:
+        self.keys = np.empty(0, dtype=np.uint64) if keys is None else keys
+        self.values = np.empty(0, dtype=np.float32) if values is None else values
+
+    def find(self, keys: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Which keys are there; their values go to `out`."""
+        known = np.zeros(len(keys), dtype=bool)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            known = self.keys[place] == keys
+            out[known] = self.values[place[known]]
+        return known
+
+    def joined(self, keys: np.ndarray, values: np.ndarray) -> SortedValues:
+        """With more keys, none of which is there yet."""
+        order = np.argsort(keys)
+        place = np.searchsorted(self.keys, keys[order])
+        return SortedValues(
+            np.insert(self.keys, place, keys[order]), np.insert(self.values, place, values[order].astype(np.float32))
+        )
+
+
 class TokenCosts:
     """Per group and token: log10 probability of what follows its first byte, and its base score if it is frequent."""
 
@@ -509,8 +541,8 @@ class TokenCosts:
             self.prior = np.log10(model.group_texts / texts)
         if not model.group_texts.any():
             self.prior[0] = 0.0
-        self.words: list[dict[bytes, int]] = [{} for _ in range(GROUPS)]
-        self.values: list[np.ndarray] = [np.empty(0) for _ in range(GROUPS)]
+        # Words spelled so far.
+        self.many, self.recent = SortedValues(), SortedValues()
         self.firsts: dict[int, np.ndarray] = {}
 
     def first(self, group: int, cells: np.ndarray) -> np.ndarray:
@@ -527,26 +559,25 @@ class TokenCosts:
     def base(self, count: int) -> float:
         return math.log10((count + 1) / (self.model.train_tokens + self.model.distinct + 1))
 
-    def load(self, group: int, words: list[bytes]) -> None:
-        """Make sure that all `words` have a place. Frequent tokens stay when the others make room."""
-        held = self.words[group]
-        missing = list(set(words).difference(held))
-        if sum(map(len, self.words)) + len(missing) > len(self.order) + CACHED_TOKENS:
-            for g, (old, values) in enumerate(zip(self.words, self.values, strict=True)):
-                kept = [w for w in old if w in self.order]
-                self.values[g] = values[[old[w] for w in kept]] if kept else np.empty(0)
-                self.words[g] = {w: i for i, w in enumerate(kept)}
-            held = self.words[group]
-            missing = list(set(words).difference(held))
-        added = np.zeros(len(missing))
+    def spelled(self, group: int, hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """log10 probability of all but the first byte of `words`, whose hashes are given; the words differ."""
+        keys = mix(hashes + _GROUP_SALTS[group])
+        out = np.zeros(len(keys))
+        known = self.many.find(keys, out) | self.recent.find(keys, out)
+        missing = np.flatnonzero(~known)
         for start in range(0, len(missing), BATCH_TOKENS):
-            chosen = missing[start : start + BATCH_TOKENS]
+            at = missing[start : start + BATCH_TOKENS]
+            chosen = [words[i] for i in at.tolist()]
             is_long = np.array([w in self.order for w in chosen], dtype=bool)
             events = token_events(chosen, np.full(len(chosen), group), is_long)
             costs = prepared_costs(events, self.model.code, self.model.table, self.model.mixer)
-            added[start : start + len(chosen)] = np.bincount(events.owner, costs, len(chosen))
-        held.update(zip(missing, range(len(held), len(held) + len(missing)), strict=True))
-        self.values[group] = np.concatenate((self.values[group], added))
+            out[at] = np.bincount(events.owner, costs, len(chosen))
+        self.recent = self.recent.joined(keys[missing], out[missing])
+        if len(self.recent.keys) > RECENT_WORDS:
+            if len(self.many.keys) > CACHED_WORDS:
+                self.many = SortedValues()
+            self.many, self.recent = self.many.joined(self.recent.keys, self.recent.values), SortedValues()
+        return out
 
 
 _costs: dict[str, TokenCosts] = {}
@@ -582,7 +613,7 @@ def score_part(part: pa.RecordBatch, costs: TokenCosts) -> pa.RecordBatch:
     spoken = spoken_of(texts)
     sizes = spoken.sizes
     hashes = spoken.hashes()
-    _, index, word_of = np.unique(hashes, return_index=True, return_inverse=True)
+    distinct, index, word_of = np.unique(hashes, return_index=True, return_inverse=True)
     spans = zip(spoken.starts[index].tolist(), spoken.lengths[index].tolist(), strict=True)
     words = [spoken.joined[start : start + length] for start, length in spans]
     owner = np.repeat(np.arange(n), sizes)
@@ -604,10 +635,8 @@ def score_part(part: pa.RecordBatch, costs: TokenCosts) -> pa.RecordBatch:
         used[word_of[mine]] = True
         chosen = np.flatnonzero(used)
         named = [words[i] for i in chosen.tolist()]
-        costs.load(g, named)
-        at = np.fromiter(map(costs.words[g].__getitem__, named), dtype=np.int64, count=len(named))
         value = np.zeros(len(words))
-        value[chosen] = costs.values[g][at]
+        value[chosen] = costs.spelled(g, distinct[chosen], named)
         word_cost[mine] = value[word_of[mine]]
         mine = np.flatnonzero(token_group == g)
         token_cost[mine] = costs.first(g, cells[mine])
