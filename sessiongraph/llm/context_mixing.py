@@ -44,9 +44,9 @@ FREQUENT = 1 << 17
 PREVIOUS = 4_096
 BATCH_TOKENS = 2_000
 # Spelled words that a task keeps, at 12 bytes each.
-CACHED_WORDS = 3_000_000
+CACHED_WORDS = 1_000_000
 RECENT_WORDS = 100_000
-COUNTED_TOKENS = 400_000
+COUNTED_TOKENS = 300_000
 END, TERMINATOR = 0x0A, 0x20
 TOKEN, FIRST = 0, 1
 
