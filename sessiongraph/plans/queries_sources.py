@@ -11,6 +11,7 @@ from sessiongraph.plans.jobs import build_manifest
 from sessiongraph.plans.registry import Run, query
 from sessiongraph.session import new_path
 from sessiongraph.sources import behavior, entities, fixtures, tables
+from sessiongraph.streaming.matches import match_streams, run_available
 
 
 @query(
@@ -263,6 +264,29 @@ def _(c: Run) -> DataFrame:
     )
 
 
+@query(
+    "x2_stream_match",
+    """select execution_id, log_instant, account_id, item_id, user_id, emitted, count(*) as copies
+       from g_pairs_ts group by all""",
+)
+def _(c: Run) -> DataFrame:
+    """Both inputs as file streams."""
+    needed = {
+        "logs": c.logs.select("execution_id", "log_instant", "account_id", "item_id", "cookie", "page_type"),
+        "views": c.view_events.select("account_id", "item_id", "cookie", "user_id", "emitted"),
+    }
+    streams = {}
+    for name, df in needed.items():
+        path = new_path(c.spark, name)
+        df.write.parquet(path)
+        streams[name] = c.spark.readStream.schema(df.schema).parquet(path)
+    found = match_streams(streams["logs"], streams["views"], c.identity)
+    out = new_path(c.spark, "stream_matches")
+    run_available(found, out, new_path(c.spark, "stream_state"))
+    pairs = c.spark.read.schema(found.schema).parquet(out)
+    return pairs.groupBy(*pairs.columns).agg(F.count("*").alias("copies"))
+
+
 @query(
     "c6_attach_sessions",
     """select execution_id, log_instant, account_id, item_id, user_id, emitted, session_id, split,
