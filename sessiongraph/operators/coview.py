@@ -8,15 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessiongraph.functions.vectors import zeros
-from sessiongraph.session import materialize
+from sessiongraph.session import materialize, partitions_for
 
 SESSION = ["user_id", "session_id"]
 PAIR = ["item_a", "item_b"]
+# Pairs that one task sums up.
+PAIRS_PER_TASK = 1_000_000
 
 
-def session_items(session_views: DataFrame) -> DataFrame:
-    """Distinct (split, user_id, session_id, item_id)."""
-    return session_views.select("split", *SESSION, "item_id").distinct()
+def session_items(session_views: DataFrame, parts: int | None = None) -> DataFrame:
+    """Distinct (split, user_id, session_id, item_id).
+
+    Views are dealt out before they are compared, to as many tasks as their number asks for: hardly any of them repeat,
+    so a pass that combines them on the map side would keep them all.
+    """
+    rows = session_views.select("split", *SESSION, "item_id")
+    if parts is None:
+        parts = partitions_for(rows.sparkSession, session_views.count())
+    return rows.repartition(parts, "split", *SESSION, "item_id").distinct()
 
 
 def last_views(session_views: DataFrame) -> DataFrame:
@@ -24,26 +33,28 @@ def last_views(session_views: DataFrame) -> DataFrame:
     return session_views.groupBy("split", *SESSION, "item_id").agg(F.max("emitted").alias("last_seen"))
 
 
-def session_sizes(items: DataFrame) -> DataFrame:
-    """Number of distinct items per session, from `session_items` rows."""
-    return items.groupBy("split", *SESSION).agg(F.count("*").alias("session_size"))
+def session_sizes(items: DataFrame, parts: int | None = None) -> DataFrame:
+    """Number of distinct items per session, from `session_items` rows, in `parts` partitions if given."""
+    dealt = items if parts is None else items.repartition(parts, "split", *SESSION)
+    return dealt.groupBy("split", *SESSION).agg(F.count("*").alias("session_size"))
 
 
-def long_sessions(session_views: DataFrame, block_items: int) -> DataFrame:
-    """Sizes of the sessions with more than `block_items` distinct items, written to the shared folder.
+def long_sessions(session_views: DataFrame, block_items: int, parts: int) -> tuple[DataFrame, int]:
+    """Sizes of the sessions with more than `block_items` distinct items, written to the shared folder, and a bound
+    on the number of pairs of all sessions.
 
-    View counts, which combine on the map side, narrow the search first; distinct items are counted for
-    the few sessions left.
+    View counts narrow the search first; distinct items are counted for the few sessions left.
     """
     keys = ["split", *SESSION]
-    busy = materialize(
-        session_views.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > block_items).drop("n"),
-        "busy_sessions",
-    )
-    if busy.isEmpty():
-        return busy.withColumn("session_size", F.lit(0).cast("long"))
-    sizes = session_sizes(session_items(session_views.join(busy, keys, "left_semi")))
-    return materialize(sizes.where(F.col("session_size") > block_items), "long_sessions")
+    counts = session_views.select(*keys).repartition(parts, *keys).groupBy(*keys).agg(F.count("*").alias("n"))
+    # Views that repeat count as items here; a session of n views has n * (n - 1) / 2 pairs at most.
+    bound = counts.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2), F.max("n")).first()
+    if (bound[1] or 0) <= block_items:
+        none = session_views.select(*keys, F.lit(0).cast("long").alias("session_size"))
+        return none.limit(0), int(bound[0] or 0)
+    busy = materialize(counts.where(F.col("n") > block_items).drop("n"), "busy_sessions")
+    sizes = session_sizes(session_items(session_views.join(busy, keys, "left_semi"), parts))
+    return materialize(sizes.where(F.col("session_size") > block_items), "long_sessions"), int(bound[0])
 
 
 def session_pairs(session_views: DataFrame, normalize: bool = False, block_items: int = 4096) -> DataFrame:
@@ -54,11 +65,17 @@ def session_pairs(session_views: DataFrame, normalize: bool = False, block_items
     spread over many tasks and no task pairs more than two blocks. The list of such sessions is stored
     beforehand: Spark sees its size and takes them out before the shuffle if the list is small.
     """
-    items = session_items(session_views)
-    large = long_sessions(session_views, block_items)
+    return _pairs_and_bound(session_views, normalize, block_items)[0]
+
+
+def _pairs_and_bound(session_views: DataFrame, normalize: bool, block_items: int) -> tuple[DataFrame, int]:
+    """`session_pairs`, and a bound on their number. Sessions are dealt to tasks whose number grows with the views."""
+    parts = partitions_for(session_views.sparkSession, session_views.count())
+    items = session_items(session_views, parts)
+    large, bound = long_sessions(session_views, block_items, parts)
     keys = ["split", *SESSION]
     if normalize:
-        items = items.join(session_sizes(items), keys)
+        items = items.join(session_sizes(items, parts), keys)
         weight = F.lit(1.0) / (F.col("session_size") - 1)
         carried = ["session_size"]
     else:
@@ -66,6 +83,7 @@ def session_pairs(session_views: DataFrame, normalize: bool = False, block_items
         carried = []
     some_large = not large.isEmpty()
     small_items = items.join(large.select(*keys), keys, "left_anti") if some_large else items
+    small_items = small_items.repartition(parts, *keys)
     left = small_items.withColumnRenamed("item_id", "item_a")
     right = small_items.select(*keys, F.col("item_id").alias("item_b"))
     pairs = (
@@ -74,8 +92,8 @@ def session_pairs(session_views: DataFrame, normalize: bool = False, block_items
         .select("split", *PAIR, weight.alias("pair_weight"))
     )
     if not some_large:
-        return pairs
-    return pairs.unionByName(_blocked_pairs(items, large, keys, carried, weight, block_items))
+        return pairs, bound
+    return pairs.unionByName(_blocked_pairs(items, large, keys, carried, weight, block_items)), bound
 
 
 def _blocked_pairs(
@@ -120,10 +138,11 @@ def co_view_edges(
 ) -> DataFrame:
     """(split, item_a, item_b, weight, raw_count); all splits in one pass over the views.
 
-    Pairs are summed on the map side before the one shuffle of this step.
+    Pairs are dealt to as many tasks as a bound on their number asks for, and summed there.
     """
-    pairs = session_pairs(session_views, normalize, block_items)
-    edges = pairs.groupBy("split", *PAIR).agg(
+    pairs, bound = _pairs_and_bound(session_views, normalize, block_items)
+    parts = partitions_for(pairs.sparkSession, bound, PAIRS_PER_TASK)
+    edges = pairs.repartition(parts, "split", *PAIR).groupBy("split", *PAIR).agg(
         F.sum("pair_weight").alias("weight"), F.count("*").alias("raw_count")
     )
     return edges if min_weight is None else edges.where(F.col("weight") >= min_weight)

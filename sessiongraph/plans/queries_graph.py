@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessiongraph.operators import coview, index, propagation
 from sessiongraph.plans.registry import Run, query
+from sessiongraph.session import partitions_for
 
 
 def _train_indexed(c: Run) -> DataFrame:
@@ -39,7 +40,8 @@ def _(c: Run) -> DataFrame:
     "select split, user_id, session_id, count(*) as session_size from g_basket_items group by all",
 )
 def _(c: Run) -> DataFrame:
-    return coview.session_sizes(coview.session_items(c.baskets))
+    parts = partitions_for(c.spark, c.baskets.count())
+    return coview.session_sizes(coview.session_items(c.baskets, parts), parts)
 
 
 _BASKET_PAIRS = """from g_basket_items a join g_basket_items b on a.user_id = b.user_id

@@ -77,7 +77,7 @@ class Run(Chain):
 
     @cached_property
     def baskets(self) -> DataFrame:
-        return fixtures.baskets(self.spark, self.location)
+        return materialize(fixtures.baskets(self.spark, self.location), "baskets")
 
     @cached_property
     def basket_nodes(self) -> DataFrame:
@@ -89,7 +89,7 @@ class Run(Chain):
         months = fixtures.shipped_months(self.spark, self.location)
         per_month = [F.count_if(F.col("month") == m).cast("double") for m in range(1, 13)]
         counts = months.groupBy("item_id").agg(F.array(*per_month).alias("vector"))
-        return counts.join(self.basket_nodes, "item_id").select("node_idx", "vector")
+        return materialize(counts.join(self.basket_nodes, "item_id").select("node_idx", "vector"), "basket_features")
 
     @cached_property
     def basket_edges(self) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessiongraph.session import partitions_for
 from sessiongraph.sources.tables import load
 
 # Fixed values of the derived tables.
@@ -156,7 +157,10 @@ def scored_pairs(spark: SparkSession, location: str) -> DataFrame:
 def baskets(spark: SparkSession, location: str) -> DataFrame:
     """Order lines as session views: customer, order, part; split by order date."""
     lines = load(spark, location, "lineitem").select("l_orderkey", "l_partkey")
+    parts = partitions_for(spark, lines.count())
+    lines = lines.repartition(parts, "l_orderkey")
     orders = load(spark, location, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = orders.repartition(parts, "o_orderkey")
     day = F.col("o_orderdate")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("user_id"),

@@ -9,6 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from sessiongraph import session
 from sessiongraph.operators import coview, index, propagation
 
 
@@ -163,3 +164,17 @@ def test_node_features_fill_with_zeros(spark):
     nodes = spark.createDataFrame([(7, 0), (8, 1)], "item_id long, node_idx long")
     vectors = spark.createDataFrame([(8, [1.0, 2.0])], "item_id long, vector array<float>")
     assert rows(coview.node_features(nodes, vectors, 2)) == [(0, 7, [0.0, 0.0]), (1, 8, [1.0, 2.0])]
+
+
+def test_tasks_of_sessions_and_pairs_grow_with_the_rows(spark, monkeypatch):
+    """Sessions, their sizes, pairs and edges are dealt out by the number of rows, not by a fixed setting."""
+    assert session.partitions_for(spark, 0) == 3
+    assert session.partitions_for(spark, 10 * session.ROWS_PER_TASK + 1) == 11
+    monkeypatch.setattr(coview, "partitions_for", lambda spark, rows, per=0: max(3, -(-rows // (40 if per else 20))))
+    data, df = baskets(spark)
+    items = coview.session_items(df)
+    assert items.rdd.getNumPartitions() == -(-len(data) // 20)
+    assert coview.session_sizes(items, 9).rdd.getNumPartitions() == 9
+    views = Counter((d[1], d[2]) for d in data)
+    bound = sum(n * (n - 1) // 2 for n in views.values())
+    assert coview.co_view_edges(df).rdd.getNumPartitions() == -(-bound // 40)
