@@ -7,20 +7,23 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessiongraph.functions.blocks import matrix
 from sessiongraph.functions.vectors import as_double
-from sessiongraph.session import materialize
+from sessiongraph.session import materialize, partitions_for
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Nodes of a block, and edges of a task: one block of vectors meets so many edges out of it.
+# Fewest nodes of a block, and edges of a chunk: one block of vectors meets so many edges out of it.
 NODE_BLOCK = 4_096
 EDGE_CHUNK = 65_536
+# Numbers in the vectors of a block, and in the sums of a chunk, where vectors are short enough for more.
+BLOCK_NUMBERS = 1 << 18
+CHUNK_NUMBERS = 1 << 22
+# Edges whose chunks one task works off, one chunk after the other.
+EDGES_PER_TASK = 1_000_000
 # Numbers held for a slice of the edges while they are added up.
 SLICE_NUMBERS = 4_000_000
 _PARTIAL = pa.schema([("node_idx", pa.int64()), ("total", pa.list_(pa.float64())), ("n", pa.int64())])
@@ -41,24 +44,44 @@ def block_product(edges: pa.Table, features: pa.Table) -> pa.Table:
     order = order[nodes[at[order]] == src[order]]
     dst, weight, at = edges["dst"].to_numpy()[order], edges["w"].to_numpy()[order], at[order]
     vectors = matrix(features["vector"])
-    targets, place, counts = np.unique(dst, return_inverse=True, return_counts=True)
-    totals = np.zeros((len(targets), vectors.shape[1]))
+    first = np.flatnonzero(np.diff(dst, prepend=dst[:1] - 1))
+    counts = np.diff(first, append=len(dst))
+    totals = np.zeros((len(first), vectors.shape[1]))
     step = max(1, SLICE_NUMBERS // max(vectors.shape[1], 1))
     for start in range(0, len(dst), step):
         part = slice(start, start + step)
-        into, first = np.unique(place[part], return_index=True)
-        totals[into] += np.add.reduceat(vectors[at[part]] * weight[part, None], first, axis=0)
-    return pa.table([targets, list(totals), counts], schema=_PARTIAL)
+        # The targets of the slice; the first of them may go on from the slice before.
+        low = int(np.searchsorted(first, start, "right")) - 1
+        high = int(np.searchsorted(first, start + step, "left"))
+        begins = np.maximum(first[low:high] - start, 0)
+        totals[low:high] += np.add.reduceat(vectors[at[part]] * weight[part, None], begins, axis=0)
+    ends = np.arange(len(first) + 1, dtype=np.int32) * np.int32(vectors.shape[1])
+    return pa.table([dst[first], pa.ListArray.from_arrays(ends, totals.ravel()), counts], schema=_PARTIAL)
+
+
+def _width(vectors: DataFrame, column: str) -> int:
+    """The number of components of the vectors, which are all equally long; 0 if there are none."""
+    row = vectors.select(F.size(column)).first()
+    return 0 if row is None else row[0]
+
+
+def _shape(width: int) -> dict[str, int]:
+    """Sizes of blocks and chunks for vectors of a width: the shorter they are, the more of them fit."""
+    return {
+        "node_block": max(NODE_BLOCK, BLOCK_NUMBERS // max(width, 1)),
+        "edge_chunk": max(EDGE_CHUNK, CHUNK_NUMBERS // max(width, 12)),
+    }
 
 
 def blocked_edges(edges: DataFrame, node_block: int = NODE_BLOCK, edge_chunk: int = EDGE_CHUNK) -> DataFrame:
     """(src, dst, w, block, chunk, chunks), stored: edges by block of their source, large blocks in hashed chunks.
 
-    A source with very many edges fills several chunks, each a task of its own.
+    A source with very many edges fills several chunks, each a task of its own. All edges of a block to one target are
+    in one chunk, so that a block gives one partial sum per target; such edges are few, one from each node of the block.
     """
     placed = edges.withColumn("block", F.floor(F.col("src") / F.lit(node_block)))
     sizes = placed.groupBy("block").agg(F.ceil(F.count("*") / F.lit(edge_chunk)).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("src", "dst"), F.col("chunks")).cast("int").alias("chunk")
+    chunk = F.pmod(F.xxhash64("dst"), F.col("chunks")).cast("int").alias("chunk")
     return materialize(
         placed.join(materialize(sizes, "edge_blocks"), "block").select("src", "dst", "w", "block", chunk, "chunks"),
         "blocked_edges",
@@ -69,8 +92,10 @@ def _sums(blocked: DataFrame, vectors: DataFrame, node_block: int = NODE_BLOCK)
     """(node_idx, total, n): partial sums per target over all blocks of sources.
 
     A block of vectors goes to each chunk of its edges; edges travel as three numbers and never meet a vector in a
-    join. Targets with very many edges come out of each chunk as one partial row.
+    join. A target comes out of each block as one partial row. Chunks are dealt to as many tasks as there are edges
+    for.
     """
+    parts = _parts(blocked)
     chunks = blocked.groupBy("block").agg(F.max("chunks").alias("chunks"))
     sources = vectors.select("node_idx", as_double(F.col("vector")).alias("vector")).withColumn(
         "of_block", F.floor(F.col("node_idx") / F.lit(node_block))
@@ -82,17 +107,27 @@ def _sums(blocked: DataFrame, vectors: DataFrame, node_block: int = NODE_BLOCK)
         "vector",
     )
     return (
-        blocked.groupBy("block", "chunk")
-        .cogroup(sent.groupBy("of_block", "of_chunk"))
+        blocked.select("block", "chunk", "src", "dst", "w")
+        .repartition(parts, "block", "chunk")
+        .groupBy("block", "chunk")
+        .cogroup(sent.repartition(parts, "of_block", "of_chunk").groupBy("of_block", "of_chunk"))
         .applyInArrow(block_product, "node_idx long, total array<double>, n long")
     )
 
 
-def _added(rows: DataFrame) -> DataFrame:
-    """(node_idx, total, n) added up per node; vectors combine on the map side."""
-    return rows.groupBy("node_idx").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"), F.sum("n").alias("n")
+def _parts(blocked: DataFrame) -> int:
+    """Tasks for the stored edges: a share of bounded size each."""
+    return partitions_for(blocked.sparkSession, blocked.count(), EDGES_PER_TASK)
+
+
+def _added(rows: DataFrame, width: int | None = None, parts: int | None = None) -> DataFrame:
+    """(node_idx, total, n) added up per node, one plain sum per component of the vectors."""
+    width = _width(rows, "total") if width is None else width
+    dealt = rows if parts is None else rows.repartition(parts, "node_idx")
+    sums = dealt.groupBy("node_idx").agg(
+        *[F.sum(F.col("total")[i]).alias(f"_x{i}") for i in range(width)], F.sum("n").alias("n")
     )
+    return sums.select("node_idx", F.array(*[f"_x{i}" for i in range(width)]).cast("array<double>").alias("total"), "n")
 
 
 def _scaled(vector: Column, factor: Column) -> Column:
@@ -107,19 +142,19 @@ def _degrees(blocked: DataFrame, nodes: DataFrame) -> DataFrame:
     return weights.groupBy("node_idx").agg((1 / F.sqrt(F.sum("w"))).alias("scale"))
 
 
-def _hop(blocked: DataFrame, scales: DataFrame, vectors: DataFrame) -> DataFrame:
+def _hop(blocked: DataFrame, scales: DataFrame, vectors: DataFrame, width: int, node_block: int) -> DataFrame:
     own = vectors.join(scales, "node_idx").select("node_idx", _scaled(F.col("vector"), F.col("scale")).alias("vector"))
     loops = own.select("node_idx", F.col("vector").alias("total"), F.lit(1).cast("long").alias("n"))
     return (
-        _added(_sums(blocked, own).unionByName(loops))
+        _added(_sums(blocked, own, node_block).unionByName(loops), width, _parts(blocked))
         .join(scales, "node_idx")
         .select("node_idx", _scaled(F.col("total"), F.col("scale")).alias("vector"))
     )
 
 
-def _weighted(edges: DataFrame, weighted: bool) -> DataFrame:
+def _weighted(edges: DataFrame, weighted: bool, shape: dict[str, int]) -> DataFrame:
     weight = F.col("weight").cast("double") if weighted else F.lit(1.0)
-    return blocked_edges(edges.select("src", "dst", weight.alias("w")))
+    return blocked_edges(edges.select("src", "dst", weight.alias("w")), **shape)
 
 
 def normalized_sum(edges: DataFrame, vectors: DataFrame, weighted: bool = False) -> DataFrame:
@@ -133,7 +168,10 @@ def normalized_sum(edges: DataFrame, vectors: DataFrame, weighted: bool = False)
 
 def neighbor_mean(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     """Mean of the neighbors' vectors; nodes without neighbors are absent."""
-    sums = _added(_sums(_weighted(edges, False), vectors))
+    width = _width(vectors, "vector")
+    shape = _shape(width)
+    blocked = _weighted(edges, False, shape)
+    sums = _added(_sums(blocked, vectors, shape["node_block"]), width, _parts(blocked))
     return sums.select("node_idx", _scaled(F.col("total"), 1 / F.col("n")).alias("vector"))
 
 
@@ -142,10 +180,12 @@ def propagate(edges: DataFrame, vectors: DataFrame, hops: int, weighted: bool =
     current = vectors.select("node_idx", "vector")
     if not hops:
         return current
-    blocked = _weighted(edges, weighted)
+    width = _width(vectors, "vector")
+    shape = _shape(width)
+    blocked = _weighted(edges, weighted, shape)
     scales = materialize(_degrees(blocked, vectors), "scales")
     for hop in range(hops):
-        current = _hop(blocked, scales, current)
+        current = _hop(blocked, scales, current, width, shape["node_block"])
         if hop + 1 < hops:
             current = materialize(current, "hop")
     return current

@@ -178,3 +178,12 @@ def test_tasks_of_sessions_and_pairs_grow_with_the_rows(spark, monkeypatch):
     views = Counter((d[1], d[2]) for d in data)
     bound = sum(n * (n - 1) // 2 for n in views.values())
     assert coview.co_view_edges(df).rdd.getNumPartitions() == -(-bound // 40)
+
+
+def test_a_block_gives_one_partial_sum_per_target(spark):
+    edges = spark.range(600).select((F.col("id") % 32).alias("src"), (F.col("id") % 19).alias("dst"), F.lit(1.0).alias("w"))
+    blocked = propagation.blocked_edges(edges.distinct(), node_block=16, edge_chunk=20)
+    vectors = spark.range(32).select(F.col("id").alias("node_idx"), F.array(F.col("id").cast("double")).alias("vector"))
+    assert blocked.agg(F.max("chunks")).first()[0] > 2
+    partial = propagation._sums(blocked, vectors, node_block=16)
+    assert partial.count() == blocked.select("block", "dst").distinct().count()
