@@ -187,11 +187,17 @@ def count_nodes(edges: DataFrame) -> DataFrame:
     return graph_nodes(edges).agg(F.count("*").alias("n_nodes"))
 
 
-def remap_edges(edges: DataFrame, node_index: DataFrame) -> DataFrame:
-    """Add src and dst, the node indices of the pair; null where an end is not in `node_index`."""
+def remap_edges(edges: DataFrame, node_index: DataFrame, parts: int | None = None) -> DataFrame:
+    """Add src and dst, the node indices of the pair; null where an end is not in `node_index`.
+
+    With `parts`, both joins are dealt to so many tasks.
+    """
     first = node_index.select(F.col("item_id").alias("item_a"), F.col("node_idx").alias("src"))
     second = node_index.select(F.col("item_id").alias("item_b"), F.col("node_idx").alias("dst"))
-    return edges.join(first, "item_a", "left").join(second, "item_b", "left")
+    if parts is None:
+        return edges.join(first, "item_a", "left").join(second, "item_b", "left")
+    found = edges.repartition(parts, "item_a").join(first.repartition(parts, "item_a"), "item_a", "left")
+    return found.repartition(parts, "item_b").join(second.repartition(parts, "item_b"), "item_b", "left")
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:

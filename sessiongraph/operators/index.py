@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessiongraph.functions import scans
-from sessiongraph.session import materialize, shuffle_partitions
+from sessiongraph.session import materialize, partitions_for, shuffle_partitions
 
 # The scan travels with the plan, so the executors need no copy of this package.
 cloudpickle.register_pickle_by_value(scans)
@@ -69,7 +69,7 @@ def dense_index(
 
 
 def running_sums(
-    df: DataFrame, order: Sequence[Column], sums: Sequence[str], within: Sequence[str] = ()
+    df: DataFrame, order: Sequence[Column], sums: Sequence[str], within: Sequence[str] = (), rows: int = 0
 ) -> DataFrame:
     """Add `before_<c>` for each whole-number column c of `sums`: its sum over all rows that sort earlier, in the same
     `within` group if there are any.
@@ -77,10 +77,10 @@ def running_sums(
     Rows must be unique under `order` in their group; `order` may mix types and directions. Rows are sorted by group
     and order over ranges, so groups of any size are spread over partitions, and are summed up in the stage that sorts
     them. What a partition's first group has in partitions before it is added when the stored rows are read: one row
-    per partition.
+    per partition. `rows`, where it is known, is a bound on the number of rows; partitions grow with it.
     """
     within = list(within)
-    n = shuffle_partitions(df.sparkSession)
+    n = max(shuffle_partitions(df.sparkSession), partitions_for(df.sparkSession, rows) if rows else 0)
     full_order = [*[F.col(c) for c in within], *order]
     added = ["_part int", "_pos long", *[f"_r_{c} long" for c in sums]]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], *added])
@@ -89,7 +89,10 @@ def running_sums(
         df.repartitionByRange(n, *full_order).sortWithinPartitions(*full_order).mapInArrow(scan, schema), "summed"
     )
     key = F.struct(F.lit(0).alias("_all"), *within)
-    tails = stored.groupBy("_part").agg(
+    # The ends of the partitions are looked up first: taking keys by place over all rows would sort them once more.
+    ends = stored.groupBy("_part").agg(F.min("_pos").alias("_first"), F.max("_pos").alias("_last"))
+    outer = stored.join(F.broadcast(ends), "_part").where(F.col("_pos").isin(F.col("_first"), F.col("_last")))
+    tails = outer.groupBy("_part").agg(
         F.min_by(key, "_pos").alias("low"),
         F.max_by(key, "_pos").alias("high"),
         *[F.max_by(F.col(f"_r_{c}") + F.col(c), "_pos").alias(f"_t_{c}") for c in sums],

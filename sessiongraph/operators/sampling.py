@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessiongraph.functions.draws import draw
 from sessiongraph.operators.coview import canonical_pair
 from sessiongraph.operators.index import ordered_rows, running_sums
+from sessiongraph.session import partitions_for
 
 # Fixed value: negatives kept per positive.
 DEFAULT_RATIO = 5
@@ -87,10 +88,13 @@ def random_non_edges(positives: DataFrame, nodes: DataFrame, known: DataFrame, s
     that has all pairs gives no rows. Known pairs outside the nodes do not count.
     """
     n = nodes.count()
+    n_known, n_asked = known.count(), positives.count()
+    parts = partitions_for(positives.sparkSession, n_known)
     inside = (F.col("lo") >= 0) & (F.col("lo") < F.col("hi")) & (F.col("hi") < n)
-    taken = canonical_pair(known.select("src", "dst")).where(inside).select("lo", "hi").distinct()
+    pairs = canonical_pair(known.select("src", "dst")).where(inside).select("lo", "hi")
+    taken = pairs.repartition(parts, "lo", "hi").distinct()
     places = taken.select(_pair_number(F.col("lo"), F.col("hi"), n).alias("place"), F.lit(1).alias("one"))
-    numbered = running_sums(places, [F.col("place")], ["one"])
+    numbered = running_sums(places, [F.col("place")], ["one"], rows=n_known)
     free_before = numbered.select((F.col("place") - F.col("before_one")).alias("at"))
     all_pairs = n * (n - 1) // 2
     free = all_pairs - free_before.count()
@@ -102,10 +106,11 @@ def random_non_edges(positives: DataFrame, nodes: DataFrame, known: DataFrame, s
     asked = drawn.withColumn("at", F.pmod(draw(keys, seed), F.lit(free)).cast("long"))
     asked = asked.withColumn("known", F.lit(0))
     # Equal known rows are counted, so that all rows of the sort differ; positives are numbered by their columns.
-    edges = free_before.groupBy("at").agg(F.count("*").cast("int").alias("known"))
+    edges = free_before.repartition(parts, "at").groupBy("at").agg(F.count("*").cast("int").alias("known"))
     edges = edges.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in drawn.schema], "at", "known")
     order = [F.col("at"), (F.col("known") == 0).alias("is_asked"), *keys]
-    ranked = running_sums(edges.unionByName(asked), order, ["known"]).where(F.col("known") == 0)
+    ranked = running_sums(edges.unionByName(asked), order, ["known"], rows=n_known + n_asked)
+    ranked = ranked.where(F.col("known") == 0)
     ranked = ranked.withColumn("place", F.col("at") + F.col("before_known"))
     found = ranked.withColumn("lo", _low_node(F.col("place"), n))
     found = found.withColumn("hi", F.col("place") - _first_of(F.col("lo"), n) + F.col("lo") + 1)

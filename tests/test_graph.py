@@ -84,6 +84,16 @@ def test_running_sums_within_groups(spark, monkeypatch, partitions):
     assert index.running_sums(df.limit(0), [F.col("i")], ["n"], ["g"]).count() == 0
 
 
+def test_running_sums_take_more_partitions_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(index, "partitions_for", lambda _, rows: rows // 10)
+    df = spark.range(90).select("id", F.lit(1).alias("n"))
+    sizes = []
+    monkeypatch.setattr(index, "materialize", lambda df, name: (sizes.append(df.rdd.getNumPartitions()), session.materialize(df, name))[1])
+    found = index.running_sums(df, [F.col("id")], ["n"], rows=90)
+    assert sizes == [9]
+    assert rows(found, "id", "before_n") == [(i, i) for i in range(90)]
+
+
 def test_batches(spark):
     df = spark.createDataFrame([(i % 3, i % 5) for i in range(25)], "a long, b long")
     batched = index.batch_ids(df, [F.col("a").desc(), F.col("b")], 10)
