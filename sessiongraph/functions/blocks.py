@@ -10,6 +10,8 @@ import pyarrow as pa
 # Scores keep this many bits of their own size, so that equal vectors tie in any block shape and small scores keep
 # their order.
 SCORE_BITS = 40
+# Scores that are rounded and merged at once; that takes some ten arrays of them.
+MERGED_SCORES = 1 << 18
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -112,27 +114,55 @@ def square_best(
     """
     tiles = Tiles(pool, pool_tile)
     looked = 0
-    all_scores, all_ids = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
-    longest = np.sqrt((pool * pool).sum(axis=1).max())
+    all_scores, all_ids = no_best(len(queries), k)
+    longest = np.sqrt(np.einsum("ij,ij->i", pool, pool).max())
     for rows in Tiles(queries, query_tile).rows:
         asked = queries[rows]
-        lengths = np.sqrt((asked * asked).sum(axis=1))
+        lengths = np.sqrt(np.einsum("ij,ij->i", asked, asked))
         room = 1e-9 * lengths * longest
         bounds = asked @ tiles.centers.T + lengths[:, None] * tiles.reach + room[:, None]
-        scores, ids = all_scores[rows], all_ids[rows]
+        best = all_scores[rows], all_ids[rows]
+        own = query_ids[rows] if exclude_self else None
         for t in np.argsort(-bounds.max(axis=0), kind="stable"):
-            if (bounds[:, t] < scores[:, -1]).all():
+            if (bounds[:, t] < best[0][:, -1]).all():
                 continue
             looked += 1
             members = tiles.rows[t]
-            found = kept_bits(asked @ pool[members].T)
-            if exclude_self:
-                found[query_ids[rows][:, None] == item_ids[members][None, :]] = -np.inf
-            scores, ids = merged_best(scores, ids, *tile_best(found, item_ids[members], k), k)
-        all_scores[rows], all_ids[rows] = scores, ids
+            improve(best, np.arange(len(rows)), asked @ pool[members].T, own, item_ids[members], k, room)
+        all_scores[rows], all_ids[rows] = best
     return all_scores, all_ids, looked
 
 
+def no_best(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of n queries that have found nothing yet."""
+    return np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+
+def improve(
+    best: tuple[np.ndarray, np.ndarray],
+    rows: np.ndarray,
+    found: np.ndarray,
+    own: np.ndarray | None,
+    ids: np.ndarray,
+    k: int,
+    room: np.ndarray,
+) -> None:
+    """Put the scores `found` of the queries `rows` against the items `ids`, ascending, into the `best` of all queries.
+
+    `own` are the queries' ids, which are no answers of theirs. Only rows that hold a score above the k-th less `room`,
+    which covers its rounding, are rounded and merged, `MERGED_SCORES` at once, so that `found` is the one large array.
+    """
+    if own is not None:
+        found[own[rows][:, None] == ids[None, :]] = -np.inf
+    scores, named = best
+    gaining = np.flatnonzero(found.max(axis=1) >= scores[rows, -1] - room[rows])
+    step = max(1, MERGED_SCORES // found.shape[1])
+    for start in range(0, len(gaining), step):
+        some = gaining[start : start + step]
+        at = rows[some]
+        scores[at], named[at] = merged_best(scores[at], named[at], *tile_best(kept_bits(found[some]), ids, k), k)
+
+
 def block_scorer(
     group: str, k: int, exclude_self: bool, smallest: float | None, query_tile: int, pool_tile: int
 ) -> Callable[[pa.Table, pa.Table], pa.Table]:
