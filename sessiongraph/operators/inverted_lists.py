@@ -7,17 +7,21 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessiongraph.functions.blocks import matrix
+from sessiongraph.functions.blocks import Tiles, improve, matrix, no_best
 from sessiongraph.functions.vectors import unit
 from sessiongraph.operators.retrieval import (
     POOL_BLOCK,
+    POOL_SQUARE,
     QUERY_BLOCK,
+    QUERY_SQUARE,
+    QUERY_TILE,
     keep_best,
     per_trigger,
     queries_and_pool,
@@ -103,8 +107,7 @@ def chosen_lists(queries: pa.Table, lists: pa.Table) -> pa.Table:
         np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
         near = place < queries["probes"].to_numpy()[:, None]
         least = queries["least"].to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
-        angle = np.arccos(np.clip(cosines, -1, 1)) - lists["reach"].to_numpy()[None, :]
-        within = np.cos(np.maximum(angle, 0)) >= least - SLACK
+        within = best_possible(cosines, lists["reach"].to_numpy()) >= least - SLACK
         rows, columns = np.nonzero(np.where(np.isnan(least), near, within & ~near))
         places = place[rows, columns]
     taken = queries.take(pa.array(rows, type=pa.int64()))
@@ -114,11 +117,119 @@ def chosen_lists(queries: pa.Table, lists: pa.Table) -> pa.Table:
             "query_id": taken["query_id"],
             "list_id": pa.array(lists["list_id"].to_numpy()[columns], type=pa.int64()),
             "place": pa.array(places, type=pa.int64()),
-            "vector": taken["vector"],
         }
     )
 
 
+def cutoffs(queries: pa.Table, lists: pa.Table) -> pa.Table:
+    """Cogroup of a block of queries with all lists: the cosine of each query to the farthest of its `probes` lists."""
+    cut = np.empty(0)
+    if queries.num_rows and lists.num_rows:
+        cosines = -matrix(queries["vector"]) @ matrix(lists["center"]).T
+        cosines.sort(axis=1)
+        probes = np.clip(queries["probes"].to_numpy(), 1, cosines.shape[1])
+        cut = -cosines[np.arange(len(cosines)), probes - 1]
+    else:
+        queries = queries.slice(0, 0)
+    return pa.table(
+        {
+            "category": queries["category"],
+            "query_id": queries["query_id"],
+            "vector": queries["vector"],
+            "cutoff": pa.array(cut, type=pa.float64()),
+        }
+    )
+
+
+def best_possible(cosines: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The highest score that an item of a list can have: it lies within the angle `reach` of the list's center."""
+    angle = np.arccos(np.clip(cosines, -1, 1)) - reach
+    return np.cos(np.maximum(angle, 0))
+
+
+def shelf_best(
+    queries: np.ndarray,
+    query_ids: np.ndarray,
+    cutoff: np.ndarray,
+    least: np.ndarray,
+    centers: np.ndarray,
+    reach: np.ndarray,
+    members: list[tuple[np.ndarray, np.ndarray]],
+    k: int,
+    query_tile: int,
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """(scores, ids, scores computed): the k best items of each query among the lists it looks into.
+
+    `members` are the vectors and ascending ids of each list. A query looks into the lists whose center has at least the
+    cosine `cutoff`, and of these only into those whose best possible score is not below `least` or the k-th score so
+    far, so what is left out cannot be among the k best.
+    """
+    scores, ids = no_best(len(queries), k)
+    computed = 0
+    for rows in Tiles(queries, query_tile).rows:
+        asked = queries[rows]
+        cosines = asked @ centers.T
+        bounds = np.where(cosines >= cutoff[rows, None] - SLACK, best_possible(cosines, reach), -np.inf)
+        bounds[bounds < least[rows, None] - SLACK] = -np.inf
+        best = scores[rows], ids[rows]
+        room = np.full(len(rows), SLACK)
+        for place in np.argsort(-bounds.max(axis=0), kind="stable"):
+            bound = bounds[:, place]
+            opened = np.flatnonzero((bound > -np.inf) & (bound >= best[0][:, -1] - SLACK))
+            vectors, named = members[place]
+            if not (len(opened) and len(named)):
+                continue
+            computed += len(opened) * len(named)
+            improve(best, opened, asked[opened] @ vectors.T, query_ids[rows], named, k, room)
+        scores[rows], ids[rows] = best
+    return scores, ids, computed
+
+
+def shelf_scorer(k: int, query_tile: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A cogroup function: `shelf_best` of a block of queries with the lists of one shelf.
+
+    The shelf holds rows of both kinds: centers with their `reach`, and members with their `item_id`.
+    """
+
+    def score(queries: pa.Table, shelf: pa.Table) -> pa.Table:
+        query_ids = item_ids = np.empty(0, dtype=np.int64)
+        scores = np.empty(0)
+        label = None
+        # A shelf at the end of a long list may have got no item.
+        if queries.num_rows and shelf["item_id"].null_count < shelf.num_rows:
+            label = queries["category"][0].as_py()
+            is_center = shelf["item_id"].is_null()
+            lists = shelf.filter(is_center)
+            items = shelf.filter(pa.compute.invert(is_center)).sort_by([("list_id", "ascending"), ("item_id", "ascending")])
+            vectors, named, of_list = matrix(items["item_vector"]), items["item_id"].to_numpy(), items["list_id"].to_numpy()
+            wanted = lists["list_id"].to_numpy()
+            low, high = np.searchsorted(of_list, wanted), np.searchsorted(of_list, wanted, "right")
+            asked = queries["query_id"].to_numpy()
+            best, ids, _ = shelf_best(
+                matrix(queries["vector"]),
+                asked,
+                queries["cutoff"].to_numpy(),
+                queries["least"].to_numpy(),
+                matrix(lists["item_vector"]),
+                lists["reach"].to_numpy(),
+                [(vectors[a:b], named[a:b]) for a, b in zip(low, high, strict=True)],
+                k,
+                query_tile,
+            )
+            rows, columns = np.nonzero(np.isfinite(best))
+            query_ids, item_ids, scores = asked[rows], ids[rows, columns], best[rows, columns]
+        return pa.table(
+            {
+                "category": pa.array([label] * len(scores), type=pa.string()),
+                "query_id": pa.array(query_ids, type=pa.int64()),
+                "item_id": pa.array(item_ids, type=pa.int64()),
+                "score": pa.array(scores, type=pa.float64()),
+            }
+        )
+
+    return score
+
+
 def _with_all(rows: DataFrame, others: DataFrame, function: Callable, schema: str) -> DataFrame:
     """`function` on each (category, block) of `rows` with all `others` of the category.
 
@@ -183,9 +294,11 @@ def train_lists(pool: DataFrame, iterations: int = 5, seed: int = 42) -> DataFra
 
 
 def build_lists(pool: DataFrame, iterations: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(members, lists), stored: (category, item_id, list_id, cosine, vector) and (category, list_id, center, reach).
+    """(members, lists), stored: (category, item_id, list_id, cosine, vector) and (category, list_id, center, reach,
+    size, start).
 
-    `reach` is the largest angle between a list's center and its items.
+    `reach` is the largest angle between a list's center and its items, `start` the number of items in the category's
+    lists before it.
     """
     centers = train_lists(pool, iterations, seed)
     members = materialize(
@@ -198,8 +311,12 @@ def build_lists(pool: DataFrame, iterations: int = 5, seed: int = 42) -> tuple[D
         "members",
     )
     widest = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("cosine")))
-    reach = members.groupBy("category", "list_id").agg(F.acos(widest).alias("reach"))
-    return members, materialize(centers.join(reach, ["category", "list_id"]), "lists")
+    shapes = members.groupBy("category", "list_id").agg(F.acos(widest).alias("reach"), F.count("*").alias("size"))
+    before = Window.partitionBy("category").orderBy("list_id").rowsBetween(Window.unboundedPreceding, -1)
+    lists = centers.join(shapes, ["category", "list_id"])
+    return members, materialize(
+        lists.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long"))), "lists"
+    )
 
 
 def calibrated_probes(
@@ -218,22 +335,93 @@ def calibrated_probes(
 
 
 def _choose(queries: DataFrame, lists: DataFrame) -> DataFrame:
-    """`chosen_lists` of (category, query_id, vector, probes, least) rows."""
+    """`chosen_lists` of (category, query_id, vector, probes, least) rows: a row per query and list."""
     return _with_all(
         _blocked(queries, "query_id", QUERY_BLOCK),
         lists,
         chosen_lists,
-        "category string, query_id long, list_id long, place long, vector array<double>",
+        "category string, query_id long, list_id long, place long",
     )
 
 
-def _search(chosen: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """(category, query_id, item_id, score) of the k best items of every chosen list."""
-    key = F.concat_ws("#", "category", F.col("list_id").cast("string")).alias("list_key")
-    asked = materialize(chosen.select("category", key, "query_id", "vector"), "chosen")
-    found = top_k_by_group(asked.drop("category"), members.select(key, "item_id", "vector"), "list_key", k)
-    names = members.select("category", key).distinct()
-    return found.join(names, "list_key").select("category", "query_id", "item_id", "score")
+def _cut(queries: DataFrame, lists: DataFrame) -> DataFrame:
+    """(category, query_id, vector, cutoff) of (category, query_id, vector, probes) rows, one row per query."""
+    return _with_all(
+        _blocked(queries, "query_id", QUERY_BLOCK),
+        lists,
+        cutoffs,
+        "category string, query_id long, vector array<double>, cutoff double",
+    )
+
+
+def _search(
+    queries: DataFrame,
+    members: DataFrame,
+    lists: DataFrame,
+    k: int,
+    query_square: int = QUERY_SQUARE,
+    pool_square: int = POOL_SQUARE,
+) -> DataFrame:
+    """(category, query_id, item_id, score) of the best items of `shelf_best`, k per query and shelf.
+
+    `queries` are (category, query_id, vector, cutoff, least). The lists of a category stand one after the other on
+    shelves of about `pool_square` items; a longer list goes over several. A block of queries meets a shelf in one
+    task, which finds out itself who looks into which list. So a vector travels once per block of the other side, as in
+    the exact search, and not once per list.
+    """
+    blocks = queries.groupBy("category").agg(F.ceil(F.count("*") / F.lit(query_square)).cast("int").alias("query_blocks"))
+    shelves = lists.groupBy("category").agg(
+        (F.floor((F.max(F.col("start") + F.col("size")) - 1) / F.lit(pool_square)) + 1).cast("int").alias("shelves")
+    )
+    shape = materialize(blocks.join(shelves, "category"), "shelf_counts")
+    query_side = queries.join(shape, "category").select(
+        "category",
+        "query_id",
+        "vector",
+        "cutoff",
+        "least",
+        F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("query_block"),
+        F.explode(F.sequence(F.lit(0), F.col("shelves") - 1)).alias("shelf"),
+    )
+
+    def shelf(place: Column) -> Column:
+        return F.floor(place / F.lit(pool_square)).cast("int")
+
+    # A member's place is drawn by hash within its list.
+    drawn = F.col("start") + F.pmod(F.xxhash64("item_id"), F.col("size"))
+    placed = members.join(lists.select("category", "list_id", "start", "size"), ["category", "list_id"]).select(
+        "category",
+        "list_id",
+        shelf(drawn).alias("of_shelf"),
+        "item_id",
+        F.lit(None).cast("double").alias("reach"),
+        F.col("vector").alias("item_vector"),
+    )
+    spans = F.sequence(shelf(F.col("start")), shelf(F.col("start") + F.col("size") - 1))
+    headed = lists.select(
+        "category",
+        "list_id",
+        F.explode(spans).alias("of_shelf"),
+        F.lit(None).cast("long").alias("item_id"),
+        "reach",
+        F.col("center").alias("item_vector"),
+    )
+    shelf_side = placed.unionByName(headed).join(shape, "category").select(
+        F.col("category").alias("of_category"),
+        "list_id",
+        "of_shelf",
+        "item_id",
+        "reach",
+        "item_vector",
+        F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("of_query_block"),
+    )
+    return (
+        query_side.groupBy("category", "query_block", "shelf")
+        .cogroup(shelf_side.groupBy("of_category", "of_query_block", "of_shelf"))
+        .applyInArrow(
+            shelf_scorer(k, QUERY_TILE), "category string, query_id bigint, item_id bigint, score double"
+        )
+    )
 
 
 def approximate_top_k(
@@ -249,10 +437,10 @@ def approximate_top_k(
 ) -> DataFrame:
     """Cosine top-k within the trigger's category from the nearest inverted lists: (split, exec_code, item_id, score, rank).
 
-    `probes` lists are looked into per query; without it, as many per category as hold `recall` of the exact answers to
-    a bounded sample of queries. With `bounded`, every other list whose best possible score is not below the k-th score
-    found so far is looked into as well, which makes the answer exact; how many that are depends on how well the
-    vectors fall into lists.
+    `probes` lists are looked into per query (and those as near as the last of them); without it, as many per category
+    as hold `recall` of the exact answers to a bounded sample of queries. With `bounded`, that gives the score to beat:
+    then every list whose best possible score is not below it is looked into, which makes the answer exact; how many
+    that are depends on how well the vectors fall into lists.
     """
     queries, candidates = queries_and_pool(triggers, pool, vectors)
     candidates = materialize(candidates, "pool_vectors")
@@ -263,14 +451,15 @@ def approximate_top_k(
         asked = queries.join(wanted, "category")
     else:
         asked = queries.withColumn("probes", F.lit(min(probes, 1 << 30)))
-    none = F.lit(None).cast("double")
     ids = ["category", "query_id"]
-    found = _search(_choose(asked.withColumn("least", none), lists), members, k)
+    nothing = F.lit(-2.0)
+    found = keep_best(_search(_cut(asked, lists).withColumn("least", nothing), members, lists, k), ids, k)
     if bounded:
-        found = materialize(keep_best(found, ids, k), "found")
+        found = materialize(found, "found")
         kth = found.where(F.col("rank") == k).select(*ids, F.col("score").alias("least"))
         # A query with fewer than k items so far has no score to beat: all lists are open to it.
-        open_to = asked.join(kth, ids, "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
-        rest = _search(_choose(open_to, lists), members, k)
-        found = found.drop("rank").unionByName(rest)
-    return per_trigger(triggers, keep_best(found, ids, k))
+        open_to = queries.join(kth, ids, "left").select(
+            *ids, "vector", nothing.alias("cutoff"), F.coalesce("least", nothing).alias("least")
+        )
+        found = keep_best(_search(open_to, members, lists, k), ids, k)
+    return per_trigger(triggers, found)

@@ -175,3 +175,47 @@ def test_newton_fit_matches_a_dense_solver(spark):
     chance = 1 / (1 + np.exp(-full @ weights))
     assert np.abs(full.T @ (chance - y) / 400 + 0.05 * np.array([0, *weights[1:]])).max() < 1e-9
     assert retrieval.fit_by_newton(examples.limit(0), ["a", "b"]) == [0.0, 0.0, 0.0]
+
+
+def test_a_query_travels_once_per_shelf_and_not_once_per_list(spark):
+    x, category, table, triggers, pool = setting(spark, 400)
+    queries, candidates = retrieval.queries_and_pool(triggers, pool, table)
+    members, lists = inverted_lists.build_lists(candidates, iterations=2)
+    asked = inverted_lists._cut(queries.withColumn("probes", F.lit(1 << 20)), lists)
+    assert lists.count() > 5 and asked.count() == queries.count()
+    found = inverted_lists._search(
+        asked.withColumn("least", F.lit(-2.0)), members, lists, 5, query_square=64, pool_square=40
+    )
+    found = retrieval.keep_best(found, ["category", "query_id"], 5)
+    assert rows(found, "query_id", "rank", "item_id") == sorted(brute(x, category, 5))
+
+
+def test_lists_beyond_the_cutoff_or_below_the_score_to_beat_stay_closed():
+    rng = np.random.default_rng(8)
+    centers = np.eye(6)
+    near = [np.eye(6)[i] + 0.02 * rng.normal(size=(30, 6)) for i in range(6)]
+    near = [v / np.linalg.norm(v, axis=1, keepdims=True) for v in near]
+    members = [(v, np.arange(30) + 30 * i) for i, v in enumerate(near)]
+    reach = np.array([np.arccos(v @ c).max() for v, c in zip(near, centers)])
+    queries, ids = np.concatenate([v[:5] for v in near]), np.concatenate([m[1][:5] for m in members])
+    none, all_lists = np.full(30, -2.0), np.concatenate(near)
+    exact = queries @ all_lists.T
+    exact[np.arange(30), ids] = -np.inf
+    wanted = np.sort(np.argsort(-exact, axis=1)[:, :4], axis=1)
+    for cutoff, least in ((none, none), (np.full(30, 0.5), none), (none, np.full(30, 0.9))):
+        scores, found, computed = inverted_lists.shelf_best(queries, ids, cutoff, least, centers, reach, members, 4, 8)
+        assert (np.sort(found, axis=1) == wanted).all() and computed == 30 * 30
+
+
+def test_a_square_holds_one_large_array_of_scores():
+    import tracemalloc
+
+    from sessiongraph.functions.blocks import square_best
+
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(4096, 8))
+    tracemalloc.start()
+    square_best(vectors[:1024], np.arange(1024), vectors, np.arange(4096), 5, True, 1024, 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * 1024 * 4096 * 8
