@@ -14,6 +14,9 @@ SESSION = ["user_id", "session_id"]
 PAIR = ["item_a", "item_b"]
 # Pairs that one task sums up.
 PAIRS_PER_TASK = 1_000_000
+# Pairs, and pairs per view, up to which the bound from view counts will do; above both, distinct items are counted.
+BOUNDED_PAIRS = 16_000_000
+BOUNDED_PAIRS_PER_VIEW = 16
 
 
 def session_items(session_views: DataFrame, parts: int | None = None) -> DataFrame:
@@ -69,10 +72,21 @@ def session_pairs(session_views: DataFrame, normalize: bool = False, block_items
 
 
 def _pairs_and_bound(session_views: DataFrame, normalize: bool, block_items: int) -> tuple[DataFrame, int]:
-    """`session_pairs`, and a bound on their number. Sessions are dealt to tasks whose number grows with the views."""
-    parts = partitions_for(session_views.sparkSession, session_views.count())
+    """`session_pairs`, and a bound on their number. Sessions are dealt to tasks whose number grows with the views.
+
+    Where users repeat their views, the bound from view counts grows with the square of the repeats, and the pairs do
+    not: above `BOUNDED_PAIRS` the distinct items are stored and the pairs counted from them.
+    """
+    spark, views = session_views.sparkSession, session_views.count()
+    parts = partitions_for(spark, views)
     items = session_items(session_views, parts)
     large, bound = long_sessions(session_views, block_items, parts)
+    if bound > max(BOUNDED_PAIRS, BOUNDED_PAIRS_PER_VIEW * views):
+        items = materialize(items, "session_items")
+        parts = partitions_for(spark, items.count())
+        n = F.col("session_size")
+        pairs = F.sum(n.cast("double") * (n - 1) / 2)
+        bound = int(session_sizes(items, parts).agg(pairs).first()[0] or 0)
     keys = ["split", *SESSION]
     if normalize:
         items = items.join(session_sizes(items, parts), keys)

@@ -190,6 +190,22 @@ def test_tasks_of_sessions_and_pairs_grow_with_the_rows(spark, monkeypatch):
     assert coview.co_view_edges(df).rdd.getNumPartitions() == -(-bound // 40)
 
 
+def test_repeated_views_ask_for_no_more_pair_tasks(spark, monkeypatch):
+    """Users who view the same items again and again make no further pairs, so they need no further tasks."""
+    data, df = baskets(spark)
+    repeated = df.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(30)))).drop("again")
+    monkeypatch.setattr(coview, "partitions_for", lambda spark, rows, per=0: max(3, -(-rows // (40 if per else 20))))
+    monkeypatch.setattr(coview, "BOUNDED_PAIRS", 10_000)
+    sizes = Counter((d[1], d[2]) for d in set(data))
+    pairs = sum(n * (n - 1) // 2 for n in sizes.values())
+    for normalize in (False, True):
+        edges = coview.co_view_edges(repeated, normalize)
+        assert edges.rdd.getNumPartitions() == -(-pairs // 40)
+        assert rows(edges, "item_a", "item_b", "raw_count") == rows(
+            coview.co_view_edges(df, normalize), "item_a", "item_b", "raw_count"
+        )
+
+
 def test_a_block_gives_one_partial_sum_per_target(spark):
     edges = spark.range(600).select((F.col("id") % 32).alias("src"), (F.col("id") % 19).alias("dst"), F.lit(1.0).alias("w"))
     blocked = propagation.blocked_edges(edges.distinct(), node_block=16, edge_chunk=20)
