@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 from sessiongraph.functions import blocks
 from sessiongraph.functions.blocks import block_scorer
 from sessiongraph.functions.vectors import MIN_NORM, dot, hadamard, unit
-from sessiongraph.operators.rankings import item_ids, mark_seen, split_by_seen
+from sessiongraph.operators.rankings import (
+    by_session_length,
+    is_viewed,
+    item_ids,
+    listed_sessions,
+    mark_seen,
+    split_by_seen,
+)
 from sessiongraph.session import materialize
 
 # The block functions travel with the plan, so the executors need no copy of this package.
@@ -273,23 +280,28 @@ def recall_against_exact(triggers: DataFrame, found: DataFrame, exact: DataFrame
     )
 
 
-def model_results(triggers: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
+def model_results(
+    triggers: DataFrame, rows: DataFrame, items: DataFrame, listed: DataFrame | None = None
+) -> DataFrame:
     """One row per graph trigger: products_returned, positives, negatives, each with score and rank.
 
-    Triggers without an answer stay, with empty lists. Lists hold at most k entries.
+    Triggers without an answer stay, with empty lists. Lists hold at most k entries. `listed` comes from
+    `rankings.listed_sessions` if it is at hand; items of longer sessions are joined.
     """
     keys = ["split", "exec_code", "trigger_id"]
-    listed = triggers.select(*keys, "user_id", "session_id").join(rows, ["split", "exec_code"], "left")
-    nested = (
-        mark_seen(listed, items)
-        .groupBy(*keys)
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.when(F.col("item_id").isNotNull(), F.struct("rank", "item_id", "score", "seen"))
-                )
-            ).alias("listed")
-        )
+    session = ["user_id", "session_id"]
+    entry = F.when(F.col("item_id").isNotNull(), F.struct("rank", "item_id", "score", "seen"))
+    short, long = by_session_length(
+        triggers.select(*keys, *session), listed_sessions(items) if listed is None else listed
+    )
+    inside = short.join(rows, ["split", "exec_code"], "left").withColumn("seen", is_viewed(F.col("item_id")))
+    looked_up = mark_seen(long.join(rows, ["split", "exec_code"], "left"), items)
+    nested = reduce(
+        DataFrame.unionByName,
+        [
+            part.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("listed"))
+            for part in (inside, looked_up)
+        ],
     )
     every, seen, unseen = split_by_seen(F.col("listed"), ["item_id", "score", "rank"])
     return nested.select(

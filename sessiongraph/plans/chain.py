@@ -122,6 +122,10 @@ class Chain:
     def items(self) -> DataFrame:
         return coview.session_items(self.session_views)
 
+    @staged
+    def listed(self) -> DataFrame:
+        return rankings.listed_sessions(self.items)
+
     @staged
     def edges(self) -> DataFrame:
         return coview.co_view_edges(self.session_views, self.settings.normalize_weights)
@@ -185,7 +189,9 @@ class Chain:
     @staged
     def prod(self) -> DataFrame:
         return rankings.prod_results(
-            rankings.prod_rankings(self.owners, self.logs, self.items, self.settings.top_k)
+            rankings.prod_rankings(
+                self.owners, self.logs, self.items, self.settings.top_k, self.listed, flat=False
+            )
         )
 
     @staged
@@ -229,7 +235,7 @@ class Chain:
 
     @staged
     def model(self) -> DataFrame:
-        return retrieval.model_results(self.graph_triggers, self.model_rows, self.items)
+        return retrieval.model_results(self.graph_triggers, self.model_rows, self.items, self.listed)
 
     @cached_property
     def sizes(self) -> DataFrame:

@@ -222,7 +222,7 @@ _PROD = "select split, exec_code, trigger_id, execution_id, variant, cast(rank a
 
 @query("g7_seen_split", _PROD)
 def _(c: Run) -> DataFrame:
-    rows = rankings.prod_rankings(c.owners, c.logs, c.items)
+    rows = rankings.prod_rankings(c.owners, c.logs, c.items, listed=c.listed)
     return rows.select("split", "exec_code", "trigger_id", "execution_id", "variant", "rank", "item_id", "seen")
 
 

@@ -248,7 +248,7 @@ def _(c: Run) -> DataFrame:
        where not exists (select 1 from g_model m where m.split = g.split and m.exec_code = g.exec_code)""",
 )
 def _(c: Run) -> DataFrame:
-    results = retrieval.model_results(c.graph_triggers, c.model_rows, c.items)
+    results = retrieval.model_results(c.graph_triggers, c.model_rows, c.items, c.listed)
     keys = ["split", "exec_code", "trigger_id"]
     names = ("products_returned", "positives", "negatives")
     lists = F.array(*[F.struct(F.lit(n).alias("list"), F.col(n).alias("products")) for n in names])

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -81,6 +82,40 @@ def test_prod_results_keep_executions_without_candidates(spark):
     assert both == [sorted(map(tuple, r.products_returned_display)) for r in found.values()]
 
 
+@pytest.mark.parametrize("listed_items", [1, 3, 64])
+def test_short_and_long_sessions_mark_the_same_items(spark, monkeypatch, listed_items):
+    """Items are seen alike whether a session's items come as one list or are looked up; a log may be there twice."""
+    monkeypatch.setattr(rankings, "LISTED_ITEMS", listed_items)
+    viewed = {1: [4], 2: [2, 4, 6], 3: list(range(0, 40, 3)), 4: []}
+    items = spark.createDataFrame(
+        [("val", u, 1, i) for u, found in viewed.items() for i in found],
+        "split string, user_id long, session_id long, item_id long",
+    )
+    owners = spark.createDataFrame(
+        [("val", 10 * u + e, 7, u, 1, 10 * u + e) for u in viewed for e in range(3)],
+        "split string, execution_id long, trigger_id long, user_id long, session_id long, exec_code long",
+    )
+    offered = {10 * u + e: [(7 * e + u * c) % 20 for c in range(1, 7)] for u in viewed for e in range(2)}
+    logs = spark.createDataFrame(
+        [(x, [([(i, 0.1) for i in found],)]) for x, found in [*offered.items(), (20, offered[20])]],
+        "execution_id long, placements array<struct<candidates: array<struct<item_id: long, score: double>>>>",
+    )
+    flat = rankings.prod_rankings(owners, logs, items).collect()
+    assert all(r.seen == (r.item_id in viewed[r.user_id]) for r in flat)
+    assert {r.execution_id for r in flat if r.item_id is None} == {10 * u + 2 for u in viewed}
+    results = [
+        rows(rankings.prod_results(rankings.prod_rankings(owners, logs, items, flat=form))) for form in (True, False)
+    ]
+    assert results[0] == results[1] and len(results[0]) == 12
+    for r in rankings.prod_results(rankings.prod_rankings(owners, logs, items, flat=False)).collect():
+        shown = list(dict.fromkeys(offered.get(r.execution_id, [])))
+        times = 2 if r.execution_id == 20 else 1
+        assert [p.item_id for p in r.products_returned_display] == [i for i in shown for _ in range(times)]
+        assert [p.item_id for p in r.positives_display] == [
+            i for i in shown for _ in range(times) if i in viewed[r.user_id]
+        ]
+
+
 def test_owner_is_the_same_for_every_partitioning(spark):
     triggers = spark.createDataFrame(
         [("val", u, 1, 7, t) for u, t in ((5, 3), (4, 2), (9, 2))],
