@@ -6,7 +6,7 @@ import hashlib
 import heapq
 import re
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 from pyspark import cloudpickle
@@ -22,7 +22,9 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 CACHED_UNITS = 400_000
 # Longer units are not kept, and a generation of the cache ends at about so many bytes of entries.
 CACHED_LENGTH = 64
-CACHED_BYTES = 150_000_000
+CACHED_BYTES = 60_000_000
+# Characters whose units are held at once, unless one text has more.
+SLICE_CHARACTERS = 500_000
 # Longer units have an agenda of their own.
 SHORT_UNIT = 40
 AGENDA_ROWS = 20_000
@@ -197,7 +199,8 @@ class Vocabulary:
 
 
 class UnitCache(dict):
-    """Ids as text and decoded text per unit, in two generations so that frequent units stay.
+    """Ids as text per unit, and its decoded text where that is not its own, in two generations so that frequent units
+    stay.
 
     A generation is bounded in entries and in bytes; units of more than `CACHED_LENGTH` characters stay for one call.
     """
@@ -231,7 +234,8 @@ class UnitCache(dict):
                 fresh.append(unit)
         decode = self.vocabulary.decode_part
         for unit, ids in zip(fresh, self.vocabulary.encode_units(fresh), strict=True):
-            self[unit] = ",".join(map(str, ids)), decode(ids)
+            numbers, decoded = ",".join(map(str, ids)), decode(ids)
+            self[unit] = (numbers,) if decoded == _own_text(unit) else (numbers, decoded)
         # Two strings, a tuple and a slot take some 300 bytes beside their characters.
         self.bytes += sum(300 + len(u) + sum(map(len, self[u])) for u in missing if len(u) <= CACHED_LENGTH)
 
@@ -264,10 +268,22 @@ def _digest(pieces: Sequence[tuple[str, float, int]]) -> str:
     return hashlib.sha256(repr(list(pieces)).encode()).hexdigest()
 
 
-def _encoded(cache: UnitCache, texts: list) -> list[list[tuple[str, str]]]:
-    units = [cache.vocabulary.units(text) if text else [] for text in texts]
-    cache.load([u for row in units for u in row])
-    return [[cache[u] for u in row] for row in units]
+def _own_text(unit: str) -> str:
+    return unit.replace(SPACE, " ")
+
+
+def _encoded(cache: UnitCache, texts: list) -> Iterator[list[tuple[str, tuple]]]:
+    """(unit, entry) of the units of each text; units of about `SLICE_CHARACTERS` are held at once."""
+    held: list[list[str]] = []
+    size = 0
+    for place, text in enumerate(texts):
+        held.append(cache.vocabulary.units(text) if text else [])
+        size += len(text or "")
+        if size >= SLICE_CHARACTERS or place + 1 == len(texts):
+            cache.load([u for row in held for u in row])
+            for row in held:
+                yield [(u, cache[u]) for u in row]
+            held, size = [], 0
 
 
 def encoder(pieces: Sequence[tuple[str, float, int]]) -> Callable[[list, list], dict]:
@@ -277,8 +293,8 @@ def encoder(pieces: Sequence[tuple[str, float, int]]) -> Callable[[list, list],
     def encode(ids: list, texts: list) -> dict:
         counts, id_hashes, text_hashes = [], [], []
         for entries in _encoded(_cache(pieces, digest), texts):
-            numbers = ",".join([e[0] for e in entries])
-            decoded = "".join([e[1] for e in entries])
+            numbers = ",".join([e[0] for _, e in entries])
+            decoded = "".join([_own_text(u) if len(e) == 1 else e[1] for u, e in entries])
             decoded = decoded[1:] if decoded.startswith(" ") else decoded
             counts.append(numbers.count(",") + 1 if numbers else 0)
             id_hashes.append(hashlib.sha256(numbers.encode()).hexdigest())
@@ -294,7 +310,7 @@ def id_lists(pieces: Sequence[tuple[str, float, int]]) -> Callable[[list, list],
 
     def encode(ids: list, texts: list) -> dict:
         rows = _encoded(_cache(pieces, digest), texts)
-        return {"doc_id": ids, "ids": [[int(i) for e in row for i in e[0].split(",")] for row in rows]}
+        return {"doc_id": ids, "ids": [[int(i) for _, e in row for i in e[0].split(",")] for row in rows]}
 
     return encode
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import resource
 
 import numpy as np
@@ -66,6 +67,25 @@ def test_long_units_leave_the_cache_and_bytes_bound_it():
         assert len(cache) + len(cache.older) < 20
 
 
+def test_units_of_a_batch_are_held_in_slices(monkeypatch):
+    """However long the texts of a batch are together, the units of a slice of them are held; results stay the same."""
+    pieces = [("<unk>", 0.0, 2), ("a", -3.0, 1), ("▁", -2.0, 1), ("aa", -1.0, 1), ("▁a", -1.5, 1)]
+    texts = ["a aa  ab" * n for n in range(60)] + [None, "", "b ▁a"]
+    whole = sentence_pieces.encoder(pieces)(list(range(len(texts))), texts)
+    loaded = []
+    load = sentence_pieces.UnitCache.load
+    monkeypatch.setattr(
+        sentence_pieces.UnitCache, "load", lambda self, units: (loaded.append(len(units)), load(self, units))
+    )
+    monkeypatch.setattr(sentence_pieces, "SLICE_CHARACTERS", 1_000)
+    assert sentence_pieces.encoder(pieces)(list(range(len(texts))), texts) == whole
+    assert len(loaded) > 10 and max(loaded) < 1_000
+    vocabulary = sentence_pieces.Vocabulary(pieces)
+    for text, found in zip(texts, whole["decoded_sha256"], strict=True):
+        decoded = vocabulary.decode(vocabulary.encode(text or ""))
+        assert found == hashlib.sha256(decoded.encode()).hexdigest()
+
+
 def test_training_text_comes_from_all_over_a_long_text(spark):
     df = spark.createDataFrame([("short",), ("a" * 500 + "b" * 500 + "c" * 500,), ("",), (None,)], "text string")
     cut = [r[0] for r in df.select(language_id.stretches(F.col("text"), 100)).collect()]
