@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sessiongraph.llm import context_mixing, phrases
@@ -138,3 +140,62 @@ def test_decisions_keep_within_probability():
     chance = phrases.chances([(2, 2, 90.0, 100.0), (3, 4, 5.0, 40.0), (2, 20, 0.0, 1e9)])
     assert all(0 < p < 1 for p in chance.values())
     assert abs(chance[2, 2] - 0.9) < 0.05 and chance[2, 20] < 1e-3
+
+
+def test_counts_by_group_and_bytes_come_from_one_table(spark):
+    rows = [(1, "Ab b\tab", "x"), (2, "ab é", "y"), (3, None, "x"), (4, "", None), (5, "b\x0bab", "x")]
+    model, tokens = context_mixing.train(spark.createDataFrame(rows, SCHEMA))
+    counted = {bytes(r["token"]): r["n"] for r in tokens.collect()}
+    assert counted == {b"ab": 4, b"b": 2, "é".encode(): 1, b"\n": 5}
+    assert (model.train_tokens, model.distinct, model.frequent) == (12, 4, counted)
+    by_group = {token: model.group_counts[:3, i].tolist() for i, token in enumerate(model.frequent)}
+    assert by_group == {b"ab": [0, 3, 1], b"b": [0, 2, 0], "é".encode(): [0, 0, 1], b"\n": [1, 3, 1]}
+    assert model.group_texts[:3].tolist() == [1, 3, 1]
+    seen = np.zeros(256)
+    for token, n in counted.items():
+        seen += n * np.bincount(np.frombuffer(token, dtype=np.uint8), minlength=256)
+    seen[context_mixing.TERMINATOR] = 12
+    assert [c.tolist() for c in model.code] == [c.tolist() for c in context_mixing.byte_code(seen)]
+
+
+def test_a_task_that_counts_holds_its_table_and_one_batch():
+    rng = np.random.default_rng(5)
+    words = [bytes(w) for w in rng.integers(97, 123, (60_000, 9), dtype=np.uint8)]
+    code = context_mixing.byte_code(np.arange(256) ** 2)
+    columns = [pa.array([context_mixing.TOKEN] * len(words), pa.int32()), pa.array([0] * len(words), pa.int32())]
+    columns += [pa.array(words, pa.binary()), pa.array([1] * len(words), pa.int64())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["kind", "group", "token", "n"])
+    tracemalloc.start()
+    total = np.zeros(2)
+    for block in context_mixing.counter(code, 2)(iter([batch])):
+        total += np.frombuffer(block.column(1)[0].as_py(), dtype=np.float32).reshape(2, -1).sum(axis=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    decisions = context_mixing.PREDICTORS * sum(
+        int(code[0][list(w + bytes([context_mixing.TERMINATOR]))[1:]].sum()) for w in words
+    )
+    assert total.sum() == decisions
+    assert peak < 170_000_000
+
+
+def test_listed_tokens_of_a_text_are_counted():
+    texts = ["a rare rare\nb", None, "", "a a rareR"]
+    model = context_mixing.Model(
+        np.zeros((2, 1 << context_mixing.SLOT_BITS), dtype=np.uint16),
+        context_mixing.Mixer(),
+        context_mixing.byte_code(np.ones(256)),
+        {b"a": 5},
+        np.zeros((context_mixing.GROUPS, 1), dtype=np.float32),
+        np.zeros(context_mixing.GROUPS),
+        2,
+        9,
+        3,
+    )
+    model.table = context_mixing.prepare(model.table)
+    part = pa.RecordBatch.from_arrays(
+        [pa.array(range(4), pa.int64()), pa.array(texts), pa.array([0] * 4, pa.int32())], names=["doc_id", "text", "own"]
+    )
+    rows = context_mixing.score_part(part, context_mixing.TokenCosts(model)).to_pylist()
+    wanted = [{b"rare": 2, b"b": 1, b"\n": 1}, {b"\n": 1}, {b"\n": 1}, {b"rarer": 1, b"\n": 1}]
+    assert [{e["token"]: e["n"] for e in r["rare"]} for r in rows] == wanted
+    assert [(r["n_tokens"], r["known"]) for r in rows] == [(5, 1), (1, 0), (1, 0), (4, 2)]
