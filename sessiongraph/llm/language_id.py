@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import sys
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -64,12 +63,12 @@ class SuffixAutomaton:
                     link[target] = link[current] = clone
             last = current
         # The last state is that of no match: a new phrase starts after it, and at the start of a text.
-        table = np.full((len(following) + 1, symbols), -1, dtype=np.int64)
+        table = np.full((len(following) + 1, symbols), -1, dtype=np.int32)
         for state, edges in enumerate(following):
             for symbol, target in edges.items():
                 table[state, symbol] = target
         restart = np.where(table[0] >= 0, table[0], len(following))
-        self.step = np.where(table >= 0, table * 2, restart * 2 + 1).astype(np.int32).ravel()
+        self.step = np.where(table >= 0, table * 2, restart * 2 + 1).astype(np.int32, copy=False).ravel()
 
 
 def _letter_cases() -> np.ndarray:
@@ -150,25 +149,19 @@ class Parser:
 
 @dataclass(frozen=True)
 class Model:
-    """A bounded sample of text per language; the automata are built from it once per worker."""
+    """A bounded sample of text per language; the automata are built from it once per task."""
 
     samples: tuple[tuple[str, str], ...]
 
-    @property
-    def key(self) -> str:
-        return hashlib.sha256(repr(self.samples).encode()).hexdigest()
-
-
-_parsers: dict[str, Parser] = {}
-
 
 def predictor(model: Model) -> Callable[[list, list], dict]:
-    key = model.key
+    """The batch function of `identify`. It holds its parser itself, so that a task's parser goes when the task ends."""
+    built: list[Parser] = []
 
     def predict(ids: list, texts: list) -> dict:
-        if key not in _parsers:
-            _parsers[key] = Parser(dict(model.samples))
-        parser = _parsers[key]
+        if not built:
+            built.append(Parser(dict(model.samples)))
+        parser = built[0]
         sizes, rates = parser.rates(texts)
         known = (sizes > 0) & bool(parser.languages)
         out = {"doc_id": ids, "lang_pred": [UNDETERMINED] * len(ids), "score": [0.0] * len(ids), "rate": [None] * len(ids)}

@@ -255,17 +255,10 @@ def read_vocabulary(path: str) -> list[tuple[str, float, int]]:
     return [(p.piece, p.score, p.type) for p in model.pieces]
 
 
-_caches: dict[str, UnitCache] = {}
-
-
-def _cache(pieces: Sequence[tuple[str, float, int]], digest: str) -> UnitCache:
-    if digest not in _caches:
-        _caches[digest] = UnitCache(Vocabulary(pieces))
-    return _caches[digest]
-
-
-def _digest(pieces: Sequence[tuple[str, float, int]]) -> str:
-    return hashlib.sha256(repr(list(pieces)).encode()).hexdigest()
+def _cache(pieces: Sequence[tuple[str, float, int]], built: list[UnitCache]) -> UnitCache:
+    if not built:
+        built.append(UnitCache(Vocabulary(pieces)))
+    return built[0]
 
 
 def _own_text(unit: str) -> str:
@@ -287,12 +280,13 @@ def _encoded(cache: UnitCache, texts: list) -> Iterator[list[tuple[str, tuple]]]
 
 
 def encoder(pieces: Sequence[tuple[str, float, int]]) -> Callable[[list, list], dict]:
-    """The batch function of `encode_documents`; the vocabulary is built once per worker."""
-    digest = _digest(pieces)
+    """The batch function of `encode_documents`. It holds its vocabulary and cache itself, so that they go when the task
+    ends."""
+    built: list[UnitCache] = []
 
     def encode(ids: list, texts: list) -> dict:
         counts, id_hashes, text_hashes = [], [], []
-        for entries in _encoded(_cache(pieces, digest), texts):
+        for entries in _encoded(_cache(pieces, built), texts):
             numbers = ",".join([e[0] for _, e in entries])
             decoded = "".join([_own_text(u) if len(e) == 1 else e[1] for u, e in entries])
             decoded = decoded[1:] if decoded.startswith(" ") else decoded
@@ -305,11 +299,11 @@ def encoder(pieces: Sequence[tuple[str, float, int]]) -> Callable[[list, list],
 
 
 def id_lists(pieces: Sequence[tuple[str, float, int]]) -> Callable[[list, list], dict]:
-    """The batch function of `tokenize`."""
-    digest = _digest(pieces)
+    """The batch function of `tokenize`, see `encoder`."""
+    built: list[UnitCache] = []
 
     def encode(ids: list, texts: list) -> dict:
-        rows = _encoded(_cache(pieces, digest), texts)
+        rows = _encoded(_cache(pieces, built), texts)
         return {"doc_id": ids, "ids": [[int(i) for _, e in row for i in e[0].split(",")] for row in rows]}
 
     return encode
@@ -326,7 +320,7 @@ def encode_documents(df: DataFrame, model_path: str, id_column: str = "doc_id",
     """Token count, hash of the ids and hash of the text decoded from them, for every whole text.
 
     Null text counts as empty: no tokens, hashes of nothing. Repeated rows are kept. Extra columns are not read.
-    Units (a word with its spaces) are encoded once and kept in a bounded cache per Python worker; a text of one
+    Units (a word with its spaces) are encoded once and kept in a bounded cache per task; a text of one
     long unit takes n log n steps.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

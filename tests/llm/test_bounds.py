@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import pickle
 import resource
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sessiongraph.llm import decontamination, html_text, language_id, sentence_pieces
@@ -113,3 +116,21 @@ def test_article_header_and_inline_elements_stay(spark):
     )
     df = spark.createDataFrame([(1, None, html)], "page_id long, url string, html string")
     assert html_text.main_text(df).first().text == f"Title\n{LONG}\nPress Go and name done."
+
+
+def test_parsers_and_caches_go_with_their_task():
+    """A worker unpickles the function of each task; what it has built goes with it, without a garbage collection."""
+    pieces = [("<unk>", 0.0, 2), ("a", -3.0, 1), ("▁", -2.0, 1), ("aa", -1.0, 1), ("▁a", -1.5, 1)]
+    model = language_id.Model((("x", "some words of it"), ("y", "other terms")))
+    kinds = ("Parser", "UnitCache", "Vocabulary")
+    alive = lambda: sum(type(o).__name__ in kinds for o in gc.get_objects())
+    tasks = [cloudpickle.dumps(f) for f in (language_id.predictor(model), sentence_pieces.encoder(pieces), sentence_pieces.id_lists(pieces))]
+    gc.collect()
+    before = alive()
+    gc.disable()
+    try:
+        for task in tasks * 3:
+            pickle.loads(task)([1], ["a aa some words"])
+        assert alive() == before
+    finally:
+        gc.enable()
