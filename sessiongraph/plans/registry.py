@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from sessiongraph.operators import coview, index, review
 from sessiongraph.plans.chain import Chain, Inputs, Settings
 from sessiongraph.plans.oracle_views import with_views
-from sessiongraph.session import materialize, partitions_for, shuffle_partitions
+from sessiongraph.session import materialize, partitions_for, passing_table, shuffle_partitions
 from sessiongraph.sources import entities, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,10 +94,11 @@ class Run(Chain):
     @cached_property
     def basket_edges(self) -> DataFrame:
         """Train edges of the baskets by node index: the large graph of the folder."""
-        train = materialize(coview.edges_of(coview.co_view_edges(self.baskets), "train"), "basket_train_edges")
-        parts = partitions_for(self.spark, train.count())
-        indexed = coview.remap_edges(train, self.basket_nodes, parts)
-        return materialize(indexed.select("src", "dst", "weight"), "basket_edges")
+        nodes = self.basket_nodes
+        with passing_table(coview.edges_of(coview.co_view_edges(self.baskets), "train"), "basket_train_edges") as train:
+            parts = partitions_for(self.spark, train.count())
+            indexed = coview.remap_edges(train, nodes, parts)
+            return materialize(indexed.select("src", "dst", "weight"), "basket_edges")
 
     @cached_property
     def sample(self) -> DataFrame:

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -213,3 +215,62 @@ def test_a_block_gives_one_partial_sum_per_target(spark):
     assert blocked.agg(F.max("chunks")).first()[0] > 2
     partial = propagation._sums(blocked, vectors, node_block=16)
     assert partial.count() == blocked.select("block", "dst").distinct().count()
+
+
+def test_edges_are_stored_in_a_few_bytes_and_come_back(spark, monkeypatch):
+    """Blocks, chunks, parts and weights of packed edges are those of the edges; far ids take the slower sort."""
+    monkeypatch.setattr(propagation, "PACKED_EDGES", 700)
+    far = 1 << 61
+    rng = np.random.default_rng(5)
+    data = {(int(a), int(b) + (far if b == 3 else 0), float(1 + b % 2)) for a, b in rng.integers(0, 300, (4_000, 2))}
+    edges = spark.createDataFrame(sorted(data), "src long, dst long, w double").repartition(2)
+    for wanted in (edges, edges.drop("w")):
+        blocked = propagation.blocked_edges(wanted, node_block=100, edge_chunk=500)
+        packed = propagation.packed_edges(blocked, 100, parts=2)
+        found, cells = set(), set()
+        for r in packed.collect():
+            src = r.block * 100 + propagation.from_bytes(r.src, r.n)
+            dst = r.low + np.cumsum(propagation.from_bytes(r.dst, r.n))
+            assert (dst % 2 == r.part).all() and len(r.src) <= r.n
+            w = np.broadcast_to(np.frombuffer(r.w), r.n)
+            found |= set(zip(src.tolist(), dst.tolist(), w.tolist(), strict=True))
+            cells |= {(r.block, r.chunk, d) for d in dst.tolist()}
+        assert found == (data if "w" in wanted.columns else {(s, d, 1.0) for s, d, _ in data})
+        assert cells == {(r.block, r.chunk, r.dst) for r in blocked.collect()}
+
+
+def test_a_hop_sends_few_copies_of_vectors_and_sums():
+    """With more nodes and edges a graph is cut into larger blocks and chunks, within the memory of a task."""
+    for width in (12, 64, 384):
+        before = None
+        for nodes, edges in ((1_000, 90_000), (240_000, 22_000_000), (7_200_000, 650_000_000), (72_000_000, 6_500_000_000)):
+            shape = propagation._shape(width, nodes, edges)
+            assert shape["node_block"] * width <= propagation.BLOCK_NUMBERS + propagation.NODE_BLOCK * width
+            assert shape["edge_chunk"] <= max(propagation.EDGE_CHUNK, propagation.CHUNK_NUMBERS // width)
+            assert before is None or all(shape[k] >= before[k] for k in shape)
+            before = shape
+    shape = propagation._shape(12, 7_200_000, 650_000_000)
+    blocks = 7_200_000 / shape["node_block"]
+    # Each vector goes to the chunks of its block, each target comes out of at most all blocks.
+    assert blocks + 650_000_000 / blocks / shape["edge_chunk"] < 14
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [str(x) for x in folder.localDirsString()]
+
+    def files():
+        return {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    before = files()
+    df = spark.range(10_000).repartition(5, "id").groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n"))
+    stored = session.materialize(df, "counts")
+    deadline = time.time() + 10
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before
+    assert stored.agg(F.sum("n")).first()[0] == df.agg(F.sum("n")).first()[0] == 10_000
+    with session.passing_table(df, "passing") as table:
+        path = table.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert table.count() == 100 and os.path.isdir(path)
+    assert not os.path.exists(path)
