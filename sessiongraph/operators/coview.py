@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessiongraph.functions.vectors import zeros
-from sessiongraph.session import materialize, partitions_for
+from sessiongraph.session import materialize, partitions_for, released_shuffles
 
 SESSION = ["user_id", "session_id"]
 PAIR = ["item_a", "item_b"]
@@ -51,7 +51,8 @@ def long_sessions(session_views: DataFrame, block_items: int, parts: int) -> tup
     keys = ["split", *SESSION]
     counts = session_views.select(*keys).repartition(parts, *keys).groupBy(*keys).agg(F.count("*").alias("n"))
     # Views that repeat count as items here; a session of n views has n * (n - 1) / 2 pairs at most.
-    bound = counts.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2), F.max("n")).first()
+    with released_shuffles(session_views.sparkSession):
+        bound = counts.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2), F.max("n")).first()
     if (bound[1] or 0) <= block_items:
         none = session_views.select(*keys, F.lit(0).cast("long").alias("session_size"))
         return none.limit(0), int(bound[0] or 0)

@@ -238,7 +238,7 @@ def _shape(width: int, nodes: int, edges: int) -> dict[str, int]:
 def _edge_counts(edges: DataFrame, unit: int = NODE_BLOCK) -> DataFrame:
     """(unit, n), stored: the number of edges out of each `unit` nodes."""
     counts = edges.groupBy(F.floor(F.col("src") / F.lit(unit)).alias("unit")).agg(F.count("*").alias("n"))
-    return materialize(counts, "edge_counts")
+    return materialize(counts, "edge_counts", lean=True)
 
 
 def blocked_edges(
@@ -337,7 +337,7 @@ def _graph(edges: DataFrame, width: int) -> _Graph:
     parts = -(-shape["edge_chunk"] * max(width, 12) // PART_NUMBERS)
     packed = packed_edges(blocked_edges(edges, **shape, counts=counts), shape["node_block"], parts)
     return _Graph(
-        materialize(packed, "packed_edges"),
+        materialize(packed, "packed_edges", lean=True),
         shape["node_block"],
         -(-(n or 0) // shape["edge_chunk"]),
         partitions_for(edges.sparkSession, n or 0, EDGES_PER_TASK),
@@ -370,7 +370,7 @@ def propagate(edges: DataFrame, vectors: DataFrame, hops: int, weighted: bool =
     weight, one = ([F.col("weight").cast("double").alias("w")], [F.lit(1.0).alias("w")]) if weighted else ([], [])
     loops = vectors.select(F.col("node_idx").alias("src"), F.col("node_idx").alias("dst"), *one)
     graph = _graph(edges.select("src", "dst", *weight).unionByName(loops), width)
-    scales = materialize(_scales(graph.packed), "scales")
+    scales = materialize(_scales(graph.packed), "scales", lean=True)
     scale = F.col("scale")
     scaled = current.join(scales, "node_idx").select("node_idx", _scaled(F.col("vector"), scale).alias("vector"))
     for hop in range(1, hops + 1):
@@ -378,5 +378,5 @@ def propagate(edges: DataFrame, vectors: DataFrame, hops: int, weighted: bool =
         if hop < hops:
             # Scaled for the end of this hop and the start of the next.
             scaled = sums.select("node_idx", _scaled(F.col("total"), scale * scale).alias("vector"))
-            scaled = materialize(scaled, "hop")
+            scaled = materialize(scaled, "hop", lean=True)
     return sums.select("node_idx", _scaled(F.col("total"), scale).alias("vector"))

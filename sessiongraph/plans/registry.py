@@ -77,11 +77,11 @@ class Run(Chain):
 
     @cached_property
     def baskets(self) -> DataFrame:
-        return materialize(fixtures.baskets(self.spark, self.location), "baskets")
+        return materialize(fixtures.baskets(self.spark, self.location), "baskets", lean=True)
 
     @cached_property
     def basket_nodes(self) -> DataFrame:
-        return materialize(index.dense_index(self.baskets, "item_id", "node_idx"), "basket_nodes")
+        return materialize(index.dense_index(self.baskets, "item_id", "node_idx"), "basket_nodes", lean=True)
 
     @cached_property
     def basket_features(self) -> DataFrame:
@@ -89,7 +89,7 @@ class Run(Chain):
         months = fixtures.shipped_months(self.spark, self.location)
         per_month = [F.count_if(F.col("month") == m).cast("double") for m in range(1, 13)]
         counts = months.groupBy("item_id").agg(F.array(*per_month).alias("vector"))
-        return materialize(counts.join(self.basket_nodes, "item_id").select("node_idx", "vector"), "basket_features")
+        return materialize(counts.join(self.basket_nodes, "item_id").select("node_idx", "vector"), "basket_features", lean=True)
 
     @cached_property
     def basket_edges(self) -> DataFrame:
@@ -98,7 +98,7 @@ class Run(Chain):
         with passing_table(coview.edges_of(coview.co_view_edges(self.baskets), "train"), "basket_train_edges") as train:
             parts = partitions_for(self.spark, train.count())
             indexed = coview.remap_edges(train, nodes, parts)
-            return materialize(indexed.select("src", "dst", "weight"), "basket_edges")
+            return materialize(indexed.select("src", "dst", "weight"), "basket_edges", lean=True)
 
     @cached_property
     def sample(self) -> DataFrame:

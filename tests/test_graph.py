@@ -255,7 +255,7 @@ def test_a_hop_sends_few_copies_of_vectors_and_sums():
     assert blocks + 650_000_000 / blocks / shape["edge_chunk"] < 14
 
 
-def test_stored_tables_leave_no_shuffle_files(spark):
+def test_lean_tables_leave_no_shuffle_files(spark):
     folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     folders = [str(x) for x in folder.localDirsString()]
 
@@ -264,7 +264,7 @@ def test_stored_tables_leave_no_shuffle_files(spark):
 
     before = files()
     df = spark.range(10_000).repartition(5, "id").groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n"))
-    stored = session.materialize(df, "counts")
+    stored = session.materialize(df, "counts", lean=True)
     deadline = time.time() + 10
     while files() - before and time.time() < deadline:
         time.sleep(0.2)
